@@ -13,5 +13,23 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records,)}
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.mixing import mix_digest
+
+    return mix_digest(documents(spark, sf_dir))
+
+
+def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.sharding import shard_digest
+
+    return shard_digest(documents(spark, sf_dir))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.decontamination import contamination_digest
+
+    return contamination_digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op3_source_mix, op8_histogram_shards, op10_decontaminate)}
 ORACLES: dict[str, str] = {}

@@ -6,8 +6,8 @@ back in order, `read_shuffled` reads records by the index in another order. A pa
 doc_id (int64), a flag byte (1: the id is null), the width of an id in bytes (2 or 4), and the ids.
 
 Encoding works on fragments: the tokenizer's pre-tokenizer always ends a piece before a single
-space that follows a non-space and precedes a byte that can't begin white space, so a text's ids
-are its fragments' ids in a row. Each distinct fragment is encoded by the tokenizers library once
+space that follows a non-space and precedes a byte that can't begin white space, between an ASCII letter
+and most punctuation or a line feed, and around a single line feed, so a text's ids are its fragments' ids in a row. Each distinct fragment is encoded by the tokenizers library once
 in a worker's table (`TABLE` fragments at most, then the table starts anew), and recognised by two
 independent 64-bit hashes.
 
@@ -19,7 +19,7 @@ are ignored; an empty table gives no files and no rows.
 from __future__ import annotations
 
 import functools
-import itertools
+import re
 import struct
 import zlib
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import _files, _kernel, _records
 from corpusmill.llm._common import exact, new_folder, shuffle_partitions, staged, volume
 
-TABLE = 2_000_000
+TABLE = 1_000_000
 FILE_BYTES = 64 << 20
 _HEAD = struct.Struct("<qBB")
 _INDEX = "part int, record long, doc_id long, offset long, n_bytes long, n_tokens long"
@@ -40,6 +40,15 @@ _READ = "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 #: Bytes that can follow the space before which a text may be cut: not white space, nor the first byte of any.
 _AFTER = np.ones(256, bool)
 _AFTER[[*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: Punctuation that no special token has after a letter, and the line feed: a piece of letters ends before it.
+_STOP = np.zeros(256, bool)
+_STOP[[*b"\n.,;:!?\"()$#&%*"]] = True
+
+
+#: Fragments that may stand before a line feed: no white space but a first space, and no byte that may begin any.
+_joins = re.compile(rb" ?[^\x00-\x20\x7f\xc2\xe1\xe2\xe3]+").fullmatch
 
 
 class FragmentEncoder:
@@ -50,20 +59,20 @@ class FragmentEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
         self.levels: list[list[np.ndarray]] = []  # keys in order, checks, place and size in the pool; each level at least twice as long as the next
         self.pool, self.used = np.empty(1 << 20, np.uint16 if self.width == 2 else np.uint32), 0
 
-    def _learn(self, texts: list[str], keys: np.ndarray, checks: np.ndarray) -> None:
+    def _learn(self, texts: list[bytes], keys: np.ndarray, checks: np.ndarray) -> None:
         """Encodes new fragments; keys are in order."""
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(size.sum())
+        ids, size = self._encode_all(texts)
+        total = len(ids)
         if self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.empty(max(total, len(self.pool)), self.pool.dtype)])
-        self.pool[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), self.pool.dtype, total)
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(max(total, len(self.pool) // 2), self.pool.dtype)])
+        self.pool[self.used : self.used + total] = ids
         self.levels.append([keys, checks, self.used + np.cumsum(size) - size, size])
         self.used += total
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
@@ -71,6 +80,31 @@ class FragmentEncoder:
             order = np.argsort(both[0], kind="stable")
             self.levels.append([x[order] for x in both])
 
+    def _encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all fragments in a row, and how many each has. Fragments without a line feed are encoded many at once with a
+        line feed after each, which is one id that no other bytes have; it ends any piece before it and takes nothing after it."""
+        size = np.zeros(len(texts), np.int64)
+        found: list[np.ndarray] = []
+        plain = np.fromiter((_joins(x) is not None for x in texts), bool, len(texts))
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        joined = [texts[i] for i in order[: plain.sum()].tolist()]
+        for at in range(0, len(joined), 8192):
+            some = joined[at : at + 8192]
+            ids = np.array(self.tokenizer.encode_batch_fast([(b"\n".join(some) + b"\n").decode("utf-8", "replace")], add_special_tokens=False)[0].ids, self.pool.dtype)
+            ends = np.flatnonzero(ids == self.feed)
+            assert len(ends) == len(some)
+            size[order[at : at + len(some)]] = np.diff(ends, prepend=-1) - 1
+            found.append(ids[ids != self.feed])
+        alone = order[plain.sum() :]
+        encoded = [np.array(x.ids, self.pool.dtype) for x in self.tokenizer.encode_batch_fast([texts[i].decode("utf-8", "replace") for i in alone.tolist()], add_special_tokens=False)] if len(alone) else []
+        size[alone] = [len(x) for x in encoded]
+        ids = np.concatenate([*found, *encoded]) if found or encoded else self.pool[:0]
+        starts = np.cumsum(size[order]) - size[order]
+        place = np.empty(len(texts), np.int64)
+        place[order] = starts
+        item, at = _kernel.ragged(size)
+        return ids[place[item] + at], size
+
     def _find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at, size, found = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
         for known, known_checks, known_at, known_size in self.levels:
@@ -86,7 +120,11 @@ class FragmentEncoder:
             return self.pool[:0], np.zeros(len(offsets), np.int64)
         cut = np.zeros(len(buf) + 1, bool)
         if len(buf) > 2:
-            cut[1 : len(buf) - 1] = (buf[1:-1] == 0x20) & _kernel.WHITE[buf[:-2]] & _AFTER[buf[2:]]
+            feed, letter, solid = buf == 0x0A, _LETTER[buf], _kernel.WHITE[buf]
+            cut[1 : len(buf) - 1] = (buf[1:-1] == 0x20) & solid[:-2] & _AFTER[buf[2:]]
+            cut[1 : len(buf)] |= _STOP[buf[1:]] & letter[:-1]
+            cut[1 : len(buf)] |= feed[1:] & _STOP[buf[:-1]] & solid[:-1]
+            cut[2 : len(buf)] |= feed[1:-1] & solid[:-2] & letter[2:]
         cut[offsets] = True
         edges = np.flatnonzero(cut)
         keys = _kernel.mix(_kernel.slices(_kernel.prefix(_kernel.byte_values(buf)), edges[:-1], edges[1:]))
@@ -100,7 +138,7 @@ class FragmentEncoder:
                 self.clear()
                 return self.encode(buf, offsets)
             new = first[~found]
-            texts = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(edges[new].tolist(), edges[new + 1].tolist(), strict=True)]
+            texts = [buf[a:b].tobytes() for a, b in zip(edges[new].tolist(), edges[new + 1].tolist(), strict=True)]
             self._learn(texts, keys[new], checks[new])
             at, size, found = self._find(unique, checks[first])
         at, size = at[back], size[back]
@@ -142,7 +180,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
                 out = _files.Whole(f"{folder}/part-{part:05d}.rec")
             buf, offsets = _kernel.pack(batch.column(1))
             doc_ids = batch.column(0).to_pylist()
-            for a, b in _kernel.parts(offsets, 2 << 20):
+            for a, b in _kernel.parts(offsets):
                 ids, ranges = encode.encode(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 body, at, counts = _payloads(ids, ranges, doc_ids[a:b], end_id)
                 data, starts = _records.frame(body, at)
