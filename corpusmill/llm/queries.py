@@ -13,12 +13,24 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, documents(spark, sf_dir))
 
 
+def op2_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.chat import chat_digest
+
+    return chat_digest(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.mixing import mix_digest
 
     return mix_digest(documents(spark, sf_dir))
 
 
+def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.fingerprints import fingerprints_with_next
+
+    return fingerprints_with_next(documents(spark, sf_dir))
+
+
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.sharding import shard_digest
 
@@ -31,5 +43,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op3_source_mix, op8_histogram_shards, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_chat_masks, op3_source_mix, op4_merkle_fingerprints, op8_histogram_shards, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
