@@ -37,11 +37,17 @@ def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(documents(spark, sf_dir))
 
 
+def op9_preference_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.quality import quality_digest
+
+    return quality_digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.decontamination import contamination_digest
 
     return contamination_digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_chat_masks, op3_source_mix, op4_merkle_fingerprints, op8_histogram_shards, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_chat_masks, op3_source_mix, op4_merkle_fingerprints, op8_histogram_shards, op9_preference_quality, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
