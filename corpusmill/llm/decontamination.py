@@ -244,7 +244,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return hits.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * round(1 / share) >= F.col("n_words")))
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span: int = 0, max_share: float = 0.05, text_col: str = "text") -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span: int = 50, max_share: float = 0.05, text_col: str = "text") -> DataFrame:
     """The documents, all columns as they were, without those whose hit words reach max_share of their words; of the others, hit spans of over max_span words are cut from the text (a space stands for each)."""
     automaton_blocks = list(automata(benchmark, window))
     sc = docs.sparkSession.sparkContext

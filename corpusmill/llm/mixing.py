@@ -30,7 +30,7 @@ RUN = 1 << 14
 _FEW = 10_000
 _SCALE = 1 << 40
 _GOLDEN = 679_556_961_735  # floor(2**40 / golden ratio), made odd: multiples modulo 2**40 meet no point twice
-_WORDS = r"[^\x20\x09-\x0D]+"
+WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
@@ -104,7 +104,7 @@ def schedule(spark: SparkSession, sources: DataFrame, n_slots: int) -> DataFrame
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 7, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """id, source, size, source_size, target and taken (words the mix takes of the document, repeats counted) for every row of docs."""
     spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count(exact(text_col), F.lit(_WORDS)), F.lit(0)).cast("long")
+    size = F.coalesce(F.regexp_count(exact(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
     sized = staged(docs.select(exact(id_col).alias("id"), exact(source_col).alias("source"), size.alias("size")), "mix-sizes")
     targets = source_targets(sized, weights, max_epochs)
     rows = sized.groupBy("source").agg(F.count("*").alias("rows"))

@@ -37,6 +37,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_digest(documents(spark, sf_dir))
 
 
+def op6_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.near_dedup import near_digest
+
+    return near_digest(documents(spark, sf_dir))
+
+
 def op7_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.substring_dedup import substring_digest
 
@@ -61,5 +67,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_chat_masks, op3_source_mix, op4_merkle_fingerprints, op5_suffix_dedup, op7_superkmer_dedup, op8_histogram_shards, op9_preference_quality, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_chat_masks, op3_source_mix, op4_merkle_fingerprints, op5_suffix_dedup, op6_bottom_k_near_dedup, op7_superkmer_dedup, op8_histogram_shards, op9_preference_quality, op10_decontaminate)}
 ORACLES: dict[str, str] = {}

@@ -36,7 +36,6 @@ TABLE = 1_000_000
 FILE_BYTES = 64 << 20
 _HEAD = struct.Struct("<qBB")
 _INDEX = "part int, record long, doc_id long, offset long, n_bytes long, n_tokens long"
-_READ = "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 #: Bytes that can follow the space before which a text may be cut: not white space, nor the first byte of any.
 _AFTER = np.ones(256, bool)
 _AFTER[[*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
@@ -209,9 +208,9 @@ def read_tokens(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame
 
     def read(batches):
         for batch in batches:
-            for part in batch.column(0).to_pylist():
+            for part, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, path = _files.store(f"{folder}/part-{part:05d}.rec")
-                done, left = 0, b""
+                done, left = base, b""
                 with fs.open_input_stream(path) as stream:
                     while data := stream.read(4 << 20):
                         body, a, b, used = _records.unframe(left + data)
@@ -225,15 +224,12 @@ def read_tokens(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame
                             crc.append(zlib.crc32(tokens.astype("<u4")))
                             done += len(tokens)
                         if ids:
-                            yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(first, pa.int64()), pa.array(count, pa.int64()), pa.array(crc, pa.int64())], ["part", "doc_id", "local_start", "n_tokens", "ids_crc32"])
+                            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, first, count, crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
                 if left:
                     raise ValueError("a record file ends within a record")
 
-    schema = "part int, base long"
-    bases = spark.createDataFrame(starts, schema)
-    files = bases.select("part").repartition(max(1, len(starts))) if len(starts) > 1 else bases.select("part")
-    got = files.mapInArrow(read, _READ)
-    return got.join(bases, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    files = spark.createDataFrame(starts, "part int, base long").repartition(max(1, len(starts)))
+    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_shuffled(spark: SparkSession, folder: str, index: DataFrame, seed: int = 0) -> DataFrame:
