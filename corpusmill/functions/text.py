@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def _trim(x: Column, of: str) -> Column:
     return F.btrim(x, F.lit(of))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often a lambda inside body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lines(text: Column) -> Column:
     """Lines as an array: split at line feeds, a carriage return before each dropped, no empty line after a last line feed."""
     parts = F.split(text, "\n", -1)
@@ -27,8 +34,8 @@ def lines(text: Column) -> Column:
 
 def normalize_ws(text: Column) -> Column:
     """Each line trimmed, runs of blank lines made one, the whole trimmed; spaces within lines stay."""
-    a = F.transform(F.split(text, "\n", -1), lambda x: _trim(x, LINE_SPACE))
-    kept = F.filter(a, lambda x, i: (x != "") | (i == 0) | (F.try_element_at(a, i) != ""))
+    trimmed = F.transform(F.split(text, "\n", -1), lambda x: _trim(x, LINE_SPACE))
+    kept = _let(trimmed, lambda a: F.filter(a, lambda x, i: (x != "") | (i == 0) | (F.get(a, i - 1) != "")))
     return _trim(F.array_join(kept, "\n"), TEXT_SPACE)
 
 
@@ -41,15 +48,14 @@ def drop_boilerplate(text: Column) -> Column:
 
     The short lines' counts come from one sorted pass over the text's own lines, so a text of n lines costs n log n.
     """
-    raw = F.split(text, "\n", -1)
-    short = F.array_sort(F.filter(F.transform(raw, lambda x: _trim(x, LINE_SPACE)), lambda t: (t != "") & (F.octet_length(t) <= BOILERPLATE_BYTES)))
-    often = F.array_distinct(F.filter(short, lambda x, i: (F.try_element_at(short, i + BOILERPLATE_TIMES) == x)))
+    short = F.array_sort(F.filter(F.transform(F.split(text, "\n", -1), lambda x: _trim(x, LINE_SPACE)), lambda t: (t != "") & (F.octet_length(t) <= BOILERPLATE_BYTES)))
+    often = _let(short, lambda a: F.array_distinct(F.filter(a, lambda x, i: F.coalesce(F.get(a, i + BOILERPLATE_TIMES - 1) == x, F.lit(False)))))
 
-    def keep(x):
+    def keep(x, found):
         t = _trim(x, LINE_SPACE)
-        return (t == "") | t.startswith("# ") | ~(F.lower(t).rlike(PAGE_NUMBER) | F.coalesce(F.array_contains(often, t), F.lit(False)))
+        return (t == "") | t.startswith("# ") | ~(F.lower(t).rlike(PAGE_NUMBER) | F.array_contains(found, t))
 
-    return F.array_join(F.filter(raw, keep), "\n")
+    return _let(often, lambda found: F.array_join(F.filter(F.split(text, "\n", -1), lambda x: keep(x, found)), "\n"))
 
 
 def clean(text: Column) -> Column:
@@ -100,8 +106,7 @@ def join_row(cells: Column) -> Column:
     """map of column to value as one tab-joined row up to the last column; nothing but empty cells: ''."""
     last = F.array_max(F.map_keys(cells))
     row = F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at(cells, i), F.lit("")))
-    full = F.exists(row, lambda x: x != "")
-    return F.when(full, F.array_join(row, "\t")).otherwise(F.lit(""))
+    return _let(row, lambda r: F.when(F.exists(r, lambda x: x != ""), F.array_join(r, "\t")).otherwise(F.lit("")))
 
 
 def file_name(path: Column) -> Column:

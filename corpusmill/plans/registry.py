@@ -118,13 +118,13 @@ def files_inspected(spark, sf_dir):
     return search.files_inspected(documents(spark, sf_dir))
 
 
-@query(f"""select doc_id, line, lpad(line::varchar, greatest(6, length(line::varchar)), ' ') || chr(9) || text as rendered from ({_lines_sql(_DOCS, 'doc_id')}) where line between 2 and 9""")
+@query(f"""select doc_id, line, lpad(line::varchar, greatest(6, length(line::varchar))::int, ' ') || chr(9) || text as rendered from ({_lines_sql(_DOCS, 'doc_id')}) where line between 2 and 9""")
 def read_lines(spark, sf_dir):
     return reading.read_lines(documents(spark, sf_dir), 2, 9, keys=("doc_id",))
 
 
 @query(f"""select doc_id, line, rendered from (select *, sum(strlen(rendered) + 1) over (partition by doc_id order by line) as n from
-(select doc_id, line, lpad(line::varchar, greatest(6, length(line::varchar)), ' ') || chr(9) || text as rendered from ({_lines_sql(_DOCS, 'doc_id')}))) where n <= 2000""")
+(select doc_id, line, lpad(line::varchar, greatest(6, length(line::varchar))::int, ' ') || chr(9) || text as rendered from ({_lines_sql(_DOCS, 'doc_id')}))) where n <= 2000""")
 def read_budget(spark, sf_dir):
     return reading.read_lines(documents(spark, sf_dir), max_bytes=2000, keys=("doc_id",))
 
@@ -168,8 +168,8 @@ def excerpt(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
 
 
-_SUMMARY = r"""case when at > 0 and strlen(left(one, at)) - 1 <= 120 then left(one, at) else left(one, 120) end"""
-_SUMMARY_OF = r"""select *, case when regexp_matches(one, '[.!?] ') then length(regexp_extract(one, '^(.*?[.!?]) ', 1)) else 0 end as at from
+_SUMMARY = r"""case when stop > 0 and strlen(left(one, stop)) - 1 <= 120 then left(one, stop) else left(one, 120) end"""
+_SUMMARY_OF = r"""select *, case when regexp_matches(one, '[.!?] ') then length(regexp_extract(one, '^(.*?[.!?]) ', 1)) else 0 end as stop from
 (select *, regexp_replace(coalesce(list_filter({trimmed}, lambda t: t <> '' and not starts_with(t, '# '))[1], ''), '\s+', ' ', 'g') as one from ({source}))"""
 
 
@@ -375,8 +375,8 @@ def compact_cut(spark, sf_dir):
 @query(f"""with m as (select *, row_number() over (partition by conv_id order by turn) - 1 as idx from ({_M})),
 u as (select conv_id, idx as cut, row_number() over (partition by conv_id order by idx desc) as back from m where role = 'user' and idx > 0),
 k as (select m.*, u.cut from m left join (select * from u where back = 1) u using (conv_id)),
-a as (select conv_id, idx::double as at, role, text from k where cut is null or idx = 0 or idx >= cut union all select distinct conv_id, 0.5, 'system', 'summary of ' || conv_id from k where cut is not null)
-select conv_id, row_number() over (partition by conv_id order by at) - 1 as turn, role, text from a""")
+a as (select conv_id, idx::double as spot, role, text from k where cut is null or idx = 0 or idx >= cut union all select distinct conv_id, 0.5, 'system', 'summary of ' || conv_id from k where cut is not null)
+select conv_id, row_number() over (partition by conv_id order by spot) - 1 as turn, role, text from a""")
 def compact(spark, sf_dir):
     m = messages(spark, sf_dir).select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     said = m.select("conv_id").distinct().withColumn("text", F.concat(F.lit("summary of "), F.col("conv_id").cast("string")))
@@ -458,9 +458,10 @@ def template_expand(spark, sf_dir):
 
 
 @query(f"""select conv_id, turn, case when n < 1000 then n::varchar else printf('%.1fk', n / 1000.0) end as tokens, case when s < 10 then printf('%.1fs', s) else printf('%.0fs', s) end as elapsed, repeat('█', (least(30, n * 30 // 5000))::int) || repeat('░', (30 - least(30, n * 30 // 5000))::int) as bar
-from (select *, strlen(text) * 7 as n, strlen(text) / 40.0::double as s from ({_M}))""")
+from (select *, (strlen(text) // 10 * 100 + 20) as n, (strlen(text) // 4 * 2 + 1) / 40.0::double as s from ({_M}))""")
 def format_figures(spark, sf_dir):
-    m = messages(spark, sf_dir).withColumn("n", F.octet_length(F.coalesce("text", F.lit(""))).cast("long") * 7).withColumn("s", F.octet_length(F.coalesce("text", F.lit(""))) / F.lit(40.0))
+    m = messages(spark, sf_dir).withColumn("b", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
+    m = m.withColumn("n", F.floor(F.col("b") / 10) * 100 + 20).withColumn("s", (F.floor(F.col("b") / 4) * 2 + 1) / F.lit(40.0))
     return m.select("conv_id", "turn", T.format_count(F.col("n")).alias("tokens"), T.format_elapsed(F.col("s")).alias("elapsed"), T.context_bar(F.col("n"), F.lit(5000)).alias("bar"))
 
 
