@@ -7,9 +7,12 @@ packed string costs two lookups and one multiplication, whatever its length.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -102,7 +105,14 @@ def pack(texts) -> tuple[np.ndarray, np.ndarray]:
     return body[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def parts(offsets: np.ndarray, most: int = 1 << 20):
+def release() -> None:
+    """Gives freed memory back to the system: workers are kept and would hold on to their peaks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def parts(offsets: np.ndarray, most: int = 1 << 19):
     """Ranges [a, b) of documents of about `most` bytes each; a longer document stands alone."""
     a, n = 0, len(offsets) - 1
     while a < n:

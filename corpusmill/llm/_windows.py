@@ -101,7 +101,7 @@ class Part:
 def _pieces(kind: Kind, table: pa.Table, inner: bool = False):
     """Parts of a group with the range of rows that each covers."""
     buf, offsets = _kernel.pack(table.column("text"))
-    for a, b in _kernel.parts(offsets):
+    for a, b in _kernel.parts(offsets, 1 << 20):
         yield a, b, Part(kind, buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], inner)
 
 

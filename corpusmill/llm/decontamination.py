@@ -202,6 +202,7 @@ def _map(rows: DataFrame, automaton: Automaton, text_at: int, schema: str) -> Da
                 items.append(sorted(names))
             new = [pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(items, pa.list_(pa.string())), pa.array(n_words, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "_spans", "_items", "_n_words"])
+            _kernel.release()
 
     return rows.mapInArrow(run, schema)
 
@@ -271,6 +272,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
             columns = list(batch.columns)
             columns[at] = pa.array(out, texts.type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+            _kernel.release()
 
     return docs.mapInArrow(run, schema)
 

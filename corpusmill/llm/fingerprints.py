@@ -155,6 +155,7 @@ def _follow(batches):
                 rows, size = rows[-1:], 0
     if (out := _emit(rows)) is not None:
         yield out
+    _kernel.release()
 
 
 def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,11 +5,14 @@
 2. Inverted lists of retained values give overlaps. A pair at the threshold shares at least `SHARED` of its values but
    for a chance of under 1e-6, so, with values in order of rarity, it shares one of each side's rarest K - SHARED + 1:
    only these are listed, and a class that shares fewer with all others has no list.
-3. In each list and band of sizes, every member meets the least (the star's centre) of its own band and the next smaller.
-   The union sketch's estimate filters the pairs, the exact Jaccard on full sets verifies them, and links give components.
-4. What is left are pairs in one list whose classes are still in different components. Short lists are joined with
-   themselves; long ones are dealt in blocks of members to tasks that compare sketches. Both go through filter
-   and verification as before, so no pair within a list is passed over unless it is connected already.
+3. Lists of at most `SHORT_LIST` classes give all their pairs (so a class never has more than that from a list); the union
+   sketch's estimate filters them, and the exact Jaccard on full sets verifies what is left.
+4. Longer lists (a common passage, many copies) would give pairs with the square of their length. Their members' whole sets are
+   listed anew under rare shingles, by the same rule but exact: a document of which too much is its own has no list. Each
+   member meets the hub of its list and band of sizes, the one with the least of its own, and links give components. Pairs still in
+   different components are compared on whole sets in blocks of a list, unless what they can share at most rules them
+   out; only links leave the task.
+5. Components of all links; the least id of each stays.
 
 Hot lists and classes are only ever aggregated, joined (which Spark splits) or cut in blocks.
 
@@ -34,7 +37,7 @@ from corpusmill.llm._common import exact, shuffle_partitions, staged
 from corpusmill.llm.components import components
 
 K, SHARED, SHINGLE = 48, 20, 5
-#: Lists of at most so many members are joined with themselves; longer ones are compared in blocks of BLOCK.
+#: Lists of at most so many members give all their pairs; longer ones are compared in blocks of BLOCK.
 SHORT_LIST, BLOCK = 24, 512
 _NULL_ID = (1 << 63) - 1
 
@@ -68,6 +71,7 @@ def sketches(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 least.append(s[:K].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64()))], ["id", "n", "key", "sketch"])
+            _kernel.release()
 
     return rows.select("id", "text").mapInArrow(run, "id long, n long, key binary, sketch array<long>")
 
@@ -83,14 +87,6 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
     return shared.where(F.col("rank") <= F.col("m") - least + 1).select("v", "id", "n")
 
 
-def _stars(lists: DataFrame) -> DataFrame:
-    """Pairs of each member with the centres of its own band of sizes and the next smaller, in each list."""
-    banded = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))))
-    centres = banded.groupBy("v", "band").agg(F.min(F.struct("n", "id")).alias("c"))
-    near = banded.select("v", "id", "n", F.explode(F.array("band", F.col("band") - 1)).alias("band"))
-    return near.join(centres, ["v", "band"]).select("id", "n", F.col("c.id").alias("other"), F.col("c.n").alias("other_n"))
-
-
 def _pairs(found: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs a < b whose sizes allow the similarity."""
     sizes = (F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent) & (F.col("id") != F.col("other"))
@@ -135,38 +131,105 @@ def _verified(pairs: DataFrame, rows: DataFrame, percent: int, shingle: int) ->
                     i = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(i * 100 >= (len(x) + len(y) - i) * percent)
             yield pa.RecordBatch.from_arrays([a, b], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            _kernel.release()
 
     exact_links = joined.select("a", "b", "t_a", "t_b").mapInArrow(run, "u long, v long")
     return pairs.where("sure").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(exact_links)
 
 
-def _block_pairs(long_lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components in long lists: blocks of members meet in tasks, which emit only pairs that the sketches allow."""
-    rows = long_lists.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    rows = rows.select("v", "id", "n", "comp", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-    rows = rows.select("v", "id", "n", "comp", "i", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
-    rows = rows.join(classes.select("id", "sketch"), "id")
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, n, comp, block = (table.column(c).to_numpy() for c in ("id", "n", "comp", "i"))
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        sketch = table.column("sketch").combine_chunks()
-        sizes = np.diff(sketch.offsets.to_numpy())
-        _, value = np.unique(sketch.flatten().to_numpy(), return_inverse=True)
-        row = np.repeat(np.arange(len(ids)), sizes)
-        shared = np.zeros((len(ids), len(ids)), np.float32)
-        for at in range(0, int(value.max(initial=-1)) + 1, 4096):
-            inside = (value >= at) & (value < at + 4096)
-            has = np.zeros((len(ids), 4096), np.float32)
-            has[row[inside], value[inside] - at] = 1
-            shared += has @ has.T
-        least = np.maximum(1, np.minimum(sizes[:, None], sizes) * SHARED // K)
-        fits = (np.minimum(n[:, None], n) * 100 >= np.maximum(n[:, None], n) * percent) & (comp[:, None] != comp) & (shared >= least)
-        fits &= (ids[:, None] < ids) if x == y else (block[:, None] == x) & (block[None] == y)
-        p, q = np.nonzero(fits)
-        return pa.table({"a": np.minimum(ids[p], ids[q]), "b": np.maximum(ids[p], ids[q])})
-
-    return rows.groupBy("v", "x", "y").applyInArrow(run, "a long, b long").distinct()
+def _whole_sets(rows: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """id, v: every shingle hash of the documents with these ids."""
+    texts = rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+    def run(batches):
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(1), shingle))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["id", "shingles"])
+            _kernel.release()
+
+    return texts.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+
+
+def _exact_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """v, id, n, s: each document under its rarest shingles, as far as any document that is similar enough must share one.
+
+    n is the size of the set, s how many of it any other of these documents has. A document that shares too little with all has no list.
+    """
+    entries = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
+    common = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    shared = entries.join(common, "v")
+    own = Window.partitionBy("id")  # one document's set
+    shared = shared.withColumn("rank", F.row_number().over(own.orderBy("df", "v"))).withColumn("s", F.count("*").over(own))
+    return shared.where(F.col("rank") <= F.col("s") - F.ceil(F.col("n") * percent / 100) + 1).select("v", "id", "n", "s")
+
+
+def _may_link(n, s, other_n, other_s, percent: int):
+    """Whether what both can share at most would make them similar enough."""
+    most = F.least(s, other_s)
+    return most * 100 >= (n + other_n - most) * percent
+
+
+def _hubs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of each member with the hub of its list and band of sizes and of the bands beside: the one with the least that no other has."""
+    banded = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))))
+    hubs = banded.groupBy("v", "band").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("s").alias("other_s"))).alias("h")).select("v", "band", "h.*")
+    near = banded.select("v", "id", "n", "s", F.explode(F.array("band", F.col("band") - 1, F.col("band") + 1)).alias("band"))
+    met = near.join(hubs, ["v", "band"]).where(_may_link(F.col("n"), F.col("s"), F.col("other_n"), F.col("other_s"), percent))
+    return met.where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _block_links(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links u, v across components in exact lists with members in several: blocks of members meet in tasks, which compare whole sets and emit links only."""
+    placed = lists.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    placed = staged(placed, "placed-whole")
+    mixed = placed.groupBy("v").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v", "m")
+    rows = placed.join(mixed, "v").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    rows = rows.select("v", "id", "n", "s", "comp", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+    rows = rows.select("v", "id", "n", "s", "comp", "i", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
+    rows = rows.join(sets, "id")
+
+    def compare(group: list[tuple]) -> list[tuple[int, int]]:
+        ids, n, s, comp, block, arrays = (list(x) for x in zip(*group, strict=True))
+        n, s, comp, block = (np.array(x) for x in (n, s, comp, block))
+        most = np.minimum(s[:, None], s)
+        open_ = (comp[:, None] != comp) & (most * 100 >= (n[:, None] + n - most) * percent)
+        if block.min() != block.max():
+            open_ &= block[:, None] < block
+        else:
+            open_ = np.triu(open_, 1)
+        out = []
+        if not open_.any():
+            return out
+        sets_ = [np.asarray(x) for x in arrays]
+        flat, edges = np.concatenate(sets_), np.concatenate(([0], np.cumsum([len(x) for x in sets_])))
+        for p in np.flatnonzero(open_.any(1)).tolist():
+            shared = np.add.reduceat(np.isin(flat, sets_[p]).astype(np.int64), edges[:-1])
+            linked = open_[p] & (shared * 100 >= (n[p] + n - shared) * percent)
+            out += [(ids[p], ids[q]) for q in np.flatnonzero(linked).tolist()]
+        return out
+
+    def run(batches):
+        key, group = None, []
+
+        def done():
+            links = compare(group) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            v, x, y = (batch.column(c).to_pylist() for c in range(3))
+            rest = [batch.column(c).to_pylist() for c in range(3, 8)]
+            arrays = batch.column(8)
+            for k in range(batch.num_rows):
+                if key != (v[k], x[k], y[k]):
+                    if group:
+                        yield done()
+                    key, group = (v[k], x[k], y[k]), []
+                group.append((*(c[k] for c in rest), arrays[k].values.to_numpy()))
+        if group:
+            yield done()
+
+    rows = rows.repartition(shuffle_partitions(rows.sparkSession), "v", "x", "y").sortWithinPartitions("v", "x", "y")
+    return rows.select("v", "x", "y", "id", "n", "s", "comp", "i", "shingles").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_components(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,20 +239,21 @@ def near_components(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     some = sets.where("n > 0")
     classes = staged(some.groupBy("key").agg(F.min(F.struct("id", "n", "sketch")).alias("c")).select("key", "c.id", "c.n", "c.sketch"), "classes")
     lists = staged(inverted_lists(classes), "lists")
-    stars = staged(_estimated(_pairs(_stars(lists), percent), classes, percent), "star-pairs")
-    links = staged(_verified(stars, rows, percent, shingle), "links")
-    found = components(links)
-    # lists with members in several components
-    placed = lists.join(found.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "n", F.coalesce("component", "id").alias("comp"))
-    placed = staged(placed, "placed")
-    mixed = placed.groupBy("v").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v", "m")
-    mixed = staged(placed.join(mixed, "v"), "mixed-lists")
-    short = mixed.where(F.col("m") <= SHORT_LIST).select("v", "id", "n", "comp")
-    other = short.select("v", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
-    met = short.join(other, "v").where("id < other and comp <> other_comp")
-    more = staged(_pairs(met, percent).unionByName(_block_pairs(mixed.where(F.col("m") > SHORT_LIST), classes, percent)).distinct(), "met-pairs")
-    more = staged(_estimated(more, classes, percent), "more-pairs").join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.unionByName(staged(_verified(more, rows, percent, shingle), "links"))
+    lengths = lists.groupBy("v").agg(F.count("*").alias("m"))
+    sized = staged(lists.join(lengths.where("m > 1"), "v"), "sized-lists")
+    # short lists: all their pairs, estimated on the sketches, then verified
+    short = sized.where(F.col("m") <= SHORT_LIST)
+    other = short.select("v", F.col("id").alias("other"), F.col("n").alias("other_n"))
+    pairs = staged(_pairs(short.join(other, "v").where("id < other"), percent), "pairs")
+    estimated = staged(_estimated(pairs, classes, percent), "estimated")
+    # long lists: their members' whole sets, listed anew under rare shingles
+    members = sized.where(F.col("m") > SHORT_LIST).select("id").distinct()
+    sets_of = staged(_whole_sets(rows, members, shingle), "whole-sets")
+    whole = staged(_exact_lists(sets_of, percent), "whole-lists")
+    hubs = _hubs(whole, percent).withColumn("sure", F.lit(False)).join(estimated.select("a", "b"), ["a", "b"], "left_anti")
+    links = staged(_verified(estimated.unionByName(staged(hubs, "hub-pairs")), rows, percent, shingle), "links")
+    found = staged(components(links), "components")
+    links = links.unionByName(staged(_block_links(whole, found, sets_of, percent), "links"))
     found = components(links)
     named = classes.select("key", F.col("id").alias("rep"))
     out = sets.select("id", "n", "key").join(named, "key", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import _kernel
 from corpusmill.llm._common import exact
 
-MAX_LABELLED, MAX_PAIRS = 20_000, 60_000
+MAX_LABELLED, MAX_PAIRS = 20_000, 30_000
 _KNOTS = (0.0, 0.02, 0.1, 0.3, 0.5, 0.7, 0.9, 0.98, 1.0)
 
 
@@ -136,11 +136,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         for batch in batches:
             x = statistics(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
+            _kernel.release()
 
     got = rows.select("id", "text", "y").mapInArrow(measure, "id long, y int, x array<double>").limit(2 * MAX_LABELLED).toPandas()
-    got = got.assign(k=[tuple(v) for v in got["x"]]).sort_values(["id", "y", "k"])
-    x = np.array(got["x"].tolist()) if len(got) else np.zeros((0, 10 + _CLASSES.shape[1]))
-    return train(x, got["y"].to_numpy(np.int64))
+    x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, 10 + _CLASSES.shape[1]))
+    order = np.lexsort((*x.T, got["y"].to_numpy(), got["id"].to_numpy()))  # the same at every run
+    return train(x[order], got["y"].to_numpy(np.int64)[order])
 
 
 def held_out(id_column: Column) -> Column:
@@ -168,6 +169,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
         for batch in batches:
             keep = model.scores(statistics(batch.column(at))) >= 0.5
             yield batch.filter(pa.array(keep, pa.bool_()))
+            _kernel.release()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -180,6 +182,7 @@ def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             s = model.scores(statistics(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            _kernel.release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

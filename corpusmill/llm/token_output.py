@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
                 out = _files.Whole(f"{folder}/part-{part:05d}.rec")
             buf, offsets = _kernel.pack(batch.column(1))
             doc_ids = batch.column(0).to_pylist()
-            for a, b in _kernel.parts(offsets):
+            for a, b in _kernel.parts(offsets, 1 << 20):
                 ids, ranges = encode.encode(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 body, at, counts = _payloads(ids, ranges, doc_ids[a:b], end_id)
                 data, starts = _records.frame(body, at)
@@ -187,6 +187,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
                 n = b - a
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(record, record + n)), pa.array(doc_ids[a:b], pa.int64()), pa.array(offset + starts[:-1]), pa.array(np.diff(starts)), pa.array(counts)], ["part", "record", "doc_id", "offset", "n_bytes", "n_tokens"])
                 record, offset = record + n, offset + len(data)
+            _kernel.release()
         if out is not None:
             out.close()
 
