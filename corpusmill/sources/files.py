@@ -106,7 +106,7 @@ def binary_files(spark: SparkSession, root: str, max_bytes: int | None = None, g
     df = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
     if max_bytes is not None:
         df = df.where(F.col("length") <= max_bytes)
-    base = F.lit(root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/")
+    base = root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
     return df.select(F.substring_index(F.col("path"), base, -1).alias("path"), "content", F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"))
 
 
