@@ -40,6 +40,8 @@ K, SHARED, SHINGLE = 48, 20, 5
 #: Lists of at most so many members give all their pairs; longer ones are compared in blocks of BLOCK.
 SHORT_LIST, BLOCK = 24, 512
 _NULL_ID = (1 << 63) - 1
+#: Ids that are broadcast at most (32 MB); more are joined by a shuffle of the texts.
+FEW_IDS = 4_000_000
 
 
 def shingle_sets(texts, shingle: int = SHINGLE):
@@ -107,11 +109,18 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return p.where(F.when(F.col("sure"), linked).otherwise(F.col("matches") * K >= F.col("of") * SHARED)).select("a", "b", "sure")
 
 
+def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the rows with these ids, each id once."""
+    ids = staged(ids, "ids")
+    few = ids.count() <= FEW_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Links u, v: the pairs that are sure, and those whose full sets are similar enough."""
     open_ = pairs.where(~F.col("sure")).select("a", "b")
     members = open_.select(F.col("a").alias("id")).unionByName(open_.select(F.col("b").alias("id"))).distinct()
-    texts = rows.join(members, "id", "left_semi").dropDuplicates(["id"])
+    texts = _texts(rows, members)
     joined = open_.join(texts.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("t_a")), "a")
 
     def run(batches):
@@ -139,7 +148,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, percent: int, shingle: int) ->
 
 def _whole_sets(rows: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """id, v: every shingle hash of the documents with these ids."""
-    texts = rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = _texts(rows, ids)
 
     def run(batches):
         for batch in batches:
@@ -182,7 +191,9 @@ def _block_links(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: i
     """Links u, v across components in exact lists with members in several: blocks of members meet in tasks, which compare whole sets and emit links only."""
     placed = lists.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     placed = staged(placed, "placed-whole")
-    mixed = placed.groupBy("v").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v", "m")
+    mixed = placed.groupBy("v").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("members_2"))
+    # lists of the same members stand for each other
+    mixed = mixed.where("x <> y").groupBy("m", "members", "members_2").agg(F.min("v").alias("v")).select("v", "m")
     rows = placed.join(mixed, "v").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     rows = rows.select("v", "id", "n", "s", "comp", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
     rows = rows.select("v", "id", "n", "s", "comp", "i", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
@@ -250,8 +261,9 @@ def near_components(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     members = sized.where(F.col("m") > SHORT_LIST).select("id").distinct()
     sets_of = staged(_whole_sets(rows, members, shingle), "whole-sets")
     whole = staged(_exact_lists(sets_of, percent), "whole-lists")
-    hubs = _hubs(whole, percent).withColumn("sure", F.lit(False)).join(estimated.select("a", "b"), ["a", "b"], "left_anti")
-    links = staged(_verified(estimated.unionByName(staged(hubs, "hub-pairs")), rows, percent, shingle), "links")
+    hubs = staged(_hubs(whole, percent).join(pairs, ["a", "b"], "left_anti"), "hub-pairs")
+    estimated = estimated.unionByName(staged(_estimated(hubs, classes, percent), "estimated-hubs"))
+    links = staged(_verified(estimated, rows, percent, shingle), "links")
     found = staged(components(links), "components")
     links = links.unionByName(staged(_block_links(whole, found, sets_of, percent), "links"))
     found = components(links)
