@@ -7,11 +7,12 @@
    only these are listed, and a class that shares fewer with all others has no list.
 3. Lists of at most `SHORT_LIST` classes give all their pairs (so a class never has more than that from a list); the union
    sketch's estimate filters them, and the exact Jaccard on full sets verifies what is left.
-4. Longer lists (a common passage, many copies) would give pairs with the square of their length. Their members' whole sets are
-   listed anew under rare shingles, by the same rule but exact: a document of which too much is its own has no list. Each
-   member meets the hub of its list and band of sizes, the one with the least of its own, and links give components. Pairs still in
-   different components are compared on whole sets in blocks of a list, unless what they can share at most rules them
-   out; only links leave the task.
+4. Longer lists (a common passage, many copies) would give pairs with the square of their length. Their members are listed
+   anew under the `LEAST` least hashes of their whole sets (a pair at the threshold shares none of them with a chance of 6e-8), but
+   for documents of which too much is their own to be linked at all. Each member meets the hub of its list and band of
+   sizes, the one with the least of its own; the estimate and the verification follow as before, and links give components.
+   Pairs still in different components are compared on whole sets, once, in blocks of a list, unless what they can
+   share at most rules them out; only links leave the task.
 5. Components of all links; the least id of each stays.
 
 Hot lists and classes are only ever aggregated, joined (which Spark splits) or cut in blocks.
@@ -39,6 +40,8 @@ from corpusmill.llm.components import components
 K, SHARED, SHINGLE = 48, 20, 5
 #: Lists of at most so many members give all their pairs; longer ones are compared in blocks of BLOCK.
 SHORT_LIST, BLOCK = 24, 512
+#: Whole sets of members of long lists meet under so many least hashes; a pair at the threshold shares none with a chance of 0.25**12.
+LEAST = 12
 _NULL_ID = (1 << 63) - 1
 #: Ids that are broadcast at most (32 MB); more are joined by a shuffle of the texts.
 FEW_IDS = 4_000_000
@@ -159,17 +162,17 @@ def _whole_sets(rows: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
-def _exact_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """v, id, n, s: each document under its rarest shingles, as far as any document that is similar enough must share one.
+def _least_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """v, id, n, s, keys: each document under the LEAST least hashes (keys) of its whole set.
 
-    n is the size of the set, s how many of it any other of these documents has. A document that shares too little with all has no list.
+    n is the size of the set, s how many of it any other of these documents has; a document that shares too little
+    with all the others has no list.
     """
-    entries = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
-    common = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = entries.join(common, "v")
-    own = Window.partitionBy("id")  # one document's set
-    shared = shared.withColumn("rank", F.row_number().over(own.orderBy("df", "v"))).withColumn("s", F.count("*").over(own))
-    return shared.where(F.col("rank") <= F.col("s") - F.ceil(F.col("n") * percent / 100) + 1).select("v", "id", "n", "s")
+    entries = sets.select("id", F.explode("shingles").alias("v"))
+    alone = entries.groupBy("v").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1").groupBy("id").agg(F.count("*").alias("own"))
+    sized = sets.select("id", F.size("shingles").cast("long").alias("n"), F.slice("shingles", 1, LEAST).alias("keys")).join(alone, "id", "left")
+    sized = sized.withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("s") * 100 >= F.col("n") * percent)
+    return sized.select(F.explode("keys").alias("v"), "id", "n", "s", "keys")
 
 
 def _may_link(n, s, other_n, other_s, percent: int):
@@ -188,19 +191,19 @@ def _hubs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_links(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links u, v across components in exact lists with members in several: blocks of members meet in tasks, which compare whole sets and emit links only."""
+    """Links u, v across components in lists with members in several: blocks of members meet in tasks, which compare whole sets and emit links only."""
     placed = lists.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     placed = staged(placed, "placed-whole")
     mixed = placed.groupBy("v").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("members_2"))
     # lists of the same members stand for each other
     mixed = mixed.where("x <> y").groupBy("m", "members", "members_2").agg(F.min("v").alias("v")).select("v", "m")
     rows = placed.join(mixed, "v").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    rows = rows.select("v", "id", "n", "s", "comp", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-    rows = rows.select("v", "id", "n", "s", "comp", "i", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
+    rows = rows.select("v", "id", "n", "s", "keys", "comp", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+    rows = rows.select("v", "id", "n", "s", "keys", "comp", "i", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
     rows = rows.join(sets, "id")
 
-    def compare(group: list[tuple]) -> list[tuple[int, int]]:
-        ids, n, s, comp, block, arrays = (list(x) for x in zip(*group, strict=True))
+    def compare(key: int, group: list[tuple]) -> list[tuple[int, int]]:
+        ids, n, s, comp, block, keys, arrays = (list(x) for x in zip(*group, strict=True))
         n, s, comp, block = (np.array(x) for x in (n, s, comp, block))
         most = np.minimum(s[:, None], s)
         open_ = (comp[:, None] != comp) & (most * 100 >= (n[:, None] + n - most) * percent)
@@ -208,6 +211,10 @@ def _block_links(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: i
             open_ &= block[:, None] < block
         else:
             open_ = np.triu(open_, 1)
+        least, ends = np.concatenate(keys), np.concatenate(([0], np.cumsum([len(x) for x in keys])))
+        for p in np.flatnonzero(open_.any(1)).tolist():  # a pair is compared under its first common key only
+            if len(lower := keys[p][keys[p] < key]):
+                open_[p] &= np.add.reduceat(np.isin(least, lower).astype(np.int64), ends[:-1]) == 0
         out = []
         if not open_.any():
             return out
@@ -223,24 +230,24 @@ def _block_links(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: i
         key, group = None, []
 
         def done():
-            links = compare(group) if len(group) > 1 else []
+            links = compare(key[0], group) if len(group) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], ["u", "v"])
 
         for batch in batches:
             v, x, y = (batch.column(c).to_pylist() for c in range(3))
             rest = [batch.column(c).to_pylist() for c in range(3, 8)]
-            arrays = batch.column(8)
+            keys, arrays = batch.column(8), batch.column(9)
             for k in range(batch.num_rows):
                 if key != (v[k], x[k], y[k]):
                     if group:
                         yield done()
                     key, group = (v[k], x[k], y[k]), []
-                group.append((*(c[k] for c in rest), arrays[k].values.to_numpy()))
+                group.append((*(c[k] for c in rest), keys[k].values.to_numpy(), arrays[k].values.to_numpy()))
         if group:
             yield done()
 
     rows = rows.repartition(shuffle_partitions(rows.sparkSession), "v", "x", "y").sortWithinPartitions("v", "x", "y")
-    return rows.select("v", "x", "y", "id", "n", "s", "comp", "i", "shingles").mapInArrow(run, "u long, v long").distinct()
+    return rows.select("v", "x", "y", "id", "n", "s", "comp", "i", "keys", "shingles").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_components(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,7 +267,7 @@ def near_components(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     # long lists: their members' whole sets, listed anew under rare shingles
     members = sized.where(F.col("m") > SHORT_LIST).select("id").distinct()
     sets_of = staged(_whole_sets(rows, members, shingle), "whole-sets")
-    whole = staged(_exact_lists(sets_of, percent), "whole-lists")
+    whole = staged(_least_lists(sets_of, percent), "whole-lists")
     hubs = staged(_hubs(whole, percent).join(pairs, ["a", "b"], "left_anti"), "hub-pairs")
     estimated = estimated.unionByName(staged(_estimated(hubs, classes, percent), "estimated-hubs"))
     links = staged(_verified(estimated, rows, percent, shingle), "links")
