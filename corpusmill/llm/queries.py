@@ -68,4 +68,61 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_records, op2_chat_masks, op3_source_mix, op4_merkle_fingerprints, op5_suffix_dedup, op6_bottom_k_near_dedup, op7_superkmer_dedup, op8_histogram_shards, op9_preference_quality, op10_decontaminate)}
-ORACLES: dict[str, str] = {}
+
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+#: SQL for DuckDB over whole tables. op1 (a tokenizer), op4 (fingerprints of our own), op8 (a hash of Spark's) and op9 (a learnt
+#: model) have none; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op2_chat_masks": r"""with m as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+ union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|turn|><|text|><|end|>') as n from m)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars, sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256,
+sum(n)::bigint as formatted_chars from e group by conv_id""",
+    "op3_source_mix": rf"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, {_WORD})), 0)::bigint as size, md5('7:' || coalesce(doc_id::varchar, 'null')) as h from documents),
+t as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as s from d group by source),
+w as (select *, [1, 2, 3][s % 3 + 1] as weight, 3 * source_size as capacity, (sum(source_size) over ())::bigint as total from t),
+f as (select *, row_number() over (order by capacity / weight, s) as r,
+ (total - coalesce(sum(capacity) over (order by capacity / weight, s rows between unbounded preceding and 1 preceding), 0))::double / (sum(weight) over (order by capacity / weight, s rows between current row and unbounded following))::double as level from w),
+o as (select *, level * weight <= capacity as open from f),
+k as (select min(r) as r, arg_min(level, r) as level from o where open),
+g as (select o.source, o.source_size, case when o.r >= k.r then k.level * o.weight else o.capacity::double end as target from o, k),
+x as (select *, least(floor(target)::bigint, 3 * source_size) as take from g),
+y as (select d.doc_id, d.size, x.source_size, x.target, x.take, case when x.source_size > 0 then x.take // x.source_size else 0 end as epochs,
+ coalesce(sum(d.size) over (partition by d.source order by d.h, d.size rows between unbounded preceding and 1 preceding), 0) as a from d join x on d.source is not distinct from x.source)
+select doc_id, size, source_size, target, (epochs * size + greatest(0, least(a + size, take - epochs * source_size) - a))::bigint as taken from y""",
+    "op5_suffix_dedup": """with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n from documents),
+p as (select doc_id, n, i, substr(x, 2 * i + 1, 2) as byte, case when i + 50 <= n then substr(x, 2 * i + 1, 100) end as win from d, unnest(range(n)) u(i)),
+q as (select doc_id, i, byte, win is not null and min(doc_id) over (partition by win) < doc_id as again from p),
+r as (select doc_id, i, byte, max(again::int) over (partition by doc_id order by i rows between 49 preceding and current row) as gone from q),
+s as (select *, gone = 1 and coalesce(lag(gone) over (partition by doc_id order by i), 0) = 0 as opens from r),
+a as (select doc_id, sum(gone)::bigint as n_removed, count(*) filter (where opens) as n_spans, string_agg(byte, '' order by i) filter (where gone = 0) as kept from s group by doc_id)
+select d.doc_id, d.n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from d left join a using (doc_id)""",
+    "op6_bottom_k_near_dedup": rf"""with recursive d as (select doc_id, regexp_extract_all({_FOLD}, {_WORD}) as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g from d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) u(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y using (g) where x.doc_id < y.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select a, b from e union select r.a, e.b from r join e on e.a = r.b)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) as component_id, d.doc_id <= coalesce(min(r.b), d.doc_id) as kept
+from d left join n using (doc_id) left join r on r.a = d.doc_id group by d.doc_id, n.n""",
+    "op7_superkmer_dedup": rf"""with d as (select doc_id, coalesce(regexp_extract_all(text, {_WORD}), []) as w from documents),
+p as (select doc_id, i, w[i] as word, case when i + 34 <= len(w) then array_to_string(w[i:i + 34], ' ') end as win from d, unnest(range(1, len(w) + 1)) u(i)),
+q as (select doc_id, i, word, win is not null and count(*) over (partition by win) > 1 as again from p),
+r as (select doc_id, i, word, max(again::int) over (partition by doc_id order by i rows between 34 preceding and current row) as gone from q),
+a as (select doc_id, sum(gone)::bigint as n_removed, string_agg(word, ' ' order by i) filter (where gone = 0) as kept from r group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join a using (doc_id)""",
+    "op10_decontaminate": rf"""with t as (select 'd' as k, doc_id as id, {_FOLD} as x from documents union all select 'b', item_id, {_FOLD} from benchmark),
+d as (select k, id, regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from t),
+b as (select id, w, least(13, len(w)) as n from d where k = 'b' and len(w) > 0),
+bw as (select distinct id, n, array_to_string(w[i:i + n - 1], ' ') as win from b, unnest(range(1, len(w) - n + 2)) u(i)),
+dw as (select d.id, n, i, array_to_string(w[i:i + n - 1], ' ') as win from d, (select distinct n from b), unnest(range(1, len(w) - n + 2)) u(i) where k = 'd'),
+h as (select distinct dw.id, dw.n, dw.i from dw join bw using (n, win)),
+c as (select id, count(distinct i + j) as n_hit from h, unnest(range(n)) u(j) group by id),
+m as (select dw.id, list_sort(list(distinct bw.id::varchar)) as items from dw join bw using (n, win) group by dw.id)
+select d.id as doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256,
+coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated from d left join c using (id) left join m using (id) where d.k = 'd'""",
+}
