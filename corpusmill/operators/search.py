@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,15 +50,57 @@ def search_document(chunks: DataFrame, path: str, query: list[float], top_k: int
     return one.select("chunk_index", "section", "tokens", "similarity", T.summary(F.col("text")).alias("summary")).orderBy(F.desc("similarity"), "chunk_index").limit(max(1, min(10, top_k)))
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: int = 10, group_col: str | None = None) -> DataFrame:
+QUERY_BLOCK = 4096
+
+
+def _nearest(batches, names: list, queries: np.ndarray, k: int):
+    """For batches of (id, embedding): each query's k best of the whole partition, ties by id."""
+    best = [(np.empty(0), np.empty(0, np.int64)) for _ in names]
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+        fits = sizes == queries.shape[1]  # other lengths have score 0
+        scores = np.zeros((len(names), len(ids)))
+        if fits.any():
+            vectors = batch.column(1).filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, queries.shape[1])
+            scores[:, fits] = queries @ vectors.T
+        for q, row in enumerate(scores):
+            if len(row) > k:
+                keep = np.flatnonzero(row >= np.partition(row, -k)[-k])
+                row, own = row[keep], ids[keep]
+            else:
+                own = ids
+            row, own = np.concatenate([best[q][0], row]), np.concatenate([best[q][1], own])
+            order = np.lexsort((own, -row))[:k]
+            best[q] = row[order], own[order]
+    n = [len(s) for s, _ in best]
+    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(names)), n).astype(np.int32)), pa.array(np.concatenate([i for _, i in best]).astype(np.int64)), pa.array(np.concatenate([s for s, _ in best]))], ["q", "id", "score"])
+
+
+def batch_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: int = 10) -> DataFrame:
     """For each query (query_col, q: its vector) the k nearest of vectors (id_col, embedding): query_col, id_col, score, rank.
 
-    The queries are a bounded stated set, met block-wise by every partition; Spark keeps k rows a query and partition before the shuffle.
+    The queries are a stated set, taken in blocks of QUERY_BLOCK; each partition scores its vectors against a block with one
+    matrix product a batch and keeps k rows a query, so that only those are shuffled.
     """
-    pairs = vectors.crossJoin(F.broadcast(queries)) if queries.count() <= 10_000 else vectors.crossJoin(queries)
-    scored = pairs.select(query_col, id_col, V.dot(F.col("embedding"), F.col("q")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("score"), id_col))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    found, block = None, []
+
+    def add(found, block):
+        names, matrix = [r[0] for r in block], np.array([r[1] for r in block], np.float64)
+        rows = vectors.select(F.col(id_col).cast("long"), "embedding").mapInArrow(lambda b: _nearest(b, names, matrix, k), "q int, id long, score double")
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+        top = rows.withColumn("rank", rank).where(F.col("rank") <= k)
+        key = vectors.sparkSession.createDataFrame(list(enumerate(names)), f"q int, `{query_col}` {queries.schema[query_col].dataType.simpleString()}")
+        out = top.join(key, "q").select(query_col, F.col("id").alias(id_col), "score", "rank")
+        return out if found is None else found.unionByName(out)
+
+    for row in queries.select(query_col, "q").toLocalIterator():
+        block.append(row)
+        if len(block) == QUERY_BLOCK:
+            found, block = add(found, block), []
+    if block or found is None:
+        found = add(found, block) if block else vectors.limit(0).select(F.lit(None).cast("long").alias(query_col), F.col(id_col).cast("long"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    return found
 
 
 def auto_context(chunks: DataFrame, query: list[float], top_k: int = 5, min_score: float = 0.2, exclude: DataFrame | None = None) -> DataFrame:

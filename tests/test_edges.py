@@ -66,3 +66,14 @@ def test_fetch():
     assert fetch("https://b/").endswith("[text cut]") and len(fetch("https://b/")) < 33000
     assert fetch("https://c/").startswith("HTTP 404\nError") and "only https" in fetch("https://d/") and "redirects" in fetch("https://e/")
     assert "not a public host" in fetch("https://a/", lambda host: ["10.0.0.1"]) and fetch("ftp://a/").startswith("Error")
+
+
+def test_batch_top_k_in_blocks(spark, monkeypatch):
+    from corpusmill.operators import search
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    vectors = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(20)] + [(99, [1.0]), (98, None)], "id long, embedding array<float>")
+    queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "qid long, q array<float>")
+    got = search.batch_top_k(vectors, queries, "id", "qid", 3).collect()
+    assert sorted((r.qid, r.rank, r.id) for r in got) == [(q, k + 1, i) for q in range(5) for k, i in enumerate((2, 5, 8))]
+    assert search.batch_top_k(vectors, queries.limit(0), "id", "qid").count() == 0
