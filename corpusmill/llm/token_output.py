@@ -8,7 +8,7 @@ doc_id (int64), a flag byte (1: the id is null), the width of an id in bytes (2
 Encoding works on fragments: the tokenizer's pre-tokenizer always ends a piece before a single
 space that follows a non-space and precedes a byte that can't begin white space, between an ASCII letter
 and most punctuation or a line feed, and around a single line feed, so a text's ids are its fragments' ids in a row. Each distinct fragment is encoded by the tokenizers library once
-in a worker's table (`TABLE` fragments at most, then the table starts anew), and recognised by two
+in a worker's table (`TABLE` fragments at most, then the later half is forgotten), and recognised by two
 independent 64-bit hashes.
 
 Defined cases: a null or empty text has only the end id; repeated rows give a record each; rows
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import _files, _kernel, _records
 from corpusmill.llm._common import exact, new_folder, shuffle_partitions, staged, volume
 
-TABLE = 1_000_000
+TABLE = 1_500_000
 FILE_BYTES = 64 << 20
 _HEAD = struct.Struct("<qBB")
 _INDEX = "part int, record long, doc_id long, offset long, n_bytes long, n_tokens long"
@@ -65,6 +65,22 @@ class FragmentEncoder:
         self.levels: list[list[np.ndarray]] = []  # keys in order, checks, place and size in the pool; each level at least twice as long as the next
         self.pool, self.used = np.empty(1 << 20, np.uint16 if self.width == 2 else np.uint32), 0
 
+    def _shrink(self) -> None:
+        """Forgets all but the longest level, where the common fragments are, and that too if it alone fills half the table."""
+        keep = self.levels[0]
+        if len(keep[0]) > TABLE // 2:
+            order = np.argsort(keep[2], kind="stable")[: TABLE // 2]  # those learnt first
+            order.sort()
+            keep = [x[order] for x in keep]
+        if not len(keep[0]):
+            self.clear()
+            return
+        item, place = _kernel.ragged(keep[3])
+        pool = self.pool[keep[2][item] + place]
+        self.clear()
+        self.pool, self.used = np.concatenate([pool, self.pool]), len(pool)
+        self.levels = [[keep[0], keep[1], np.cumsum(keep[3]) - keep[3], keep[3]]]
+
     def _learn(self, texts: list[bytes], keys: np.ndarray, checks: np.ndarray) -> None:
         """Encodes new fragments; keys are in order."""
         ids, size = self._encode_all(texts)
@@ -133,8 +149,9 @@ class FragmentEncoder:
             raise ValueError("two fragments share a hash")
         at, size, found = self._find(unique, checks[first])
         if not found.all():
-            if self.levels and sum(len(x[0]) for x in self.levels) + len(unique) > TABLE:
-                self.clear()
+            known = sum(len(x[0]) for x in self.levels)
+            if known > TABLE // 2 and known + len(unique) > TABLE:
+                self._shrink()
                 return self.encode(buf, offsets)
             new = first[~found]
             texts = [buf[a:b].tobytes() for a, b in zip(edges[new].tolist(), edges[new + 1].tolist(), strict=True)]

@@ -3,16 +3,19 @@ import random
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
-from corpusmill.llm import _kernel, _records
+from corpusmill.llm import _kernel, _records, token_output
 from corpusmill.llm.token_output import FragmentEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ATOMS = [" ", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", " ", " ", "　", "\u0085", "a", "the", "The", "don't", "'s", "'", "12", ".", ",", "!?", "|", "<|endoftext|>", "<|", "|>", "é", "ñandú", "ß", "日本", "😀", "_", "$x", "(b)", '"q"', "#", "%", "&", "*"]
 
 
-def test_fragments_encode_like_whole_texts():
+@pytest.mark.parametrize("table", [1_000_000, 60, 1])
+def test_fragments_encode_like_whole_texts(monkeypatch, table):
+    monkeypatch.setattr(token_output, "TABLE", table)
     rng = random.Random(5)
     whole, encoder = Tokenizer.from_file(PATH), FragmentEncoder(PATH)
     for _ in range(300):
