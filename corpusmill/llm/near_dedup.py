@@ -185,6 +185,7 @@ def _hubs(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs a < b of each member with the hub of its list and band of sizes and of the bands beside: the one with the least that no other has."""
     banded = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))))
     hubs = banded.groupBy("v", "band").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("s").alias("other_s"))).alias("h")).select("v", "band", "h.*")
+    hubs = staged(hubs, "hubs")  # a table of its own, so that Spark can split the join of a long list
     near = banded.select("v", "id", "n", "s", F.explode(F.array("band", F.col("band") - 1, F.col("band") + 1)).alias("band"))
     met = near.join(hubs, ["v", "band"]).where(_may_link(F.col("n"), F.col("s"), F.col("other_n"), F.col("other_s"), percent))
     return met.where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
