@@ -32,6 +32,19 @@ def files_inspected(corpus: DataFrame, max_bytes: int = 2 << 20) -> DataFrame:
     return corpus.where(F.octet_length("text") <= max_bytes).agg(F.count("*").alias("files_inspected"))
 
 
+def first_files(files: DataFrame, most: int = 200) -> DataFrame:
+    """The first files in walk order."""
+    return files.orderBy(T.walk_key(F.col("path"))).limit(most)
+
+
+def chunk_cap(files: DataFrame, most: int = 5000) -> DataFrame:
+    """files (path, n_chunks) with chunks, in walk order, as long as those before have no more than `most` chunks together."""
+    # each has a chunk at least, so no more than most + 1 can stay, and the window sees a bounded number of rows
+    ahead = first_files(files.where("n_chunks > 0"), most + 1)
+    w = Window.orderBy(T.walk_key(F.col("path"))).rowsBetween(Window.unboundedPreceding, -1)
+    return ahead.withColumn("_before", F.coalesce(F.sum("n_chunks").over(w), F.lit(0))).where(F.col("_before") <= most).drop("_before")
+
+
 def _scored(chunks: DataFrame, query: list[float], score: str = "score") -> DataFrame:
     return chunks.withColumn(score, V.dot(F.col("embedding"), V.literal(query)))
 

@@ -520,6 +520,11 @@ def dfs_order_limit(spark, sf_dir):
     return paths(spark, sf_dir).select("path").orderBy(T.walk_key(F.col("path"))).limit(200)
 
 
+@query(f"select path, n_chunks from (select path, n_chars // 1000 + 1 as n_chunks, coalesce(sum(n_chars // 1000 + 1) over (order by string_split(path, '/') rows between unbounded preceding and 1 preceding), 0) as n from ({_PATHS})) where n <= 500")
+def chunk_cap(spark, sf_dir):
+    return search.chunk_cap(paths(spark, sf_dir).select("path", (F.floor(F.col("size") / 1000) + 1).alias("n_chunks")), 500)
+
+
 @query(f"select path from ({_PATHS}) where contains(lower(path), 'doc1') order by string_split(path, '/') limit 500")
 def search_name(spark, sf_dir):
     return listing.search_name(paths(spark, sf_dir), "DOC1").select("path")
