@@ -10,6 +10,9 @@ Documents are dealt once to groups of a few MB by a hash of the row. All passes
 3. A bucket answers each group with a value for each window of its strings: how often the window occurs, or the least id
    of the documents that have it. The group applies the values to all its places with that string.
 
+Where the least id counts, later copies of a whole text are found first, by the text's hash, and take no part in the passes: their
+windows are all the earlier one's too.
+
 So a passage in a third of all documents costs each group one string, and no task holds more than one group of
 documents, or one bucket (a hash share of the repeated strings).
 """
@@ -21,17 +24,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import _kernel
-from corpusmill.llm._common import exact, shuffle_partitions, volume
+from corpusmill.llm._common import exact, shuffle_partitions, staged, volume
 
 GROUP_BYTES = 8 << 20
 #: A run of windows with one minimiser is cut after so many, so that periodic texts travel in short strings.
 LONGEST_RUN = 2048
 LOW = -(1 << 63)
 _U32 = np.uint64(0xFFFFFFFF)
+#: Bucket that stands for the rows of whole copies among a group's answers.
+_COPIES = -1
 _REQUEST = "bucket int, pid int, keys binary, again binary"
 _ANSWER = "pid int, bucket int, c binary, n binary, length binary, value binary"
 _STRINGS = "bucket int, pid int, c binary, low binary, again binary, n_windows binary, n_bytes binary, body binary"
@@ -129,8 +135,20 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _request(kind: Kind, buckets: int) -> Callable[[pa.Table], pa.Table]:
-    def run(table: pa.Table) -> pa.Table:
+def _without_copies(table: pa.Table, copies: pa.Table) -> pa.Table:
+    """The group's rows less those whose text an earlier document has whole: they tell nothing new of any window."""
+    known = copies.filter(pc.equal(copies.column("bucket"), _COPIES)) if copies.num_rows else copies
+    if not known.num_rows:
+        return table
+    gone = np.concatenate([np.frombuffer(x, np.int64) for x in known.column("c").to_pylist()])
+    return table.filter(pa.array(~np.isin(table.column("row").to_numpy(), gone)))
+
+
+def _request(kind: Kind, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(table: pa.Table, copies: pa.Table) -> pa.Table:
+        table = _without_copies(table, copies)
+        if not table.num_rows:
+            return _table(_REQUEST, [])
         pid = table.column("pid")[0].as_py()
         found = [x for _, _, part in _pieces(kind, table, True) for x in (_places(part.minimiser, buckets), _places(part.minimiser[part.twice], buckets))]
         keys, counts = np.unique(np.concatenate(found), return_counts=True)
@@ -157,6 +175,8 @@ def _find_again(table: pa.Table) -> pa.Table:
 
 def _send_strings(kind: Kind, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = _without_copies(table, answers)
+        answers = answers.filter(pc.not_equal(answers.column("bucket"), _COPIES))
         if not table.num_rows or not answers.num_rows:
             return _table(_STRINGS, [])
         pid, ids = table.column("pid")[0].as_py(), _ids(table)
@@ -307,6 +327,9 @@ def _apply(kind: Kind, finish, schema: str) -> Callable[[pa.Table, pa.Table], pa
         if not table.num_rows:
             return _table(schema, [])
         ids, null = _ids(table), table.column("doc_id").is_null().to_pylist()
+        rows_ = table.column("row").to_numpy()
+        copy = ~np.isin(rows_, _without_copies(table, answers).column("row").to_numpy())
+        answers = answers.filter(pc.not_equal(answers.column("bucket"), _COPIES)) if answers.num_rows else answers
         c, first, n, length, value = _values(answers)
         rows = []
         for a, b, part in _pieces(kind, table):
@@ -328,6 +351,8 @@ def _apply(kind: Kind, finish, schema: str) -> Callable[[pa.Table, pa.Table], pa
             removed = _kernel.cover(hit, kind.window, total) if len(hit) else np.zeros(total, bool)
             for j in range(b - a):
                 x, y = int(part.first[j]), int(part.first[j + 1])
+                if copy[a + j] and y - x >= kind.window:
+                    removed[x:y] = True
                 rows.append((None if null[a + j] else int(ids[a + j]), *finish(part, x, y, removed[x:y])))
         return _table(schema, rows)
 
@@ -340,9 +365,30 @@ def judge(docs: DataFrame, kind: Kind, finish, schema: str, id_col: str = "doc_i
     rows = docs.select(exact(id_col).cast("long").alias("doc_id"), exact(text_col).alias("text"))
     partitions = shuffle_partitions(spark)
     groups = max(partitions, -(-volume(rows, "text") // GROUP_BYTES))
-    dealt = rows.withColumn("pid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).repartition(partitions, "pid")
-    requests = dealt.groupBy("pid").applyInArrow(_request(kind, groups), _REQUEST)
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("pid", F.pmod("row", F.lit(groups)).cast("int"))
+    dealt = rows.repartition(partitions, "pid")
+    copies = _whole_copies(rows, kind)
+    with_copies = lambda answers: (answers if copies is None else answers.unionByName(copies)).groupBy("pid")
+    none = spark.createDataFrame([], _ANSWER)
+    requests = dealt.groupBy("pid").cogroup((none if copies is None else copies).groupBy("pid")).applyInArrow(_request(kind, groups), _REQUEST)
     again = requests.groupBy("bucket").applyInArrow(_find_again, _ANSWER)
-    strings = dealt.groupBy("pid").cogroup(again.groupBy("pid")).applyInArrow(_send_strings(kind, groups), _STRINGS)
+    strings = dealt.groupBy("pid").cogroup(with_copies(again)).applyInArrow(_send_strings(kind, groups), _STRINGS)
     answers = strings.groupBy("bucket").applyInArrow(_answer_windows(kind), _ANSWER)
-    return dealt.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_apply(kind, finish, schema), schema)
+    return dealt.groupBy("pid").cogroup(with_copies(answers)).applyInArrow(_apply(kind, finish, schema), schema)
+
+
+def _whole_copies(rows: DataFrame, kind: Kind) -> DataFrame | None:
+    """Where least ids count: to each group those of its rows whose whole text a document with a smaller id has, by the text's SHA-256.
+
+    Where occurrences count, every copy counts, so there are none.
+    """
+    if kind.counted:
+        return None
+    named = staged(rows.select("pid", "row", F.coalesce("doc_id", F.lit(LOW)).alias("id"), F.sha2("text", 256).alias("h")).where("h is not null"), "text-names")
+    first = named.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "first")
+    later = named.join(first, "h").where("id > first").select("pid", "row")
+
+    def pack(table: pa.Table) -> pa.Table:
+        return _table(_ANSWER, [(table.column("pid")[0].as_py(), _COPIES, table.column("row").to_numpy().astype(np.int64).tobytes(), b"", b"", b"")])
+
+    return staged(later.groupBy("pid").applyInArrow(pack, _ANSWER), "whole-copies")

@@ -136,6 +136,13 @@ def brute_words(rows, n):
     return out
 
 
+def test_copies_share_an_id_with_another_text(spark):
+    text, other = "the first text is here and is long", "another text of that length, all its own"
+    rows = [(1, text), (2, text), (2, other), (2, text), (3, other[:30] + "x"), (None, other)]
+    got = suffix_dedup.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 20, 6).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == Counter(brute_bytes(rows, 20).values())
+
+
 def small_corpus(seed):
     rng = random.Random(seed)
     pieces = [" ".join(rng.choice("ab cé d") for _ in range(rng.randint(1, 40))) for _ in range(8)]
