@@ -12,15 +12,12 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        set_before = spark.sparkContext.getCheckpointDir()
-        if not set_before:
-            set_before = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-            spark.sparkContext.setCheckpointDir(set_before)
-            set_before = spark.sparkContext.getCheckpointDir()
-        at = set_before
-    return at if ":" in at.split("/")[0] else f"file://{at}"
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpusmill-"))
+        at = spark.sparkContext.getCheckpointDir()
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
