@@ -386,6 +386,7 @@ def _whole_copies(rows: DataFrame, kind: Kind) -> DataFrame | None:
         return None
     named = staged(rows.select("pid", "row", F.coalesce("doc_id", F.lit(LOW)).alias("id"), F.sha2("text", 256).alias("h")).where("h is not null"), "text-names")
     first = named.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "first")
+    first = staged(first, "first-copies")  # a table of its own, so that Spark can split the join of many copies
     later = named.join(first, "h").where("id > first").select("pid", "row")
 
     def pack(table: pa.Table) -> pa.Table:
