@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
 from pathlib import Path
 from typing import Protocol
 
@@ -11,8 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PUNCTUATION = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-_WHITE = set(" \t\n\r")
+_KNOWN_WORDS = 200_000
 _TYPES = {"F32": "<f4", "F16": "<f2", "F64": "<f8"}
 
 
@@ -55,19 +56,8 @@ class HashEmbedder:
         return unit(out) if self.normalize else out
 
 
-def split_words(text: str) -> list[str]:
-    """Words by space, tab and line ends; each ASCII punctuation mark alone."""
-    out, word = [], []
-    for c in text:
-        if c in _WHITE or c in _PUNCTUATION:
-            if word:
-                out.append("".join(word))
-                word = []
-            if c in _PUNCTUATION:
-                out.append(c)
-        else:
-            word.append(c)
-    return [*out, "".join(word)] if word else out
+#: Words by space, tab and line ends; each ASCII punctuation mark alone.
+split_words = re.compile(r"[!-/:-@\[-`{-~]|[^ \t\n\r!-/:-@\[-`{-~]+").findall
 
 
 class WordPiece:
@@ -77,6 +67,7 @@ class WordPiece:
         self.vocabulary, self.prefix, self.max_chars, self.lowercase = vocabulary, prefix, max_chars, lowercase
         self.unknown = vocabulary.get(unknown, 0)
         self.longest = max(map(len, vocabulary), default=0)
+        self.known: dict[str, list[int]] = {}
 
     @classmethod
     def load(cls, path: str | Path) -> WordPiece:
@@ -100,7 +91,13 @@ class WordPiece:
         return ids
 
     def ids(self, text: str) -> list[int]:
-        return [i for w in split_words(text.lower() if self.lowercase else text) for i in self.word(w)]
+        words = split_words(text.lower() if self.lowercase else text)
+        known = self.known
+        if len(known) > _KNOWN_WORDS:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = self.word(w)
+        return list(itertools.chain.from_iterable(map(known.__getitem__, words)))
 
 
 def read_safetensors(path: str | Path) -> dict[str, np.ndarray]:
@@ -138,7 +135,8 @@ class StaticModel:
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.vectors.shape[1]), np.float64)
         for i, text in enumerate(texts):
-            ids = [j for j in self.tokenizer.ids(text) if 0 <= j < len(self.vectors)]
-            if ids:
+            ids = np.array(self.tokenizer.ids(text), np.int64)
+            ids = ids[(ids >= 0) & (ids < len(self.vectors))]
+            if len(ids):
                 out[i] = self.vectors[ids].astype(np.float64).sum(0) / len(ids)
         return unit(out.astype(np.float32)) if self.normalize else out.astype(np.float32)

@@ -328,15 +328,16 @@ _VOCABULARY = ", ".join(f"('{w}', {i})" for w, i in _word_vocabulary()[0].items(
 @query(f"""with v(token, id) as (values {_VOCABULARY}),
 w as (select doc_id, unnest(regexp_extract_all(lower(text), '[!-/:-@\\[-`{{-~]|[^ \\t\\n\\r!-/:-@\\[-`{{-~]+')) as token from ({_DOCS})),
 x as (select doc_id, coalesce(id, 0) as id from w left join v using (token))
-select doc_id, round(avg((id * 7) % 11 - 5), 4) as v0, round(avg((id * 7 + 3) % 11 - 5), 4) as v1, round(avg((id * 7 + 6) % 11 - 5), 4) as v2, round(avg((id * 7 + 9) % 11 - 5), 4) as v3 from x group by doc_id""")
+select doc_id, sum((id * 7) % 11 - 5)::bigint as s0, sum((id * 7 + 3) % 11 - 5)::bigint as s1, sum((id * 7 + 6) % 11 - 5)::bigint as s2, sum((id * 7 + 9) % 11 - 5)::bigint as s3 from x group by doc_id""")
 def embed_mean_pool(spark, sf_dir):
     vocabulary, vectors = _word_vocabulary()
     import numpy as np
 
     model = E.StaticModel(E.WordPiece(vocabulary, prefix="\x00"), np.array(vectors, np.float32), normalize=False)
     d = documents(spark, sf_dir).where(F.size(T.basic_split(F.col("text"))) > 0)
-    e = d.select("doc_id", E.column(model, F.col("text")).alias("e"))
-    return e.select("doc_id", *[F.round(F.col("e")[i].cast("double"), 4).alias(f"v{i}") for i in range(4)])
+    e = d.select("doc_id", F.size(T.basic_split(F.col("text"))).alias("n"), E.column(model, F.col("text")).alias("e"))
+    # means times words are whole sums, which no rounding can part
+    return e.select("doc_id", *[F.round(F.col("e")[i].cast("double") * F.col("n")).cast("long").alias(f"s{i}") for i in range(4)])
 
 
 # --- conversations ------------------------------------------------------------------------------------------------------
