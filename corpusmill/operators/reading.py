@@ -56,17 +56,22 @@ def extract_chunks(corpus: DataFrame, max_tokens: int = chunking.MAX_TOKENS, cle
     return chunking.chunk_rows(corpus.withColumn("text", text), "text", max_tokens)
 
 
-def read_document(corpus: DataFrame, path: str, max_tokens: int = chunking.MAX_TOKENS, clean: bool = True) -> DataFrame:
-    """The text in one row if its tokens are few enough, else a row for each chunk with its summary: path, cleaned, tokens, text, chunk_index, total, section, summary."""
-    one = corpus.where(F.col("path") == path).withColumn("text", T.clean(F.col("text")) if clean else T.normalize_ws(F.col("text")))
-    one = one.withColumn("tokens", T.estimate_tokens(F.col("text")))
+def read_documents(corpus: DataFrame, max_tokens: int = chunking.MAX_TOKENS, clean: bool = True) -> DataFrame:
+    """Each text in one row if its tokens are few enough, else a row for each chunk with its summary: path, cleaned, tokens, text, chunk_index, total, section, summary."""
+    each = corpus.withColumn("text", T.clean(F.col("text")) if clean else T.normalize_ws(F.col("text")))
+    each = each.withColumn("tokens", T.estimate_tokens(F.col("text")))
     shown = F.when(F.col("text") == "", "(no extractable text)").otherwise(F.col("text"))
     none = {"chunk_index": "int", "total": "int", "section": "string", "summary": "string"}
-    short = one.where(F.col("tokens") <= max_tokens).select("path", F.lit(clean).alias("cleaned"), "tokens", shown.alias("text"), *[F.lit(None).cast(k).alias(c) for c, k in none.items()])
-    long = manifest(chunking.chunk_rows(one.where(F.col("tokens") > max_tokens).select("path", "text"), "text", max_tokens))
+    short = each.where(F.col("tokens") <= max_tokens).select("path", F.lit(clean).alias("cleaned"), "tokens", shown.alias("text"), *[F.lit(None).cast(k).alias(c) for c, k in none.items()])
+    long = manifest(chunking.chunk_rows(each.where(F.col("tokens") > max_tokens).select("path", "text"), "text", max_tokens))
     return short.unionByName(long.select("path", F.lit(clean).alias("cleaned"), "tokens", F.lit(None).cast("string").alias("text"), *none))
 
 
+def read_document(corpus: DataFrame, path: str, max_tokens: int = chunking.MAX_TOKENS, clean: bool = True) -> DataFrame:
+    """read_documents of one path."""
+    return read_documents(corpus.where(F.col("path") == path), max_tokens, clean)
+
+
 def get_chunk(chunks: DataFrame, path: str, index: int) -> DataFrame:
     return chunks.where((F.col("path") == path) & (F.col("chunk_index") == index))
 

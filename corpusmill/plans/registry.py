@@ -195,28 +195,32 @@ def hash_name(spark, sf_dir):
 
 # --- chunks -------------------------------------------------------------------------------------------------------------
 
-#: Both greedy folds as recursive queries: lines into pieces of at most 200 tokens, pieces into chunks of one section.
-_CHUNKS = f"""with recursive c as ({_CLEAN_COMPOSED}),
+def _chunks_sql(source: str, most: int) -> str:
+    """Both greedy folds as recursive queries: lines into pieces of at most so many tokens, pieces into chunks of one section."""
+    return f"""with recursive c as ({source}),
 l as (select path, i, line, trim(line, ' ' || chr(9) || chr(13) || chr(10) || chr(11) || chr(12)) as t from c, unnest(string_split(c.text, chr(10))) with ordinality u(line, i)),
 m as (select *, starts_with(t, '# ') as head, t = '' or starts_with(t, '# ') as cut from l),
 g as (select *, sum(cut::int) over (partition by path order by i) as seg, last_value(case when head then trim(t[3:]) end ignore nulls) over (partition by path order by i) as sec from m),
 p as (select path, seg, coalesce(any_value(sec), '') as sec, trim(string_agg(line, chr(10) order by i), ' ' || chr(9) || chr(13) || chr(10) || chr(11) || chr(12)) as text from g where not cut group by path, seg),
 w as (select path, seg, sec, text, case when length(text) // 4 = 0 then 1 else length(text) // 4 end as tok from p),
-sl as (select path, seg, sec, j, line, case when length(line) // 4 = 0 and trim(line) <> '' then 1 else length(line) // 4 end as lt from w, unnest(string_split(w.text, chr(10))) with ordinality u(line, j) where tok > 200),
+sl as (select path, seg, sec, j, line, case when length(line) // 4 = 0 and trim(line) <> '' then 1 else length(line) // 4 end as lt from w, unnest(string_split(w.text, chr(10))) with ordinality u(line, j) where tok > {most}),
 r1 as (select path, seg, sec, j, line, lt, lt as cum, 1 as piece from sl where j = 1
- union all select s.path, s.seg, s.sec, s.j, s.line, s.lt, case when s.lt > 200 or r1.lt > 200 or (r1.cum > 0 and r1.cum + s.lt > 200) then s.lt else r1.cum + s.lt end,
- r1.piece + case when s.lt > 200 or r1.lt > 200 or (r1.cum > 0 and r1.cum + s.lt > 200) then 1 else 0 end from r1 join sl s on s.path = r1.path and s.seg = r1.seg and s.j = r1.j + 1),
-pc as (select path, seg, sec, piece, 0 as sub, string_agg(line, chr(10) order by j) as text from r1 where lt <= 200 group by path, seg, sec, piece
- union all select path, seg, sec, piece, k as sub, substr(line, (k * 800 + 1)::bigint, 800) from r1, unnest(range((length(line) + 799) // 800)) u(k) where lt > 200
- union all select path, seg, sec, 0, 0, text from w where tok <= 200),
+ union all select s.path, s.seg, s.sec, s.j, s.line, s.lt, case when s.lt > {most} or r1.lt > {most} or (r1.cum > 0 and r1.cum + s.lt > {most}) then s.lt else r1.cum + s.lt end,
+ r1.piece + case when s.lt > {most} or r1.lt > {most} or (r1.cum > 0 and r1.cum + s.lt > {most}) then 1 else 0 end from r1 join sl s on s.path = r1.path and s.seg = r1.seg and s.j = r1.j + 1),
+pc as (select path, seg, sec, piece, 0 as sub, string_agg(line, chr(10) order by j) as text from r1 where lt <= {most} group by path, seg, sec, piece
+ union all select path, seg, sec, piece, k as sub, substr(line, (k * {4 * most} + 1)::bigint, {4 * most}) from r1, unnest(range((length(line) + {4 * most - 1}) // {4 * most})) u(k) where lt > {most}
+ union all select path, seg, sec, 0, 0, text from w where tok <= {most}),
 s as (select path, sec, text, row_number() over (partition by path order by seg, piece, sub) as i, case when length(text) // 4 = 0 and trim(text) <> '' then 1 else length(text) // 4 end as t from pc where text <> ''),
 r as (select path, i, sec, text, t as cum, 1 as ch from s where i = 1
- union all select s.path, s.i, s.sec, s.text, case when s.sec <> r.sec or r.cum + s.t > 200 then s.t else r.cum + s.t end,
- r.ch + case when s.sec <> r.sec or r.cum + s.t > 200 then 1 else 0 end from r join s on s.path = r.path and s.i = r.i + 1),
+ union all select s.path, s.i, s.sec, s.text, case when s.sec <> r.sec or r.cum + s.t > {most} then s.t else r.cum + s.t end,
+ r.ch + case when s.sec <> r.sec or r.cum + s.t > {most} then 1 else 0 end from r join s on s.path = r.path and s.i = r.i + 1),
 k as (select path, ch as chunk_index, any_value(sec) as section, trim(string_agg(text, chr(10) || chr(10) order by i), ' ' || chr(9) || chr(13) || chr(10) || chr(11) || chr(12)) as text from r group by path, ch),
 chunks as (select path, chunk_index::int as chunk_index, (count(*) over (partition by path))::int as total, section, ({_TOKENS})::bigint as tokens, text from k)"""
 
 
+_CHUNKS = _chunks_sql(_CLEAN_COMPOSED, 200)
+
+
 def _chunks(spark, sf_dir, max_tokens=200):
     return reading.extract_chunks(composed(spark, sf_dir), max_tokens)
 
@@ -244,10 +248,19 @@ def byte_ranges(spark, sf_dir):
 
 @query(f"""select path, true as cleaned, tokens, case when text = '' then '(no extractable text)' else text end as text from (select path, text, ({_TOKENS})::bigint as tokens from ({_CLEAN.format(source=_PATHS)})) where tokens <= 2000 and path like '%/doc%7.TXT'""")
 def read_document(spark, sf_dir):
-    d = paths(spark, sf_dir).join(documents(spark, sf_dir), "doc_id").where(F.col("path").like("%/doc%7.TXT")).select("path", "text")
-    text = T.clean(F.col("text"))
-    d = d.withColumn("text", text).withColumn("tokens", T.estimate_tokens(F.col("text"))).where(F.col("tokens") <= chunking.MAX_TOKENS)
-    return d.select("path", F.lit(True).alias("cleaned"), "tokens", F.when(F.col("text") == "", "(no extractable text)").otherwise(F.col("text")).alias("text"))
+    d = paths(spark, sf_dir).join(documents(spark, sf_dir), "doc_id").where(F.col("path").like("%/doc%7.TXT"))
+    return reading.read_documents(d.select("path", "text")).where("chunk_index is null").select("path", "cleaned", "tokens", "text")
+
+
+#: Every document's cleaned text; a text of which cleaning leaves nothing is an empty one.
+_CLEANED = f"""select p.path, coalesce(c.text, '') as text from ({_PATHS}) p left join ({_CLEAN.format(source=_PATHS)}) c using (path)"""
+
+
+@query(_chunks_sql(f"select path, text from ({_CLEANED}) where ({_TOKENS}) > 2000", 2000) + f""" select path, true as cleaned, ({_TOKENS})::bigint as tokens, case when text = '' then '(no extractable text)' else text end as text, null::int as chunk_index, null::int as total, null::varchar as section, null::varchar as summary from ({_CLEANED}) where ({_TOKENS}) <= 2000
+union all select path, true, tokens, null, chunk_index, total, section, {_SUMMARY} from ({_SUMMARY_OF.format(trimmed=_TRIMMED, source='chunks')})""")
+def read_documents(spark, sf_dir):
+    """read_document of every document: texts, and manifests of the long ones."""
+    return reading.read_documents(paths(spark, sf_dir).join(documents(spark, sf_dir), "doc_id").select("path", "text"))
 
 
 # --- vectors and semantic search ----------------------------------------------------------------------------------------
