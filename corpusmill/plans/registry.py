@@ -529,6 +529,13 @@ def natural_sort(spark, sf_dir):
     return top.select("path", F.row_number().over(Window.orderBy(F.split("path", "/")[0], F.split("path", "/")[1], T.natural_key(F.col("name")))).cast("long").alias("rank"))
 
 
+@query(f"select path, row_number() over (partition by source, lang order by regexp_extract(name, '^\\D+'), doc_id, name) as rank from ({_PATHS})")
+def natural_order(spark, sf_dir):
+    """Natural order of every path within its folder."""
+    folder = Window.partitionBy(F.regexp_extract("path", "^(.*)/", 1)).orderBy(T.natural_key(F.col("name")), "name")
+    return paths(spark, sf_dir).select("path", F.row_number().over(folder).cast("long").alias("rank"))
+
+
 @query(f"select path from ({_PATHS}) order by string_split(path, '/') limit 200")
 def dfs_order_limit(spark, sf_dir):
     return paths(spark, sf_dir).select("path").orderBy(T.walk_key(F.col("path"))).limit(200)

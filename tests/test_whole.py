@@ -25,3 +25,10 @@ def test_read_documents_query(spark):
     per = got.groupBy("path").agg(F.max("chunk_index").alias("chunks")).collect()
     assert len(per) == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert sum(r.chunks is not None for r in per) > 0
+
+
+def test_natural_order_ranks_every_path(spark):
+    got = registry.QUERIES["natural_order"](spark, SF)
+    assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    ranks = got.groupBy(F.regexp_extract("path", "^(.*)/", 1)).agg(F.count("*").alias("n"), F.max("rank").alias("top"), F.countDistinct("rank").alias("ranks")).collect()
+    assert all(r.n == r.top == r.ranks for r in ranks)
