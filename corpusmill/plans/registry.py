@@ -139,6 +139,18 @@ def read_batch(spark, sf_dir):
     return reading.read_batch(d.select("path", "text"), wanted.unionByName(extra), 10_000_000, 1 << 30)
 
 
+@query(f"""with p as ({_PATHS}), w as (select row_number() over (order by doc_id) as pos, path from p union all select 0, 'gone.txt')
+select w.pos, w.path, case when strlen(p.text) > 131072 then decode(encode(p.text)[1:131072]) || chr(10) || '[cut after 131072 bytes]' else p.text end as text, case when p.path is null then 'not found' end as error
+from w left join p using (path) where w.pos < 20""")
+def read_batch_defaults(spark, sf_dir):
+    """read_batch of a missing path and the first 30 in order, under the operator's own limits."""
+    d = paths(spark, sf_dir).join(documents(spark, sf_dir), "doc_id").select("path", "text", "doc_id")
+    wanted = paths(spark, sf_dir).orderBy("doc_id").limit(30)
+    wanted = wanted.select(F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("pos"), "path")
+    gone = spark.createDataFrame([(0, "gone.txt")], "pos long, path string")
+    return reading.read_batch(d.select("path", "text"), gone.unionByName(wanted))
+
+
 # --- text functions -----------------------------------------------------------------------------------------------------
 
 
