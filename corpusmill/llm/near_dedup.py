@@ -1,7 +1,7 @@
 """MinHash near-dedup with bottom-k sketches from one hash function.
 
 1. A document's set is its distinct shingles of words, hashed to 64 bits; its sketch is the `K` least hashes. Documents
-   with equal sets are one class, represented by the least id.
+   with equal sets are one class, a node of the graph with a number of its own; its row of least id stands for its text.
 2. Inverted lists of retained values give overlaps. A pair at the threshold shares at least `SHARED` of its values but
    for a chance of under 1e-6, so, with values in order of rarity, it shares one of each side's rarest K - SHARED + 1:
    only these are listed, and a class that shares fewer with all others has no list.
@@ -13,13 +13,14 @@
    sizes, the one with the least of its own; the estimate and the verification follow as before, and links give components.
    Pairs still in different components are compared on whole sets, once, in blocks of a list, unless what they can
    share at most rules them out; only links leave the task.
-5. Components of all links; the least id of each stays.
+5. Components of all links; the row of least id of each stays, of equal ids that of the least hash of its text.
 
 Hot lists and classes are only ever aggregated, joined (which Spark splits) or cut in blocks.
 
 Defined cases: a null text or one without words has an empty set, is its own component and linked with nothing; with fewer
-words than a shingle the whole sequence is the one shingle; rows with equal ids are one document, and so are rows with a null id
-(component_id null unless it reaches a smaller id; such rows are kept); other columns are kept by `drop_near_copies`; an empty table gives no rows.
+words than a shingle the whole sequence is the one shingle; rows with equal ids and different texts are documents of their own, of which
+each has its own component; rows equal in id and text are one document, kept or dropped together; a null id counts as the greatest, and
+component_id is null where a component has no other; other columns are kept by `drop_near_copies`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -66,19 +67,19 @@ def shingle_sets(texts, shingle: int = SHINGLE):
 
 
 def sketches(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """rows: id, text. id, n (size of the set), key (names the set), sketch (its K least hashes, as signed longs)."""
+    """rows: id, ref, text. id, ref, n (size of the set), key (names the set), sketch (its K least hashes, as signed longs)."""
 
     def run(batches):
         for batch in batches:
             n, keys, least = [], [], []
-            for s in shingle_sets(batch.column(1), shingle):
+            for s in shingle_sets(batch.column(2), shingle):
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 least.append(s[:K].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64()))], ["id", "n", "key", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64()))], ["id", "ref", "n", "key", "sketch"])
             _kernel.release()
 
-    return rows.select("id", "text").mapInArrow(run, "id long, n long, key binary, sketch array<long>")
+    return rows.select("id", "ref", "text").mapInArrow(run, "id long, ref long, n long, key binary, sketch array<long>")
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
@@ -112,18 +113,23 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return p.where(F.when(F.col("sure"), linked).otherwise(F.col("matches") * K >= F.col("of") * SHARED)).select("a", "b", "sure")
 
 
-def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text of the rows with these ids, each id once."""
-    ids = staged(ids, "ids")
-    few = ids.count() <= FEW_IDS
-    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+def _ref(id_: Column, text: Column) -> Column:
+    """Tells rows of different ids or texts apart."""
+    return F.xxhash64(id_, text)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, percent: int, shingle: int) -> DataFrame:
+def _texts(rows: DataFrame, ids: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, text of the classes with these ids, each id once."""
+    wanted = staged(ids.join(classes.select("id", "ref"), "id"), "ids")
+    few = wanted.count() <= FEW_IDS
+    return rows.select("ref", "text").join(F.broadcast(wanted) if few else wanted, "ref").select("id", "text").dropDuplicates(["id"])
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Links u, v: the pairs that are sure, and those whose full sets are similar enough."""
     open_ = pairs.where(~F.col("sure")).select("a", "b")
     members = open_.select(F.col("a").alias("id")).unionByName(open_.select(F.col("b").alias("id"))).distinct()
-    texts = _texts(rows, members)
+    texts = _texts(rows, members, classes)
     joined = open_.join(texts.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("t_a")), "a")
 
     def run(batches):
@@ -149,9 +155,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, percent: int, shingle: int) ->
     return pairs.where("sure").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(exact_links)
 
 
-def _whole_sets(rows: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+def _whole_sets(rows: DataFrame, ids: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     """id, v: every shingle hash of the documents with these ids."""
-    texts = _texts(rows, ids)
+    texts = _texts(rows, ids, classes)
 
     def run(batches):
         for batch in batches:
@@ -251,12 +257,19 @@ def _block_links(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: i
     return rows.select("v", "x", "y", "id", "n", "s", "comp", "i", "keys", "shingles").mapInArrow(run, "u long, v long").distinct()
 
 
-def near_components(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles and component_id (the least id that links reach) of every row."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (null: the greatest), ref, text."""
     rows = docs.select(F.coalesce(exact(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), exact(text_col).alias("text"))
+    return rows.withColumn("ref", _ref(F.col("id"), F.col("text")))
+
+
+def _placed(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """id, ref, n, least and kept of every row: least is the least id that links reach (all as in _rows)."""
+    rows = _rows(docs, id_col, text_col)
     sets = staged(sketches(rows, shingle), "sketches")
     some = sets.where("n > 0")
-    classes = staged(some.groupBy("key").agg(F.min(F.struct("id", "n", "sketch")).alias("c")).select("key", "c.id", "c.n", "c.sketch"), "classes")
+    classes = some.groupBy("key").agg(F.min(F.struct("id", "ref", "n", "sketch")).alias("c"))
+    classes = staged(classes.select("key", F.monotonically_increasing_id().alias("id"), F.col("c.id").alias("least"), "c.ref", "c.n", "c.sketch"), "classes")
     lists = staged(inverted_lists(classes), "lists")
     lengths = lists.groupBy("v").agg(F.count("*").alias("m"))
     sized = staged(lists.join(lengths.where("m > 1"), "v"), "sized-lists")
@@ -267,31 +280,40 @@ def near_components(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     estimated = staged(_estimated(pairs, classes, percent), "estimated")
     # long lists: their members' whole sets, listed anew under rare shingles
     members = sized.where(F.col("m") > SHORT_LIST).select("id").distinct()
-    sets_of = staged(_whole_sets(rows, members, shingle), "whole-sets")
+    sets_of = staged(_whole_sets(rows, members, classes, shingle), "whole-sets")
     whole = staged(_least_lists(sets_of, percent), "whole-lists")
     hubs = staged(_hubs(whole, percent).join(pairs, ["a", "b"], "left_anti"), "hub-pairs")
     estimated = estimated.unionByName(staged(_estimated(hubs, classes, percent), "estimated-hubs"))
-    links = staged(_verified(estimated, rows, percent, shingle), "links")
+    links = staged(_verified(estimated, rows, classes, percent, shingle), "links")
     found = staged(components(links), "components")
     links = links.unionByName(staged(_block_links(whole, found, sets_of, percent), "links"))
     found = components(links)
-    named = classes.select("key", F.col("id").alias("rep"))
-    out = sets.select("id", "n", "key").join(named, "key", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep"))
-    null = lambda c: F.when(c != _NULL_ID, c)
-    return out.select(null(F.col("id")).alias("id"), F.col("n").alias("n_shingles"), null(component).alias("component_id"))
+    named = classes.select("key", F.col("id").alias("node"), F.struct("least", "ref").alias("own"))
+    linked = staged(named.join(found, "node").drop("node"), "linked")
+    heads = staged(linked.groupBy("component").agg(F.min("own").alias("head")), "heads")  # a table of its own, so that Spark can split a large component
+    heads = linked.join(heads, "component").select("key", "head")
+    out = sets.select("id", "ref", "n", "key").join(named.select("key", "own"), "key", "left").join(heads, "key", "left").withColumn("head", F.coalesce("head", "own"))
+    kept = (F.col("n") == 0) | (F.struct("id", "ref") == F.struct("head.least", "head.ref"))
+    return out.select("id", "ref", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("head.least")).alias("least"), kept.alias("kept"))
+
+
+def near_components(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id (the least id that links reach) and kept of every row."""
+    null = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
+    return _placed(docs, percent, shingle, id_col, text_col).select(null("id").alias("id"), F.col("n").alias("n_shingles"), null("least").alias("component_id"), "kept")
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, columns as they were, with only the least id of each component (rows with a null id stay)."""
-    dropped = near_components(docs, percent, shingle, id_col, text_col).where("id <> component_id").select(F.col("id").alias("_dropped")).distinct()
-    return docs.join(dropped, exact(id_col).cast("long") == F.col("_dropped"), "left_anti")
+    """docs, columns as they were, with only the row of least id of each component."""
+    dropped = _placed(docs, percent, shingle, id_col, text_col).where("not kept").select(F.col("id").alias("_dropped"), F.col("ref").alias("_dropped_ref")).distinct()
+    id_ = F.coalesce(exact(id_col).cast("long"), F.lit(_NULL_ID))
+    return docs.join(dropped, (id_ == F.col("_dropped")) & (_ref(id_, exact(text_col)) == F.col("_dropped_ref")), "left_anti")
 
 
 def near_digest(docs: DataFrame) -> DataFrame:
     """Query op6: similarity 0.75 on five words."""
     out = near_components(docs)
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def brute_force(texts: dict[int, str | None], similarity: Fraction = Fraction(3, 4)) -> dict[int, int]:
