@@ -175,9 +175,24 @@ def expand_template(template: Column, args: Column, selection: Column) -> Column
     return _trim(out, TEXT_SPACE)
 
 
+def _one_decimal(x: Column) -> Column:
+    """As "%.1f" of a number in C: the binary value rounded, half to even."""
+    size = F.abs(x.cast("double"))
+    whole = F.floor(size)
+    part = size - whole
+    eight, two = part * 8, part * 2  # both exact; their sum with its error is ten times the part
+    ten = eight + two
+    error = two - (ten - eight)
+    low = F.floor(ten)
+    rest = ten - low
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (low % 2 == 1))))
+    tenths = whole * 10 + low + F.when(up, 1).otherwise(0)
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def format_count(n: Column) -> Column:
     """Below 1000 as it is, else thousands with one decimal and k."""
-    return F.when(n < 1000, n.cast("string")).otherwise(F.format_string("%.1fk", n / 1000.0))
+    return F.when(n < 1000, n.cast("string")).otherwise(F.concat(_one_decimal(n / 1000.0), F.lit("k")))
 
 
 def context_bar(used: Column, total: Column, width: int = 30) -> Column:
@@ -186,7 +201,7 @@ def context_bar(used: Column, total: Column, width: int = 30) -> Column:
 
 
 def format_elapsed(seconds: Column) -> Column:
-    return F.when(seconds < 10, F.format_string("%.1fs", seconds)).otherwise(F.format_string("%.0fs", seconds))
+    return F.when(seconds < 10, F.concat(_one_decimal(seconds), F.lit("s"))).otherwise(F.concat(F.rint(seconds).cast("decimal(20,0)").cast("string"), F.lit("s")))
 
 
 def chunk_key(path: Column, index: Column) -> Column:

@@ -491,6 +491,14 @@ def format_figures(spark, sf_dir):
     return m.select("conv_id", "turn", T.format_count(F.col("n")).alias("tokens"), T.format_elapsed(F.col("s")).alias("elapsed"), T.context_bar(F.col("n"), F.lit(5000)).alias("bar"))
 
 
+@query(f"""select conv_id, turn, case when n < 1000 then n::varchar else printf('%.1fk', n / 1000.0) end as tokens, case when s < 10 then printf('%.1fs', s) else printf('%.0fs', s) end as elapsed
+from (select *, strlen(text) * 7 as n, strlen(text) / 40.0::double as s from ({_M}))""")
+def format_figures_any(spark, sf_dir):
+    """format_figures of values that also fall on ties."""
+    b = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return messages(spark, sf_dir).select("conv_id", "turn", T.format_count(b * 7).alias("tokens"), T.format_elapsed(b / F.lit(40.0)).alias("elapsed"))
+
+
 # --- pages and addresses ------------------------------------------------------------------------------------------------
 
 

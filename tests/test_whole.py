@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as T
 from corpusmill.operators import reading
 from corpusmill.plans import registry
 
@@ -44,3 +45,12 @@ def test_read_batch_defaults(spark):
     rows = registry.QUERIES["read_batch_defaults"](spark, SF)
     assert [r.pos for r in rows.orderBy("pos").collect()] == list(range(20))
     assertDataFrameEqual(rows.where("pos > 0").select("text"), first)
+
+
+def test_figures_round_as_the_reference(spark):
+    counts = [0, 999, *range(1000, 4001), 1250, 1350, 10_050, 99_950, 999_950, 12_345_650, 12_345_750]
+    seconds = [i / 40 for i in range(1000)] + [i / 20 for i in range(300)] + [0.05, 0.15, 0.25, 0.35, 9.95, 9.96, 10.5, 11.5, -0.25, -1.5]
+    got = spark.createDataFrame([(n,) for n in counts], "n long").select("n", T.format_count(F.col("n")).alias("y")).collect()
+    assert [(r.n, r.y) for r in got if r.y != (str(r.n) if r.n < 1000 else f"{r.n / 1000:.1f}k")] == []
+    got = spark.createDataFrame([(s,) for s in seconds], "s double").select("s", T.format_elapsed(F.col("s")).alias("y")).collect()
+    assert [(r.s, r.y) for r in got if r.y != (f"{r.s:.1f}s" if r.s < 10 else f"{r.s:.0f}s")] == []
