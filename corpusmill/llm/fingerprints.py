@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
 A text is cut into paragraphs at line feeds, and a long paragraph into pieces at spaces that its own bytes
-choose, so an edit moves no cut elsewhere. A section is a run of pieces that ends after a piece whose hash says
+choose, and more rarely between any two characters, so an edit moves no cut elsewhere and text without spaces has leaves too. A section is a run of pieces that ends after a piece whose hash says
 so. Leaves are the pieces' hashes, a section's node is the hash of its leaves, and the root (128 bits) that of the
 sections and the length, so roots test equality. A fingerprint is a string: the root in hex, then sections and leaves
 (32 bits each) in base64; `differing` compares two trees from the sections down and tells which leaves differ, and
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm import _kernel
 from corpusmill.llm._common import exact, shuffle_partitions
 
-#: A space ends a piece once in so many, a piece ends a section once in so many.
-PIECE, SECTION = 8, 16
+#: A space ends a piece once in so many, any other character once in so many, a piece ends a section once in so many.
+PIECE, ANYWHERE, SECTION = 8, 64, 16
 _CONTEXT = 6
 _CHUNK = 1 << 20
 _LOW = -(1 << 63)
@@ -44,8 +44,11 @@ class Trees:
         sums = _kernel.prefix(_kernel.byte_values(buf))
         cut = np.zeros(len(buf) + 1, bool)
         if len(buf) > _CONTEXT:
-            choice = _kernel.rolling(sums, _CONTEXT) % np.uint64(PIECE) == 0
-            cut[_CONTEXT : len(buf) + 1] = choice & (buf[_CONTEXT - 1 :] == 0x20)
+            choice = _kernel.rolling(sums, _CONTEXT)
+            whole = np.ones(len(choice), bool)  # no character is cut
+            whole[:-1] = buf[_CONTEXT:] & 0xC0 != 0x80
+            spaces = (choice % np.uint64(PIECE) == 0) & (buf[_CONTEXT - 1 :] == 0x20)
+            cut[_CONTEXT : len(buf) + 1] = spaces | ((choice % np.uint64(ANYWHERE) == 0) & whole)
             near = offsets[:-1, None] + np.arange(_CONTEXT)  # a cut never depends on another document's bytes
             cut[near[near <= len(buf)]] = False
         cut[1:][buf == 0x0A] = True
