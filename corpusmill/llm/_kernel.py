@@ -1,22 +1,26 @@
 """Vectorised byte and word kernels shared by the operators (numpy only, no Spark).
 
-A batch of texts is one byte buffer plus document offsets. Hashes of any slice of the buffer
-come from prefix sums of ``value[byte] * p**position`` modulo 2**64, so a word, a k-mer or a
-packed string costs two lookups and one multiplication, whatever its length.
+A batch of texts is one byte buffer plus document offsets. A word of at most 16 bytes is two numbers of 8 bytes each, from
+which its hash is made; a longer one goes through BLAKE2b. Sequences of values are hashed by joining neighbours' hashes in
+pairs, pairs of pairs and so on, with a shift that mixes high bits into low ones at each join, so no family of strings
+(such as those that fool sums of powers modulo 2**64) has equal hashes by construction. Where equality must be certain,
+operators compare bytes or 128-bit digests.
+
+Texts longer than `PIECE` bytes are taken in overlapping stretches, so what a kernel holds beside the text is bounded.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_VALUES, _VALUES_2 = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+_M1, _M2 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+PIECE = 1 << 20
 
 #: `[^\x20\x09-\x0D]+`
 WHITE = np.ones(256, bool)
@@ -26,20 +30,8 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
-
-_powers = {_BASE: np.ones(1, U64), _INVERSE: np.ones(1, U64)}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers[base]
-    if len(have) < n:
-        have = np.full(max(n, 1 << 20), base, U64)
-        have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
-        if n > 1 << 24:  # a giant text: not worth keeping
-            _powers[base] = np.ones(1, U64)
-    return have[:n]
+#: The first so many bytes of a number.
+MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,31 +44,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums (length n + 1) from which `slices` takes hashes."""
-    out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * powers(_BASE, len(values)), out=out[1:])
-    return out
-
-
-def slices(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of [start, end): equal slices have equal hashes wherever they stand."""
-    return (sums[end] - sums[start]) * powers(_INVERSE, len(sums))[start]
-
-
-def rolling(sums: np.ndarray, k: int) -> np.ndarray:
-    """Mixed hashes of all slices of k values."""
-    n = len(sums) - k
-    return mix((sums[k:] - sums[:n]) * powers(_INVERSE, len(sums))[:n]) if n > 0 else np.empty(0, U64)
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of (a, b) from theirs."""
+    x = a ^ (a >> U64(32))
+    x *= _M1
+    x += b
+    x ^= x >> U64(29)
+    x *= _M2
+    return x
 
 
-def byte_values(buf: np.ndarray) -> np.ndarray:
-    return _VALUES[buf]
+def grams(values: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k consecutive values, by doubling."""
+    n = len(values) - k + 1
+    if n < 1:
+        return np.empty(0, U64)
+    out, covered, power, size = None, 0, values, 1
+    while True:
+        if k & size:
+            out = power[covered : covered + n] if out is None else join(out, power[covered : covered + n])
+            covered += size
+        if 2 * size > k:
+            return mix(out + U64(k))
+        power = join(power[:-size], power[size:])
+        size *= 2
+
+
+def eights(buf: np.ndarray) -> np.ndarray:
+    """Each place's next 8 bytes as one number; zeros follow the end, up to 8 places beyond."""
+    padded = np.concatenate([buf, np.zeros(16, np.uint8)])
+    return np.ndarray(len(buf) + 9, "<u8", padded, strides=(1,))
+
+
+def byte_grams(buf: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k consecutive bytes."""
+    n = len(buf) - k + 1
+    if n < 1:
+        return np.empty(0, U64)
+    eight = eights(buf)
+    out = eight[:n] & MASK[min(k, 8)]
+    for at in range(8, k, 8):
+        out = join(mix(out), eight[at : at + n] & MASK[min(k - at, 8)])
+    return mix(out + U64(k))
 
 
-def second_values(buf: np.ndarray) -> np.ndarray:
-    """Other values, for a second hash that is independent of the first."""
-    return _VALUES_2[buf]
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    n = end - start
+    eight = eights(buf)
+    low = eight[start] & MASK[np.minimum(n, 8)]
+    high = eight[start + 8 * (n > 8)] & MASK[np.clip(n - 8, 0, 8)]
+    out = mix(join(mix(low), high) + n.astype(U64))
+    long = np.flatnonzero(n > 16)
+    out[long] = [int.from_bytes(hashlib.blake2b(buf[a:b], digest_size=8).digest(), "little") for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return out
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -138,8 +158,28 @@ def words(buf: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.
     return start, stop, np.searchsorted(start, offsets)
 
 
-def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix(slices(prefix(byte_values(buf)), start, end) + (end - start).astype(U64))
+def stretches(text: np.ndarray, member: np.ndarray, overlap: int):
+    """Words of one text, a stretch of about PIECE bytes at a time: (number of the stretch's first word, its starts, its ends, from, to).
+
+    Starts and ends count from byte `from` of the text. A stretch begins with the last `overlap` words of the one before, and goes on until it has more than so many.
+    """
+    at, number, size = 0, 0, len(text)
+    while True:
+        stop, step = at, PIECE
+        while True:
+            stop = min(size, stop + step)
+            while stop < size and member[text[stop]] and member[text[stop - 1]]:  # not within a word
+                near = np.flatnonzero(~member[text[stop : stop + PIECE]])
+                stop = stop + int(near[0]) if len(near) else min(size, stop + PIECE)
+            start, end, _ = words(text[at:stop], np.array([0, stop - at]), member)
+            if stop == size or len(start) > overlap:
+                break
+            step = stop - at
+        yield number, start, end, at, stop
+        if stop == size:
+            return
+        number += len(start) - overlap
+        at += int(start[len(start) - overlap]) if overlap else stop - at
 
 
 def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,10 +190,10 @@ def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def cover(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Mask of the n places covered by [s, s + length) for any s."""
-    edge = np.zeros(n + 1, np.int64)
+    edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, starts, 1)
     np.add.at(edge, np.minimum(starts + length, n), -1)
-    return np.cumsum(edge[:n]) > 0
+    return np.cumsum(edge[:n], dtype=np.int32) > 0
 
 
 def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

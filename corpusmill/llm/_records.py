@@ -8,11 +8,19 @@ bytes a step, and a record's block sums are then joined by the linear map that s
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
+
 import numpy as np
 
+from corpusmill.llm import _files
+
 _POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
 _MASK_DELTA = 0xA282EAD8
 _BLOCK = 256
+READ = 4 << 20
+#: Files that a reader keeps open, and bytes between two records that are still read in one go.
+OPEN, GAP = 64, 1 << 16
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -106,3 +114,68 @@ def unframe(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         if (masked(crc32c(heads, np.arange(len(a) + 1) * 8)) != head_sums).any() or (masked(crc32c(payloads, offsets)) != sums).any():
             raise ValueError("a record's checksum is wrong")
     return body, a, b, at
+
+
+def _size(data: bytes) -> int:
+    """Bytes of the record that starts here, by its checked head."""
+    if (masked(crc32c(np.frombuffer(data, np.uint8, 8), np.array([0, 8]))) != np.frombuffer(data, "<u4", 1, 8)).any():
+        raise ValueError("a record's checksum is wrong")
+    return 16 + int.from_bytes(data[:8], "little")
+
+
+def stream_records(stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All bytes, start and end of each payload, of a few records at a time; a long record is read to its end in one go."""
+    left = b""
+    while True:
+        want = READ
+        if len(left) >= 12:
+            want = max(READ, _size(left) - len(left))
+        data = stream.read(want)
+        if not data:
+            if left:
+                raise ValueError("a record file ends within a record")
+            return
+        left = left + data if left else data
+        body, a, b, used = unframe(left)
+        if used:
+            yield body, a, b
+            left = left[used:]
+
+
+class Files:
+    """Record files of a shuffled read, by number."""
+
+    def __init__(self, place: Callable[[int], str]):
+        self.place, self.open = place, OrderedDict()
+
+    def __enter__(self) -> Files:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for file in self.open.values():
+            file.close()
+
+    def _file(self, part: int):
+        if part in self.open:
+            self.open.move_to_end(part)
+        else:
+            if len(self.open) >= OPEN:
+                self.open.popitem(last=False)[1].close()
+            fs, path = _files.store(self.place(part))
+            self.open[part] = fs.open_input_file(path)
+        return self.open[part]
+
+    def fetch(self, part: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """The records in the order asked for."""
+        order = np.lexsort((at, part))
+        p, a, z = part[order], at[order], (at + n)[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (p[1:] != p[:-1]) | (a[1:] > z[:-1] + GAP)
+        heads = np.flatnonzero(new)
+        out: list[bytes] = [b""] * len(order)
+        for x, y in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
+            first, last = int(a[x]), int(z[x:y].max())
+            data = memoryview(self._file(int(p[x])).read_at(last - first, first))
+            for k in range(x, y):
+                out[int(order[k])] = bytes(data[int(a[k]) - first : int(z[k]) - first])
+        return out

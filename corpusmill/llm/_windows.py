@@ -2,45 +2,50 @@
 
 Documents are dealt once to groups of a few MB by a hash of the row. All passes read that one exchange.
 
-1. A window's minimiser is the least hash of its k-mers; equal windows have equal minimisers. Each group sends the distinct
-   minimisers of its windows, as 32 bits, to buckets; a bucket answers each group with those that occur again anywhere.
+1. A window's minimiser is the rarest of its k-mers: the order of k-mers is by how often a bounded sample has them, then by
+   hash. Equal windows have equal minimisers, whatever the order; a rare one is seldom shared by other windows, and no phrase
+   that is common in the language fills a bucket. Each group sends the distinct minimisers of its windows, as 32 bits, to
+   buckets; a bucket answers each group with those that occur again anywhere.
 2. Consecutive windows that share such a minimiser travel as one packed string to the minimiser's bucket, once a
    group however often it occurs there, with the least document id and whether it occurs again in the group. There the strings'
    windows are ordered and compared, byte by byte or word by word, so equal windows are found exactly.
 3. A bucket answers each group with a value for each window of its strings: how often the window occurs, or the least id
-   of the documents that have it. The group applies the values to all its places with that string.
+   of the documents that have it. Strings are named by 128 bits of BLAKE2b of their bytes, which the group compares for the runs of
+   the answered minimisers, and then applies the values to all places of a string.
 
-Where the least id counts, later copies of a whole text are found first, by the text's hash, and take no part in the passes: their
-windows are all the earlier one's too.
-
-So a passage in a third of all documents costs each group one string, and no task holds more than one group of
-documents, or one bucket (a hash share of the repeated strings).
+Strings meet in two steps: blocks of `BLOCK` groups put equal ones together before the bucket, and pass its answers on. So a passage
+that all documents share costs each group one string and the bucket one a block, and no task holds more than one
+group of documents, or one bucket (a hash share of the repeated strings) or block of it.
+A text of over `_kernel.PIECE` bytes is taken in stretches that overlap by a window.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import _kernel
-from corpusmill.llm._common import exact, shuffle_partitions, staged, volume
+from corpusmill.llm._common import exact, shuffle_partitions
 
 GROUP_BYTES = 8 << 20
+#: Groups whose equal strings are put together before they go to their bucket.
+BLOCK = 256
 #: A run of windows with one minimiser is cut after so many, so that periodic texts travel in short strings.
 LONGEST_RUN = 2048
+#: The sample from which k-mers are ordered: so many slices of so many characters at most, counted in so many cells. No result depends on it.
+SAMPLE_SLICES, SLICE, CELLS = 4096, 2048, 1 << 22
 LOW = -(1 << 63)
 _U32 = np.uint64(0xFFFFFFFF)
-#: Bucket that stands for the rows of whole copies among a group's answers.
-_COPIES = -1
+_NAME = 16
 _REQUEST = "bucket int, pid int, keys binary, again binary"
-_ANSWER = "pid int, bucket int, c binary, n binary, length binary, value binary"
-_STRINGS = "bucket int, pid int, c binary, low binary, again binary, n_windows binary, n_bytes binary, body binary"
+_ANSWER = "pid int, bucket int, c binary, key binary, n binary, length binary, value binary"
+_STRINGS = "bucket int, block int, pid int, c binary, key binary, low binary, again binary, n_windows binary, n_bytes binary, body binary"
 
 
 @dataclass(frozen=True)
@@ -53,26 +58,32 @@ class Kind:
     counted: bool
 
 
+def _values(kind: Kind, buf: np.ndarray, start: np.ndarray | None, end: np.ndarray | None) -> np.ndarray:
+    """Hashes of all k-mers."""
+    if start is None:
+        return _kernel.byte_grams(buf, kind.k)
+    return _kernel.grams(_kernel.word_hashes(buf, start, end), kind.k) if len(start) else np.empty(0, np.uint64)
+
+
 class Part:
-    """The windows of a few documents: runs of windows [start, end) with one minimiser each, by unit."""
+    """The windows of a few documents, or of a stretch of one: runs of windows [start, end) with one minimiser each, by unit."""
 
-    def __init__(self, kind: Kind, buf: np.ndarray, offsets: np.ndarray, inner: bool = False):
-        """inner: also find the runs with several places of their minimiser, which alone can have a window twice."""
+    def __init__(self, kind: Kind, buf: np.ndarray, offsets: np.ndarray, cells: np.ndarray | None, inner: bool = False, units: tuple | None = None):
+        """cells: how common k-mers are, by hash; inner: also find the runs with several places of their minimiser, which alone can have a window twice."""
         self.buf, self.offsets, self.twice = buf, offsets, np.empty(0, bool)
         if kind.units == "words":
-            self.start, self.end, self.first = _kernel.words(buf, offsets, _kernel.WHITE)
-            values = _kernel.word_hashes(buf, self.start, self.end) if len(self.start) else np.empty(0, np.uint64)
+            self.start, self.end, self.first = units or _kernel.words(buf, offsets, _kernel.WHITE)
         else:
-            self.start = self.end = None
-            self.first, values = offsets, _kernel.byte_values(buf)
-        w, n = kind.window, len(values)
+            self.start, self.end, self.first = None, None, offsets
+        w = kind.window
         empty = np.empty(0, np.int64)
-        self.run_start, self.run_end, self.minimiser, self.content = empty, empty, np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.run_start, self.run_end, self.minimiser = empty, empty, np.empty(0, np.uint64)
         counts = np.diff(self.first)
-        if n < w or counts.max(initial=0) < w:
+        if counts.max(initial=0) < w:
             return
-        sums = _kernel.prefix(values)
-        hashes = _kernel.rolling(sums, kind.k)
+        hashes = _values(kind, buf, self.start, self.end)
+        if cells is not None:
+            hashes = (cells[hashes & np.uint64(CELLS - 1)].astype(np.uint64) << np.uint64(58)) | (hashes >> np.uint64(6))
         least = _kernel.sliding_min(hashes, w - kind.k + 1)
         edge = np.zeros(len(least) + 1, np.int8)
         long = counts >= w
@@ -93,8 +104,14 @@ class Part:
             last = b - 1 + place[-1] - (hashes[b[:, None] - 1 + place[::-1]] == least[a, None]).argmax(1)
             self.twice = first != last
         self.run_start, self.run_end, self.minimiser = a, b, _kernel.mix(least[a])
-        size = b - a + w - 1
-        self.content = _kernel.mix(_kernel.slices(sums, a, a + size) + size.astype(np.uint64))
+
+    def raw(self, kind: Kind, chosen: np.ndarray) -> list[bytes]:
+        """The bytes of these runs as they stand in the text."""
+        a, b = self.run_start[chosen], self.run_end[chosen] - 1 + kind.window
+        if self.start is not None:
+            a, b = self.start[a], self.end[b - 1]
+        data = self.buf.tobytes()
+        return [data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
     def string(self, kind: Kind, i: int) -> bytes:
         """The bytes of run i's windows; words are joined by one space."""
@@ -104,11 +121,20 @@ class Part:
         return b" ".join([self.buf[x:y].tobytes() for x, y in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True)])
 
 
-def _pieces(kind: Kind, table: pa.Table, inner: bool = False):
-    """Parts of a group with the range of rows that each covers."""
+def _pieces(kind: Kind, table: pa.Table, cells: np.ndarray, inner: bool = False):
+    """(first row, last row, unit of the document with which the part begins, place of its first byte, Part) for all of a group, in order."""
     buf, offsets = _kernel.pack(table.column("text"))
-    for a, b in _kernel.parts(offsets, 1 << 20):
-        yield a, b, Part(kind, buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], inner)
+    for a, b in _kernel.parts(offsets, _kernel.PIECE):
+        text = buf[offsets[a] : offsets[b]]
+        if len(text) <= _kernel.PIECE:
+            yield a, b, 0, 0, Part(kind, text, offsets[a : b + 1] - offsets[a], cells, inner)
+        elif kind.units == "words":
+            for number, start, end, at, stop in _kernel.stretches(text, _kernel.WHITE, kind.window - 1):
+                yield a, b, number, at, Part(kind, text[at:stop], np.array([0, stop - at]), cells, inner, (start, end, np.array([0, len(start)])))
+        else:
+            for at in range(0, len(text) - kind.window + 1, _kernel.PIECE):
+                own = text[at : at + _kernel.PIECE + kind.window - 1]
+                yield a, b, at, at, Part(kind, own, np.array([0, len(own)]), cells, inner)
 
 
 def _ids(table: pa.Table) -> np.ndarray:
@@ -120,12 +146,16 @@ def _places(minimisers: np.ndarray, buckets: int) -> np.ndarray:
     return (((minimisers >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (minimisers & _U32)
 
 
-def _by_bucket(bucket: np.ndarray):
-    """For values in order of bucket: each bucket and its range."""
-    edges = np.flatnonzero(np.diff(bucket)) + 1
-    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(bucket)], strict=True):
+def _among(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values if len(sorted_) else np.zeros(len(values), bool)
+
+
+def _by_value(sorted_: np.ndarray):
+    """For values in order: each value and its range."""
+    edges = np.flatnonzero(np.diff(sorted_)) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(sorted_)], strict=True):
         if b > a:
-            yield int(bucket[a]), a, b
+            yield int(sorted_[a]), a, b
 
 
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
@@ -135,24 +165,25 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _without_copies(table: pa.Table, copies: pa.Table) -> pa.Table:
-    """The group's rows less those whose text an earlier document has whole: they tell nothing new of any window."""
-    known = copies.filter(pc.equal(copies.column("bucket"), _COPIES)) if copies.num_rows else copies
-    if not known.num_rows:
-        return table
-    gone = np.concatenate([np.frombuffer(x, np.int64) for x in known.column("c").to_pylist()])
-    return table.filter(pa.array(~np.isin(table.column("row").to_numpy(), gone)))
+def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
+    """The numbers that a column's values hold, one value after the other."""
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-def _request(kind: Kind, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(table: pa.Table, copies: pa.Table) -> pa.Table:
-        table = _without_copies(table, copies)
-        if not table.num_rows:
-            return _table(_REQUEST, [])
+def _name(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=_NAME).digest()
+
+
+def _request(kind: Kind, buckets: int, cells) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
         pid = table.column("pid")[0].as_py()
-        found = [x for _, _, part in _pieces(kind, table, True) for x in (_places(part.minimiser, buckets), _places(part.minimiser[part.twice], buckets))]
+        found = [np.empty(0, np.uint64)]
+        for *_, part in _pieces(kind, table, cells.value, True):
+            places, counts = np.unique(_places(part.minimiser, buckets), return_counts=True)
+            found += [places, places[counts > 1], _places(part.minimiser[part.twice], buckets)]
         keys, counts = np.unique(np.concatenate(found), return_counts=True)
-        rows = [(b, pid, (keys[x:y] & _U32).astype("<u4").tobytes(), np.packbits(counts[x:y] > 1).tobytes()) for b, x, y in _by_bucket(keys >> np.uint64(32))]
+        rows = [(b, pid, (keys[x:y] & _U32).astype("<u4").tobytes(), np.packbits(counts[x:y] > 1).tobytes()) for b, x, y in _by_value(keys >> np.uint64(32))]
+        _kernel.release()
         return _table(_REQUEST, rows)
 
     return run
@@ -169,50 +200,115 @@ def _find_again(table: pa.Table) -> pa.Table:
         mine = k[again[at : at + len(k)]]
         at += len(k)
         if len(mine):
-            out.append((pid, bucket, mine.tobytes(), b"", b"", b""))
+            out.append((pid, bucket, b"", mine.tobytes(), b"", b"", b""))
     return _table(_ANSWER, out)
 
 
-def _send_strings(kind: Kind, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _asked(answers: pa.Table) -> np.ndarray:
+    """The places that a group's answers name, in order."""
+    rows = zip(answers.column("bucket").to_pylist(), answers.column("key").to_pylist(), strict=True)
+    found = [(np.uint64(b) << np.uint64(32)) | np.frombuffer(k, "<u4").astype(np.uint64) for b, k in rows]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
+def _pack(bucket: int, block: int, pid: int, c: list[bytes], key, low, again, windows, bodies: list[bytes]) -> tuple:
+    return (bucket, block, pid, b"".join(c), key.astype("<u4").tobytes(), low.astype("<i8").tobytes(), np.packbits(again).tobytes(), windows.astype("<u4").tobytes(), np.array([len(x) for x in bodies], "<u4").tobytes(), b"".join(bodies))
+
+
+def _send_strings(kind: Kind, buckets: int, cells) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        table = _without_copies(table, answers)
-        answers = answers.filter(pc.not_equal(answers.column("bucket"), _COPIES))
         if not table.num_rows or not answers.num_rows:
             return _table(_STRINGS, [])
         pid, ids = table.column("pid")[0].as_py(), _ids(table)
-        again = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(k, "<u4").astype(np.uint64) for b, k in zip(answers.column("bucket").to_pylist(), answers.column("c").to_pylist(), strict=True)]))
-        content, place, low, sizes, strings = [], [], [], [], []
-        known: set[int] = set()
-        for a, b, part in _pieces(kind, table):
+        again = _asked(answers)
+        number: dict[bytes, int] = {}
+        which, low, place, windows, strings = [], [], [], [], []
+        for a, b, _, _, part in _pieces(kind, table, cells.value):
             places = _places(part.minimiser, buckets)
-            i = np.minimum(np.searchsorted(again, places), len(again) - 1)
-            chosen = np.flatnonzero(again[i] == places)
-            content.append(part.content[chosen])
-            place.append(places[chosen])
+            chosen = np.flatnonzero(_among(places, again))
+            known = len(number)
+            own = np.array([number.setdefault(x, len(number)) for x in part.raw(kind, chosen)], np.int64)
+            which.append(own)
             low.append(ids[a:b][np.searchsorted(part.first, part.run_start[chosen], "right") - 1])
-            sizes.append(part.run_end[chosen] - part.run_start[chosen])
-            for x, c in zip(chosen.tolist(), part.content[chosen].tolist(), strict=True):
-                if c in known:
-                    strings.append(b"")
-                else:
-                    known.add(c)
-                    strings.append(part.string(kind, x))
-        c, place, low, sizes = (np.concatenate(x) for x in (content, place, low, sizes))
-        unique, first, back, counts = np.unique(c, return_index=True, return_inverse=True, return_counts=True)
-        least = np.full(len(unique), np.iinfo(np.int64).max)
-        np.minimum.at(least, back, low)
-        bucket = (place[first] >> np.uint64(32)).astype(np.int64)
+            new = np.flatnonzero(own >= known)
+            _, first = np.unique(own[new], return_index=True)
+            new = new[first]
+            place.append(places[chosen[new]])
+            windows.append(part.run_end[chosen[new]] - part.run_start[chosen[new]])
+            strings += [part.string(kind, x) for x in chosen[new].tolist()]
+        which, low, place, windows = (np.concatenate(x) for x in (which, low, place, windows))
+        least = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, low)
+        counts = np.bincount(which, minlength=len(number))
+        names = [_name(x) for x in number]
+        bucket = (place >> np.uint64(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         rows = []
-        for b, x, y in _by_bucket(bucket[order]):
+        for b, x, y in _by_value(bucket[order]):
             o = order[x:y]
-            body = [strings[j] for j in first[o].tolist()]
-            rows.append((b, pid, unique[o].tobytes(), least[o].tobytes(), np.packbits(counts[o] > 1).tobytes(), sizes[first[o]].astype("<u4").tobytes(), np.array([len(z) for z in body], "<u4").tobytes(), b"".join(body)))
+            rows.append(_pack(b, pid // BLOCK, pid, [names[j] for j in o.tolist()], place[o] & _U32, least[o], counts[o] > 1, windows[o], [strings[j] for j in o.tolist()]))
+        _kernel.release()
         return _table(_STRINGS, rows)
 
     return run
 
 
+class _Strings:
+    """The strings of several packed rows: distinct ones by bytes, and for each string sent its number, name, key, sender."""
+
+    def __init__(self, table: pa.Table):
+        number: dict[bytes, int] = {}
+        which, senders = [], []
+        for pid, n_bytes, body in zip(table.column("pid").to_pylist(), table.column("n_bytes").to_pylist(), table.column("body").to_pylist(), strict=True):
+            ends = np.cumsum(np.frombuffer(n_bytes, "<u4"), dtype=np.int64).tolist()
+            which += [number.setdefault(body[a:b], len(number)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            senders.append(np.full(len(ends), pid))
+        self.strings, self.which, self.senders = list(number), np.array(which, np.int64), np.concatenate(senders)
+        self.names, self.low = _joined(table, "c", f"V{_NAME}"), _joined(table, "low", "<i8")
+        self.keys, windows = _joined(table, "key", "<u4"), _joined(table, "n_windows", "<u4")
+        self.again = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(n) // 4) for x, n in zip(table.column("again").to_pylist(), table.column("key").to_pylist(), strict=True)])
+        n = len(self.strings)
+        self.size, self.key = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.size[self.which], self.key[self.which] = windows, self.keys
+        # each distinct string once: how often it occurs (more than once counts as twice), the least id
+        self.count = np.bincount(self.which, 1 + self.again, n).astype(np.int64)
+        self.least = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.which, self.low)
+
+
+def _combine(table: pa.Table) -> pa.Table:
+    """Of a bucket's strings from one block of groups, each distinct one once, in the block's name."""
+    s = _Strings(table)
+    bucket, block = table.column("bucket")[0].as_py(), table.column("block")[0].as_py()
+    return _table(_STRINGS, [_pack(bucket, block, block, [_name(x) for x in s.strings], s.key, s.least, s.count > 1, s.size, s.strings)])
+
+
+def _pass_on(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """A bucket's answers to a block, given to each of its groups that sent the string."""
+    if not table.num_rows or not answers.num_rows:
+        return _table(_ANSWER, [])
+    s = _Strings(table)
+    names, n, length, value = _answers(answers)
+    at = np.array([names.get(_name(x), -1) for x in s.strings], np.int64)[s.which]
+    first = np.cumsum(n) - n
+    order = np.argsort(s.senders, kind="stable")
+    order = order[at[order] >= 0]
+    bucket, out = table.column("bucket")[0].as_py(), []
+    for pid, x, y in _by_value(s.senders[order]):
+        o = order[x:y]
+        i, p = _kernel.ragged(n[at[o]])
+        r = first[at[o]][i] + p
+        out.append((pid, bucket, s.names[o].tobytes(), s.keys[o].tobytes(), n[at[o]].astype("<u4").tobytes(), length[r].astype("<u4").tobytes(), value[r].astype("<i8").tobytes()))
+    return _table(_ANSWER, out)
+
+
+def _answers(answers: pa.Table) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
+    """All answers: each name's number; by number how many runs of values it has; the runs' lengths and values."""
+    c = b"".join(answers.column("c").to_pylist())
+    names = {c[at : at + _NAME]: i for i, at in enumerate(range(0, len(c), _NAME))}
+    return names, _joined(answers, "n", "<u4").astype(np.int64), _joined(answers, "length", "<u4").astype(np.int64), _joined(answers, "value", "<i8")
+
+
 def byte_groups(body: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Depth-limited radix sort: suffixes at `starts`, ordered through their first `window` bytes only.
 
@@ -256,37 +352,16 @@ def word_groups(words: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.
 
 def _answer_windows(kind: Kind) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        number: dict[bytes, int] = {}
-        which, low, again, windows, contents, senders = [], [], [], [], [], []
-        for pid, c, least, more, n_windows, n_bytes, body in zip(*(table.column(x).to_pylist() for x in ("pid", "c", "low", "again", "n_windows", "n_bytes", "body")), strict=True):
-            ends = np.cumsum(np.frombuffer(n_bytes, "<u4")).tolist()
-            for a, b in zip([0, *ends[:-1]], ends, strict=True):
-                which.append(number.setdefault(body[a:b], len(number)))
-            low.append(np.frombuffer(least, np.int64))
-            again.append(np.unpackbits(np.frombuffer(more, np.uint8), count=len(ends)))
-            windows.append(np.frombuffer(n_windows, "<u4"))
-            contents.append(np.frombuffer(c, np.uint64))
-            senders.append(np.full(len(ends), pid))
-        which = np.array(which)
-        low, again, windows, contents, senders = (np.concatenate(x) for x in (low, again, windows, contents, senders))
-        strings = list(number)
-        size = np.zeros(len(strings), np.int64)
-        size[which] = windows
-        # each distinct string once: how often it occurs (more than once counts as twice), the least id
-        count = np.bincount(which, 1 + again, len(strings)).astype(np.int64)
-        least = np.full(len(strings), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, low)
-        item, place = _kernel.ragged(size)
+        s = _Strings(table)
+        item, place = _kernel.ragged(s.size)
+        at = np.cumsum(s.size + kind.window - 1) - (s.size + kind.window - 1)
         if kind.units == "words":
-            names: dict[bytes, int] = {}
-            words = np.array([names.setdefault(w, len(names)) for s in strings for w in s.split(b" ")], np.int64)
-            at = np.cumsum(size + kind.window - 1) - (size + kind.window - 1)
+            numbers: dict[bytes, int] = {}
+            words = np.array([numbers.setdefault(w, len(numbers)) for x in s.strings for w in x.split(b" ")], np.int64)
             live, group = word_groups(words, at[item] + place, kind.window)
         else:
-            body = np.frombuffer(b"".join(strings), np.uint8)
-            at = np.cumsum(size + kind.window - 1) - (size + kind.window - 1)
-            live, group = byte_groups(body, at[item] + place, kind.window)
-        value = (count if kind.counted else least)[item]
+            live, group = byte_groups(np.frombuffer(b"".join(s.strings), np.uint8), at[item] + place, kind.window)
+        value = (s.count if kind.counted else s.least)[item]
         if len(live):
             heads = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
             of_group = (np.add if kind.counted else np.minimum).reduceat(value[live], heads)
@@ -298,98 +373,113 @@ def _answer_windows(kind: Kind) -> Callable[[pa.Table], pa.Table]:
         new[1:] = (value[1:] != value[:-1]) | (item[1:] != item[:-1])
         heads = np.flatnonzero(new)
         lengths, values, owner = np.diff(heads, append=len(value)), value[heads], item[heads]
-        first = np.searchsorted(owner, np.arange(len(strings) + 1))
+        first = np.searchsorted(owner, np.arange(len(s.strings) + 1))
         greatest = np.maximum.reduceat(values, first[:-1]) if kind.counted else np.minimum.reduceat(values, first[:-1])
-        useful = greatest[which] > 0 if kind.counted else (greatest[which] < low) | (again > 0)
-        out = []
-        for b, x, y in _by_bucket(senders):
+        useful = greatest[s.which] > 0 if kind.counted else (greatest[s.which] < s.low) | (s.again > 0)
+        bucket, out = table.column("bucket")[0].as_py(), []
+        for b, x, y in _by_value(s.senders):
             chosen = np.flatnonzero(useful[x:y]) + x
             if len(chosen):
-                n = first[which[chosen] + 1] - first[which[chosen]]
+                n = first[s.which[chosen] + 1] - first[s.which[chosen]]
                 i, p = _kernel.ragged(n)
-                r = first[which[chosen]][i] + p
-                out.append((b, 0, contents[chosen].tobytes(), n.astype("<u4").tobytes(), lengths[r].astype("<u4").tobytes(), values[r].astype("<i8").tobytes()))
+                r = first[s.which[chosen]][i] + p
+                out.append((b, bucket, s.names[chosen].tobytes(), s.keys[chosen].tobytes(), n.astype("<u4").tobytes(), lengths[r].astype("<u4").tobytes(), values[r].astype("<i8").tobytes()))
+        _kernel.release()
         return _table(_ANSWER, out)
 
     return run
 
 
-def _values(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All answers to a group: contents in order, each one's first run and number of runs, and the runs' lengths and values."""
-    c, n, length, value = (np.concatenate([np.frombuffer(x, kind) for x in answers.column(name).to_pylist()]) if answers.num_rows else np.empty(0, kind) for name, kind in (("c", np.uint64), ("n", "<u4"), ("length", "<u4"), ("value", "<i8")))
-    n = n.astype(np.int64)
-    first, order = np.cumsum(n) - n, np.argsort(c, kind="stable")
-    return c[order], first[order], n[order], length.astype(np.int64), value
-
-
-def _apply(kind: Kind, finish, schema: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _apply(kind: Kind, cells, finish, schema: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table(schema, [])
         ids, null = _ids(table), table.column("doc_id").is_null().to_pylist()
-        rows_ = table.column("row").to_numpy()
-        copy = ~np.isin(rows_, _without_copies(table, answers).column("row").to_numpy())
-        answers = answers.filter(pc.not_equal(answers.column("bucket"), _COPIES)) if answers.num_rows else answers
-        c, first, n, length, value = _values(answers)
-        rows = []
-        for a, b, part in _pieces(kind, table):
-            hit = np.empty(0, np.int64)
-            if len(c) and len(part.content):
-                i = np.minimum(np.searchsorted(c, part.content), len(c) - 1)
-                chosen = np.flatnonzero(c[i] == part.content)
-                run_, p = _kernel.ragged(n[i[chosen]])
-                r = first[i[chosen]][run_] + p
-                windows, q = _kernel.ragged(length[r])  # runs of values, window by window
-                of = run_[windows]
-                sizes = np.bincount(of, minlength=len(chosen))
-                _, q = _kernel.ragged(sizes)
-                starts = part.run_start[chosen][of] + q
-                v = value[r][windows]
-                own = ids[a:b][np.searchsorted(part.first, starts, "right") - 1]
-                hit = starts[v > 0] if kind.counted else starts[v < own]
+        asked = _asked(answers)
+        names, n, length, value = _answers(answers)
+        first = np.cumsum(n) - n
+        buckets = table.column("groups")[0].as_py()
+        buf, offsets = _kernel.pack(table.column("text"))
+        rows, long = [], None
+
+        def hits(a: int, b: int, part: Part) -> np.ndarray:
+            chosen = np.flatnonzero(_among(_places(part.minimiser, buckets), asked))
+            i = np.array([names.get(_name(x), -1) for x in part.raw(kind, chosen)], np.int64)
+            chosen, i = chosen[i >= 0], i[i >= 0]
+            run_, p = _kernel.ragged(n[i])
+            r = first[i][run_] + p
+            windows, _ = _kernel.ragged(length[r])  # runs of values, window by window
+            of = run_[windows]
+            _, q = _kernel.ragged(np.bincount(of, minlength=len(chosen)))
+            starts = part.run_start[chosen][of] + q
+            v = value[r][windows]
+            own = ids[a:b][np.searchsorted(part.first, starts, "right") - 1]
+            return starts[v > 0] if kind.counted else starts[v < own]
+
+        def close():
+            """The row of a document that came in stretches."""
+            row, total, found, starts, ends = long
+            removed = _kernel.cover(np.concatenate([np.empty(0, np.int64), *found]), kind.window, total)
+            units = None if kind.units == "bytes" else (np.concatenate(starts), np.concatenate(ends))
+            rows.append((None if null[row] else int(ids[row]), *finish(buf[offsets[row] : offsets[row + 1]], units, removed)))
+
+        for a, b, unit, at, part in _pieces(kind, table, cells.value):
+            size = int(offsets[b] - offsets[a])
+            if long is not None and long[0] != a:
+                close()
+                long = None
+            hit = hits(a, b, part)
+            if size > _kernel.PIECE:
+                long = long or [a, 0, [], [], []]
+                long[2].append(hit + unit)
+                if kind.units == "words":  # without those that the stretch before had
+                    new = long[1] - unit
+                    long[3].append((part.start[new:] + at).astype(np.uint32))
+                    long[4].append((part.end[new:] + at).astype(np.uint32))
+                long[1] = size if kind.units == "bytes" else unit + int(part.first[-1])
+                continue
             total = int(part.first[-1])
             removed = _kernel.cover(hit, kind.window, total) if len(hit) else np.zeros(total, bool)
             for j in range(b - a):
                 x, y = int(part.first[j]), int(part.first[j + 1])
-                if copy[a + j] and y - x >= kind.window:
-                    removed[x:y] = True
-                rows.append((None if null[a + j] else int(ids[a + j]), *finish(part, x, y, removed[x:y])))
+                units = None if kind.units == "bytes" else (part.start[x:y] - part.offsets[j], part.end[x:y] - part.offsets[j])
+                rows.append((None if null[a + j] else int(ids[a + j]), *finish(buf[offsets[a + j] : offsets[a + j + 1]], units, removed[x:y])))
+        if long is not None:
+            close()
+        _kernel.release()
         return _table(schema, rows)
 
     return run
 
 
+def _cells(rows: DataFrame, kind: Kind, n: int) -> np.ndarray:
+    """How common k-mers are, by hash: logarithms of their counts in a sample of at most SAMPLE_SLICES slices of texts, taken at places that a hash gives."""
+    at = 1 + F.pmod(F.xxhash64(F.octet_length("text"), "doc_id"), F.greatest(F.lit(1), F.octet_length("text") - SLICE)).cast("int")
+    some = rows.where("text is not null").sample(min(1.0, SAMPLE_SLICES / max(1, n)), 5) if n > SAMPLE_SLICES else rows
+    counts = np.zeros(CELLS, np.int64)
+    for (text,) in some.select(F.substring(F.col("text"), at, F.lit(SLICE))).limit(2 * SAMPLE_SLICES).collect():
+        buf = np.frombuffer((text or "").encode(), np.uint8)
+        start, end, _ = _kernel.words(buf, np.array([0, len(buf)]), _kernel.WHITE) if kind.units == "words" else (None, None, None)
+        np.add.at(counts, (_values(kind, buf, start, end) & np.uint64(CELLS - 1)).astype(np.int64), 1)
+    return np.minimum(63, np.ceil(np.log2(counts + 1))).astype(np.uint8)
+
+
 def judge(docs: DataFrame, kind: Kind, finish, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: doc_id, then what finish(part, first unit, last unit, removed units) returns."""
+    """A row for each document: doc_id, then what finish(its bytes, starts and ends of its words or None, removed units) returns."""
     spark = docs.sparkSession
     rows = docs.select(exact(id_col).cast("long").alias("doc_id"), exact(text_col).alias("text"))
     partitions = shuffle_partitions(spark)
-    groups = max(partitions, -(-volume(rows, "text") // GROUP_BYTES))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("pid", F.pmod("row", F.lit(groups)).cast("int"))
-    dealt = rows.repartition(partitions, "pid")
-    copies = _whole_copies(rows, kind)
-    with_copies = lambda answers: (answers if copies is None else answers.unionByName(copies)).groupBy("pid")
-    none = spark.createDataFrame([], _ANSWER)
-    requests = dealt.groupBy("pid").cogroup((none if copies is None else copies).groupBy("pid")).applyInArrow(_request(kind, groups), _REQUEST)
+    whole = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    groups = max(partitions, -(-(whole["bytes"] or 0) // GROUP_BYTES))
+    cells = spark.sparkContext.broadcast(_cells(rows, kind, whole["n"]))  # CELLS bytes
+    dealt = rows.withColumn("groups", F.lit(groups).cast("int")).withColumn("pid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).repartition(partitions, "pid")
+    requests = dealt.groupBy("pid").applyInArrow(_request(kind, groups, cells), _REQUEST)
     again = requests.groupBy("bucket").applyInArrow(_find_again, _ANSWER)
-    strings = dealt.groupBy("pid").cogroup(with_copies(again)).applyInArrow(_send_strings(kind, groups), _STRINGS)
-    answers = strings.groupBy("bucket").applyInArrow(_answer_windows(kind), _ANSWER)
-    return dealt.groupBy("pid").cogroup(with_copies(answers)).applyInArrow(_apply(kind, finish, schema), schema)
-
-
-def _whole_copies(rows: DataFrame, kind: Kind) -> DataFrame | None:
-    """Where least ids count: to each group those of its rows whose whole text a document with a smaller id has, by the text's SHA-256.
-
-    Where occurrences count, every copy counts, so there are none.
-    """
-    if kind.counted:
-        return None
-    named = staged(rows.select("pid", "row", F.coalesce("doc_id", F.lit(LOW)).alias("id"), F.sha2("text", 256).alias("h")).where("h is not null"), "text-names")
-    first = named.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "first")
-    first = staged(first, "first-copies")  # a table of its own, so that Spark can split the join of many copies
-    later = named.join(first, "h").where("id > first").select("pid", "row")
-
-    def pack(table: pa.Table) -> pa.Table:
-        return _table(_ANSWER, [(table.column("pid")[0].as_py(), _COPIES, table.column("row").to_numpy().astype(np.int64).tobytes(), b"", b"", b"")])
-
-    return staged(later.groupBy("pid").applyInArrow(pack, _ANSWER), "whole-copies")
+    strings = dealt.groupBy("pid").cogroup(again.groupBy("pid")).applyInArrow(_send_strings(kind, groups, cells), _STRINGS)
+    if groups <= BLOCK:  # one block: it would pass on what it gets
+        answers = strings.groupBy("bucket").applyInArrow(_answer_windows(kind), _ANSWER)
+    else:
+        found = strings.groupBy("bucket", "block").applyInArrow(_combine, _STRINGS).groupBy("bucket").applyInArrow(_answer_windows(kind), _ANSWER)
+        to_blocks = found.withColumnRenamed("pid", "block")
+        answers = strings.groupBy("bucket", "block").cogroup(to_blocks.select(F.col("block").alias("pid"), *to_blocks.columns[1:], "block").groupBy("bucket", "block")).applyInArrow(_pass_on, _ANSWER)
+    return dealt.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_apply(kind, cells, finish, schema), schema)

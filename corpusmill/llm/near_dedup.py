@@ -11,8 +11,8 @@
    anew under the `LEAST` least hashes of their whole sets (a pair at the threshold shares none of them with a chance of 6e-8), but
    for documents of which too much is their own to be linked at all. Each member meets the hub of its list and band of
    sizes, the one with the least of its own; the estimate and the verification follow as before, and links give components.
-   Pairs still in different components are compared on whole sets, once, in blocks of a list, unless what they can
-   share at most rules them out; only links leave the task.
+   Pairs still in different components are compared on whole sets, once, in blocks of a list, unless their sizes or what they can
+   share at most rule them out; only links leave the task.
 5. Components of all links; the row of least id of each stays, of equal ids that of the least hash of its text.
 
 Hot lists and classes are only ever aggregated, joined (which Spark splits) or cut in blocks.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.llm import _kernel
-from corpusmill.llm._common import exact, shuffle_partitions, staged
+from corpusmill.llm._common import exact, free, shuffle_partitions, staged
 from corpusmill.llm.components import components
 
 K, SHARED, SHINGLE = 48, 20, 5
@@ -44,26 +44,38 @@ SHORT_LIST, BLOCK = 24, 512
 #: Whole sets of members of long lists meet under so many least hashes; a pair at the threshold shares none with a chance of 0.25**12.
 LEAST = 12
 _NULL_ID = (1 << 63) - 1
+#: Pairs of one class that are verified in one place.
+SHARE = 64
 #: Ids that are broadcast at most (32 MB); more are joined by a shuffle of the texts.
 FEW_IDS = 4_000_000
 
 
+def _shingles(hashes: np.ndarray, shingle: int) -> np.ndarray:
+    """Hashes of all runs of so many words; of fewer words, of the whole sequence."""
+    return _kernel.grams(hashes, min(shingle, len(hashes))) if len(hashes) else hashes
+
+
 def shingle_sets(texts, shingle: int = SHINGLE):
-    """For each text its distinct shingle hashes, in order."""
+    """For each text its distinct shingle hashes, in order; a long text is read in stretches."""
     whole, offsets = _kernel.pack(texts)
     for a, b in _kernel.parts(offsets):
-        buf = _kernel.LOWER[whole[offsets[a] : offsets[b]]]
+        raw = whole[offsets[a] : offsets[b]]
+        if b - a == 1 and len(raw) > _kernel.PIECE:
+            found, more, waiting = np.empty(0, np.uint64), [], 0
+            for number, start, end, at, stop in _kernel.stretches(raw, _kernel.WHITE, shingle - 1):
+                if not number or len(start) >= shingle:
+                    more.append(np.unique(_shingles(_kernel.word_hashes(_kernel.LOWER[raw[at:stop]], start, end), shingle)))
+                    waiting += len(more[-1])
+                    if waiting > max(len(found), _kernel.PIECE):
+                        found, more, waiting = np.unique(np.concatenate([found, *more])), [], 0
+            yield np.unique(np.concatenate([found, *more]))
+            continue
+        buf = _kernel.LOWER[raw]
         start, end, first = _kernel.words(buf, offsets[a : b + 1] - offsets[a], _kernel.WHITE)
-        sums = _kernel.prefix(_kernel.word_hashes(buf, start, end)) if len(start) else np.zeros(1, np.uint64)
-        at = np.arange(max(0, len(start) - shingle + 1))
-        hashes = _kernel.mix(_kernel.slices(sums, at, at + shingle) + np.uint64(shingle))
+        words = _kernel.word_hashes(buf, start, end) if len(start) else np.empty(0, np.uint64)
+        hashes = _kernel.grams(words, shingle)
         for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if y - x >= shingle:
-                yield np.unique(hashes[x : y - shingle + 1])
-            elif y > x:
-                yield _kernel.mix(_kernel.slices(sums, np.array([x]), np.array([y])) + np.uint64(y - x))
-            else:
-                yield np.empty(0, np.uint64)
+            yield np.unique(hashes[x : y - shingle + 1]) if y - x >= shingle else _shingles(words[x:y], shingle)
 
 
 def sketches(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -130,7 +142,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, percent: in
     open_ = pairs.where(~F.col("sure")).select("a", "b")
     members = open_.select(F.col("a").alias("id")).unionByName(open_.select(F.col("b").alias("id"))).distinct()
     texts = _texts(rows, members, classes)
-    joined = open_.join(texts.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("t_a")), "a")
+    # a hub has a pair with each member of its list: its text goes to as many places as its pairs need
+    degrees = open_.groupBy("a").agg(F.count("*").alias("degree")).withColumn("shares", F.ceil(F.col("degree") / SHARE).cast("int"))
+    degrees = staged(degrees.select("a", "shares"), "degrees")
+    salted = open_.join(degrees, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")).drop("shares")
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("t_a")).join(degrees, "a").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    joined = salted.join(texts.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b").join(left, ["a", "share"])
 
     def run(batches):
         for batch in batches:
@@ -187,9 +204,14 @@ def _may_link(n, s, other_n, other_s, percent: int):
     return most * 100 >= (n + other_n - most) * percent
 
 
+def _band(n: Column, percent: int) -> Column:
+    """Bands of sizes: sizes that allow a link are in one band or in two beside each other."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+
+
 def _hubs(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs a < b of each member with the hub of its list and band of sizes and of the bands beside: the one with the least that no other has."""
-    banded = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))))
+    banded = lists.withColumn("band", _band(F.col("n"), percent))
     hubs = banded.groupBy("v", "band").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("s").alias("other_s"))).alias("h")).select("v", "band", "h.*")
     hubs = staged(hubs, "hubs")  # a table of its own, so that Spark can split the join of a long list
     near = banded.select("v", "id", "n", "s", F.explode(F.array("band", F.col("band") - 1, F.col("band") + 1)).alias("band"))
@@ -198,15 +220,32 @@ def _hubs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_links(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links u, v across components in lists with members in several: blocks of members meet in tasks, which compare whole sets and emit links only."""
+    """Links u, v across components in lists with members in several: blocks of members meet in tasks, which compare whole sets and emit links only.
+
+    A list is cut by size first: a band's blocks meet each other and those of the next band, and only bands with members of
+    several components between them are looked at.
+    """
     placed = lists.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    placed = staged(placed, "placed-whole")
-    mixed = placed.groupBy("v").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("members_2"))
-    # lists of the same members stand for each other
-    mixed = mixed.where("x <> y").groupBy("m", "members", "members_2").agg(F.min("v").alias("v")).select("v", "m")
-    rows = placed.join(mixed, "v").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    rows = rows.select("v", "id", "n", "s", "keys", "comp", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-    rows = rows.select("v", "id", "n", "s", "keys", "comp", "i", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
+    placed = staged(placed.withColumn("band", _band(F.col("n"), percent)), "placed-whole")
+    whole = placed.groupBy("v").agg(F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("members_2"))
+    whole = whole.groupBy("m", "members", "members_2").agg(F.min("v").alias("v")).select("v")  # lists of the same members stand for each other
+    bands = placed.join(whole, "v", "left_semi").groupBy("v", "band").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    bands = staged(bands.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")), "bands")
+    after = bands.select("v", (F.col("band") - 1).alias("band"), F.col("nb").alias("next_nb"), F.col("x").alias("next_x"), F.col("y").alias("next_y"))
+    inside = bands.where("x <> y").select("v", "band", F.lit(0).alias("step"), "nb", F.col("nb").alias("other_nb"))
+    across = bands.join(after, ["v", "band"]).where("least(x, next_x) <> greatest(y, next_y)").select("v", "band", F.lit(1).alias("step"), "nb", F.col("next_nb").alias("other_nb"))
+    meetings = staged(inside.unionByName(across), "meetings")  # a row for each band of a list, and each two of them
+    columns = ("v", "id", "n", "s", "keys", "comp")
+
+    def block(nb: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(nb)).cast("int")
+
+    # x <= y within a band; across bands every block of one meets every block of the other
+    own = placed.join(meetings.where("step = 0"), ["v", "band"]).withColumn("i", block("nb")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    own = own.select(*columns, "band", "step", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), F.col("i").alias("block"))
+    lower = placed.join(meetings.where("step = 1"), ["v", "band"]).withColumn("x", block("nb")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("other_nb") - 1)))
+    upper = placed.withColumn("band", F.col("band") - 1).join(meetings.where("step = 1"), ["v", "band"]).withColumn("y", block("other_nb")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = own.unionByName(lower.select(*columns, "band", "step", "x", "y", F.lit(0).alias("block"))).unionByName(upper.select(*columns, "band", "step", "x", "y", F.lit(1).alias("block")))
     rows = rows.join(sets, "id")
 
     def compare(key: int, group: list[tuple]) -> list[tuple[int, int]]:
@@ -241,20 +280,21 @@ def _block_links(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: i
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], ["u", "v"])
 
         for batch in batches:
-            v, x, y = (batch.column(c).to_pylist() for c in range(3))
-            rest = [batch.column(c).to_pylist() for c in range(3, 8)]
-            keys, arrays = batch.column(8), batch.column(9)
+            where = list(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True))
+            rest = [batch.column(c).to_pylist() for c in range(5, 10)]
+            keys, arrays = batch.column(10), batch.column(11)
             for k in range(batch.num_rows):
-                if key != (v[k], x[k], y[k]):
+                if key != where[k]:
                     if group:
                         yield done()
-                    key, group = (v[k], x[k], y[k]), []
+                    key, group = where[k], []
                 group.append((*(c[k] for c in rest), keys[k].values.to_numpy(), arrays[k].values.to_numpy()))
         if group:
             yield done()
 
-    rows = rows.repartition(shuffle_partitions(rows.sparkSession), "v", "x", "y").sortWithinPartitions("v", "x", "y")
-    return rows.select("v", "x", "y", "id", "n", "s", "comp", "i", "keys", "shingles").mapInArrow(run, "u long, v long").distinct()
+    at = ("v", "band", "step", "x", "y")
+    rows = rows.repartition(shuffle_partitions(rows.sparkSession), *at).sortWithinPartitions(*at)
+    return rows.select(*at, "id", "n", "s", "comp", "block", "keys", "shingles").mapInArrow(run, "u long, v long").distinct()
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -305,9 +345,10 @@ def near_components(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
 
 def drop_near_copies(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, columns as they were, with only the row of least id of each component."""
-    dropped = _placed(docs, percent, shingle, id_col, text_col).where("not kept").select(F.col("id").alias("_dropped"), F.col("ref").alias("_dropped_ref")).distinct()
+    own_id, own_ref = free(docs, "dropped_id", "dropped_ref")
+    dropped = _placed(docs, percent, shingle, id_col, text_col).where("not kept").select(F.col("id").alias(own_id), F.col("ref").alias(own_ref)).distinct()
     id_ = F.coalesce(exact(id_col).cast("long"), F.lit(_NULL_ID))
-    return docs.join(dropped, (id_ == F.col("_dropped")) & (_ref(id_, exact(text_col)) == F.col("_dropped_ref")), "left_anti")
+    return docs.join(dropped, (id_ == F.col(own_id)) & (_ref(id_, exact(text_col)) == F.col(own_ref)), "left_anti")
 
 
 def near_digest(docs: DataFrame) -> DataFrame:

@@ -7,8 +7,11 @@ sample (`MAX_LABELLED` labelled documents, taken by the hash of their ids, and `
 a quantile of the sample's scores: the one that agrees with most labels. The result is the logistic
 function of the score less the threshold, so 0.5 is the threshold.
 
+How much of a text repeats is measured in blocks of `WORDS` words, so a text of any length is read a stretch at a time.
+
 Defined cases: a null text counts as empty, and both get the score of their statistics; null labels and labels of
-documents that are absent are ignored; with labels of one kind only, or none, all scores are 0.5; repeated rows are scored row by
+documents that are absent are ignored; an id that is labelled both ways counts once for each; of several documents with one labelled id the
+one whose statistics hash least is learnt from; with labels of one kind only, or none, all scores are 0.5; repeated rows are scored row by
 row; other columns are kept by `keep_good`; an empty table gives no rows.
 """
 
@@ -41,45 +44,66 @@ def _classes() -> np.ndarray:
 _CLASSES = _classes()
 
 
-def _distinct(doc: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    """Distinct hashes of each document."""
-    keys = np.unique((doc.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
-    return np.bincount((keys >> np.uint64(40)).astype(np.int64), minlength=n)
+#: Words of a block in which repetition is measured.
+WORDS = 1024
+#: What is summed over a text: bytes by value, then words, short, long and marked words, words that end in a symbol; words and pairs of neighbours that are new in their block, pairs.
+_SUMS = 256 + 8
+
+
+def _repetition(doc: np.ndarray, place: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """For each document: distinct words of each block, distinct pairs of neighbours in a block, and pairs, summed over its blocks."""
+    block = np.cumsum(np.concatenate(([0], (doc[1:] != doc[:-1]) | (place[1:] % WORDS == 0)))).astype(np.uint64)[: len(doc)]
+
+    def distinct(block, doc, hashes):
+        _, first = np.unique((block << np.uint64(40)) | (hashes >> np.uint64(24)), return_index=True)
+        return np.bincount(doc[first], minlength=n)
+
+    same = block[1:] == block[:-1]
+    pairs = _kernel.mix(_kernel.join(hashes[:-1], hashes[1:]))[same]
+    return np.stack([distinct(block, doc, hashes), distinct(block[1:][same], doc[1:][same], pairs), np.bincount(doc[1:][same], minlength=n)], 1)
+
+
+def _word_sums(buf: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    length, last = end - start, buf[end - 1]
+    return np.stack([np.bincount(doc, x, n) for x in (np.ones(len(doc)), length < 4, length > 12, _CLASSES[last, 4] > 0, _CLASSES[last, 5] > 0)], 1)
+
+
+def _long_sums(text: np.ndarray) -> np.ndarray:
+    """The sums of one long text."""
+    out, held, done = np.zeros(_SUMS), np.empty(0, np.uint64), 0
+    for _, start, end, at, stop in _kernel.stretches(text, _kernel.WHITE, 0):
+        buf = text[at:stop]
+        out[:256] += np.bincount(buf, minlength=256)
+        if len(start):
+            out[256:261] += _word_sums(buf, start, end, np.zeros(len(start), np.int64), 1)[0]
+            held = np.concatenate([held, _kernel.word_hashes(buf, start, end)])
+        whole = len(held) if stop == len(text) else len(held) // WORDS * WORDS
+        if whole:
+            out[261:] += _repetition(np.zeros(whole, np.int64), np.arange(whole), held[:whole], 1)[0]
+            held, done = held[whole:], done + whole
+    return out
 
 
 def statistics(texts) -> np.ndarray:
     """A row of numbers for each text."""
     whole, offsets = _kernel.pack(texts)
-    out = []
+    sums, last = np.zeros((len(offsets) - 1, _SUMS)), np.zeros(len(offsets) - 1)
     for a, b in _kernel.parts(offsets):
         buf, at = whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        n = b - a
-        size = np.diff(at)
-        bytes_ = np.maximum(size, 1)
-        histogram = np.stack([np.bincount(buf[x:y], minlength=256) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
-        shares = histogram @ _CLASSES / bytes_[:, None]
-        start, end, first = _kernel.words(buf, at, _kernel.WHITE)
-        count = np.diff(first)
-        words = np.maximum(count, 1)
-        doc, _ = _kernel.ragged(count)
-        if len(start):
-            hashes = _kernel.word_hashes(buf, start, end)
-            distinct = _distinct(doc, hashes, n) / words
-            same = doc[1:] == doc[:-1]
-            pairs = _kernel.mix(hashes[:-1] * np.uint64(3) + hashes[1:])[same]
-            distinct_pairs = _distinct(doc[1:][same], pairs, n) / np.maximum(count - 1, 1)
-            length = end - start
-            short = np.bincount(doc, length < 4, n) / words
-            long = np.bincount(doc, length > 12, n) / words
-            marked = np.bincount(doc, _CLASSES[buf[end - 1], 4] > 0, n) / words
-            symbol = np.bincount(doc, _CLASSES[buf[end - 1], 5] > 0, n) / words
+        if b - a == 1 and len(buf) > _kernel.PIECE:
+            sums[a] = _long_sums(buf)
         else:
-            distinct = distinct_pairs = short = long = marked = symbol = np.zeros(n)
-        last = np.zeros(n)
-        full = size > 0
-        last[full] = np.isin(buf[at[1:][full] - 1], np.frombuffer(b".!?", np.uint8))
-        out.append(np.column_stack([np.log1p(size), np.log1p(count), size / words, distinct, distinct_pairs, short, long, marked, symbol, last, shares]))
-    return np.concatenate(out) if out else np.zeros((0, 10 + _CLASSES.shape[1]))
+            sums[a:b, :256] = [np.bincount(buf[x:y], minlength=256) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            start, end, first = _kernel.words(buf, at, _kernel.WHITE)
+            if len(start):
+                doc, place = _kernel.ragged(np.diff(first))
+                sums[a:b, 256:261] = _word_sums(buf, start, end, doc, b - a)
+                sums[a:b, 261:] = _repetition(doc, place, _kernel.word_hashes(buf, start, end), b - a)
+        full = np.flatnonzero(np.diff(at) > 0)
+        last[a + full] = np.isin(buf[at[1:][full] - 1], np.frombuffer(b".!?", np.uint8))
+    size, (count, short, long, marked, symbol, distinct, new_pairs, pairs) = np.diff(offsets), sums[:, 256:].T
+    words, bytes_ = np.maximum(count, 1), np.maximum(size, 1)
+    return np.column_stack([np.log1p(size), np.log1p(count), size / words, distinct / words, new_pairs / np.maximum(pairs, 1), short / words, long / words, marked / words, symbol / words, last, sums[:, :256] @ _CLASSES / bytes_[:, None]])
 
 
 @dataclass
@@ -138,9 +162,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
             _kernel.release()
 
-    got = rows.select("id", "text", "y").mapInArrow(measure, "id long, y int, x array<double>").limit(2 * MAX_LABELLED).toPandas()
-    x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, 10 + _CLASSES.shape[1]))
-    order = np.lexsort((*x.T, got["y"].to_numpy(), got["id"].to_numpy()))  # the same at every run
+    measured = rows.select("id", "text", "y").mapInArrow(measure, "id long, y int, x array<double>")
+    got = measured.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("x").alias("h"), "x"))["x"].alias("x")).toPandas()  # at most MAX_LABELLED rows
+    x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, statistics(pa.array([""])).shape[1]))
+    order = np.lexsort((got["y"].to_numpy(), got["id"].to_numpy()))  # the same at every run
     return train(x[order], got["y"].to_numpy(np.int64)[order])
 
 

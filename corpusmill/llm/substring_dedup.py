@@ -1,6 +1,6 @@
 """Substring dedup by super-k-mers: words covered by a window of words that occurs again are removed.
 
-Consecutive windows that share a minimiser (the least hash of their k-mers of words) travel as one packed string to the
+Consecutive windows that share a minimiser (the rarest of their k-mers of words, ties by hash) travel as one packed string to the
 minimiser's bucket, where sorting counts windows exactly; see `_windows` for the passes. Windows are judged on the
 input: every occurrence goes, the first included.
 
@@ -17,13 +17,18 @@ from pyspark.sql import functions as F
 from corpusmill.llm._windows import Kind, judge
 
 WINDOW, K = 35, 8
+#: Words that are joined at a time.
+_STEP = 1 << 16
 _OUT = "doc_id long, n_words long, n_removed long, kept string"
 
 
-def _finish(part, first: int, last: int, removed: np.ndarray) -> tuple:
-    kept = np.flatnonzero(~removed) + first
-    words = b" ".join([part.buf[x:y].tobytes() for x, y in zip(part.start[kept].tolist(), part.end[kept].tolist(), strict=True)])
-    return last - first, int(removed.sum()), words.decode()
+def _finish(text: np.ndarray, units: tuple[np.ndarray, np.ndarray], removed: np.ndarray) -> tuple:
+    kept, some = np.flatnonzero(~removed), []
+    for at in range(0, len(kept), _STEP):
+        own = kept[at : at + _STEP]
+        data, first = text[units[0][own[0]] : units[1][own[-1]]].tobytes(), int(units[0][own[0]])
+        some.append(b" ".join([data[x - first : y - first] for x, y in zip(units[0][own].tolist(), units[1][own].tolist(), strict=True)]))
+    return len(removed), int(removed.sum()), b" ".join(some).decode()
 
 
 def remove_repeated_words(docs: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,9 +2,9 @@
 
 Suffixes are ordered only through the threshold's bytes, by passes from the most significant digit; groups that are
 equal after the last pass are exactly the repeated windows. On a cluster the first pass can't move every suffix with its
-bytes (fifty times the corpus): it sorts on one digit that equal windows must share, their minimiser, and drops what is alone
-there. Suffixes that are left go on, neighbours packed in one string, to their digit's bucket, where the further
-passes take 8 bytes each. See `_windows` for the exchange.
+bytes (fifty times the corpus): it deals suffixes by a digit that equal windows must share, their rarest k-mer, and drops what
+is alone there. Suffixes that are left go on, neighbours packed in one string, to their digit's bucket, where the further
+passes take 8 bytes each, through byte 50. Copies of whole texts go the same way. See `_windows` for the exchange.
 
 A window is removed where a document with a smaller id has it too, judged on the input; the least id keeps it.
 
@@ -25,10 +25,9 @@ THRESHOLD, K = 50, 16
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _finish(part, first: int, last: int, removed: np.ndarray) -> tuple:
-    own = part.buf[first:last]
+def _finish(text: np.ndarray, _, removed: np.ndarray) -> tuple:
     n = int(removed.sum())
-    return last - first, n, len(_kernel.spans(removed)[0]) if n else 0, own[~removed].tobytes() if n else own.tobytes()
+    return len(text), n, len(_kernel.spans(removed)[0]) if n else 0, text[~removed].tobytes() if n else text.tobytes()
 
 
 def remove_repeated_bytes(docs: DataFrame, threshold: int = THRESHOLD, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

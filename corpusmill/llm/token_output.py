@@ -8,8 +8,10 @@ doc_id (int64), a flag byte (1: the id is null), the width of an id in bytes (2
 Encoding works on fragments: the tokenizer's pre-tokenizer always ends a piece before a single
 space that follows a non-space and precedes a byte that can't begin white space, between an ASCII letter
 and most punctuation or a line feed, and around a single line feed, so a text's ids are its fragments' ids in a row. Each distinct fragment is encoded by the tokenizers library once
-in a worker's table (`TABLE` fragments at most, then the later half is forgotten), and recognised by two
-independent 64-bit hashes.
+in a worker's table (`TABLE` fragments at most, then the later half is forgotten). A fragment is found by a hash and then
+compared: its bytes, where it has 16 at most, are two numbers; a longer one has a number of its own in a dictionary.
+A text of over `_kernel.PIECE` bytes is encoded a stretch at a time, cut where fragments end; a stretch without any such
+place (a run of megabytes without space) goes on until one comes.
 
 Defined cases: a null or empty text has only the end id; repeated rows give a record each; rows
 with equal doc_id are ordered by a hash of their text; a null doc_id comes first; other columns
@@ -34,6 +36,11 @@ from corpusmill.llm._common import exact, new_folder, shuffle_partitions, staged
 
 TABLE = 1_500_000
 FILE_BYTES = 64 << 20
+#: Bytes of long fragments that a table keeps.
+LONG_BYTES = 32 << 20
+_SHORT = 16
+#: Columns of the table: hash, low, high, length, place in the pool, number of ids.
+_LENGTH, _PLACE, _SIZE = 3, 4, 5
 _HEAD = struct.Struct("<qBB")
 _INDEX = "part int, record long, doc_id long, offset long, n_bytes long, n_tokens long"
 #: Bytes that can follow the space before which a text may be cut: not white space, nor the first byte of any.
@@ -62,33 +69,36 @@ class FragmentEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.levels: list[list[np.ndarray]] = []  # keys in order, checks, place and size in the pool; each level at least twice as long as the next
+        self.levels: list[list[np.ndarray]] = []  # keys in order, names (_NAME columns), place and size in the pool; each level at least twice as long as the next
         self.pool, self.used = np.empty(1 << 20, np.uint16 if self.width == 2 else np.uint32), 0
+        self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
 
     def _shrink(self) -> None:
-        """Forgets all but the longest level, where the common fragments are, and that too if it alone fills half the table."""
-        keep = self.levels[0]
-        if len(keep[0]) > TABLE // 2:
-            order = np.argsort(keep[2], kind="stable")[: TABLE // 2]  # those learnt first
-            order.sort()
+        """Forgets long fragments, and all but the longest level, where the common fragments are, and that too if it alone fills half the table."""
+        keep = self.levels[0] if self.levels else None
+        if keep is not None:
+            order = np.flatnonzero(keep[_LENGTH] <= _SHORT)
+            if len(order) > TABLE // 2:
+                order = np.sort(order[np.argsort(keep[_PLACE][order], kind="stable")[: TABLE // 2]])  # those learnt first
             keep = [x[order] for x in keep]
-        if not len(keep[0]):
+        if keep is None or not len(keep[0]):
             self.clear()
             return
-        item, place = _kernel.ragged(keep[3])
-        pool = self.pool[keep[2][item] + place]
+        item, place = _kernel.ragged(keep[_SIZE])
+        pool = self.pool[keep[_PLACE][item] + place]
         self.clear()
         self.pool, self.used = np.concatenate([pool, self.pool]), len(pool)
-        self.levels = [[keep[0], keep[1], np.cumsum(keep[3]) - keep[3], keep[3]]]
+        self.levels = [[*keep[:_PLACE], np.cumsum(keep[_SIZE]) - keep[_SIZE], keep[_SIZE]]]
 
-    def _learn(self, texts: list[bytes], keys: np.ndarray, checks: np.ndarray) -> None:
+    def _learn(self, texts: list[bytes], names: list[np.ndarray]) -> None:
         """Encodes new fragments; keys are in order."""
         ids, size = self._encode_all(texts)
         total = len(ids)
         if self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.empty(max(total, len(self.pool) // 2), self.pool.dtype)])
         self.pool[self.used : self.used + total] = ids
-        self.levels.append([keys, checks, self.used + np.cumsum(size) - size, size])
+        self.levels.append([*names, self.used + np.cumsum(size) - size, size])
         self.used += total
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             both = [np.concatenate(x) for x in zip(self.levels.pop(-2), self.levels.pop(), strict=True)]
@@ -120,48 +130,99 @@ class FragmentEncoder:
         item, at = _kernel.ragged(size)
         return ids[place[item] + at], size
 
-    def _find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at, size, found = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        for known, known_checks, known_at, known_size in self.levels:
+    def _find(self, names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place and size in the pool of the fragments with these names, and whether each is known."""
+        n = len(names[0])
+        at, size, found = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        for level in self.levels:
             left = np.flatnonzero(~found)
-            i = np.minimum(np.searchsorted(known, keys[left]), len(known) - 1)
-            hit = (known[i] == keys[left]) & (known_checks[i] == checks[left])
-            at[left[hit]], size[left[hit]], found[left[hit]] = known_at[i[hit]], known_size[i[hit]], True
+            i = np.minimum(np.searchsorted(level[0], names[0][left]), len(level[0]) - 1)
+            hit = _same([x[i] for x in level[:_PLACE]], [x[left] for x in names])
+            at[left[hit]], size[left[hit]], found[left[hit]] = level[_PLACE][i[hit]], level[_SIZE][i[hit]], True
         return at, size, found
 
+    def _names(self, buf: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
+        """For each fragment a hash, and what tells it from all others: its bytes as two numbers, and its length; or its number among long ones."""
+        start, n = edges[:-1], np.diff(edges)
+        eight = _kernel.eights(buf)
+        low = eight[start] & _kernel.MASK[np.minimum(n, 8)]
+        high = eight[start + 8 * (n > 8)] & _kernel.MASK[np.clip(n - 8, 0, 8)]
+        length = np.minimum(n, _SHORT + 1).astype(np.uint8)
+        for i in np.flatnonzero(n > _SHORT).tolist():
+            text = buf[edges[i] : edges[i + 1]].tobytes()
+            known = len(self.long)
+            low[i], high[i] = self.long.setdefault(text, known), 0
+            self.long_bytes += len(text) if len(self.long) > known else 0
+        return [_kernel.mix(_kernel.join(_kernel.mix(low), high) + length.astype(np.uint64)), low, high, length]
+
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and each text's range in them (n + 1)."""
         if not len(buf):
             return self.pool[:0], np.zeros(len(offsets), np.int64)
-        cut = np.zeros(len(buf) + 1, bool)
-        if len(buf) > 2:
-            feed, letter, solid = buf == 0x0A, _LETTER[buf], _kernel.WHITE[buf]
-            cut[1 : len(buf) - 1] = (buf[1:-1] == 0x20) & solid[:-2] & _AFTER[buf[2:]]
-            cut[1 : len(buf)] |= _STOP[buf[1:]] & letter[:-1]
-            cut[1 : len(buf)] |= feed[1:] & _STOP[buf[:-1]] & solid[:-1]
-            cut[2 : len(buf)] |= feed[1:-1] & solid[:-2] & letter[2:]
+        cut = _cuts(buf)
         cut[offsets] = True
         edges = np.flatnonzero(cut)
-        keys = _kernel.mix(_kernel.slices(_kernel.prefix(_kernel.byte_values(buf)), edges[:-1], edges[1:]))
-        checks = _kernel.slices(_kernel.prefix(_kernel.second_values(buf)), edges[:-1], edges[1:])
-        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        if (checks != checks[first][back]).any():
-            raise ValueError("two fragments share a hash")
-        at, size, found = self._find(unique, checks[first])
-        if not found.all():
-            known = sum(len(x[0]) for x in self.levels)
-            if known > TABLE // 2 and known + len(unique) > TABLE:
-                self._shrink()
+        names = self._names(buf, edges)
+        _, first, back = np.unique(names[0], return_index=True, return_inverse=True)
+        unique = [x[first] for x in names]
+        at, size, found = self._find(unique)
+        known = sum(len(x[0]) for x in self.levels)
+        if (known > TABLE // 2 and known + len(first) > TABLE) or self.long_bytes > LONG_BYTES:
+            fresh = not self.levels and len(self.long) <= len(first)
+            self._shrink()
+            if not fresh:
                 return self.encode(buf, offsets)
+            names = self._names(buf, edges)
+            unique = [x[first] for x in names]
+            at, size, found = self._find(unique)
+        if not found.all():
             new = first[~found]
-            texts = [buf[a:b].tobytes() for a, b in zip(edges[new].tolist(), edges[new + 1].tolist(), strict=True)]
-            self._learn(texts, keys[new], checks[new])
-            at, size, found = self._find(unique, checks[first])
+            self._learn([buf[a:b].tobytes() for a, b in zip(edges[new].tolist(), edges[new + 1].tolist(), strict=True)], [x[~found] for x in unique])
+            at, size, found = self._find(unique)
+        if not found.all() or not _same([x[back] for x in unique], names).all():  # different fragments with one hash
+            ids, size = self._encode_all([buf[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+            return ids, np.concatenate(([0], np.cumsum(size)))
         at, size = at[back], size[back]
         item, place = _kernel.ragged(size)
         ends = np.concatenate(([0], np.cumsum(size)))
         return self.pool[at[item] + place], ends[np.searchsorted(edges, offsets)]
 
+    def encode_long(self, text: np.ndarray) -> np.ndarray:
+        """The ids of one text, encoded a stretch at a time."""
+        found, at = [], 0
+        while at < len(text):
+            stop = min(len(text), at + _kernel.PIECE)
+            while stop < len(text):
+                # a cut depends on two bytes before it and two after; the last of the stretch that has all four
+                cuts = np.flatnonzero(_cuts(text[max(at, stop - _kernel.PIECE) : stop])[:-2]) + max(at, stop - _kernel.PIECE)
+                cuts = cuts[cuts > at + 2]
+                if len(cuts):
+                    stop = int(cuts[-1])
+                    break
+                stop = min(len(text), stop + _kernel.PIECE - 8)
+            found.append(self.encode(text[at:stop], np.array([0, stop - at]))[0])
+            at = stop
+        return np.concatenate(found)
+
+
+def _cuts(buf: np.ndarray) -> np.ndarray:
+    """Whether a text may be cut before each byte (n + 1)."""
+    cut = np.zeros(len(buf) + 1, bool)
+    if len(buf) > 2:
+        feed, letter, solid = buf == 0x0A, _LETTER[buf], _kernel.WHITE[buf]
+        cut[1 : len(buf) - 1] = (buf[1:-1] == 0x20) & solid[:-2] & _AFTER[buf[2:]]
+        cut[1 : len(buf)] |= _STOP[buf[1:]] & letter[:-1]
+        cut[1 : len(buf)] |= feed[1:] & _STOP[buf[:-1]] & solid[:-1]
+        cut[2 : len(buf)] |= feed[1:-1] & solid[:-2] & letter[2:]
+    return cut
+
+
+def _same(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    out = a[0] == b[0]
+    for x, y in zip(a[1:], b[1:], strict=True):
+        out &= x == y
+    return out
+
 
 @functools.lru_cache(1)
 def encoder(path: str) -> FragmentEncoder:
@@ -196,8 +257,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
                 out = _files.Whole(f"{folder}/part-{part:05d}.rec")
             buf, offsets = _kernel.pack(batch.column(1))
             doc_ids = batch.column(0).to_pylist()
-            for a, b in _kernel.parts(offsets, 1 << 20):
-                ids, ranges = encode.encode(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for a, b in _kernel.parts(offsets, _kernel.PIECE):
+                if offsets[b] - offsets[a] > _kernel.PIECE:
+                    ids = encode.encode_long(buf[offsets[a] : offsets[b]])
+                    ranges = np.array([0, len(ids)])
+                else:
+                    ids, ranges = encode.encode(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 body, at, counts = _payloads(ids, ranges, doc_ids[a:b], end_id)
                 data, starts = _records.frame(body, at)
                 out.write(data)
@@ -216,6 +281,13 @@ def _decode(body: np.ndarray, start: int, end: int) -> tuple[int | None, np.ndar
     return None if null else doc_id, body[start + _HEAD.size : end].view(f"<u{width}") if (start + _HEAD.size) % width == 0 else np.frombuffer(body[start + _HEAD.size : end].tobytes(), f"<u{width}")
 
 
+def _crc32(tokens: np.ndarray) -> int:
+    out = 0
+    for at in range(0, len(tokens), 1 << 20):
+        out = zlib.crc32(tokens[at : at + (1 << 20)].astype("<u4"), out)
+    return out
+
+
 def read_tokens(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
     """Every record, read from the files in order: doc_id, start (ids before it), n_tokens, ids_crc32 (over the ids as uint32)."""
     totals = index.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row for each file
@@ -228,44 +300,43 @@ def read_tokens(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame
         for batch in batches:
             for part, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, path = _files.store(f"{folder}/part-{part:05d}.rec")
-                done, left = base, b""
+                done = base
                 with fs.open_input_stream(path) as stream:
-                    while data := stream.read(4 << 20):
-                        body, a, b, used = _records.unframe(left + data)
-                        left = (left + data)[used:]
+                    for body, a, b in _records.stream_records(stream):
                         ids, first, count, crc = [], [], [], []
                         for x, y in zip(a.tolist(), b.tolist(), strict=True):
                             doc_id, tokens = _decode(body, x, y)
                             ids.append(doc_id)
                             first.append(done)
                             count.append(len(tokens))
-                            crc.append(zlib.crc32(tokens.astype("<u4")))
+                            crc.append(_crc32(tokens))
                             done += len(tokens)
-                        if ids:
-                            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, first, count, crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
-                if left:
-                    raise ValueError("a record file ends within a record")
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, first, count, crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.createDataFrame(starts, "part int, base long").repartition(max(1, len(starts)))
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_shuffled(spark: SparkSession, folder: str, index: DataFrame, seed: int = 0) -> DataFrame:
-    """Records fetched one by one through the index, in an order that depends on the seed alone: doc_id, ids array."""
+    """Records fetched through the index, in an order that depends on the seed alone: doc_id, ids array.
+
+    A batch of records is read file by file, each opened once a task (`_records.OPEN` at most at a time), neighbours in one read; then it is put in order.
+    """
     order = index.withColumn("o", F.xxhash64(F.lit(seed), "part", "record"))
     order = order.repartitionByRange(shuffle_partitions(spark), "o").sortWithinPartitions("o").select("part", "offset", "n_bytes")
 
     def read(batches):
-        for batch in batches:
-            ids, tokens = [], []
-            for part, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fs, path = _files.store(f"{folder}/part-{part:05d}.rec")
-                with fs.open_input_file(path) as file:
-                    body, a, b, _ = _records.unframe(file.read_at(n, at))
-                doc_id, x = _decode(body, int(a[0]), int(b[0]))
-                ids.append(doc_id)
-                tokens.append(x.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        with _records.Files(lambda part: f"{folder}/part-{part:05d}.rec") as files:
+            for batch in batches:
+                part, at, n = (batch.column(c).to_numpy().astype(np.int64) for c in range(3))
+                for x, y in _kernel.parts(np.concatenate(([0], np.cumsum(n))), 8 << 20):
+                    ids, tokens = [], []
+                    for record in files.fetch(part[x:y], at[x:y], n[x:y]):
+                        body, a, b, _ = _records.unframe(record)
+                        doc_id, own = _decode(body, int(a[0]), int(b[0]))
+                        ids.append(doc_id)
+                        tokens.append(own.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return order.mapInArrow(read, "doc_id long, ids array<int>")
 
