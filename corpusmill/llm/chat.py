@@ -6,8 +6,10 @@ backslash and into each "<|", so no mark can occur in them, and `unescape` undoe
 once with offsets; for each assistant text's span, binary search in the tokens' sorted ends and starts gives
 the tokens under the loss mask.
 
-Rows are hash-partitioned by conversation and sorted by turn there; a task streams them. A conversation longer than `SEGMENT`
-characters is put out in several rows (`segment` 0, 1, ...), cut at turn marks, where the tokenizer cuts anyway.
+Rows are hash-partitioned by conversation and sorted by turn there; a task streams them, and holds one conversation beside a
+few done ones. The tokenizer is given a conversation in stretches of whole turns (about `STRETCH` characters), as it cuts at marks
+anyway; offsets go on from one to the next, so ids, offsets and mask are those of the whole text. `format_chats` gives a row for each
+conversation, however long; a row holds at most 2 GB.
 
 Defined cases: a null text or role is empty; a null conv_id is a conversation of its own; turns with equal numbers are
 ordered by role and text, repeated rows are repeated turns, a null turn comes first; other columns are ignored; an empty table
@@ -25,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm._common import exact, shuffle_partitions
+from corpusmill.llm._common import exact, shuffle_partitions, staged
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
-SEGMENT = 1 << 18
-_FORMATTED = "conv_id long, segment int, formatted string, ids array<int>, mask array<boolean>"
+#: Characters that the tokenizer is given at a time, and that are done before a batch leaves the task.
+STRETCH, BATCH = 1 << 18, 1 << 20
+_FORMATTED = "conv_id long, formatted string, ids array<int>, mask array<boolean>"
 
 
 def escape(text: str) -> str:
@@ -40,16 +43,16 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
-def render(turns: list[tuple[str, str]], learn: str = "assistant") -> tuple[str, list[tuple[int, int]]]:
-    """The formatted text of (role, text) turns, and the sorted spans of the texts to learn."""
+def render(turns: list[tuple[str, str]], learn: str = "assistant") -> tuple[list[str], list[tuple[int, int]]]:
+    """The formatted text of (role, text) turns, turn by turn, and the sorted spans of the texts to learn."""
     out, spans, at = [], [], 0
     for role, text in turns:
         head, body = f"{TURN}{escape(role)}{TEXT}", escape(text)
-        out += [head, body, END]
+        out.append(head + body + END)
         if role == learn:
             spans.append((at + len(head), at + len(head) + len(body)))
-        at += len(head) + len(body) + len(END)
-    return "".join(out), spans
+        at += len(out[-1])
+    return out, spans
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -80,36 +83,47 @@ def mask_of(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _segments(batches, path: str, learn: str):
-    """Rows (conv_id, role, text) in order: a row (conv_id, segment, formatted, ids, mask) for each conversation or part of one."""
-    encode = tokenizer(path)
+def encoded(turns: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and offsets (start, end) of rendered turns, as of their whole text."""
+    encode, ids, offsets, at, first = tokenizer(path), [], [], 0, 0
+    while first < len(turns):
+        last, size = first, 0
+        while last < len(turns) and (last == first or size + len(turns[last]) <= STRETCH):
+            size += len(turns[last])
+            last += 1
+        got = encode.encode("".join(turns[first:last]), add_special_tokens=False)
+        ids.append(np.array(got.ids, np.int32))
+        offsets.append(np.array(got.offsets, np.int64).reshape(-1, 2) + at)
+        first, at = last, at + size
+    return np.concatenate([np.empty(0, np.int32), *ids]), np.concatenate([np.empty((0, 2), np.int64), *offsets])
+
+
+def _conversations(batches, path: str, learn: str):
+    """Rows (conv_id, role, text) in order: a row (conv_id, formatted, ids, mask) for each conversation."""
     done: list[tuple] = []
-    conv, segment, turns, size = None, 0, [], 0
+    conv, turns, held = None, [], 0
 
-    def close():
-        formatted, spans = render(turns, learn)
-        got = encode.encode(formatted, add_special_tokens=False)
-        offsets = np.array(got.offsets, np.int64).reshape(-1, 2)
-        done.append((conv[0], segment, formatted, np.array(got.ids, np.int32), mask_of(offsets, spans)))
+    def close() -> int:
+        rendered, spans = render(turns, learn)
+        ids, offsets = encoded(rendered, path)
+        done.append((conv[0], "".join(rendered), ids, mask_of(offsets, spans)))
+        return len(done[-1][1])
 
     def batch():
-        ids, segments, formatted, tokens, masks = zip(*done, strict=True)
+        ids, formatted, tokens, masks = zip(*done, strict=True)
         done.clear()
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(segments, pa.int32()), pa.array(formatted), pa.array(tokens, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_()))], ["conv_id", "segment", "formatted", "ids", "mask"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(formatted), pa.array(tokens, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_()))], ["conv_id", "formatted", "ids", "mask"])
 
-    held = 0
     for rows in batches:
         for conv_id, role, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-            if turns and (conv != (conv_id,) or size > SEGMENT):
-                close()
-                segment = segment + 1 if conv == (conv_id,) else 0
-                held, turns, size = held + size, [], 0
-                if held > 4 * SEGMENT:
+            if turns and conv != (conv_id,):
+                held += close()
+                turns = []
+                if held > BATCH:
                     yield batch()
                     held = 0
             conv = (conv_id,)
             turns.append((role or "", text or ""))
-            size += len(turns[-1][1])
     if turns:
         close()
     if done:
@@ -117,54 +131,43 @@ def _segments(batches, path: str, learn: str):
 
 
 def format_chats(rows: DataFrame, tokenizer_path: str, learn: str = "assistant", id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, segment, formatted, ids and mask (per token: learnt or not)."""
+    """conv_id, formatted, ids and mask (per token: learnt or not)."""
     rows = rows.select(exact(id_col).cast("long").alias("conv_id"), exact(turn_col).alias("turn"), exact(role_col).alias("role"), exact(text_col).alias("text"))
     rows = rows.repartition(shuffle_partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(lambda batches: _segments(batches, tokenizer_path, learn), _FORMATTED)
+    return rows.select("conv_id", "role", "text").mapInArrow(lambda batches: _conversations(batches, tokenizer_path, learn), _FORMATTED)
 
 
 def chat_digest(spark: SparkSession, conversations: DataFrame) -> DataFrame:
-    """Query op2: all conversations and conversation -7, formatted, masked and read back from the output."""
+    """Query op2: all conversations and conversation -7, formatted, masked and written as a table; all columns are read back from it."""
     import public_tokenizers
 
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     path = public_tokenizers.path("byte_bpe_50k.json")
     out = format_chats(conversations.select("conv_id", "turn", "role", "text").unionByName(extra), path)
+    written = staged(out, "chats")
 
     def read(batches):
         decode = tokenizer(path)
-        conv, state = None, None
-
-        def row():
-            n, turns, chars, loss, formatted = state
-            return conv[0], n, turns.hexdigest(), chars, loss.hexdigest(), formatted
-
         for batch in batches:
             rows = []
             for conv_id, formatted, ids, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if conv != (conv_id,):
-                    if conv is not None:
-                        rows.append(row())
-                    conv, state = (conv_id,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text in parse(formatted):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
+                turns, learnt, chars = hashlib.sha256(), hashlib.sha256(), 0
+                parsed = parse(formatted)
+                for role, text in parsed:
+                    turns.update(f"{role}\n{text}\n".encode())
                 edges = np.flatnonzero(np.diff(np.array([False, *mask, False], np.int8)))
-                for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                    text = unescape(decode.decode(ids[a:b], skip_special_tokens=False))
-                    state[2] += len(text)
-                    state[3].update(text.encode())
-                state[4] += len(formatted)
-            if rows:
-                yield as_batch(rows)
-        if conv is not None:
-            yield as_batch([row()])
+                for text in decode.decode_batch([ids[a:b] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)], skip_special_tokens=False):
+                    text = unescape(text)
+                    chars += len(text)
+                    learnt.update(text.encode())
+                rows.append((conv_id, len(parsed), turns.hexdigest(), chars, learnt.hexdigest(), len(formatted)))
+            yield as_batch(rows)
 
     def as_batch(rows):
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    # segments of a conversation follow each other in the output, so it's read as it stands
-    return out.select("conv_id", "formatted", "ids", "mask").mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return written.select("conv_id", "formatted", "ids", "mask").mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
