@@ -1,7 +1,6 @@
 """Sharding by histogram sort: equal bytes a shard, found by counting, then one exchange.
 
-Rows are ordered by a key: a 64-bit hash of the text, then the id, then a hash of the whole row's
-id and size. Splitters between shards are found without sorting: each round counts the exact bytes
+Rows are ordered by a key: a 64-bit hash of the text, then the id; rows alike in both stand by size. Splitters between shards are found without sorting: each round counts the exact bytes
 below candidate keys (probes) over all partitions, keeps for every splitter the two neighbouring probes
 around its target, and probes between them again, until a probe is within the tolerance. Where one
 text's copies outweigh the tolerance, the splitter is refined by id within that hash value, so a giant
@@ -12,7 +11,7 @@ the exact count of rows in the ranges before its own plus its rank there, so no
 
 Defined cases: a null text has size 1, like an empty one, and hashes as one text of its own; a null
 id sorts before all others; identical rows can't be told apart and stay together; an empty table gives no
-rows; other columns are kept.
+rows; other columns are kept, whatever their names, but for columns named shard or slot, which give way to the result's.
 """
 
 from __future__ import annotations
@@ -112,9 +111,9 @@ def _range_of(splitters: list[tuple[int, int]]):
 def shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int | None = None) -> DataFrame:
     """docs with shard (0 to shards - 1, near equal in bytes of text plus 1 a row) and slot (0, 1, ... in the order of the key)."""
     spark = docs.sparkSession
-    key = {"_h": F.xxhash64(exact(text_col)), "_i": F.coalesce(exact(id_col).cast("long"), F.lit(_LOW)), "_size": F.coalesce(F.octet_length(exact(text_col)), F.lit(0)).cast("long") + 1}
-    rows = docs.withColumns(key)
-    keys = staged(rows.select(F.col("_h").alias("h"), F.col("_i").alias("i"), F.col("_size").alias("size")), "shard-keys")
+    key = [F.xxhash64(exact(text_col)).alias("h"), F.coalesce(exact(id_col).cast("long"), F.lit(_LOW)).alias("i"), (F.coalesce(F.octet_length(exact(text_col)), F.lit(0)).cast("long") + 1).alias("size")]
+    rows = docs.select(F.struct(*map(exact, docs.columns)).alias("row"), *key)  # the columns as one, whatever their names
+    keys = staged(rows.select("h", "i", "size"), "shard-keys")
     cuts = find_splitters(keys, shards, tolerance)
     fine = ranges_per_shard or max(1, -(-shuffle_partitions(spark) // shards))
     inner = find_splitters(keys, shards * fine, 0.5) if fine > 1 else []  # only to divide the work
@@ -122,16 +121,17 @@ def shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, id_col: s
     which, place = _range_of(cuts), _range_of(ranges)
     sizes = keys.groupBy(which("h", "i").alias("shard"), place("h", "i").alias("range")).count()
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    sizes = sizes.select(F.col("range").alias("_range"), F.col("shard").alias("_shard"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_range").orderBy("_h", "_i", "_size")
-    placed = rows.withColumn("_range", place("_h", "_i")).withColumn("_rank", F.row_number().over(within))
+    sizes = sizes.select("range", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("range").orderBy("h", "i", "size")
+    placed = rows.withColumn("range", place("h", "i")).withColumn("rank", F.row_number().over(within))
     # a row for each range, and the number of ranges is set above
-    placed = placed.join(F.broadcast(sizes), "_range")
-    return placed.select(*map(exact, docs.columns), F.col("_shard").alias("shard"), (F.col("_base") + F.col("_rank") - 1).alias("slot"))
+    placed = placed.join(F.broadcast(sizes), "range")
+    own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in own], "shard", (F.col("base") + F.col("rank") - 1).cast("long").alias("slot"))
 
 
 def shard_digest(docs: DataFrame) -> DataFrame:
     """Query op8: 16 shards under the law of bytes."""
     digest = docs.select("doc_id", "text", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     out = shard(digest, 16)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
