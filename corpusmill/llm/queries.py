@@ -81,18 +81,30 @@ e as (select *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
 sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars, sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256,
 sum(n)::bigint as formatted_chars from e group by conv_id""",
-    "op3_source_mix": rf"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, {_WORD})), 0)::bigint as size, md5('7:' || coalesce(doc_id::varchar, 'null')) as h from documents),
+    "op3_source_mix": rf"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, {_WORD})), 0)::bigint as size, md5('7:' || coalesce(doc_id::varchar, 'null') || ':' || coalesce(md5(text), 'null')) as h from documents),
 t as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as s from d group by source),
 w as (select *, [1, 2, 3][s % 3 + 1] as weight, 3 * source_size as capacity, (sum(source_size) over ())::bigint as total from t),
 f as (select *, row_number() over (order by capacity / weight, s) as r,
  (total - coalesce(sum(capacity) over (order by capacity / weight, s rows between unbounded preceding and 1 preceding), 0))::double / (sum(weight) over (order by capacity / weight, s rows between current row and unbounded following))::double as level from w),
 o as (select *, level * weight <= capacity as open from f),
 k as (select min(r) as r, arg_min(level, r) as level from o where open),
-g as (select o.source, o.source_size, case when o.r >= k.r then k.level * o.weight else o.capacity::double end as target from o, k),
-x as (select *, least(floor(target)::bigint, 3 * source_size) as take from g),
-y as (select d.doc_id, d.size, x.source_size, x.target, x.take, case when x.source_size > 0 then x.take // x.source_size else 0 end as epochs,
- coalesce(sum(d.size) over (partition by d.source order by d.h, d.size rows between unbounded preceding and 1 preceding), 0) as a from d join x on d.source is not distinct from x.source)
-select doc_id, size, source_size, target, (epochs * size + greatest(0, least(a + size, take - epochs * source_size) - a))::bigint as taken from y""",
+g as (select o.s, o.source, o.source_size, case when o.r >= k.r then k.level * o.weight else o.capacity::double end as target from o, k),
+x as (select *, least(floor(target)::bigint, 3 * source_size) as take, (source_size + 511) // 512 as blocks from g),
+x2 as (select *, case when source_size > 0 then take // source_size else 0 end as epochs from x),
+x3 as (select *, take - epochs * source_size as rest, (epochs * blocks + (take - epochs * source_size + 511) // 512)::bigint as slots from x2),
+e as (select *, coalesce(sum(slots) over (order by s rows between unbounded preceding and 1 preceding), 0)::bigint as edge, (sum(slots) over ())::bigint as n from x3),
+p0 as (select t, floor(((t::hugeint * 679556961735) % 1099511627776)::double / 1099511627776.0 * n::double)::bigint as u from (select max(n) as n from e), unnest(range(n)) z(t)),
+p1 as (select p0.t, e.s, e.slots, e.blocks, row_number() over (partition by e.s order by p0.t) - 1 as rank from p0 join e on p0.u >= e.edge and p0.u < e.edge + e.slots),
+over_ as (select t, row_number() over (order by t) as n from p1 where rank >= slots),
+had as (select e.s, e.slots, e.blocks, count(p1.s) as had from e left join p1 using (s) group by all),
+short as (select s, blocks, rank, row_number() over (order by rank, s) as n from had, unnest(range(had, slots)) z(rank)),
+sched as (select t, s, rank, blocks from p1 where rank < slots union all select over_.t, short.s, short.rank, short.blocks from over_ join short using (n)),
+slot as (select sched.t, sched.s, sched.rank % sched.blocks as block, case when sched.rank // sched.blocks >= e.epochs then least(512, e.rest - (sched.rank % sched.blocks) * 512) else 512 end as words from sched join e using (s)),
+y as (select d.doc_id, d.size, d.h, e.s, e.source_size, e.target,
+ coalesce(sum(d.size) over (partition by d.source order by d.h, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as a from d join e on d.source is not distinct from e.source),
+pc as (select *, greatest(a - block * 512, 0) as p, least(a + size - block * 512, 512) as q from y, unnest(range(a // 512, (a + size - 1) // 512 + 1)) z(block) where size > 0),
+tk as (select pc.s, pc.a, pc.size, sum(least(q, words) - p) as taken, min(t) as first_slot from pc join slot using (s, block) where least(q, words) > p group by all)
+select doc_id, y.size, source_size, target, coalesce(taken, 0)::bigint as taken, first_slot from y left join tk on y.s = tk.s and y.a = tk.a and y.size = tk.size""",
     "op5_suffix_dedup": """with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n from documents),
 p as (select doc_id, n, i, substr(x, 2 * i + 1, 2) as byte, case when i + 50 <= n then substr(x, 2 * i + 1, 100) end as win from d, unnest(range(n)) u(i)),
 q as (select doc_id, i, byte, win is not null and min(doc_id) over (partition by win) < doc_id as again from p),
