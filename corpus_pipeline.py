@@ -1,13 +1,13 @@
 """The training-data pipeline over `documents`: STAGES in order, each written and read again by the driver.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of documents.
-ORACLE_SQL is None: a learnt classifier can't be put in SQL, so tests hold the stages against brute force.
+Every stage keeps extra columns, whatever their names, and gives no rows for none. ORACLE_SQL is None: a learnt classifier can't
+be put in SQL, so tests hold the stages against brute force.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusmill.llm import decontamination, mixing, near_dedup, quality, sharding
 from corpusmill.llm._common import documents, staged
@@ -16,34 +16,27 @@ SHARDS = 16
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the quality classifier scores below 0.5."""
+    """Drops what the quality classifier scores below 0.5; a null text is scored like an empty one, identical rows alike."""
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of near copies."""
+    """Keeps the least id of each group of near copies; texts without words are like nothing and stay, identical rows stay or go together."""
     return near_dedup.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which benchmark windows cover a twentieth; cuts shorter hits from the others."""
+    """Drops documents of which benchmark windows cover a twentieth or more; cuts hits of over 50 words from the others. Texts without words stay."""
     return decontamination.remove_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that each source's words meet its target: a document comes as often as the mix takes it, a part of half or more counted as whole."""
-    taken = mixing.mix(docs).select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken")
-    copies = F.when(F.col("_size") > 0, F.floor(F.col("taken") / F.col("_size") + 0.5)).otherwise(F.lit(0))
-    # rows with one id and size are alike to the mix: they take the mean of their copies
-    taken = taken.groupBy("_id", "_source", "_size").agg(F.round(F.avg(copies)).cast("int").alias("copies")).where("copies > 0")
-    size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORDS)), F.lit(0)).cast("long")
-    own = F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_size") == size)
-    out = docs.join(staged(taken, "mix-copies"), own)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    """Repeats or leaves out documents so that each source's words meet its target: a document comes as often as the mix takes it, a part of half or more counted as whole, in the order of the schedule. Texts without words aren't taken."""
+    return mixing.repeated(docs, mixing.mix(docs))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deals the mix to shards of near equal bytes: doc_id, text, lang, source, n_chars, shard, slot."""
+    """Deals the mix to shards of near equal bytes: the columns of docs (but for ones named shard or slot), shard, slot. Null texts have size 1; identical rows stand together."""
     return sharding.shard(docs, SHARDS)
 
 
