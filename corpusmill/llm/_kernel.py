@@ -84,7 +84,7 @@ def byte_grams(buf: np.ndarray, k: int) -> np.ndarray:
     eight = eights(buf)
     out = eight[:n] & MASK[min(k, 8)]
     for at in range(8, k, 8):
-        out = join(mix(out), eight[at : at + n] & MASK[min(k - at, 8)])
+        out = join(out, eight[at : at + n] & MASK[min(k - at, 8)])
     return mix(out + U64(k))
 
 

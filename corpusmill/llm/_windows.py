@@ -10,7 +10,7 @@ Documents are dealt once to groups of a few MB by a hash of the row. All passes
    group however often it occurs there, with the least document id and whether it occurs again in the group. There the strings'
    windows are ordered and compared, byte by byte or word by word, so equal windows are found exactly.
 3. A bucket answers each group with a value for each window of its strings: how often the window occurs, or the least id
-   of the documents that have it. Strings are named by 128 bits of BLAKE2b of their bytes, which the group compares for the runs of
+   of the documents that have it. The answer names a string by 128 bits of BLAKE2b, which the group compares for the runs of
    the answered minimisers, and then applies the values to all places of a string.
 
 Strings meet in two steps: blocks of `BLOCK` groups put equal ones together before the bucket, and pass its answers on. So a passage
@@ -36,6 +36,8 @@ from corpusmill.llm._common import exact, shuffle_partitions
 GROUP_BYTES = 8 << 20
 #: Groups whose equal strings are put together before they go to their bucket.
 BLOCK = 256
+#: Partitions of an exchange: one a group up to so many; beyond, what the session says.
+MOST_PARTITIONS = 10_000
 #: A run of windows with one minimiser is cut after so many, so that periodic texts travel in short strings.
 LONGEST_RUN = 2048
 #: The sample from which k-mers are ordered: so many slices of so many characters at most, counted in so many cells. No result depends on it.
@@ -45,7 +47,7 @@ _U32 = np.uint64(0xFFFFFFFF)
 _NAME = 16
 _REQUEST = "bucket int, pid int, keys binary, again binary"
 _ANSWER = "pid int, bucket int, c binary, key binary, n binary, length binary, value binary"
-_STRINGS = "bucket int, block int, pid int, c binary, key binary, low binary, again binary, n_windows binary, n_bytes binary, body binary"
+_STRINGS = "bucket int, block int, pid int, key binary, low binary, again binary, n_windows binary, n_bytes binary, body binary"
 
 
 @dataclass(frozen=True)
@@ -211,8 +213,8 @@ def _asked(answers: pa.Table) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
 
-def _pack(bucket: int, block: int, pid: int, c: list[bytes], key, low, again, windows, bodies: list[bytes]) -> tuple:
-    return (bucket, block, pid, b"".join(c), key.astype("<u4").tobytes(), low.astype("<i8").tobytes(), np.packbits(again).tobytes(), windows.astype("<u4").tobytes(), np.array([len(x) for x in bodies], "<u4").tobytes(), b"".join(bodies))
+def _pack(bucket: int, block: int, pid: int, key, low, again, windows, bodies: list[bytes]) -> tuple:
+    return (bucket, block, pid, key.astype("<u4").tobytes(), low.astype("<i8").tobytes(), np.packbits(again).tobytes(), windows.astype("<u4").tobytes(), np.array([len(x) for x in bodies], "<u4").tobytes(), b"".join(bodies))
 
 
 def _send_strings(kind: Kind, buckets: int, cells) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -240,13 +242,11 @@ def _send_strings(kind: Kind, buckets: int, cells) -> Callable[[pa.Table, pa.Tab
         least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(least, which, low)
         counts = np.bincount(which, minlength=len(number))
-        names = [_name(x) for x in number]
-        bucket = (place >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        bucket, order = (place >> np.uint64(32)).astype(np.int64), np.argsort(place, kind="stable")
         rows = []
         for b, x, y in _by_value(bucket[order]):
             o = order[x:y]
-            rows.append(_pack(b, pid // BLOCK, pid, [names[j] for j in o.tolist()], place[o] & _U32, least[o], counts[o] > 1, windows[o], [strings[j] for j in o.tolist()]))
+            rows.append(_pack(b, pid // BLOCK, pid, place[o] & _U32, least[o], counts[o] > 1, windows[o], [strings[j] for j in o.tolist()]))
         _kernel.release()
         return _table(_STRINGS, rows)
 
@@ -264,7 +264,7 @@ class _Strings:
             which += [number.setdefault(body[a:b], len(number)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             senders.append(np.full(len(ends), pid))
         self.strings, self.which, self.senders = list(number), np.array(which, np.int64), np.concatenate(senders)
-        self.names, self.low = _joined(table, "c", f"V{_NAME}"), _joined(table, "low", "<i8")
+        self.low = _joined(table, "low", "<i8")
         self.keys, windows = _joined(table, "key", "<u4"), _joined(table, "n_windows", "<u4")
         self.again = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(n) // 4) for x, n in zip(table.column("again").to_pylist(), table.column("key").to_pylist(), strict=True)])
         n = len(self.strings)
@@ -275,12 +275,16 @@ class _Strings:
         self.least = np.full(n, np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.which, self.low)
 
+    def names(self) -> np.ndarray:
+        """Of each distinct string."""
+        return np.frombuffer(b"".join([_name(x) for x in self.strings]), f"V{_NAME}")
+
 
 def _combine(table: pa.Table) -> pa.Table:
     """Of a bucket's strings from one block of groups, each distinct one once, in the block's name."""
     s = _Strings(table)
     bucket, block = table.column("bucket")[0].as_py(), table.column("block")[0].as_py()
-    return _table(_STRINGS, [_pack(bucket, block, block, [_name(x) for x in s.strings], s.key, s.least, s.count > 1, s.size, s.strings)])
+    return _table(_STRINGS, [_pack(bucket, block, block, s.key, s.least, s.count > 1, s.size, s.strings)])
 
 
 def _pass_on(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -288,8 +292,9 @@ def _pass_on(table: pa.Table, answers: pa.Table) -> pa.Table:
     if not table.num_rows or not answers.num_rows:
         return _table(_ANSWER, [])
     s = _Strings(table)
-    names, n, length, value = _answers(answers)
-    at = np.array([names.get(_name(x), -1) for x in s.strings], np.int64)[s.which]
+    known, n, length, value = _answers(answers)
+    names = s.names()
+    at = np.array([known.get(x.tobytes(), -1) for x in names], np.int64)[s.which]
     first = np.cumsum(n) - n
     order = np.argsort(s.senders, kind="stable")
     order = order[at[order] >= 0]
@@ -298,7 +303,7 @@ def _pass_on(table: pa.Table, answers: pa.Table) -> pa.Table:
         o = order[x:y]
         i, p = _kernel.ragged(n[at[o]])
         r = first[at[o]][i] + p
-        out.append((pid, bucket, s.names[o].tobytes(), s.keys[o].tobytes(), n[at[o]].astype("<u4").tobytes(), length[r].astype("<u4").tobytes(), value[r].astype("<i8").tobytes()))
+        out.append((pid, bucket, names[s.which[o]].tobytes(), s.keys[o].tobytes(), n[at[o]].astype("<u4").tobytes(), length[r].astype("<u4").tobytes(), value[r].astype("<i8").tobytes()))
     return _table(_ANSWER, out)
 
 
@@ -376,14 +381,14 @@ def _answer_windows(kind: Kind) -> Callable[[pa.Table], pa.Table]:
         first = np.searchsorted(owner, np.arange(len(s.strings) + 1))
         greatest = np.maximum.reduceat(values, first[:-1]) if kind.counted else np.minimum.reduceat(values, first[:-1])
         useful = greatest[s.which] > 0 if kind.counted else (greatest[s.which] < s.low) | (s.again > 0)
-        bucket, out = table.column("bucket")[0].as_py(), []
+        bucket, names, out = table.column("bucket")[0].as_py(), s.names(), []
         for b, x, y in _by_value(s.senders):
             chosen = np.flatnonzero(useful[x:y]) + x
             if len(chosen):
                 n = first[s.which[chosen] + 1] - first[s.which[chosen]]
                 i, p = _kernel.ragged(n)
                 r = first[s.which[chosen]][i] + p
-                out.append((b, bucket, s.names[chosen].tobytes(), s.keys[chosen].tobytes(), n.astype("<u4").tobytes(), lengths[r].astype("<u4").tobytes(), values[r].astype("<i8").tobytes()))
+                out.append((b, bucket, names[s.which[chosen]].tobytes(), s.keys[chosen].tobytes(), n.astype("<u4").tobytes(), lengths[r].astype("<u4").tobytes(), values[r].astype("<i8").tobytes()))
         _kernel.release()
         return _table(_ANSWER, out)
 
@@ -401,10 +406,15 @@ def _apply(kind: Kind, cells, finish, schema: str) -> Callable[[pa.Table, pa.Tab
         buckets = table.column("groups")[0].as_py()
         buf, offsets = _kernel.pack(table.column("text"))
         rows, long = [], None
+        seen: dict[bytes, int] = {}
 
         def hits(a: int, b: int, part: Part) -> np.ndarray:
             chosen = np.flatnonzero(_among(_places(part.minimiser, buckets), asked))
-            i = np.array([names.get(_name(x), -1) for x in part.raw(kind, chosen)], np.int64)
+            i = np.empty(len(chosen), np.int64)
+            for j, (raw, run) in enumerate(zip(part.raw(kind, chosen), chosen.tolist(), strict=True)):
+                if raw not in seen:
+                    seen[raw] = names.get(_name(part.string(kind, run)), -1)
+                i[j] = seen[raw]
             chosen, i = chosen[i >= 0], i[i >= 0]
             run_, p = _kernel.ragged(n[i])
             r = first[i][run_] + p
@@ -468,18 +478,19 @@ def judge(docs: DataFrame, kind: Kind, finish, schema: str, id_col: str = "doc_i
     """A row for each document: doc_id, then what finish(its bytes, starts and ends of its words or None, removed units) returns."""
     spark = docs.sparkSession
     rows = docs.select(exact(id_col).cast("long").alias("doc_id"), exact(text_col).alias("text"))
-    partitions = shuffle_partitions(spark)
     whole = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    groups = max(partitions, -(-(whole["bytes"] or 0) // GROUP_BYTES))
+    groups = max(shuffle_partitions(spark), -(-(whole["bytes"] or 0) // GROUP_BYTES))
+    partitions = max(shuffle_partitions(spark), min(groups, MOST_PARTITIONS))
     cells = spark.sparkContext.broadcast(_cells(rows, kind, whole["n"]))  # CELLS bytes
     dealt = rows.withColumn("groups", F.lit(groups).cast("int")).withColumn("pid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).repartition(partitions, "pid")
+    by = lambda df, *keys: df.repartition(partitions, *keys).groupBy(*keys)
     requests = dealt.groupBy("pid").applyInArrow(_request(kind, groups, cells), _REQUEST)
-    again = requests.groupBy("bucket").applyInArrow(_find_again, _ANSWER)
-    strings = dealt.groupBy("pid").cogroup(again.groupBy("pid")).applyInArrow(_send_strings(kind, groups, cells), _STRINGS)
+    again = by(requests, "bucket").applyInArrow(_find_again, _ANSWER)
+    strings = dealt.groupBy("pid").cogroup(by(again, "pid")).applyInArrow(_send_strings(kind, groups, cells), _STRINGS)
     if groups <= BLOCK:  # one block: it would pass on what it gets
-        answers = strings.groupBy("bucket").applyInArrow(_answer_windows(kind), _ANSWER)
+        answers = by(strings, "bucket").applyInArrow(_answer_windows(kind), _ANSWER)
     else:
-        found = strings.groupBy("bucket", "block").applyInArrow(_combine, _STRINGS).groupBy("bucket").applyInArrow(_answer_windows(kind), _ANSWER)
-        to_blocks = found.withColumnRenamed("pid", "block")
-        answers = strings.groupBy("bucket", "block").cogroup(to_blocks.select(F.col("block").alias("pid"), *to_blocks.columns[1:], "block").groupBy("bucket", "block")).applyInArrow(_pass_on, _ANSWER)
-    return dealt.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_apply(kind, cells, finish, schema), schema)
+        in_blocks = strings.repartition(partitions, "bucket", "block")
+        found = by(in_blocks.groupBy("bucket", "block").applyInArrow(_combine, _STRINGS), "bucket").applyInArrow(_answer_windows(kind), _ANSWER)
+        answers = in_blocks.groupBy("bucket", "block").cogroup(by(found.withColumn("block", F.col("pid")), "bucket", "block")).applyInArrow(_pass_on, _ANSWER)
+    return dealt.groupBy("pid").cogroup(by(answers, "pid")).applyInArrow(_apply(kind, cells, finish, schema), schema)
