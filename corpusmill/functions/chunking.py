@@ -11,30 +11,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import SPACE
+
 MAX_TOKENS = 2000
-_SPACE = " \t\r\n\x0b\x0c"
 CHUNKS = "chunk_index int, total int, section string, tokens long, text string"
 
 
 def tokens(text: str) -> int:
-    return len(text) // 4 or int(text.strip(_SPACE) != "")
+    return len(text) // 4 or int(text.strip(SPACE) != "")
 
 
 def segments(text: str) -> Iterator[tuple[str, str]]:
     """(section, paragraph): "# name" lines open a section and are not kept, blank lines part paragraphs."""
     section, held, held_section = "", [], ""
     for line in [*text.split("\n"), ""]:
-        bare = line.strip(_SPACE)
+        bare = line.strip(SPACE)
         if bare and not bare.startswith("# "):
             if not held:
                 held_section = section
             held.append(line)
             continue
-        if paragraph := "\n".join(held).strip(_SPACE):
+        if paragraph := "\n".join(held).strip(SPACE):
             yield held_section, paragraph
         held = []
         if bare:
-            section = bare[2:].strip(_SPACE)
+            section = bare[2:].strip(SPACE)
 
 
 def split_long(text: str, most: int) -> Iterator[str]:
@@ -80,7 +81,7 @@ def chunks(text: str | None, most: int = MAX_TOKENS) -> list[dict]:
             else:
                 packed.append((section, [piece]))
                 size = n
-    whole = [(section, "\n\n".join(pieces).strip(_SPACE)) for section, pieces in packed]
+    whole = [(section, "\n\n".join(pieces).strip(SPACE)) for section, pieces in packed]
     return [{"chunk_index": i, "total": len(whole), "section": section, "tokens": tokens(body), "text": body} for i, (section, body) in enumerate(whole, 1)]
 
 

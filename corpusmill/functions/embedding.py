@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _KNOWN_WORDS = 200_000
+#: Ids whose vectors are gathered at a time.
+_GATHER = 1 << 16
 _TYPES = {"F32": "<f4", "F16": "<f2", "F64": "<f8"}
 
 
@@ -33,6 +35,17 @@ def column(embedder: Embedder, text: Column) -> Column:
     return run(text)
 
 
+def column_with_size(model: StaticModel, text: Column) -> Column:
+    """struct<e: array<float>, n: int> of each text: its vector and how many ids it has, from one pass."""
+
+    @F.pandas_udf("e array<float>, n int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        vectors, sizes = model.embed_with_sizes(texts.fillna("").tolist())
+        return pd.DataFrame({"e": list(vectors), "n": sizes.astype(np.int32)})
+
+    return run(text)
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows to unit length in double; zero rows stay."""
     vectors = np.asarray(vectors, np.float64)
@@ -101,8 +114,12 @@ class WordPiece:
 
 
 def read_safetensors(path: str | Path) -> dict[str, np.ndarray]:
-    """Tensors of a safetensors file; halves are widened."""
-    data = Path(path).read_bytes()
+    """Tensors of a safetensors file."""
+    return tensors(Path(path).read_bytes(), str(path))
+
+
+def tensors(data: bytes, path: str = "") -> dict[str, np.ndarray]:
+    """Tensors of a safetensors file's bytes; halves are widened."""
     n = int.from_bytes(data[:8], "little")
     header = json.loads(data[8 : 8 + n])
     out = {}
@@ -132,11 +149,26 @@ class StaticModel:
         config = folder / "config.json"
         return cls(WordPiece.load(folder / "tokenizer.json"), vectors, bool(json.loads(config.read_text()).get("normalize", True)) if config.exists() else True)
 
-    def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.vectors.shape[1]), np.float64)
+    def embed_with_sizes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A vector for each text, and how many ids it has; ids outside the table are left out. Texts are gathered together, a few at a time."""
+        out, sizes = np.zeros((len(texts), self.vectors.shape[1]), np.float64), np.zeros(len(texts), np.int64)
+        ids, first, held = [], 0, 0
         for i, text in enumerate(texts):
-            ids = np.array(self.tokenizer.ids(text), np.int64)
-            ids = ids[(ids >= 0) & (ids < len(self.vectors))]
-            if len(ids):
-                out[i] = self.vectors[ids].astype(np.float64).sum(0) / len(ids)
-        return unit(out.astype(np.float32)) if self.normalize else out.astype(np.float32)
+            ids.append(self.tokenizer.ids(text))
+            sizes[i] = len(ids[-1])
+            held += len(ids[-1])
+            if held > _GATHER or i == len(texts) - 1:
+                flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
+                owner = np.repeat(np.arange(first, i + 1), sizes[first : i + 1])
+                fits = (flat >= 0) & (flat < len(self.vectors))
+                flat, owner = flat[fits], owner[fits]
+                sizes[first : i + 1] = np.bincount(owner - first, minlength=i + 1 - first)
+                if len(flat):
+                    heads = np.flatnonzero(np.diff(owner, prepend=-1))
+                    out[owner[heads]] = np.add.reduceat(self.vectors[flat], heads, axis=0, dtype=np.float64)
+                ids, first, held = [], i + 1, 0
+        out = (out / np.maximum(sizes, 1)[:, None]).astype(np.float32)
+        return (unit(out) if self.normalize else out), sizes
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        return self.embed_with_sizes(texts)[0]

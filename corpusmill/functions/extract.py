@@ -9,13 +9,17 @@ import os
 import re
 import shutil
 import subprocess
-import tempfile
 import zipfile
+import zlib
 from html.parser import HTMLParser
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corpusmill.functions import text as T
+from corpusmill.functions.text import SPACE
 
 #: Extensions by format.
 PLAIN = set(
@@ -42,7 +46,6 @@ RTF_SILENT = set(
     listname listoverride listoverridetable listpicture liststylename listtable listtext lsdlockedexcept""".split()
 )
 MAX_ENTRY = 512 << 20
-_SPACE = " \t\r\n\x0b\x0c"
 
 
 class Unsupported(ValueError):
@@ -53,10 +56,10 @@ def normalize_ws(text: str) -> str:
     """As functions.text.normalize_ws, for text that is in Python already."""
     out: list[str] = []
     for line in text.split("\n"):
-        line = line.strip(_SPACE)
+        line = line.strip(SPACE)
         if line or not out or out[-1]:
             out.append(line)
-    return "\n".join(out).strip(_SPACE)
+    return "\n".join(out).strip(SPACE)
 
 
 def plain(content: bytes) -> str:
@@ -102,7 +105,7 @@ def xml_text(content: bytes) -> str:
     out, held = [], []
 
     def flush(*_):
-        if text := "".join(held).strip(_SPACE):
+        if text := "".join(held).strip(SPACE):
             out.append(text)
         held.clear()
 
@@ -174,7 +177,7 @@ def html_text(content: str) -> str:
 
 
 def article_markdown(content: str) -> str:
-    """Main content as simple Markdown, by a rule of our own: the first article, main or body element without navigation, asides, headers and footers; headings, list items, links and emphasis marked."""
+    """Main content as simple Markdown, by a rule of our own: the first article, main or body element without navigation, asides, headers and footers; headings, list items, links and emphasis marked. Fallbacks: the page's visible text, the whole page, its source."""
 
     class Article(_Page):
         SKIP = {"nav", "aside", "header", "footer", "form"}
@@ -217,16 +220,21 @@ def article_markdown(content: str) -> str:
                 if top == tag:
                     return
 
+    whole = content
     for name in ("article", "main", "body"):
-        if m := re.search(rf"<{name}\b.*?</{name}\s*>", content, re.S | re.I):
+        if m := re.search(rf"<{name}\b.*?</{name}\s*>", whole, re.S | re.I):
             content = m[0]
             break
-    page = Article()
-    page.feed(content)
-    page.close()
-    while page.open:
-        page._close(page.open[-1])
-    return normalize_ws("".join(page.out))
+
+    def read(page: _Page, source: str) -> str:
+        page.feed(source)
+        page.close()
+        while page.open:
+            page._close(page.open[-1])
+        return normalize_ws("".join(page.out))
+
+    # an article without text gives way to the page's visible text, that to the whole page as Markdown, and that to the page as it is
+    return read(Article(), content) or html_text(whole) or read(Article(), whole) or whole
 
 
 def csv_text(content: bytes, separator: str = ",") -> str:
@@ -235,11 +243,13 @@ def csv_text(content: bytes, separator: str = ",") -> str:
     return "\n".join("\t".join(row) for row in rows if row)
 
 
-def _entry(archive: zipfile.ZipFile, name: str) -> bytes:
+def _entry(archive: zipfile.ZipFile, name: str, most: int | None = None) -> bytes:
+    """An entry of an archive; one that inflates to more than so many bytes is refused."""
+    most = MAX_ENTRY if most is None else most
     with archive.open(name) as f:
-        data = f.read(MAX_ENTRY + 1)
-    if len(data) > MAX_ENTRY:
-        raise Unsupported(f"{name} is larger than {MAX_ENTRY} bytes")
+        data = f.read(most + 1)
+    if len(data) > most:
+        raise Unsupported(f"{name} is larger than {most} bytes")
     return data
 
 
@@ -289,7 +299,7 @@ def pptx_text(content: bytes) -> str:
     with _archive(content) as z:
         names = sorted((n for n in z.namelist() if n.startswith("ppt/slides/slide") and n.endswith(".xml")), key=_natural)
         slides = [(n.rpartition("/")[2], _runs(_entry(z, n))) for n in names]
-    return "\n\n".join(x for name, text in slides if text.strip(_SPACE) for x in (f"# {name}", text))
+    return "\n\n".join(x for name, text in slides if text.strip(SPACE) for x in (f"# {name}", text))
 
 
 def _shared_strings(content: bytes) -> list[str]:
@@ -344,7 +354,7 @@ def _sheet(content: bytes, shared: list[str]) -> str:
             text = "".join(held)
             if state["kind"] == "s" and text.strip().isdigit() and int(text) < len(shared):
                 text = shared[int(text)]
-            cells[state["column"]] = text.strip(_SPACE)
+            cells[state["column"]] = text.strip(SPACE)
         elif name == "row" and any(cells.values()):
             rows.append("\t".join(cells.get(i, "") for i in range(max(cells) + 1)))
 
@@ -359,20 +369,71 @@ def xlsx_text(content: bytes) -> str:
         shared = _shared_strings(_entry(z, "xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in names else []
         sheets = sorted((n for n in names if n.startswith("xl/worksheets/sheet") and n.endswith(".xml")), key=_natural)
         found = [(n.rpartition("/")[2], _sheet(_entry(z, n), shared)) for n in sheets]
-    return "\n\n".join(x for name, text in found if text.strip(_SPACE) for x in (f"# {name}", text))
+    return "\n\n".join(x for name, text in found if text.strip(SPACE) for x in (f"# {name}", text))
+
+
+_PDF_STREAM = re.compile(rb"<<(?P<head>(?:(?!>>\s*stream|endobj).)*)>>\s*stream\r?\n(?P<body>.*?)\r?\n?endstream", re.S)
+_PDF_TOKEN = re.compile(rb"\((?P<text>(?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*)\)|<(?P<hex>[0-9A-Fa-f\s]*)>|(?P<number>[-+]?[0-9]*\.?[0-9]+)|(?P<open>\[)|(?P<close>\])|/[^\s/<>\[\]()]+|(?P<operator>[A-Za-z'\"*]+[0-9]?)", re.S)
+#: Escapes in PDF strings.
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(raw: bytes) -> str:
+    def one(m):
+        if m[1][:1].isdigit():
+            return bytes([int(m[1], 8) & 255])
+        return b"" if m[1] in (b"\n", b"\r\n") else _PDF_ESCAPES.get(m[1], m[1])
+
+    data = re.sub(rb"\\([0-7]{1,3}|\r\n|.)", one, raw, flags=re.S)
+    return data[2:].decode("utf-16-be", "replace") if data.startswith(b"\xfe\xff") else data.decode("cp1252", "replace")
+
+
+def _pdf_content(body: bytes) -> str:
+    """What a content stream shows: strings as they come, a line for each move to another."""
+    out, held = [], []
+    for m in _PDF_TOKEN.finditer(body):
+        if m["text"] is not None:
+            held.append(_pdf_string(m["text"]))
+        elif m["hex"] is not None:
+            digits = re.sub(rb"\s", b"", m["hex"])
+            held.append(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("cp1252", "replace"))
+        elif m["number"] and held and float(m["number"]) < -200:  # a gap within an array of strings
+            held.append(" ")
+        elif (operator := m["operator"]) is not None:
+            if operator in (b"'", b'"', b"T*", b"Td", b"TD", b"Tm", b"ET") and out and not out[-1].endswith("\n"):
+                out.append("\n")
+            if operator in (b"Tj", b"TJ", b"'", b'"'):
+                out.append("".join(held).rstrip(" ") if operator == b"TJ" else "".join(held))
+            held.clear()
+    return "".join(out)
+
+
+def pdf_plain(content: bytes) -> str:
+    """Text of the content streams of a PDF, plain or deflated, in the order of the file; streams that can't be read are left out."""
+    pages = []
+    for m in _PDF_STREAM.finditer(content):
+        body = m["body"]
+        if b"/Image" in m["head"] or b"/FontFile" in m["head"]:
+            continue
+        if b"/FlateDecode" in m["head"]:
+            try:
+                body = zlib.decompressobj().decompress(body, MAX_ENTRY)
+            except zlib.error:
+                continue
+        if b"BT" in body and (text := _pdf_content(body)).strip(SPACE):
+            pages.append(text.strip("\n"))
+    return "\n".join(pages)
 
 
 def pdf_text(content: bytes) -> str:
-    """Through the pdftotext program where there is one."""
-    program = shutil.which("pdftotext")
-    if not program:
-        raise Unsupported("PDF: no pdftotext on this machine")
-    with tempfile.NamedTemporaryFile(suffix=".pdf") as f:
-        f.write(content)
-        f.flush()
-        done = subprocess.run([program, "-layout", f.name, "-"], capture_output=True, check=False, timeout=120)
-    text = plain(done.stdout)
-    if done.returncode or not text.strip():
+    """Through the pdftotext program where there is one and it finds text; else by a reader of our own."""
+    program, text = shutil.which("pdftotext"), ""
+    if program:
+        done = subprocess.run([program, "-layout", "-", "-"], input=content, capture_output=True, check=False, timeout=120)
+        text = "" if done.returncode else plain(done.stdout)
+    if not text.strip(SPACE):
+        text = pdf_plain(content)
+    if not text.strip(SPACE):
         raise Unsupported("PDF: no text")
     return text
 
@@ -445,8 +506,22 @@ def page_text(pages: DataFrame, html_col: str = "html", article: bool = False) -
     def run(batches):
         for batch in batches:
             bodies = batch.column(at).to_pylist()
-            texts = [None if b is None else one(b) if re.match(r"<!doctype html|<html", b[:512].strip(_SPACE), re.I) else b for b in bodies]
+            texts = [None if b is None else one(b) if re.match(r"<!doctype html|<html", b[:512].strip(SPACE), re.I) else b for b in bodies]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "text"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
     return pages.mapInArrow(run, f"{fields}, text string")
+
+
+def read_any(files: DataFrame, max_bytes: int = 131072) -> DataFrame:
+    """files: path, content. path, text, error: documents extracted, cleaned and cut after max_bytes bytes (at a whole character) with a notice; other files as numbered lines, binary ones refused."""
+    document = T.extension(T.file_name(F.col("path"))).isin(*DOCUMENTS)
+    cleaned = T.clean(F.col("text"))
+    cut = F.concat(T.cut_bytes(cleaned, max_bytes), F.concat(F.lit(f"\n[truncated to {max_bytes} bytes — call read(path=\""), "path", F.lit("\") alone for the full chunked manifest]\n")))
+    shown = F.when(cleaned == "", "(no extractable text)").when(F.octet_length(cleaned) > max_bytes, cut).otherwise(cleaned)
+    documents = extract(files.where(document)).select("path", F.when(F.col("error").isNull(), shown).alias("text"), "error")
+    others = files.where(~document)
+    lines = F.transform(T.lines(F.col("content").cast("string")), lambda x, i: F.concat(T.numbered(i + 1), F.lit("\t"), x, F.lit("\n")))
+    numbered = F.when(F.octet_length("content") == 0, "(empty file)").otherwise(F.array_join(lines, ""))
+    plain_ = others.select("path", F.when(T.is_text(F.col("content")), numbered).alias("text"), F.when(~T.is_text(F.col("content")), F.concat("path", F.lit(": binary"))).alias("error"))
+    return documents.unionByName(plain_)

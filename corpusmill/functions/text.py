@@ -7,17 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space that lines are trimmed of, and texts.
-LINE_SPACE = " \t\r\x0b\x0c"
-TEXT_SPACE = " \t\r\n"
+#: White space that lines and texts are trimmed of (Unicode's, without the ASCII separators 28 to 31).
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Characters of an excerpt; bytes and times from which a repeated line is boilerplate; characters of a summary.
 EXCERPT = 200
 BOILERPLATE_BYTES, BOILERPLATE_TIMES = 80, 3
+SUMMARY = 120
+#: Fixed value: a line that is a page number.
 PAGE_NUMBER = r"^\s*(?:page\s+)?\d+(?:\s*(?:/|of)\s*\d+)?\s*$"
 PUNCTUATION_OR_WORD = r"[!-/:-@\[-`{-~]|[^ \t\n\r!-/:-@\[-`{-~]+"
 
 
-def _trim(x: Column, of: str) -> Column:
-    return F.btrim(x, F.lit(of))
+def _trim(x: Column) -> Column:
+    return F.btrim(x, F.lit(SPACE))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -32,15 +34,30 @@ def lines(text: Column) -> Column:
     return F.transform(parts, lambda x: F.when(x.endswith("\r"), F.left(x, F.char_length(x) - 1)).otherwise(x))
 
 
+def numbered(line: Column) -> Column:
+    """A line number as "%6d"."""
+    n = line.cast("string")
+    return F.lpad(n, F.greatest(F.lit(6), F.length(n)), F.lit(" "))
+
+
+def cut_bytes(text: Column, most: int) -> Column:
+    """The first bytes of a text, without a character that would be cut."""
+    raw = text.cast("binary")
+    tail = lambda back: F.conv(F.hex(F.substring(raw, most + 1 - back, 1)), 16, 10).cast("int")  # noqa: E731  the byte that many before the first left out
+    inside = lambda back: tail(back).bitwiseAND(0xC0) == 0x80
+    back = F.when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(raw, F.lit(1), F.lit(most) - back).cast("string"))
+
+
 def normalize_ws(text: Column) -> Column:
     """Each line trimmed, runs of blank lines made one, the whole trimmed; spaces within lines stay."""
-    trimmed = F.transform(F.split(text, "\n", -1), lambda x: _trim(x, LINE_SPACE))
+    trimmed = F.transform(F.split(text, "\n", -1), lambda x: _trim(x))
     kept = _let(trimmed, lambda a: F.filter(a, lambda x, i: (x != "") | (i == 0) | (F.get(a, i - 1) != "")))
-    return _trim(F.array_join(kept, "\n"), TEXT_SPACE)
+    return _trim(F.array_join(kept, "\n"))
 
 
 def is_page_number(line: Column) -> Column:
-    return F.lower(_trim(line, LINE_SPACE)).rlike(PAGE_NUMBER)
+    return F.lower(_trim(line)).rlike(PAGE_NUMBER)
 
 
 def drop_boilerplate(text: Column) -> Column:
@@ -48,11 +65,11 @@ def drop_boilerplate(text: Column) -> Column:
 
     The short lines' counts come from one sorted pass over the text's own lines, so a text of n lines costs n log n.
     """
-    short = F.array_sort(F.filter(F.transform(F.split(text, "\n", -1), lambda x: _trim(x, LINE_SPACE)), lambda t: (t != "") & (F.octet_length(t) <= BOILERPLATE_BYTES)))
+    short = F.array_sort(F.filter(F.transform(F.split(text, "\n", -1), lambda x: _trim(x)), lambda t: (t != "") & (F.octet_length(t) <= BOILERPLATE_BYTES)))
     often = _let(short, lambda a: F.array_distinct(F.filter(a, lambda x, i: F.coalesce(F.get(a, i + BOILERPLATE_TIMES - 1) == x, F.lit(False)))))
 
     def keep(x, found):
-        t = _trim(x, LINE_SPACE)
+        t = _trim(x)
         return (t == "") | t.startswith("# ") | ~(F.lower(t).rlike(PAGE_NUMBER) | F.array_contains(found, t))
 
     return _let(often, lambda found: F.array_join(F.filter(F.split(text, "\n", -1), lambda x: keep(x, found)), "\n"))
@@ -66,19 +83,19 @@ def clean(text: Column) -> Column:
 def estimate_tokens(text: Column) -> Column:
     """Code points by four, at least 1 where anything is not white space."""
     n = F.floor(F.char_length(text) / 4).cast("long")
-    return F.when((n == 0) & (_trim(text, TEXT_SPACE + "\x0b\x0c") != ""), F.lit(1).cast("long")).otherwise(n)
+    return F.when((n == 0) & (_trim(text) != ""), F.lit(1).cast("long")).otherwise(n)
 
 
 def excerpt(line: Column, most: int = EXCERPT) -> Column:
     """Trimmed, and cut after so many code points with an ellipsis."""
-    t = _trim(line, TEXT_SPACE + "\x0b\x0c")
+    t = _trim(line)
     return F.when(F.char_length(t) > most, F.concat(F.left(t, F.lit(most)), F.lit("…"))).otherwise(t)
 
 
-def summary(text: Column, most: int = 120) -> Column:
+def summary(text: Column, most: int = SUMMARY) -> Column:
     """First line that is neither blank nor a "# " line, white space made single; up to its first sentence end if that comes within so many bytes, else so many code points."""
-    content = F.filter(F.transform(F.split(text, "\n", -1), lambda x: _trim(x, LINE_SPACE)), lambda t: (t != "") & ~t.startswith("# "))
-    one = F.regexp_replace(F.coalesce(F.try_element_at(content, F.lit(1)), F.lit("")), r"\s+", " ")
+    content = F.filter(F.transform(F.split(text, "\n", -1), lambda x: _trim(x)), lambda t: (t != "") & ~t.startswith("# "))
+    one = F.regexp_replace(F.coalesce(F.try_element_at(content, F.lit(1)), F.lit("")), f"[{SPACE}]+", " ")
     at = F.regexp_instr(one, F.lit(r"[.!?] "))
     head = F.left(one, at)
     within = (at > 0) & (F.octet_length(head) - 1 <= most)
@@ -146,7 +163,7 @@ def is_text(content: Column) -> Column:
 
 def is_html(body: Column) -> Column:
     """The first 512 characters, trimmed, begin like a page."""
-    head = F.lower(_trim(F.left(body, F.lit(512)), TEXT_SPACE))
+    head = F.lower(_trim(F.left(body, F.lit(512))))
     return head.startswith("<!doctype html") | head.startswith("<html")
 
 
@@ -157,8 +174,8 @@ def url_allowed(url: Column, https_only: bool = True) -> Column:
 
 
 def blocked_ipv4(ip: Column) -> Column:
-    """Loopback, private, link-local, multicast or unspecified IPv4 addresses; not an address: null."""
-    parts = F.transform(F.split(ip, r"\."), lambda x: x.try_cast("int"))
+    """Loopback, private, link-local, multicast or unspecified IPv4 addresses, also in their IPv6 form (::ffff:10.0.0.1); not an IPv4 address: null."""
+    parts = F.transform(F.split(F.regexp_replace(ip, "(?i)^(?:0{0,4}:){2,5}ffff:(?=[0-9.]+$)", ""), r"\."), lambda x: x.try_cast("int"))
     a, b = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
     valid = (F.size(parts) == 4) & F.forall(parts, lambda x: x.between(0, 255))
     blocked = (a == 127) | (a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | a.between(224, 239) | F.forall(parts, lambda x: x == 0)
@@ -172,7 +189,7 @@ def expand_template(template: Column, args: Column, selection: Column) -> Column
     out = F.replace(out, F.lit("$SELECTION"), selection)
     for i in range(9, 0, -1):
         out = F.replace(out, F.lit(f"${i}"), F.coalesce(F.try_element_at(args, F.lit(i)), F.lit("")))
-    return _trim(out, TEXT_SPACE)
+    return _trim(out)
 
 
 def _one_decimal(x: Column) -> Column:
@@ -219,15 +236,15 @@ def call_key(name: Column, arguments_json: Column) -> Column:
 
 def as_int(x: Column) -> Column:
     """Whole number from text such as 3 or 3.9 (cut off); else null."""
-    return F.coalesce(F.trim(x).try_cast("long"), F.trim(x).try_cast("double").try_cast("long"))
+    return F.coalesce(_trim(x).try_cast("long"), _trim(x).try_cast("double").try_cast("long"))
 
 
 def as_float(x: Column) -> Column:
-    return F.trim(x).try_cast("double")
+    return _trim(x).try_cast("double")
 
 
 def as_bool(x: Column) -> Column:
-    t = F.lower(F.trim(x))
+    t = F.lower(_trim(x))
     return F.when(t.isin("true", "1", "yes", "y", "on"), True).when(t.isin("false", "0", "no", "n", "off"), False)
 
 

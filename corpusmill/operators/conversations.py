@@ -67,11 +67,15 @@ def visible(messages: DataFrame) -> DataFrame:
 
 
 def transcript(messages: DataFrame, form: str = "markdown", assistant: str = "Assistant") -> DataFrame:
-    """conv_id, text of the visible messages: as Markdown, or as pretty JSON."""
+    """conv_id, text of the visible messages: as Markdown, or as JSON, indented by two spaces, with <, > and & as escapes."""
     m = visible(messages)
     if form == "json":
-        rows = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-        return m.groupBy("conv_id").agg(rows.alias("r")).select("conv_id", F.to_json("r", {"pretty": "true"}).alias("text"))
+        text = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+        for sign in "<>&":
+            text = (lambda before, sign: lambda c: F.replace(before(c), F.lit(sign), F.lit(f"\\u{ord(sign):04x}")))(text, sign)
+        row = F.concat(F.lit('  {\n    "role": "'), "role", F.lit('",\n    "content": '), text(_text("text")), F.lit("\n  }"))
+        rows = F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("r")))), lambda x: x["r"])
+        return m.groupBy("conv_id").agg(F.concat(F.lit("[\n"), F.array_join(rows, ",\n"), F.lit("\n]\n")).alias("text"))
     head = F.when(F.col("role") == "user", F.lit("## You")).otherwise(F.lit(f"## {assistant}"))
     block = F.concat(head, F.lit("\n\n"), _text("text"), F.lit("\n\n"))
     return m.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "").alias("text"))
@@ -85,7 +89,7 @@ def last_assistant(messages: DataFrame) -> DataFrame:
 def recall_tail(messages: DataFrame, n: int, keys: tuple[str, ...] = ("conv_id",)) -> DataFrame:
     """What a recall log keeps: user texts, blank ones and repetitions of the one before left out, the last n."""
     w = Window.partitionBy(*keys).orderBy("turn")
-    said = messages.where((F.col("role") == "user") & (F.btrim(_text("text"), F.lit(T.TEXT_SPACE)) != ""))
+    said = messages.where((F.col("role") == "user") & (F.btrim(_text("text"), F.lit(T.SPACE)) != ""))
     said = said.withColumn("_before", F.lag("text").over(w)).where(~F.col("_before").eqNullSafe(F.col("text"))).drop("_before")
     return said.withColumn("_back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("turn")))).where(F.col("_back") <= n).drop("_back")
 

@@ -1,23 +1,31 @@
 """A persistent chunk index keyed by file fingerprint (path, mtime in ms, size).
 
-Two tables below one folder: `files-N` (a row for each file: fingerprint, generation, counts, last access) and `chunks`,
-appended by generation and never rewritten; a file's chunks are those of the generation its row names. A pointer file, replaced
-in one step, names the current `files-N` and the model tag; another tag or schema version makes the index empty.
+Below the index's folder each model tag and schema version has a folder of its own; the first commit under another tag removes
+the others'. In it, `chunks/generation=<id>` holds the chunks of one write and is never changed; `files-<id>` has a row for each
+file (fingerprint, generation, counts, last access); `pointers/<number>` names the current `files-<id>`. A commit puts the
+next number in place in one step, and readers take the greatest, so a write that fails half-way leaves nothing that is read.
+Reads are logged in `access` and folded into the next commit. What eviction and replacement leave unused is deleted.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 1
+from corpusmill.sources.shared import in_order
+
+SCHEMA_VERSION = 2
+#: Fixed value: bytes that an entry costs beside its text.
 ENTRY_BYTES = 4096
-FILES = "path string, mtime_ms long, size long, generation long, n_chunks long, blob_size long, last_access long"
-CHUNKS = "path string, chunk_index int, total int, section string, tokens long, text string, embedding array<float>, generation long"
+FILES = "path string, mtime_ms long, size long, generation string, n_chunks long, blob_size long, last_access long"
+CHUNKS = "path string, chunk_index int, total int, section string, tokens long, text string, embedding array<float>"
+ACCESS = "path string, last_access long"
 
 
 def stale(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -25,25 +33,20 @@ def stale(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.join(known.select("path", "mtime_ms", "size"), ["path", "mtime_ms", "size"], "left_anti")
 
 
+def fresh(files: DataFrame, known: DataFrame) -> DataFrame:
+    """files (path, mtime_ms, size) that the index has as they are."""
+    return files.join(known.select("path", "mtime_ms", "size"), ["path", "mtime_ms", "size"], "left_semi")
+
+
 def status(files: DataFrame) -> DataFrame:
     z = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
     return files.agg(F.count("*").alias("files"), z("n_chunks"), z("blob_size"))
 
 
 def evict(files: DataFrame, max_bytes: int) -> DataFrame:
-    """The files that stay: the most recently used (ties by path) while their blobs, and 4096 bytes each, fit.
-
-    Totals go by second of access first, so only the files of the one second at the limit are ordered one by one.
-    """
-    cost = F.col("blob_size") + ENTRY_BYTES
-    seconds = files.groupBy("last_access").agg(F.sum(cost).alias("cost"))
-    seconds = seconds.withColumn("upto", F.sum("cost").over(Window.orderBy(F.desc("last_access"))))
-    df = files.join(seconds.select("last_access", "upto", (F.col("upto") - F.col("cost")).alias("before")), "last_access")
-    whole = df.where(F.col("upto") <= max_bytes)
-    partly = df.where((F.col("upto") > max_bytes) & (F.col("before") <= max_bytes))
-    partly = partly.withColumn("own", F.col("before") + F.sum(cost).over(Window.partitionBy("last_access").orderBy("path"))).where(F.col("own") <= max_bytes)
-    # beyond the limit's second nothing stays
-    return whole.unionByName(partly.drop("own")).select(*files.columns)
+    """The files that stay: the most recently used (ties by path) while their blobs, and 4096 bytes each, fit."""
+    df = in_order(files.withColumn("_cost", F.col("blob_size") + ENTRY_BYTES), [F.desc("last_access"), F.col("path")], ("_cost",))
+    return df.where(F.col("before__cost") + F.col("_cost") <= max_bytes).select(*files.columns)
 
 
 def seal(data: Column, key: Column | None = None, compress: bool = True) -> Column:
@@ -78,68 +81,139 @@ def unseal(sealed: Column, key: Column | None = None) -> Column:
     return F.coalesce(inflate(deflated), F.when(flags.bitwiseAND(1) == 0, body))
 
 
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 class Index:
     def __init__(self, spark: SparkSession, folder: str, model_tag: str):
-        self.spark, self.folder, self.tag = spark, folder.rstrip("/"), model_tag
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _current(self) -> dict:
-        at = self._path(f"{self.folder}/CURRENT")
-        if self._fs.exists(at):
-            said = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.folder}/CURRENT").collect()))  # one line
-            if said["tag"] == self.tag and said["schema"] == SCHEMA_VERSION:
-                return said
-        return {"tag": self.tag, "schema": SCHEMA_VERSION, "generation": 0}
-
-    def _commit(self, generation: int) -> None:
-        made = self._path(f"{self.folder}/CURRENT.new")
-        out = self._fs.create(made, True)
-        out.write(bytearray(json.dumps({"tag": self.tag, "schema": SCHEMA_VERSION, "generation": generation}).encode()))
+        self.spark, self.top = spark, folder.rstrip("/")
+        self.own = f"v{SCHEMA_VERSION}-" + hashlib.sha256(model_tag.encode()).hexdigest()[:32]
+        self.folder = f"{self.top}/{self.own}"
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.top).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, at: str) -> list[str]:
+        path = self._path(at)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def _delete(self, at: str) -> None:
+        self._fs.delete(self._path(at), True)
+
+    def _current(self) -> tuple[int, str | None]:
+        """Number of the last commit, and the table of files that it names."""
+        numbers = [n for n in self._names(f"{self.folder}/pointers") if n.isdigit()]
+        if not numbers:
+            return 0, None
+        said = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.folder}/pointers/{numbers[-1]}").collect()))  # one line
+        return int(numbers[-1]), said["files"]
+
+    def _commit(self, files: DataFrame) -> None:
+        """Makes these the index's files: the table first, then its pointer in one step; then what no reader of this or the last commit needs goes."""
+        number, before = self._current()
+        name = f"files-{uuid.uuid4().hex}"
+        log = self._names(f"{self.folder}/access")
+        files.select(*_columns(FILES)).write.parquet(f"{self.folder}/{name}")
+        made = self._path(f"{self.folder}/pointers/{uuid.uuid4().hex}.new")
+        out = self._fs.create(made, False)
+        out.write(bytearray(json.dumps({"files": name}).encode()))
         out.close()
-        at = self._path(f"{self.folder}/CURRENT")
-        self._fs.delete(at, False)
-        self._fs.rename(made, at)
+        if not self._fs.rename(made, self._path(f"{self.folder}/pointers/{number + 1:020d}")):
+            raise OSError("another writer committed first")
+        for n in log:
+            self._delete(f"{self.folder}/access/{n}")
+        for n in self._names(f"{self.folder}/pointers"):
+            if n.isdigit() and int(n) < number:
+                self._delete(f"{self.folder}/pointers/{n}")
+        for n in self._names(self.folder):
+            if n.startswith("files-") and n not in (name, before):
+                self._delete(f"{self.folder}/{n}")
+        for n in self._names(self.top):
+            if n != self.own:
+                self._delete(f"{self.top}/{n}")
 
     def files(self) -> DataFrame:
-        n = self._current()["generation"]
-        return self.spark.read.schema(FILES).parquet(f"{self.folder}/files-{n}") if n else self.spark.createDataFrame([], FILES)
+        """A row for each file, last accesses included."""
+        _, name = self._current()
+        if name is None:
+            return self.spark.createDataFrame([], FILES)
+        files = self.spark.read.schema(FILES).parquet(f"{self.folder}/{name}")
+        if not self._names(f"{self.folder}/access"):
+            return files
+        used = self.spark.read.schema(ACCESS).parquet(f"{self.folder}/access/*").groupBy("path").agg(F.max("last_access").alias("_used"))
+        return files.join(used, "path", "left").withColumn("last_access", F.greatest("last_access", "_used")).select(*_columns(FILES))
+
+    def _all_chunks(self) -> DataFrame:
+        return self.spark.read.schema(f"{CHUNKS}, generation string").parquet(f"{self.folder}/chunks")
 
     def chunks(self) -> DataFrame:
-        """All current chunks."""
-        if not self._current()["generation"]:
-            return self.spark.createDataFrame([], CHUNKS)
+        """All current chunks, with their generation."""
+        if not self._names(f"{self.folder}/chunks") or self._current()[1] is None:
+            return self.spark.createDataFrame([], f"{CHUNKS}, generation string")
         live = self.files().select("path", "generation")
-        return self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/chunks").join(live, ["path", "generation"], "left_semi")
+        return self._all_chunks().join(live, ["path", "generation"], "left_semi").select(*_columns(CHUNKS), "generation")
+
+    def touch(self, paths: DataFrame, now: int) -> None:
+        """Logs that these files (path) were used."""
+        paths.select("path", F.lit(now).cast("long").alias("last_access")).write.parquet(f"{self.folder}/access/{uuid.uuid4().hex}")
 
-    def chunk(self, path: str, index: int) -> DataFrame:
+    def chunk(self, path: str, index: int, now: int | None = None) -> DataFrame:
+        """One chunk; with a time, the use of its file is logged."""
+        if now is not None:
+            self.touch(self.files().where(F.col("path") == path), now)
         return self.chunks().where((F.col("path") == path) & (F.col("chunk_index") == index))
 
     def stale(self, files: DataFrame) -> DataFrame:
         return stale(files, self.files())
 
+    def hits(self, files: DataFrame, now: int) -> DataFrame:
+        """Those of files (path, mtime_ms, size) that the index has as they are; their use is logged."""
+        found = fresh(files, self.files())
+        self.touch(found, now)
+        return found
+
+    def _write_chunks(self, chunks: DataFrame) -> str:
+        generation = uuid.uuid4().hex
+        chunks.select(*_columns(CHUNKS)).write.parquet(f"{self.folder}/chunks/generation={generation}")
+        return generation
+
     def upsert(self, files: DataFrame, chunks: DataFrame, now: int) -> None:
         """files: path, mtime_ms, size of what was read anew; chunks: theirs, with embeddings. Only the new chunks and the list of files are written."""
-        at = self._current()["generation"] + 1
-        chunks.withColumn("generation", F.lit(at).cast("long")).select(*[c.split()[0] for c in CHUNKS.split(", ")]).write.mode("append").parquet(f"{self.folder}/chunks")
-        own = self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/chunks").where(F.col("generation") == at)
+        at = self._write_chunks(chunks)
+        own = self._all_chunks().where(F.col("generation") == at)
         sums = own.groupBy("path").agg(F.count("*").alias("n_chunks"), F.sum(F.octet_length("text") + 1).alias("blob_size"))
-        new = files.select("path", "mtime_ms", "size").join(sums, "path", "left").withColumn("generation", F.lit(at).cast("long"))
-        new = new.withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)).cast("long")).withColumn("blob_size", F.coalesce("blob_size", F.lit(0)).cast("long")).withColumn("last_access", F.lit(now).cast("long"))
-        columns = [c.split()[0] for c in FILES.split(", ")]
-        self._write(self.files().join(new.select("path"), "path", "left_anti").select(*columns).unionByName(new.select(*columns)), at)
-
-    def _write(self, files: DataFrame, at: int) -> None:
-        files.write.mode("overwrite").parquet(f"{self.folder}/files-{at}")
-        self._commit(at)
+        new = files.select("path", "mtime_ms", "size").join(sums, "path", "left").withColumn("generation", F.lit(at))
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+        new = new.withColumns({"n_chunks": zero("n_chunks"), "blob_size": zero("blob_size"), "last_access": F.lit(now).cast("long")})
+        columns = _columns(FILES)
+        self._commit(self.files().join(new.select("path"), "path", "left_anti").select(*columns).unionByName(new.select(*columns)))
 
     def evict(self, max_bytes: int) -> None:
+        """Keeps what fits (0: everything), then deletes what isn't used any more."""
         if max_bytes > 0:
-            self._write(evict(self.files(), max_bytes), self._current()["generation"] + 1)
+            self._commit(evict(self.files(), max_bytes))
+        self.vacuum()
+
+    def vacuum(self) -> None:
+        """Deletes chunks that no file has: generations without files go whole, the files of partly used ones move to a new generation."""
+        if not self._names(f"{self.folder}/chunks"):
+            return
+        files = self.files()
+        has = self._all_chunks().groupBy("generation").agg(F.countDistinct("path").alias("has"))
+        uses = files.where("n_chunks > 0").groupBy("generation").agg(F.count("*").alias("uses"))
+        partly = has.join(uses, "generation", "left").where("coalesce(uses, 0) < has").select("generation")
+        gone = [r["generation"] for r in partly.collect()]  # a row for each write since the last time
+        if not gone:
+            return
+        moved = files.where(F.col("generation").isin(gone))
+        if not moved.isEmpty():
+            at = self._write_chunks(self.chunks().where(F.col("generation").isin(gone)))
+            self._commit(files.withColumn("generation", F.when(F.col("generation").isin(gone), at).otherwise(F.col("generation"))))
+        for generation in gone:
+            self._delete(f"{self.folder}/chunks/generation={generation}")
 
     def status(self) -> DataFrame:
         return status(self.files())
 
     def clear(self) -> None:
-        self._fs.delete(self._path(self.folder), True)
+        self._delete(self.top)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ def list_dir(entries: DataFrame, depth: int = 1, extensions: list[str] | None =
         df = df.where((F.col("type") == "dir") | T.extension(F.col("name")).isin([e.lower() for e in extensions]))
     if name_contains:
         df = df.where((F.col("type") == "dir") | F.contains(F.lower("name"), F.lit(name_contains.lower())))
-    return df.orderBy(F.unix_seconds("modified_at").desc(), T.walk_key(F.col("path"))) if sort_by == "mtime" else df.orderBy("path")
+    return df.orderBy(F.unix_seconds("modified_at").desc(), T.walk_key(F.col("path"))) if sort_by in ("mtime", "modified_time") else df.orderBy("path")
 
 
 def find_all_files(entries: DataFrame) -> DataFrame:
@@ -23,6 +25,12 @@ def find_all_files(entries: DataFrame) -> DataFrame:
     return entries.where("type <> 'dir'").select("path").orderBy("path")
 
 
+def all_files_by_folder(entries: DataFrame) -> DataFrame:
+    """The same as a report: p (a folder, '' for the root), c (how many files stand in it) and f (their paths, in order)."""
+    files = entries.where("type <> 'dir'").select("path", F.regexp_extract("path", "^(.*)/", 1).alias("p"))
+    return files.groupBy("p").agg(F.count("*").alias("c"), F.sort_array(F.collect_list("path")).alias("f"))
+
+
 def search_name(entries: DataFrame, pattern: str, case_sensitive: bool = False, extensions: list[str] | None = None, limit: int = 500) -> DataFrame:
     name = F.col("name") if case_sensitive else F.lower("name")
     df = entries.where(F.contains(name, F.lit(pattern if case_sensitive else pattern.lower())))
@@ -36,19 +44,29 @@ def stat(entries: DataFrame, path: str) -> DataFrame:
     return entries.where(F.col("path") == path).select("path", "type", F.col("size").alias("size_bytes"), F.col("modified_at").alias("mod_time"), "permissions", ext.alias("extension"))
 
 
-def tree(entries: DataFrame, hidden: bool = False) -> DataFrame:
-    """path, line: each entry's line of a drawn tree, in walk order (order by T.walk_key(path))."""
+def tree(entries: DataFrame, hidden: bool = False, glob: str | None = None) -> DataFrame:
+    """path, line: each entry's line of a drawn tree, in walk order (order by T.walk_key(path)); folders end in a slash.
+
+    glob: a folder and a pattern (*, ?) for names directly in it, as in docs/*.md; without a pattern, all below the folder.
+    """
+    if glob is not None:
+        folder, _, last = glob.rpartition("/") if any(c in glob for c in "*?") else (glob.rstrip("/"), "", "")
+        if folder not in ("", "."):
+            entries = entries.where(F.col("path").startswith(folder + "/")).withColumn("path", F.substring("path", len(folder) + 2, 1 << 30))
+        if last:
+            pattern = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in last)
+            entries = entries.where(F.col("path").rlike(f"^{pattern}$"))
     df = entries if hidden else entries.where(~F.exists(F.split("path", "/"), lambda p: p.startswith(".")))
     parts = F.split("path", "/")
     df = df.withColumn("parent", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/"))
     last = F.lead("path").over(Window.partitionBy("parent").orderBy("path")).isNull()
     df = df.withColumn("last", last)
     # one row for each entry and folder above it
-    up = df.select("path", "name", "last", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("level", "above"), F.size(parts).alias("levels"))
+    up = df.select("path", "name", "type", "last", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("level", "above"), F.size(parts).alias("levels"))
     up = up.join(df.select(F.col("path").alias("above"), F.col("last").alias("above_last")), "above")
     inner = F.when(F.col("level") == F.col("levels") - 1, F.when(F.col("above_last"), "└── ").otherwise("├── ")).otherwise(F.when(F.col("above_last"), "    ").otherwise("│   "))
-    drawn = up.withColumn("p", inner).groupBy("path", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", "p"))), lambda x: x["p"]), "").alias("prefix"))
-    return drawn.select("path", F.concat("prefix", "name").alias("line"))
+    drawn = up.withColumn("p", inner).groupBy("path", "name", "type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", "p"))), lambda x: x["p"]), "").alias("prefix"))
+    return drawn.select("path", F.concat("prefix", "name", F.when(F.col("type") == "dir", "/").otherwise("")).alias("line"))
 
 
 def confined(paths: DataFrame, path_col: str = "path") -> DataFrame:

@@ -23,18 +23,24 @@ def read_lines(corpus: DataFrame, start: int | None = None, end: int | None = No
         df = df.where(F.col("line") >= start)
     if end:
         df = df.where(F.col("line") <= end)
-    df = df.select(*keys, "line", F.concat(F.lpad(F.col("line").cast("string"), F.greatest(F.lit(6), F.length(F.col("line").cast("string"))), F.lit(" ")), F.lit("\t"), "text").alias("rendered"))
+    df = df.select(*keys, "line", F.concat(T.numbered(F.col("line")), F.lit("\t"), "text").alias("rendered"))
     if max_bytes >= 0:
         so_far = F.sum(F.octet_length("rendered") + 1).over(Window.partitionBy(*keys).orderBy("line"))
         df = df.withColumn("_n", so_far).where(F.col("_n") <= max_bytes).drop("_n")
     return df
 
 
+class TooMany(ValueError):
+    """More paths than a batch may have."""
+
+
 def read_batch(corpus: DataFrame, paths: DataFrame, max_files: int = 20, max_bytes: int = 131072) -> DataFrame:
-    """paths: pos, path. A row for each of the first max_files: its text, cut after max_bytes bytes with a notice, or an error."""
-    wanted = paths.where(F.col("pos") < max_files)
-    df = wanted.join(corpus, "path", "left")
-    cut = F.concat(F.substring(F.col("text").cast("binary"), 1, max_bytes).cast("string"), F.lit(f"\n[cut after {max_bytes} bytes]"))
+    """paths: pos, path. A row for each: its text, cut after max_bytes bytes (at a whole character) with a notice, or an error. More than max_files paths are refused."""
+    wanted = paths.limit(max_files + 1).count()
+    if wanted > max_files:
+        raise TooMany(f"too many paths; a batch has {max_files} at most")
+    df = paths.join(corpus, "path", "left")
+    cut = F.concat(T.cut_bytes(F.col("text"), max_bytes), F.lit(f"\n[cut after {max_bytes} bytes]"))
     body = F.when(F.octet_length("text") > max_bytes, cut).otherwise(F.col("text"))
     return df.select("pos", "path", body.alias("text"), F.when(F.col("text").isNull(), F.lit("not found")).alias("error"))
 
@@ -76,10 +82,17 @@ def get_chunk(chunks: DataFrame, path: str, index: int) -> DataFrame:
     return chunks.where((F.col("path") == path) & (F.col("chunk_index") == index))
 
 
-def read_image(files: DataFrame, path: str, max_bytes: int = 10 << 20) -> DataFrame:
-    """files: path, content. path, size, base64 (one line) of an image that isn't too large."""
-    image = files.where((F.col("path") == path) & T.extension(F.col("path")).isin(*IMAGES) & (F.octet_length("content") <= max_bytes))
-    return image.select("path", F.octet_length("content").alias("size"), F.regexp_replace(F.base64("content"), r"\s", "").alias("base64"))
+def read_images(files: DataFrame, max_bytes: int = 10 << 20, vision: bool = True) -> DataFrame:
+    """files: path, content. path, size, base64 (one line) or an error: no vision model, not an image, too large."""
+    size = F.octet_length("content").cast("long")
+    error = F.when(F.lit(not vision), "the model can't see images").when(~T.extension(T.file_name(F.col("path"))).isin(*IMAGES), F.concat("path", F.lit(": not an image"))).when(size > max_bytes, F.concat("path", F.lit(f": larger than {max_bytes} bytes")))
+    data = F.when(error.isNull(), F.regexp_replace(F.base64("content"), r"\s", ""))
+    return files.select("path", size.alias("size"), data.alias("base64"), error.alias("error"))
+
+
+def read_image(files: DataFrame, path: str, max_bytes: int = 10 << 20, vision: bool = True) -> DataFrame:
+    """read_images of one path."""
+    return read_images(files.where(F.col("path") == path), max_bytes, vision)
 
 
 def byte_ranges(chunks: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
@@ -91,6 +104,6 @@ def byte_ranges(chunks: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFra
 
 def line_frequency(corpus: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """Short lines that a document has three times or more, with their counts."""
-    line = corpus.select(*keys, F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.btrim("line", F.lit(T.LINE_SPACE)))
+    line = corpus.select(*keys, F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.btrim("line", F.lit(T.SPACE)))
     line = line.where((F.col("line") != "") & (F.octet_length("line") <= T.BOILERPLATE_BYTES))
     return line.groupBy(*keys, "line").agg(F.count("*").alias("n")).where(F.col("n") >= T.BOILERPLATE_TIMES)

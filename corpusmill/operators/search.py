@@ -27,9 +27,33 @@ def search_exact(corpus: DataFrame, query: str, case_sensitive: bool = False, li
     return rows if limit is None else rows.limit(limit)
 
 
-def files_inspected(corpus: DataFrame, max_bytes: int = 2 << 20) -> DataFrame:
-    """How many texts an exact search opens when it isn't cut short."""
-    return corpus.where(F.octet_length("text") <= max_bytes).agg(F.count("*").alias("files_inspected"))
+MAX_FILE_BYTES = 2 << 20
+
+
+def searchable(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """files (path, content) as the corpus of an exact search: path, text of those that aren't larger than max_bytes nor binary."""
+    return files.where((F.octet_length("content") <= max_bytes) & T.is_text(F.col("content"))).select("path", F.col("content").cast("string").alias("text"))
+
+
+def embeddable(files: DataFrame, most: int = 200, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """files (path, size) that a semantic search indexes: neither empty nor larger than max_bytes, the first in walk order."""
+    return first_files(files.where(F.col("size").between(1, max_bytes)), most)
+
+
+def files_inspected(corpus: DataFrame, max_bytes: int = MAX_FILE_BYTES, size: str = "text") -> DataFrame:
+    """How many texts (or files, size: content) an exact search opens when it isn't cut short."""
+    return corpus.where(F.octet_length(size) <= max_bytes).agg(F.count("*").alias("files_inspected"))
+
+
+def search_report(files: DataFrame, query: str, case_sensitive: bool = False, limit: int = 200, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """An exact search of files (path, content) in one row: matches (array, null if there are none), files_inspected (binary ones too, up to the one with the last match if the search is cut short) and truncated."""
+    found = search_exact(searchable(files, max_bytes), query, case_sensitive, limit)
+    key = F.struct(T.walk_key(F.col("path")).alias("k"), "line", F.struct("path", "line", "excerpt").alias("m"))
+    rows = F.transform(F.array_sort(F.collect_list(key)), lambda x: x["m"])
+    report = found.agg(F.when(F.count("*") > 0, rows).alias("matches"), F.max(T.walk_key(F.col("path"))).alias("last"), (F.count("*") >= limit).alias("truncated"))
+    opened = files.where(F.octet_length("content") <= max_bytes).select(T.walk_key(F.col("path")).alias("at"))
+    counted = opened.join(F.broadcast(report.select("last", "truncated")), ~F.col("truncated") | (F.col("at") <= F.col("last")))  # one row
+    return report.select("matches", "truncated").crossJoin(F.broadcast(counted.agg(F.count("*").alias("files_inspected")))).select("matches", "files_inspected", "truncated")
 
 
 def first_files(files: DataFrame, most: int = 200) -> DataFrame:
@@ -63,7 +87,8 @@ def search_document(chunks: DataFrame, path: str, query: list[float], top_k: int
     return one.select("chunk_index", "section", "tokens", "similarity", T.summary(F.col("text")).alias("summary")).orderBy(F.desc("similarity"), "chunk_index").limit(max(1, min(10, top_k)))
 
 
-QUERY_BLOCK = 4096
+#: Queries that go with a plan or in one block, and vectors of a block.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 1 << 18
 
 
 def _nearest(batches, names: list, queries: np.ndarray, k: int):
@@ -90,30 +115,47 @@ def _nearest(batches, names: list, queries: np.ndarray, k: int):
     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(names)), n).astype(np.int32)), pa.array(np.concatenate([i for _, i in best]).astype(np.int64)), pa.array(np.concatenate([s for s, _ in best]))], ["q", "id", "score"])
 
 
+def _meet(k: int):
+    """For a block of vectors and a block of queries: each query's k best."""
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        names = queries.column("name")
+        if not vectors.num_rows or not queries.num_rows:
+            return pa.table([names.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())], ["name", "id", "score"])
+        matrix = np.array(queries.column("q").to_pylist(), np.float64)
+        (best,) = _nearest([pa.RecordBatch.from_arrays([vectors.column(c).combine_chunks() for c in ("id", "embedding")], ["id", "embedding"])], names.to_pylist(), matrix, k)
+        return pa.table([names.take(best.column(0)), best.column(1), best.column(2)], ["name", "id", "score"])
+
+    return run
+
+
 def batch_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: int = 10) -> DataFrame:
     """For each query (query_col, q: its vector) the k nearest of vectors (id_col, embedding): query_col, id_col, score, rank.
 
-    The queries are a stated set, taken in blocks of QUERY_BLOCK; each partition scores its vectors against a block with one
-    matrix product a batch and keeps k rows a query, so that only those are shuffled.
+    The queries are a stated set. Up to QUERY_BLOCK of them go with the plan: each partition scores its vectors against them with one
+    matrix product a batch and keeps k rows a query, so that only those are shuffled. More are a table: blocks of queries
+    meet blocks of vectors by one exchange, and each meeting keeps k rows a query.
     """
-    found, block = None, []
-
-    def add(found, block):
+    kind = queries.schema[query_col].dataType.simpleString()
+    block = queries.select(query_col, "q").limit(QUERY_BLOCK + 1).collect()
+    rank = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "id"))
+    if not block:
+        return vectors.limit(0).select(F.lit(None).cast(kind).alias(query_col), F.col(id_col).cast("long"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), "embedding")
+    if len(block) <= QUERY_BLOCK:
         names, matrix = [r[0] for r in block], np.array([r[1] for r in block], np.float64)
-        rows = vectors.select(F.col(id_col).cast("long"), "embedding").mapInArrow(lambda b: _nearest(b, names, matrix, k), "q int, id long, score double")
-        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-        top = rows.withColumn("rank", rank).where(F.col("rank") <= k)
-        key = vectors.sparkSession.createDataFrame(list(enumerate(names)), f"q int, `{query_col}` {queries.schema[query_col].dataType.simpleString()}")
-        out = top.join(key, "q").select(query_col, F.col("id").alias(id_col), "score", "rank")
-        return out if found is None else found.unionByName(out)
-
-    for row in queries.select(query_col, "q").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            found, block = add(found, block), []
-    if block or found is None:
-        found = add(found, block) if block else vectors.limit(0).select(F.lit(None).cast("long").alias(query_col), F.col(id_col).cast("long"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    return found
+        found = rows.mapInArrow(lambda b: _nearest(b, names, matrix, k), "q int, id long, score double")
+        top = found.withColumn("rank", rank("q")).where(F.col("rank") <= k)
+        key = vectors.sparkSession.createDataFrame(list(enumerate(names)), f"q int, `{query_col}` {kind}")
+        return top.join(key, "q").select(query_col, F.col("id").alias(id_col), "score", "rank")
+    counts = rows.agg(F.count("*")).first()[0], queries.agg(F.count("*")).first()[0]
+    vector_blocks, query_blocks = max(1, -(-counts[0] // VECTOR_BLOCK)), -(-counts[1] // QUERY_BLOCK)
+    left = rows.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(vector_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    right = queries.select(F.col(query_col).alias("name"), "q").withColumn("qb", F.pmod(F.xxhash64("name"), F.lit(query_blocks)).cast("int"))
+    right = right.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(vector_blocks - 1).cast("long"))))
+    met = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(_meet(k), f"name {kind}, id long, score double")
+    top = met.withColumn("rank", rank("name")).where(F.col("rank") <= k)
+    return top.select(F.col("name").alias(query_col), F.col("id").alias(id_col), "score", "rank")
 
 
 def auto_context(chunks: DataFrame, query: list[float], top_k: int = 5, min_score: float = 0.2, exclude: DataFrame | None = None) -> DataFrame:
@@ -135,3 +177,8 @@ def render_context(picked: DataFrame, max_chars: int = 6000) -> tuple[str, list[
     if len(raw) > max_chars:
         body = raw[:max_chars].decode("utf-8", "ignore") + "\n[context cut]"
     return body, [r["key"] for r in rows]
+
+
+def injected_keys(injected: DataFrame, picked: DataFrame) -> DataFrame:
+    """The keys that a conversation has seen, with those of what was picked now."""
+    return injected.select("key").unionByName(picked.select("key")).distinct()

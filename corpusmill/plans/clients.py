@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import socket
+import ssl
 import urllib.request
 from collections.abc import Callable, Iterable
-from urllib.parse import urljoin, urlparse
+from urllib.parse import urljoin, urlparse, urlunparse
 
 import numpy as np
 
 from corpusmill.functions.embedding import unit
 from corpusmill.functions.extract import article_markdown
+from corpusmill.functions.text import SPACE
 from corpusmill.sources.paths import blocked_address
 
 MAX_TEXT, MAX_REDIRECTS = 32 << 10, 10
@@ -81,8 +84,8 @@ def addresses(host: str) -> list[str]:
     return [a[4][0] for a in socket.getaddrinfo(host, None)]
 
 
-def check_url(url: str, https_only: bool = True, resolve: Callable[[str], list[str]] = addresses) -> None:
-    """Only http and https, and only hosts all of whose addresses are public."""
+def check_url(url: str, https_only: bool = True, resolve: Callable[[str], list[str]] = addresses) -> str:
+    """The address to connect to. Only http and https, and only hosts all of whose addresses are public."""
     parts = urlparse(url)
     if parts.scheme not in ("http", "https") or not parts.hostname:
         raise Refused(f"{url}: not a web address")
@@ -91,40 +94,62 @@ def check_url(url: str, https_only: bool = True, resolve: Callable[[str], list[s
     found = resolve(parts.hostname)
     if not found or any(map(blocked_address, found)):
         raise Refused(f"{url}: not a public host")
+    return found[0]
 
 
-class _Stay(urllib.request.HTTPRedirectHandler):
-    def redirect_request(self, *_):
-        return None
+class _Plain(http.client.HTTPConnection):
+    """A connection to the address that was checked, whatever its host's name stands for by now."""
 
+    address = ""
 
-def get(url: str, timeout: float = 30, max_bytes: int = 2 << 20) -> tuple[int, dict, bytes]:
-    """Status, headers (lower-case names) and the first bytes of the body; redirects aren't followed."""
+    def connect(self):
+        self.sock = socket.create_connection((self.address, self.port), self.timeout)
+
+
+class _Secure(http.client.HTTPSConnection):
+    address = ""
+
+    def connect(self):
+        plain = socket.create_connection((self.address, self.port), self.timeout)
+        self.sock = ssl.create_default_context().wrap_socket(plain, server_hostname=self.host)
+
+
+def get(url: str, address: str, timeout: float = 30, max_bytes: int = 2 << 20) -> tuple[int, dict, bytes]:
+    """Status, headers (lower-case names) and the first bytes of the body, from a server at this address; redirects aren't followed."""
+    parts = urlparse(url)
+    connection = (_Secure if parts.scheme == "https" else _Plain)(parts.hostname, parts.port, timeout=timeout)
+    connection.address = address
     try:
-        answer = urllib.request.build_opener(_Stay).open(url, timeout=timeout)
-    except urllib.error.HTTPError as e:
-        answer = e
-    return answer.status, {k.lower(): v for k, v in answer.headers.items()}, answer.read(max_bytes)
+        connection.request("GET", urlunparse(("", "", parts.path or "/", parts.params, parts.query, "")), headers={"User-Agent": "corpusmill"})
+        answer = connection.getresponse()
+        return answer.status, {k.lower(): v for k, v in answer.getheaders()}, answer.read(max_bytes)
+    finally:
+        connection.close()
+
+
+def page_of(status: int, content_type: str, body: bytes) -> str:
+    """What a fetch says of an answer: "HTTP <status>", what went wrong, and the text (a page's article as Markdown), at most 32 KiB."""
+    text = body.decode("utf-8", "replace")
+    if "text/html" in content_type or text[:512].strip(SPACE).lower().startswith(("<!doctype html", "<html")):
+        text = article_markdown(text)
+    raw = text.encode()
+    if len(raw) > MAX_TEXT:
+        text = raw[:MAX_TEXT].decode("utf-8", "ignore") + "\n\n[content truncated]"
+    if 200 <= status < 300:
+        return f"HTTP {status}\n\n{text}"
+    reason = f"HTTP {status}\nError: {http.client.responses.get(status, '')}"
+    return f"{reason}\n\n{text}" if text else reason
 
 
 def fetch(url: str, https_only: bool = True, max_bytes: int = 2 << 20, send: Callable[..., tuple[int, dict, bytes]] = get, resolve: Callable[[str], list[str]] = addresses) -> str:
-    """"HTTP <status>" and the page's text (its article as Markdown), at most 32 KiB; what goes wrong is told in the text. Each redirect is checked like the first address."""
+    """The page as page_of tells it; what fails before there is an answer is "HTTP 0". Each redirect is resolved and checked like the first address, and the checked address is the one that is connected to."""
     try:
         for _ in range(MAX_REDIRECTS + 1):
-            check_url(url, https_only, resolve)
-            status, headers, body = send(url, max_bytes=max_bytes)
+            address = check_url(url, https_only, resolve)
+            status, headers, body = send(url, address, max_bytes=max_bytes)
             if status not in (301, 302, 303, 307, 308) or not headers.get("location"):
-                break
+                return page_of(status, headers.get("content-type", ""), body[:max_bytes])
             url = urljoin(url, headers["location"])
-        else:
-            return "Error: too many redirects"
-    except (Refused, OSError) as e:
-        return f"Error: {e}"
-    if not 200 <= status < 300:
-        return f"HTTP {status}\nError: the server said no"
-    text = body[:max_bytes].decode("utf-8", "replace")
-    head = text[:512].strip().lower()
-    if "text/html" in headers.get("content-type", "") or head.startswith(("<!doctype html", "<html")):
-        text = article_markdown(text) or text
-    raw = text.encode()
-    return f"HTTP {status}\n" + (raw[:MAX_TEXT].decode("utf-8", "ignore") + "\n[text cut]" if len(raw) > MAX_TEXT else text)
+    except (Refused, OSError, http.client.HTTPException) as e:
+        return f"HTTP 0\nError: {e}"
+    return "HTTP 0\nError: too many redirects"

@@ -63,17 +63,18 @@ def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COMPOSED = """select 'block' || block || '.md' as path, string_agg(p, chr(10) order by doc_id) as text from
 (select doc_id, doc_id // 25 as block, '# ' || coalesce(lang, 'none') || chr(10) || coalesce(text, '') || chr(10) || chr(10) || 'Page ' || doc_id || ' of 20' || chr(10) || '  kept for the record ' || chr(9) || chr(10) || chr(10) as p from documents) group by block"""
-_LINE_SPACE = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
-_NORMALIZE = f"""trim(array_to_string(list_filter(a, lambda x, i: x <> '' or i = 1 or a[i - 1] <> ''), chr(10)), ' ' || chr(9) || chr(13) || chr(10))"""
-_TRIMMED = f"list_transform(string_split(text, chr(10)), lambda x: trim(x, {_LINE_SPACE}))"
+#: White space that texts and lines are trimmed of, as a SQL string.
+_SP = "'" + T.SPACE + "'"
+_NORMALIZE = f"""trim(array_to_string(list_filter(a, lambda x, i: x <> '' or i = 1 or a[i - 1] <> ''), chr(10)), {_SP})"""
+_TRIMMED = f"list_transform(string_split(text, chr(10)), lambda x: trim(x, {_SP}))"
 _PAGE = r"'^\s*(?:page\s+)?\d+(?:\s*(?:/|of)\s*\d+)?\s*$'"
-_CLEAN = f"""with l as (select path, i, line, trim(line, {_LINE_SPACE}) as t from ({{source}}) c, unnest(string_split(c.text, chr(10))) with ordinality u(line, i)),
+_CLEAN = f"""with l as (select path, i, line, trim(line, {_SP}) as t from ({{source}}) c, unnest(string_split(c.text, chr(10))) with ordinality u(line, i)),
 f as (select *, count(*) over (partition by path, t) as n from l),
 k as (select path, i, t, lag(t) over (partition by path order by i) as before, row_number() over (partition by path order by i) as r from f
  where t = '' or starts_with(t, '# ') or not (regexp_matches(lower(t), {_PAGE}) or (strlen(t) <= 80 and n >= 3)))
-select path, trim(string_agg(t, chr(10) order by i) filter (where t <> '' or r = 1 or before <> ''), ' ' || chr(9) || chr(13) || chr(10)) as text from k group by path"""
+select path, trim(string_agg(t, chr(10) order by i) filter (where t <> '' or r = 1 or before <> ''), {_SP}) as text from k group by path"""
 _CLEAN_COMPOSED = _CLEAN.format(source=_COMPOSED)
-_TOKENS = "case when length(text) // 4 = 0 and trim(text, ' ' || chr(9) || chr(13) || chr(10) || chr(11) || chr(12)) <> '' then 1 else length(text) // 4 end"
+_TOKENS = f"case when length(text) // 4 = 0 and trim(text, {_SP}) <> '' then 1 else length(text) // 4 end"
 
 
 def _lines_sql(source: str, keys: str) -> str:
@@ -90,7 +91,7 @@ _EXCERPT = "case when length(t) > 200 then left(t, 200) || '…' else t end"
 
 def _exact_sql(needle: str, fold: bool, limit: bool = True) -> str:
     hay = "lower(text)" if fold else "text"
-    return f"""select doc_id, line, {_EXCERPT} as excerpt from (select doc_id, line, trim(text, ' ' || chr(9) || chr(13) || chr(10) || chr(11) || chr(12)) as t from ({_lines_sql(_DOCS, 'doc_id')})
+    return f"""select doc_id, line, {_EXCERPT} as excerpt from (select doc_id, line, trim(text, {_SP}) as t from ({_lines_sql(_DOCS, 'doc_id')})
 where contains({hay}, '{needle}')) order by doc_id, line{' limit 200' if limit else ''}"""
 
 
@@ -129,26 +130,34 @@ def read_budget(spark, sf_dir):
     return reading.read_lines(documents(spark, sf_dir), max_bytes=2000, keys=("doc_id",))
 
 
-@query(f"""with p as ({_PATHS}), w as (select row_number() over (order by doc_id) - 1 as pos, path from p where doc_id % 40 = 0 union all select 1000000, 'gone.txt')
-select w.pos, w.path, p.text, case when p.path is null then 'not found' end as error from w left join p using (path) where w.pos < 20 or w.path = 'gone.txt'""")
+_BATCH = f"""with p as ({_PATHS}), w as (select row_number() over (order by doc_id) as pos, path from p union all select 0, 'gone.txt'),
+c as (select w.pos, w.path, p.text as whole, p.path is null as gone from w left join p using (path) where w.pos < 20)"""
+
+
+def _cut_sql(text: str, most: int, notice: str) -> str:
+    """The first bytes of a text, at a whole character, and a notice; a shorter text as it is."""
+    first = f"list_max(list_filter(range(length({text}) + 1), lambda n: strlen(left({text}, n)) <= {most}))"
+    return f"case when strlen({text}) > {most} then left({text}, {first}) || {notice} else {text} end"
+
+
+@query(_BATCH + f" select pos, path, {_cut_sql('whole', 131072, chr(39) + chr(10) + '[cut after 131072 bytes]' + chr(39))} as text, case when gone then 'not found' end as error from c")
 def read_batch(spark, sf_dir):
-    d = paths(spark, sf_dir).join(documents(spark, sf_dir), "doc_id").select("path", "text", "doc_id")
-    wanted = d.where("doc_id % 40 = 0").orderBy("doc_id").limit(20)
-    wanted = wanted.select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("pos"), "path")
-    extra = spark.createDataFrame([(1000000, "gone.txt")], "pos long, path string")
-    return reading.read_batch(d.select("path", "text"), wanted.unionByName(extra), 10_000_000, 1 << 30)
+    """A missing path and the first 19 in order, as many as a batch has, under the operator's own limits."""
+    pos, d = _batch(spark, sf_dir)
+    return reading.read_batch(d, pos)
 
 
-@query(f"""with p as ({_PATHS}), w as (select row_number() over (order by doc_id) as pos, path from p union all select 0, 'gone.txt')
-select w.pos, w.path, case when strlen(p.text) > 131072 then decode(encode(p.text)[1:131072]) || chr(10) || '[cut after 131072 bytes]' else p.text end as text, case when p.path is null then 'not found' end as error
-from w left join p using (path) where w.pos < 20""")
-def read_batch_defaults(spark, sf_dir):
-    """read_batch of a missing path and the first 30 in order, under the operator's own limits."""
-    d = paths(spark, sf_dir).join(documents(spark, sf_dir), "doc_id").select("path", "text", "doc_id")
-    wanted = paths(spark, sf_dir).orderBy("doc_id").limit(30)
-    wanted = wanted.select(F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("pos"), "path")
-    gone = spark.createDataFrame([(0, "gone.txt")], "pos long, path string")
-    return reading.read_batch(d.select("path", "text"), gone.unionByName(wanted))
+def _batch(spark, sf_dir):
+    d = paths(spark, sf_dir).join(documents(spark, sf_dir), "doc_id").select("path", "text")
+    wanted = paths(spark, sf_dir).orderBy("doc_id").limit(19).select(F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("pos"), "path")
+    return spark.createDataFrame([(0, "gone.txt")], "pos long, path string").unionByName(wanted), d
+
+
+@query(_BATCH + f""", t as (select pos, path, {_cut_sql('whole', 500, chr(39) + chr(10) + '[cut after 500 bytes]' + chr(39))} as text from c)
+select string_agg('=== ' || path || ' ===' || chr(10) || coalesce(text, 'Error: not found'), chr(10) || chr(10) order by pos) as text from t""")
+def batch_concat(spark, sf_dir):
+    pos, d = _batch(spark, sf_dir)
+    return reading.render_batch(reading.read_batch(d, pos, max_bytes=500))
 
 
 # --- text functions -----------------------------------------------------------------------------------------------------
@@ -164,7 +173,7 @@ def clean_for_llm(spark, sf_dir):
     return composed(spark, sf_dir).select("path", T.clean(F.col("text")).alias("text"))
 
 
-@query(f"""with l as (select path, trim(line, {_LINE_SPACE}) as line from ({_COMPOSED}) c, unnest(string_split(c.text, chr(10))) u(line))
+@query(f"""with l as (select path, trim(line, {_SP}) as line from ({_COMPOSED}) c, unnest(string_split(c.text, chr(10))) u(line))
 select path, line, count(*) as n from l where line <> '' and strlen(line) <= 80 group by all having count(*) >= 3""")
 def line_frequency(spark, sf_dir):
     return reading.line_frequency(composed(spark, sf_dir))
@@ -175,17 +184,17 @@ def estimate_tokens(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query(f"select doc_id, {_EXCERPT} as excerpt from (select doc_id, trim(text, ' ' || chr(9) || chr(13) || chr(10) || chr(11) || chr(12)) as t from ({_DOCS}))")
+@query(f"select doc_id, {_EXCERPT} as excerpt from (select doc_id, trim(text, {_SP}) as t from ({_DOCS}))")
 def excerpt(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
 
 
 _SUMMARY = r"""case when stop > 0 and strlen(left(one, stop)) - 1 <= 120 then left(one, stop) else left(one, 120) end"""
 _SUMMARY_OF = r"""select *, case when regexp_matches(one, '[.!?] ') then length(regexp_extract(one, '^(.*?[.!?]) ', 1)) else 0 end as stop from
-(select *, regexp_replace(coalesce(list_filter({trimmed}, lambda t: t <> '' and not starts_with(t, '# '))[1], ''), '\s+', ' ', 'g') as one from ({source}))"""
+(select *, regexp_replace(coalesce(list_filter({trimmed}, lambda t: t <> '' and not starts_with(t, '# '))[1], ''), '[{space}]+', ' ', 'g') as one from ({source}))"""
 
 
-@query(f"select doc_id, {_SUMMARY} as summary from ({_SUMMARY_OF.format(trimmed=_TRIMMED, source=_DOCS)})")
+@query(f"select doc_id, {_SUMMARY} as summary from ({_SUMMARY_OF.format(space=T.SPACE, trimmed=_TRIMMED, source=_DOCS)})")
 def chunk_summary(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.summary(F.col("text")).alias("summary"))
 
@@ -210,23 +219,23 @@ def hash_name(spark, sf_dir):
 def _chunks_sql(source: str, most: int) -> str:
     """Both greedy folds as recursive queries: lines into pieces of at most so many tokens, pieces into chunks of one section."""
     return f"""with recursive c as ({source}),
-l as (select path, i, line, trim(line, ' ' || chr(9) || chr(13) || chr(10) || chr(11) || chr(12)) as t from c, unnest(string_split(c.text, chr(10))) with ordinality u(line, i)),
+l as (select path, i, line, trim(line, {_SP}) as t from c, unnest(string_split(c.text, chr(10))) with ordinality u(line, i)),
 m as (select *, starts_with(t, '# ') as head, t = '' or starts_with(t, '# ') as cut from l),
-g as (select *, sum(cut::int) over (partition by path order by i) as seg, last_value(case when head then trim(t[3:]) end ignore nulls) over (partition by path order by i) as sec from m),
-p as (select path, seg, coalesce(any_value(sec), '') as sec, trim(string_agg(line, chr(10) order by i), ' ' || chr(9) || chr(13) || chr(10) || chr(11) || chr(12)) as text from g where not cut group by path, seg),
+g as (select *, sum(cut::int) over (partition by path order by i) as seg, last_value(case when head then trim(t[3:], {_SP}) end ignore nulls) over (partition by path order by i) as sec from m),
+p as (select path, seg, coalesce(any_value(sec), '') as sec, trim(string_agg(line, chr(10) order by i), {_SP}) as text from g where not cut group by path, seg),
 w as (select path, seg, sec, text, case when length(text) // 4 = 0 then 1 else length(text) // 4 end as tok from p),
-sl as (select path, seg, sec, j, line, case when length(line) // 4 = 0 and trim(line) <> '' then 1 else length(line) // 4 end as lt from w, unnest(string_split(w.text, chr(10))) with ordinality u(line, j) where tok > {most}),
+sl as (select path, seg, sec, j, line, case when length(line) // 4 = 0 and trim(line, {_SP}) <> '' then 1 else length(line) // 4 end as lt from w, unnest(string_split(w.text, chr(10))) with ordinality u(line, j) where tok > {most}),
 r1 as (select path, seg, sec, j, line, lt, lt as cum, 1 as piece from sl where j = 1
  union all select s.path, s.seg, s.sec, s.j, s.line, s.lt, case when s.lt > {most} or r1.lt > {most} or (r1.cum > 0 and r1.cum + s.lt > {most}) then s.lt else r1.cum + s.lt end,
  r1.piece + case when s.lt > {most} or r1.lt > {most} or (r1.cum > 0 and r1.cum + s.lt > {most}) then 1 else 0 end from r1 join sl s on s.path = r1.path and s.seg = r1.seg and s.j = r1.j + 1),
 pc as (select path, seg, sec, piece, 0 as sub, string_agg(line, chr(10) order by j) as text from r1 where lt <= {most} group by path, seg, sec, piece
  union all select path, seg, sec, piece, k as sub, substr(line, (k * {4 * most} + 1)::bigint, {4 * most}) from r1, unnest(range((length(line) + {4 * most - 1}) // {4 * most})) u(k) where lt > {most}
  union all select path, seg, sec, 0, 0, text from w where tok <= {most}),
-s as (select path, sec, text, row_number() over (partition by path order by seg, piece, sub) as i, case when length(text) // 4 = 0 and trim(text) <> '' then 1 else length(text) // 4 end as t from pc where text <> ''),
+s as (select path, sec, text, row_number() over (partition by path order by seg, piece, sub) as i, case when length(text) // 4 = 0 and trim(text, {_SP}) <> '' then 1 else length(text) // 4 end as t from pc where text <> ''),
 r as (select path, i, sec, text, t as cum, 1 as ch from s where i = 1
  union all select s.path, s.i, s.sec, s.text, case when s.sec <> r.sec or r.cum + s.t > {most} then s.t else r.cum + s.t end,
  r.ch + case when s.sec <> r.sec or r.cum + s.t > {most} then 1 else 0 end from r join s on s.path = r.path and s.i = r.i + 1),
-k as (select path, ch as chunk_index, any_value(sec) as section, trim(string_agg(text, chr(10) || chr(10) order by i), ' ' || chr(9) || chr(13) || chr(10) || chr(11) || chr(12)) as text from r group by path, ch),
+k as (select path, ch as chunk_index, any_value(sec) as section, trim(string_agg(text, chr(10) || chr(10) order by i), {_SP}) as text from r group by path, ch),
 chunks as (select path, chunk_index::int as chunk_index, (count(*) over (partition by path))::int as total, section, ({_TOKENS})::bigint as tokens, text from k)"""
 
 
@@ -242,7 +251,7 @@ def chunk_text(spark, sf_dir):
     return _chunks(spark, sf_dir)
 
 
-@query(_CHUNKS + f" select path, chunk_index, total, section, tokens, {_SUMMARY} as summary from ({_SUMMARY_OF.format(trimmed=_TRIMMED, source='chunks')})")
+@query(_CHUNKS + f" select path, chunk_index, total, section, tokens, {_SUMMARY} as summary from ({_SUMMARY_OF.format(space=T.SPACE, trimmed=_TRIMMED, source='chunks')})")
 def manifest(spark, sf_dir):
     return reading.manifest(_chunks(spark, sf_dir))
 
@@ -258,23 +267,32 @@ def byte_ranges(spark, sf_dir):
     return reading.byte_ranges(_chunks(spark, sf_dir))
 
 
-@query(f"""select path, true as cleaned, tokens, case when text = '' then '(no extractable text)' else text end as text from (select path, text, ({_TOKENS})::bigint as tokens from ({_CLEAN.format(source=_PATHS)})) where tokens <= 2000 and path like '%/doc%7.TXT'""")
-def read_document(spark, sf_dir):
-    d = paths(spark, sf_dir).join(documents(spark, sf_dir), "doc_id").where(F.col("path").like("%/doc%7.TXT"))
-    return reading.read_documents(d.select("path", "text")).where("chunk_index is null").select("path", "cleaned", "tokens", "text")
-
-
 #: Every document's cleaned text; a text of which cleaning leaves nothing is an empty one.
 _CLEANED = f"""select p.path, coalesce(c.text, '') as text from ({_PATHS}) p left join ({_CLEAN.format(source=_PATHS)}) c using (path)"""
 
 
-@query(_chunks_sql(f"select path, text from ({_CLEANED}) where ({_TOKENS}) > 2000", 2000) + f""" select path, true as cleaned, ({_TOKENS})::bigint as tokens, case when text = '' then '(no extractable text)' else text end as text, null::int as chunk_index, null::int as total, null::varchar as section, null::varchar as summary from ({_CLEANED}) where ({_TOKENS}) <= 2000
-union all select path, true, tokens, null, chunk_index, total, section, {_SUMMARY} from ({_SUMMARY_OF.format(trimmed=_TRIMMED, source='chunks')})""")
+_READ = (_chunks_sql(f"select path, text from ({_CLEANED}) where ({_TOKENS}) > 2000", 2000) + f""" select path, true as cleaned, ({_TOKENS})::bigint as tokens, case when text = '' then '(no extractable text)' else text end as text, null::int as chunk_index, null::int as total, null::varchar as section, null::varchar as summary from ({_CLEANED}) where ({_TOKENS}) <= 2000
+union all select path, true, tokens, null, chunk_index, total, section, {_SUMMARY} from ({_SUMMARY_OF.format(space=T.SPACE, trimmed=_TRIMMED, source='chunks')})""")
+
+
+@query(_READ)
 def read_documents(spark, sf_dir):
-    """read_document of every document: texts, and manifests of the long ones."""
+    """Every document: texts, and manifests of the long ones."""
     return reading.read_documents(paths(spark, sf_dir).join(documents(spark, sf_dir), "doc_id").select("path", "text"))
 
 
+_ASKED = f"(select path from ({_PATHS}) where doc_id in (select min(doc_id) from documents union all (select doc_id from documents order by n_chars desc nulls last, doc_id limit 1)))"
+
+
+@query(f"select * from ({_READ}) where path in {_ASKED}")
+def read_document(spark, sf_dir):
+    """The first document and the longest one: a text and a manifest."""
+    p = paths(spark, sf_dir)
+    corpus = p.join(documents(spark, sf_dir), "doc_id").select("path", "text")
+    first, longest = (p.orderBy(*order).first()["path"] for order in (("doc_id",), (F.desc_nulls_last("size"), "doc_id")))
+    return reading.read_document(corpus, first).unionByName(reading.read_document(corpus, longest))
+
+
 # --- vectors and semantic search ----------------------------------------------------------------------------------------
 
 _Q = "(select embedding::double[] as q from embeddings where vec_id = 0)"
@@ -298,10 +316,9 @@ def semantic_topk(spark, sf_dir):
     return search.search_semantic(_vector_chunks(spark, sf_dir), _query_vector(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query(f"select path, chunk_index, round(score, 6) as score from ({_K}) where score >= 0.1")
+@query(f"select path, chunk_index, section, round(score, 6) as score, text as excerpt from ({_K}) where score >= 0.35 and path <> 'doc1' order by score desc, path, chunk_index limit 10")
 def semantic_threshold(spark, sf_dir):
-    k = _vector_chunks(spark, sf_dir).withColumn("score", V.dot(F.col("embedding"), V.literal(_query_vector(spark, sf_dir))))
-    return k.where("score >= 0.1").select("path", "chunk_index", F.round("score", 6).alias("score"))
+    return search.search_semantic(_vector_chunks(spark, sf_dir), _query_vector(spark, sf_dir), 10, 0.35, [".MD"]).withColumn("score", F.round("score", 6))
 
 
 @query(f"select chunk_index, section, 2::bigint as tokens, round(greatest(-1, least(1, score)), 5) as similarity, text as summary from ({_K}) where path = 'doc3.md' and score >= -0.05 order by score desc, chunk_index limit 5")
@@ -324,10 +341,14 @@ def auto_context_pick(spark, sf_dir):
     return search.auto_context(_vector_chunks(spark, sf_dir), _query_vector(spark, sf_dir), 5, 0.01, seen).withColumn("score", F.round("score", 6))
 
 
-@query(f"select path, chunk_index from ({_K}) where false")
+@query(f"""with k as ({_K}), a as (select * from k where not (path = 'doc0.md' and chunk_index = 1)), t(floor) as (values (0.1), (0.999999)),
+b as (select floor, path, chunk_index, score, row_number() over (partition by floor order by score desc, path, chunk_index) as r, max(score) over (partition by floor) as best from a, t)
+select floor::double as floor, path, chunk_index from b where r <= 5 and best >= floor""")
 def auto_context_floor(spark, sf_dir):
+    """All or nothing: the five best, where the best of those that weren't seen reaches the floor."""
     seen = spark.createDataFrame([("doc0.md#1",)], "key string")
-    return search.auto_context(_vector_chunks(spark, sf_dir), _query_vector(spark, sf_dir), 5, 0.999999, seen).select("path", "chunk_index")
+    each = [search.auto_context(_vector_chunks(spark, sf_dir), _query_vector(spark, sf_dir), 5, floor, seen).select(F.lit(floor).alias("floor"), "path", "chunk_index") for floor in (0.1, 0.999999)]
+    return each[0].unionByName(each[1])
 
 
 @query(f"select vec_id, round(greatest(-1, least(1, list_dot_product(embedding::double[], q))), 5) as similarity from embeddings, {_Q}")
@@ -336,10 +357,12 @@ def cosine_clamped(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.cosine(F.col("embedding"), q).cast("double"), 5).alias("similarity"))
 
 
-@query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: (x * 3)::double * (x * 3)::double))), 5) as norm, true as is_unit from embeddings")
+@query("""select vec_id, round(norm, 5) as norm, round((v[1]::double / norm)::float::double, 3) + 0.0 as first, round((v[len(v)]::double / norm)::float::double, 3) + 0.0 as last from
+(select vec_id, list_transform(embedding, lambda x: x * 3) as v, sqrt(list_sum(list_transform(embedding, lambda x: (x * 3)::double * (x * 3)::double))) as norm from embeddings)""")
 def vector_normalize(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").withColumn("v", F.transform("embedding", lambda x: (x * 3).cast("float")))
-    return e.select("vec_id", F.round(V.norm(F.col("v")), 5).alias("norm"), (F.abs(V.norm(V.normalize(F.col("v"))) - 1) < 1e-5).alias("is_unit"))
+    unit = V.normalize(F.col("v"))
+    return e.select("vec_id", F.round(V.norm(F.col("v")), 5).alias("norm"), F.round(unit[0].cast("double"), 3).alias("first"), F.round(F.element_at(unit, -1).cast("double"), 3).alias("last"))
 
 
 def _word_vocabulary() -> tuple[dict[str, int], list[list[float]]]:
@@ -359,8 +382,7 @@ def embed_mean_pool(spark, sf_dir):
     import numpy as np
 
     model = E.StaticModel(E.WordPiece(vocabulary, prefix="\x00"), np.array(vectors, np.float32), normalize=False)
-    d = documents(spark, sf_dir).where(F.size(T.basic_split(F.col("text"))) > 0)
-    e = d.select("doc_id", F.size(T.basic_split(F.col("text"))).alias("n"), E.column(model, F.col("text")).alias("e"))
+    e = documents(spark, sf_dir).select("doc_id", E.column_with_size(model, F.col("text")).alias("m")).where("m.n > 0").select("doc_id", "m.n", "m.e")
     # means times words are whole sums, which no rounding can part
     return e.select("doc_id", *[F.round(F.col("e")[i].cast("double") * F.col("n")).cast("long").alias(f"s{i}") for i in range(4)])
 
@@ -420,7 +442,7 @@ def last_assistant(spark, sf_dir):
 
 
 _RECALL = f"""select conv_id, turn, text from (select *, row_number() over (partition by conv_id order by turn desc) as back from
-(select *, lag(text) over (partition by conv_id order by turn) as before from ({_M}) where role = 'user' and trim(text) <> '') where before is distinct from text)"""
+(select *, lag(text) over (partition by conv_id order by turn) as before from ({_M}) where role = 'user' and trim(text, {_SP}) <> '') where before is distinct from text)"""
 
 
 @query(_RECALL + " where back <= 2")
@@ -476,11 +498,11 @@ def stream_fold(spark, sf_dir):
     return C.stream_fold(m, ("conv_id",)).drop("tool_calls")
 
 
-@query(f"""select conv_id, turn, trim(replace(replace(replace(replace('Say $1 to $2: $ARGS on $SELECTION for $$5', '$$', '$'), '$ARGS', role || ' ' || turn), '$SELECTION', text[1:10]), '$5', '').replace('$2', turn::varchar).replace('$1', role), ' ' || chr(9) || chr(13) || chr(10)) as prompt from ({_M})""")
+@query(f"""select conv_id, turn, trim(replace(replace(replace('Say $1 to $2: $ARGS on $SELECTION for $$5', '$$', '$'), '$ARGS', role || ' ' || turn), '$SELECTION', text).replace('$9', '').replace('$8', '').replace('$7', '').replace('$6', '').replace('$5', '').replace('$4', '').replace('$3', '').replace('$2', turn::varchar).replace('$1', role), {_SP}) as prompt from ({_M})""")
 def template_expand(spark, sf_dir):
     m = messages(spark, sf_dir)
     args = F.array("role", F.col("turn").cast("string"))
-    return m.select("conv_id", "turn", T.expand_template(F.lit("Say $1 to $2: $ARGS on $SELECTION for $$5"), args, F.left(F.coalesce("text", F.lit("")), F.lit(10))).alias("prompt"))
+    return m.select("conv_id", "turn", T.expand_template(F.lit("Say $1 to $2: $ARGS on $SELECTION for $$5"), args, F.coalesce("text", F.lit(""))).alias("prompt"))
 
 
 @query(f"""select conv_id, turn, case when n < 1000 then n::varchar else printf('%.1fk', n / 1000.0) end as tokens, case when s < 10 then printf('%.1fs', s) else printf('%.0fs', s) end as elapsed, repeat('█', (least(30, n * 30 // 5000))::int) || repeat('░', (30 - least(30, n * 30 // 5000))::int) as bar
@@ -502,7 +524,7 @@ def format_figures_any(spark, sf_dir):
 # --- pages and addresses ------------------------------------------------------------------------------------------------
 
 
-@query(r"select page_id, starts_with(h, '<!doctype html') or starts_with(h, '<html') as is_html from (select page_id, lower(trim(left(html, 512), ' ' || chr(9) || chr(13) || chr(10))) as h from pages)")
+@query(rf"select page_id, starts_with(h, '<!doctype html') or starts_with(h, '<html') as is_html from (select page_id, lower(trim(left(html, 512), {_SP})) as h from pages)")
 def html_sniff(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.is_html(F.col("html")).alias("is_html"))
 
@@ -523,10 +545,10 @@ def article_text(spark, sf_dir):
 
 
 @query("""select ip, a = 127 or a = 10 or (a = 172 and b between 16 and 31) or (a = 192 and b = 168) or (a = 169 and b = 254) or a between 224 and 239 or (a = 0 and b = 0 and c = 0 and d = 0) as blocked
-from (select a || '.' || b || '.' || c || '.' || d as ip, * from (select doc_id % 256 as a, (doc_id * 7) % 256 as b, doc_id // 256 as c, 0 as d from documents))""")
+from (select case when a % 2 = 1 then '::ffff:' else '' end || a || '.' || b || '.' || c || '.' || d as ip, * from (select doc_id % 256 as a, (doc_id * 7) % 256 as b, doc_id // 256 as c, 0 as d from documents))""")
 def blocked_ip(spark, sf_dir):
     n = F.col("doc_id")
-    ip = F.concat_ws(".", *[x.cast("string") for x in (n % 256, n * 7 % 256, F.floor(n / 256), F.lit(0))])
+    ip = F.concat(F.when(n % 2 == 1, "::ffff:").otherwise(""), F.concat_ws(".", *[x.cast("string") for x in (n % 256, n * 7 % 256, F.floor(n / 256), F.lit(0))]))
     return table(spark, sf_dir, "documents").select(ip.alias("ip")).select("ip", T.blocked_ipv4(F.col("ip")).alias("blocked"))
 
 
@@ -543,14 +565,8 @@ def ext_filter(spark, sf_dir):
     return paths(spark, sf_dir).select("path", T.extension(F.col("name")).alias("ext"))
 
 
-@query(f"select path, rank from (select path, row_number() over (order by source, lang, regexp_extract(name, '^\\D+'), doc_id, name) as rank from ({_PATHS})) where rank <= 100")
-def natural_sort(spark, sf_dir):
-    top = paths(spark, sf_dir).orderBy(F.split("path", "/")[0], F.split("path", "/")[1], T.natural_key(F.col("name"))).limit(100)
-    return top.select("path", F.row_number().over(Window.orderBy(F.split("path", "/")[0], F.split("path", "/")[1], T.natural_key(F.col("name")))).cast("long").alias("rank"))
-
-
 @query(f"select path, row_number() over (partition by source, lang order by regexp_extract(name, '^\\D+'), doc_id, name) as rank from ({_PATHS})")
-def natural_order(spark, sf_dir):
+def natural_sort(spark, sf_dir):
     """Natural order of every path within its folder."""
     folder = Window.partitionBy(F.regexp_extract("path", "^(.*)/", 1)).orderBy(T.natural_key(F.col("name")), "name")
     return paths(spark, sf_dir).select("path", F.row_number().over(folder).cast("long").alias("rank"))
@@ -558,7 +574,7 @@ def natural_order(spark, sf_dir):
 
 @query(f"select path from ({_PATHS}) order by string_split(path, '/') limit 200")
 def dfs_order_limit(spark, sf_dir):
-    return paths(spark, sf_dir).select("path").orderBy(T.walk_key(F.col("path"))).limit(200)
+    return search.first_files(paths(spark, sf_dir)).select("path")
 
 
 @query(f"select path, n_chunks from (select path, n_chars // 1000 + 1 as n_chunks, coalesce(sum(n_chars // 1000 + 1) over (order by string_split(path, '/') rows between unbounded preceding and 1 preceding), 0) as n from ({_PATHS})) where n <= 500")
@@ -571,25 +587,46 @@ def search_name(spark, sf_dir):
     return listing.search_name(paths(spark, sf_dir), "DOC1").select("path")
 
 
-@query(f"select path, 'file' as type, n_chars as size_bytes, '-rw-r--r--' as permissions, nullif(lower(regexp_extract(name, '(\\.[^.]*)$', 1)), '') as extension from ({_PATHS}) where doc_id = 7")
+@query(f"select path, 'file' as type, n_chars as size_bytes, '-rw-r--r--' as permissions, nullif(lower(regexp_extract(name, '(\\.[^.]*)$', 1)), '') as extension, (doc_id % 7 * 1000)::bigint as mod_time from ({_PATHS}) where doc_id = 7")
 def stat_file(spark, sf_dir):
     p = paths(spark, sf_dir)
-    return listing.stat(p, p.where("doc_id = 7").first()["path"]).drop("mod_time")
+    return listing.stat(p, p.where("doc_id = 7").first()["path"]).withColumn("mod_time", F.unix_seconds("mod_time"))
+
 
+_NODES = f"""select path, name, 3 as depth, 'file' as type from ({_PATHS}) union all select distinct coalesce(source, 'none') || '/' || coalesce(lang, 'none'), coalesce(lang, 'none'), 2, 'dir' from documents union all select distinct coalesce(source, 'none'), coalesce(source, 'none'), 1, 'dir' from documents"""
 
-@query(f"""select path, case when lead(name) over (partition by source, lang order by path) is null then '└── ' else '├── ' end || name as line from ({_PATHS})""")
+
+def _nodes(spark, sf_dir):
+    p = paths(spark, sf_dir).select("path", "name", "type", "depth")
+    parts = F.split("path", "/")
+    folders = p.select(parts[0].alias("path"), parts[0].alias("name"), F.lit("dir").alias("type"), F.lit(1).alias("depth")).unionByName(p.select(F.concat_ws("/", parts[0], parts[1]).alias("path"), parts[1].alias("name"), F.lit("dir").alias("type"), F.lit(2).alias("depth")))
+    return p.unionByName(folders.distinct())
+
+
+_TREE = f"""with n as ({_NODES}), l as (select *, regexp_extract(path, '^(.*)/', 1) as parent, lead(path) over (partition by regexp_extract(path, '^(.*)/', 1) order by path) is null as last from n)
+select a.path, coalesce(case when g.path is null then '' when g.last then '    ' else '│   ' end, '') || coalesce(case when b.path is null then '' when b.last then '    ' else '│   ' end, '') || case when a.last then '└── ' else '├── ' end || a.name || case when a.type = 'dir' then '/' else '' end as line
+from l a left join l b on b.path = a.parent left join l g on g.path = b.parent"""
+
+
+@query(_TREE)
 def tree(spark, sf_dir):
-    p = paths(spark, sf_dir).withColumn("folder", F.regexp_extract("path", "^(.*)/", 1))
-    flat = listing.tree(p.select(F.concat(F.translate("folder", "/", "~"), F.lit("/"), "name").alias("path"), "name"))
-    return flat.select(F.translate("path", "~", "/").alias("path"), "line")
+    return listing.tree(_nodes(spark, sf_dir))
+
+
+@query(f"""with n as (select * from ({_NODES}) where depth = 3 and regexp_matches(path, '^[^/]+/en/doc1[^/]*[.]md$')), f as (select min(regexp_extract(path, '^([^/]+)/', 1)) as s from ({_NODES}) where depth = 3)
+select name as path, case when lead(name) over (order by name) is null then '└── ' else '├── ' end || name as line from n, f where starts_with(path, s || '/')""")
+def tree_glob(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    first = nodes.agg(F.min(F.split("path", "/")[0])).first()[0]
+    return listing.tree(nodes, glob=f"{first}/en/doc1*.md")
 
 
-_FILES = "select 'f' || doc_id as path, doc_id * 10 as mtime_ms, n_chars as size, 1::bigint as generation, n_chars // 1000 + 1 as n_chunks, n_chars as blob_size, doc_id % 97 as last_access from documents"
+_FILES = "select 'f' || doc_id as path, doc_id * 10 as mtime_ms, n_chars as size, '1' as generation, n_chars // 1000 + 1 as n_chunks, n_chars as blob_size, doc_id % 97 as last_access from documents"
 
 
 def _index_files(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), (F.col("doc_id") * 10).alias("mtime_ms"), F.col("n_chars").alias("size"), F.lit(1).cast("long").alias("generation"), (F.floor(F.col("n_chars") / 1000) + 1).alias("n_chunks"), F.col("n_chars").alias("blob_size"), (F.col("doc_id") % 97).alias("last_access"))
+    return d.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), (F.col("doc_id") * 10).alias("mtime_ms"), F.col("n_chars").alias("size"), F.lit("1").alias("generation"), (F.floor(F.col("n_chars") / 1000) + 1).alias("n_chunks"), F.col("n_chars").alias("blob_size"), (F.col("doc_id") % 97).alias("last_access"))
 
 
 @query(f"select count(*) as files, sum(n_chunks)::bigint as n_chunks, sum(blob_size)::bigint as blob_size from ({_FILES})")

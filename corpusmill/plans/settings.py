@@ -106,3 +106,8 @@ def save(path: str | Path, key: str, text: str) -> None:
     with tempfile.NamedTemporaryFile("w", dir=path.parent, delete=False) as f:
         f.write("\n".join(lines) + "\n")
     os.replace(f.name, path)
+
+
+def shown(value) -> str:
+    """A value as a settings file has it."""
+    return str(value).lower() if isinstance(value, bool) else str(value)

@@ -42,11 +42,16 @@ class Root:
         return os.path.relpath(absolute, self.folder)
 
 
+#: Private networks.
+PRIVATE = [ipaddress.ip_network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fc00::/7")]
+
+
 def blocked_address(ip: str) -> bool:
-    """Loopback, private, link-local, multicast or unspecified; what is no address is blocked too."""
+    """Loopback, private, link-local, multicast or unspecified, IPv4 in its IPv6 form too; what is no address is blocked."""
     try:
-        a = ipaddress.ip_address(ip)
+        a = ipaddress.ip_address(ip.partition("%")[0])
     except ValueError:
         return True
-    private = a.is_private and (a.version == 6 and a in ipaddress.ip_network("fc00::/7") or a.version == 4 and any(a in ipaddress.ip_network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16")))
+    a = getattr(a, "ipv4_mapped", None) or a
+    private = any(a.version == n.version and a in n for n in PRIVATE)
     return a.is_loopback or private or a.is_link_local or a.is_multicast or a.is_unspecified

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusmill.operators.index import Index
@@ -50,3 +51,38 @@ def first_injections(events: DataFrame) -> DataFrame:
         state.update((sorted(seen),))
 
     return events.groupBy("conv_id").applyInPandasWithState(run, "conv_id long, key string", "seen array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+class Progress(StreamingQueryListener):
+    """Calls back with (done, total) as a stream's batches end, one call at a time: rows done so far, of how many that were announced."""
+
+    def __init__(self, callback: Callable[[int, int], None], total: int):
+        self.callback, self.total, self.done, self.lock = callback, total, 0, threading.Lock()
+
+    def add(self, rows: int) -> None:
+        with self.lock:
+            self.done += rows
+            self.callback(self.done, self.total)
+
+    def onQueryStarted(self, event):
+        self.add(0)
+
+    def onQueryProgress(self, event):
+        if event.progress.numInputRows:
+            self.add(event.progress.numInputRows)
+
+    def onQueryTerminated(self, event):
+        return None
+
+    def onQueryIdle(self, event):
+        return None
+
+
+def with_progress(step: Callable[[DataFrame, int], None], progress: Progress) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch step that also tells how many rows are done, for sinks that need the call before the next batch begins."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        step(batch, number)
+        progress.add(batch.count())
+
+    return run

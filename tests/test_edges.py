@@ -60,12 +60,41 @@ def test_fetch():
     public = lambda host: ["8.8.8.8"]
     page = b"<!doctype html><html><body><nav>n</nav><article><p>hello</p></article></body></html>"
     pages = {"https://a/": (200, {}, page), "https://b/": (302, {"location": "/x"}, b""), "https://b/x": (200, {"content-type": "text/plain"}, b"word " * 20000), "https://c/": (404, {}, b""), "https://d/": (302, {"location": "http://a/"}, b""), "https://e/": (302, {"location": "https://e/"}, b"")}
-    send = lambda url, max_bytes: pages[url]
+    asked = []
+
+    def send(url, address, max_bytes):
+        asked.append((url, address))
+        return pages[url]
+
     fetch = lambda url, resolve=public: clients.fetch(url, send=send, resolve=resolve)
-    assert fetch("https://a/") == "HTTP 200\nhello"
-    assert fetch("https://b/").endswith("[text cut]") and len(fetch("https://b/")) < 33000
-    assert fetch("https://c/").startswith("HTTP 404\nError") and "only https" in fetch("https://d/") and "redirects" in fetch("https://e/")
-    assert "not a public host" in fetch("https://a/", lambda host: ["10.0.0.1"]) and fetch("ftp://a/").startswith("Error")
+    assert fetch("https://a/") == "HTTP 200\n\nhello" and asked == [("https://a/", "8.8.8.8")]
+    assert fetch("https://b/").endswith("\n\n[content truncated]") and len(fetch("https://b/")) < 33000
+    assert fetch("https://c/") == "HTTP 404\nError: Not Found" and "only https" in fetch("https://d/") and "redirects" in fetch("https://e/")
+    assert "not a public host" in fetch("https://a/", lambda host: ["10.0.0.1"]) and fetch("ftp://a/").startswith("HTTP 0\nError")
+    for ip in ("::ffff:10.0.0.1", "::ffff:192.168.1.1", "::ffff:169.254.169.254", "::1", "fe80::1%eth0", "224.0.0.1"):
+        assert "not a public host" in fetch("https://a/", lambda host, ip=ip: ["8.8.8.8", ip])
+
+
+def test_fetch_connects_to_the_checked_address():
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(self.headers["Host"].encode() + self.path.encode())
+
+        def log_message(self, *_):
+            return None
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:  # a name that stands for nothing: only the address is used
+        status, _, body = clients.get(f"http://no.such.host.invalid:{server.server_port}/x?y=1", "127.0.0.1")
+        assert (status, body) == (200, f"no.such.host.invalid:{server.server_port}/x?y=1".encode())
+    finally:
+        server.shutdown()
 
 
 def test_batch_top_k_in_blocks(spark, monkeypatch):

@@ -73,7 +73,10 @@ def test_reading(spark):
     long = spark.createDataFrame([("d", "\n\n".join("word " * 200 for _ in range(20)))], "path string, text string")
     assert reading.read_document(long, "d", 300).count() > 3
     image = spark.createDataFrame([("a.PNG", b"\x89PNG" * 40), ("b.txt", b"x")], "path string, content binary")
-    assert "\n" not in reading.read_image(image, "a.PNG").first().base64 and reading.read_image(image, "b.txt").count() == 0
+    assert "\n" not in reading.read_image(image, "a.PNG").first().base64 and reading.read_image(image, "b.txt").first().error == "b.txt: not an image"
+    assert reading.read_image(image, "a.PNG", 10).first().base64 is None and "see" in reading.read_image(image, "a.PNG", vision=False).first().error
+    with pytest.raises(reading.TooMany):
+        reading.read_batch(c, spark.range(21).select(F.col("id").alias("pos"), F.lit("a").alias("path")))
 
 
 def test_vectors(spark):
@@ -111,12 +114,12 @@ def test_agent_over_a_corpus(spark):
     chat = Scripted({"tool_calls": [call, call], "thinking": "t"}, {"tool_calls": [{"name": "search", "arguments": {"query": "cats purr", "semantic": True, "top_k": 1}}, {"name": "nope"}]}, {"content": "done <ok>"})
     out = agent.Agent(chat, tools).run([{"role": "user", "content": "?"}])
     assert out.answer == "done <ok>" and out.reasoning == "t" and len(out.tool_calls) == 4
-    assert out.tool_calls[0]["result"] == {"matches": [{"path": "cats.txt", "line": 1, "excerpt": "cats purr"}]} == out.tool_calls[1]["result"]
+    assert out.tool_calls[0]["result"] == {"matches": [{"path": "cats.txt", "line": 1, "excerpt": "cats purr"}], "files_inspected": 2} == out.tool_calls[1]["result"]
     assert out.tool_calls[2]["result"]["matches"][0]["path"] == "cats.txt" and "error" in out.tool_calls[3]
     assert all("thinking" not in m for m in out.messages) and json.loads(out.to_json())["answer"] == "done <ok>"
     with pytest.raises(agent.OutOfCalls):
         agent.Agent(Scripted(*[{"tool_calls": [call]}] * 5), tools, max_calls=2).run([])
-    assert tools["search"]({"query": "zzz"}) == '{"matches":null}' and "2\t" not in tools["read"]({"path": "cats.txt"})
+    assert tools["search"]({"query": "zzz"}) == '{"matches":null,"files_inspected":2}' and "2\t" not in tools["read"]({"path": "cats.txt"})
 
 
 def test_index(spark, tmp_path):
@@ -132,7 +135,18 @@ def test_index(spark, tmp_path):
     assert index.status().first().asDict() == {"files": 2, "n_chunks": 3, "blob_size": 9} and index.chunk("b", 1).first().text == "new"
     index.evict(4096 + 4)
     assert [r.path for r in index.files().collect()] == ["b"]
-    assert I.Index(spark, f"file://{tmp_path}/index", "m2").files().count() == 0
+    assert not any(r.path == "a" for r in index._all_chunks().collect())  # evicted data are deleted
+    assert index.hits(changed, 300).count() == 1 and index.files().first().last_access == 300
+    assert index.chunk("b", 1, 400).count() == 1 and index.files().first().last_access == 400
+    # a write that failed before its commit, and was run again, leaves one copy
+    index._write_chunks(k.where("path = 'b'"))
+    index.upsert(changed, k.where("path = 'b'"), 500)
+    assert [r.text for r in index.chunks().collect()] == ["z"]
+    # another model starts empty; its first commit wipes the first one's data
+    other = I.Index(spark, f"file://{tmp_path}/index", "m2")
+    assert other.files().count() == 0 == other.chunks().count()
+    other.upsert(listed, k, 600)
+    assert sorted(r.text for r in other.chunks().collect()) == ["x", "yy", "z"] and index.files().count() == 0
     index.clear()
     assert index.files().count() == 0
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from corpusmill.plans import registry
+from corpusmill.plans import catalog as registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
