@@ -24,9 +24,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm import _kernel
 from corpusmill.llm._common import exact, shuffle_partitions, staged
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -121,6 +123,7 @@ def _conversations(batches, path: str, learn: str):
                 turns = []
                 if held > BATCH:
                     yield batch()
+                    _kernel.release()
                     held = 0
             conv = (conv_id,)
             turns.append((role or "", text or ""))
@@ -151,18 +154,22 @@ def chat_digest(spark: SparkSession, conversations: DataFrame) -> DataFrame:
         decode = tokenizer(path)
         for batch in batches:
             rows = []
-            for conv_id, formatted, ids, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids, masks = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (2, 3))
+            ends = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
+            for i, end in enumerate(ends.tolist()):
+                first = int(ends[i - 1]) if i else 0
                 turns, learnt, chars = hashlib.sha256(), hashlib.sha256(), 0
+                formatted = batch.column(1)[i].as_py()
                 parsed = parse(formatted)
                 for role, text in parsed:
                     turns.update(f"{role}\n{text}\n".encode())
-                edges = np.flatnonzero(np.diff(np.array([False, *mask, False], np.int8)))
-                for text in decode.decode_batch([ids[a:b] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)], skip_special_tokens=False):
-                    text = unescape(text)
+                for a, b in zip(*_kernel.spans(masks[first:end]), strict=True):
+                    text = unescape(decode.decode(ids[first + a : first + b].tolist(), skip_special_tokens=False))
                     chars += len(text)
                     learnt.update(text.encode())
-                rows.append((conv_id, len(parsed), turns.hexdigest(), chars, learnt.hexdigest(), len(formatted)))
+                rows.append((batch.column(0)[i].as_py(), len(parsed), turns.hexdigest(), chars, learnt.hexdigest(), len(formatted)))
             yield as_batch(rows)
+            _kernel.release()
 
     def as_batch(rows):
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
