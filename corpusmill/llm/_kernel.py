@@ -190,10 +190,14 @@ def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def cover(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Mask of the n places covered by [s, s + length) for any s."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + length, n), -1)
-    return np.cumsum(edge[:n], dtype=np.int32) > 0
+    if not len(starts):
+        return np.zeros(n, bool)
+    s = np.unique(starts)
+    apart = np.flatnonzero(np.diff(s) > length)
+    edge = np.zeros(n + 1, np.int8)
+    edge[s[np.concatenate(([0], apart + 1))]] = 1
+    edge[np.minimum(s[np.concatenate((apart, [len(s) - 1]))] + length, n)] -= 1
+    return np.cumsum(edge[:n], dtype=np.int8).view(bool)
 
 
 def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -124,19 +124,19 @@ class Part:
 
 
 def _pieces(kind: Kind, table: pa.Table, cells: np.ndarray, inner: bool = False):
-    """(first row, last row, unit of the document with which the part begins, place of its first byte, Part) for all of a group, in order."""
+    """(first row, last row, unit of the document with which the part begins, Part) for all of a group, in order."""
     buf, offsets = _kernel.pack(table.column("text"))
     for a, b in _kernel.parts(offsets, _kernel.PIECE):
         text = buf[offsets[a] : offsets[b]]
         if len(text) <= _kernel.PIECE:
-            yield a, b, 0, 0, Part(kind, text, offsets[a : b + 1] - offsets[a], cells, inner)
+            yield a, b, 0, Part(kind, text, offsets[a : b + 1] - offsets[a], cells, inner)
         elif kind.units == "words":
             for number, start, end, at, stop in _kernel.stretches(text, _kernel.WHITE, kind.window - 1):
-                yield a, b, number, at, Part(kind, text[at:stop], np.array([0, stop - at]), cells, inner, (start, end, np.array([0, len(start)])))
+                yield a, b, number, Part(kind, text[at:stop], np.array([0, stop - at]), cells, inner, (start, end, np.array([0, len(start)])))
         else:
             for at in range(0, len(text) - kind.window + 1, _kernel.PIECE):
                 own = text[at : at + _kernel.PIECE + kind.window - 1]
-                yield a, b, at, at, Part(kind, own, np.array([0, len(own)]), cells, inner)
+                yield a, b, at, Part(kind, own, np.array([0, len(own)]), cells, inner)
 
 
 def _ids(table: pa.Table) -> np.ndarray:
@@ -225,7 +225,7 @@ def _send_strings(kind: Kind, buckets: int, cells) -> Callable[[pa.Table, pa.Tab
         again = _asked(answers)
         number: dict[bytes, int] = {}
         which, low, place, windows, strings = [], [], [], [], []
-        for a, b, _, _, part in _pieces(kind, table, cells.value):
+        for a, b, _, part in _pieces(kind, table, cells.value):
             places = _places(part.minimiser, buckets)
             chosen = np.flatnonzero(_among(places, again))
             known = len(number)
@@ -428,24 +428,19 @@ def _apply(kind: Kind, cells, finish, schema: str) -> Callable[[pa.Table, pa.Tab
 
         def close():
             """The row of a document that came in stretches."""
-            row, total, found, starts, ends = long
+            row, total, found = long
             removed = _kernel.cover(np.concatenate([np.empty(0, np.int64), *found]), kind.window, total)
-            units = None if kind.units == "bytes" else (np.concatenate(starts), np.concatenate(ends))
-            rows.append((None if null[row] else int(ids[row]), *finish(buf[offsets[row] : offsets[row + 1]], units, removed)))
+            rows.append((None if null[row] else int(ids[row]), *finish(buf[offsets[row] : offsets[row + 1]], None, removed)))
 
-        for a, b, unit, at, part in _pieces(kind, table, cells.value):
+        for a, b, unit, part in _pieces(kind, table, cells.value):
             size = int(offsets[b] - offsets[a])
             if long is not None and long[0] != a:
                 close()
                 long = None
             hit = hits(a, b, part)
             if size > _kernel.PIECE:
-                long = long or [a, 0, [], [], []]
+                long = long or [a, 0, []]
                 long[2].append(hit + unit)
-                if kind.units == "words":  # without those that the stretch before had
-                    new = long[1] - unit
-                    long[3].append((part.start[new:] + at).astype(np.uint32))
-                    long[4].append((part.end[new:] + at).astype(np.uint32))
                 long[1] = size if kind.units == "bytes" else unit + int(part.first[-1])
                 continue
             total = int(part.first[-1])
@@ -475,7 +470,7 @@ def _cells(rows: DataFrame, kind: Kind, n: int) -> np.ndarray:
 
 
 def judge(docs: DataFrame, kind: Kind, finish, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: doc_id, then what finish(its bytes, starts and ends of its words or None, removed units) returns."""
+    """A row for each document: doc_id, then what finish(its bytes, starts and ends of its words, removed units) returns; None for starts and ends of bytes, and of a long text."""
     spark = docs.sparkSession
     rows = docs.select(exact(id_col).cast("long").alias("doc_id"), exact(text_col).alias("text"))
     whole = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()

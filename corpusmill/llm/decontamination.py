@@ -172,6 +172,8 @@ def _hits(automaton: Automaton, part: np.ndarray, start: np.ndarray, end: np.nda
             if stop - p >= automaton.shortest:
                 numbers = [automaton.number.get(part[u:v].tobytes()) for u, v in zip(start[p:stop].tolist(), end[p:stop].tolist(), strict=True)]
                 for at, n, items in automaton.walk(numbers):
+                    if number and p + at < automaton.window:
+                        continue  # the stretch before ended with these words and had it
                     runs, found = hits.setdefault(doc, ([], set()))
                     v = p + at - int(first[doc]) + number
                     u = v - n

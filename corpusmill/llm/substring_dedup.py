@@ -14,20 +14,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm import _kernel
 from corpusmill.llm._windows import Kind, judge
 
 WINDOW, K = 35, 8
-#: Words that are joined at a time.
-_STEP = 1 << 16
 _OUT = "doc_id long, n_words long, n_removed long, kept string"
 
 
-def _finish(text: np.ndarray, units: tuple[np.ndarray, np.ndarray], removed: np.ndarray) -> tuple:
-    kept, some = np.flatnonzero(~removed), []
-    for at in range(0, len(kept), _STEP):
-        own = kept[at : at + _STEP]
-        data, first = text[units[0][own[0]] : units[1][own[-1]]].tobytes(), int(units[0][own[0]])
-        some.append(b" ".join([data[x - first : y - first] for x, y in zip(units[0][own].tolist(), units[1][own].tolist(), strict=True)]))
+def _finish(text: np.ndarray, units: tuple[np.ndarray, np.ndarray] | None, removed: np.ndarray) -> tuple:
+    some = []
+    stretches = [(0, *units, 0)] if units else ((number, start, end, at) for number, start, end, at, _ in _kernel.stretches(text, _kernel.WHITE, 0))
+    for number, start, end, at in stretches:
+        own = np.flatnonzero(~removed[number : number + len(start)])
+        if len(own):
+            first, last = at + int(start[own[0]]), at + int(end[own[-1]])
+            data, base = text[first:last].tobytes(), first - at
+            some.append(b" ".join([data[x - base : y - base] for x, y in zip(start[own].tolist(), end[own].tolist(), strict=True)]))
     return len(removed), int(removed.sum()), b" ".join(some).decode()
 
 

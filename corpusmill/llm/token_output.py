@@ -189,17 +189,18 @@ class FragmentEncoder:
 
     def encode_long(self, text: np.ndarray) -> np.ndarray:
         """The ids of one text, encoded a stretch at a time."""
-        found, at = [], 0
+        found, at, piece = [], 0, max(16, _kernel.PIECE)
         while at < len(text):
-            stop = min(len(text), at + _kernel.PIECE)
+            stop = min(len(text), at + piece)
             while stop < len(text):
                 # a cut depends on two bytes before it and two after; the last of the stretch that has all four
-                cuts = np.flatnonzero(_cuts(text[max(at, stop - _kernel.PIECE) : stop])[:-2]) + max(at, stop - _kernel.PIECE)
-                cuts = cuts[cuts > at + 2]
+                first = max(at, stop - piece)
+                cuts = np.flatnonzero(_cuts(text[first:stop])[:-2]) + first
+                cuts = cuts[cuts > first + 2]
                 if len(cuts):
                     stop = int(cuts[-1])
                     break
-                stop = min(len(text), stop + _kernel.PIECE - 8)
+                stop = min(len(text), stop + piece - 8)
             found.append(self.encode(text[at:stop], np.array([0, stop - at]))[0])
             at = stop
         return np.concatenate(found)

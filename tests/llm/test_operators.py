@@ -225,6 +225,42 @@ def test_shards(spark, odd):
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shards_against_a_full_sort(spark):
+    rng = random.Random(9)
+    texts = [f"text {rng.randint(0, 300)} " * rng.choice([1, 3, 9, 40]) for _ in range(1500)] + [None, ""] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.shard_digest(df).collect()
+    shard, slot = {r.doc_id: r.shard for r in rows}, {r.doc_id: r.slot for r in rows}
+    key = {r.doc_id: (r.h, r.doc_id) for r in df.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(key, key=key.get)
+    size = {i: len((texts[i] or "").encode()) + 1 for i in key}
+    assert [shard[i] for i in order] == sorted(shard.values())  # shards are runs of the sorted rows
+    total, most = sum(size.values()), max(1, int(sum(size.values()) / 16 * 0.001))
+    at, below = {}, 0
+    for i in order:
+        at.setdefault(shard[i], below)
+        below += size[i]
+    groups = Counter()  # a splitter is off its target by the tolerance, or by the row or the group of copies that it may not divide
+    for i in order:
+        groups[key[i][0]] += size[i]
+    assert all(abs(at[k] - total * k // 16) <= max(most, max(groups.values())) for k in range(16))
+    for k in range(16):
+        own = [i for i in order if shard[i] == k]
+        assert [slot[i] for i in own] == list(range(len(own)))
+    together = defaultdict(set)
+    for i in order:
+        together[texts[i]].add(shard[i])
+    assert sum(len(s) > 1 for s in together.values()) <= 15 and all(len(s) == 1 for t, s in together.items() if groups[key[texts.index(t)][0]] <= most)
+
+
+def test_shards_keep_columns_of_any_name(spark):
+    names = ["doc_id", "text", "_h", "_i", "_size", "h", "i", "size", "row", "range", "rank", "base", "copies", "a.b", "Shard"]
+    df = spark.createDataFrame([(i, f"t{i}", *range(i, i + 13)) for i in range(40)], ", ".join(f"`{n}` {'string' if n == 'text' else 'long'}" for n in names))
+    out = sharding.shard(df, 4)
+    assert out.columns == [*names[:-1], "shard", "slot"]
+    assert Counter(tuple(r)[:14] for r in out.collect()) == Counter(tuple(r)[:14] for r in df.collect())
+
+
 def test_shards_are_even_despite_a_giant_group(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same text")).otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
     out = sharding.shard(df, 8).withColumn("n", F.octet_length("text") + 1)
@@ -247,6 +283,25 @@ def test_quality(spark, odd):
     assert {r.score for r in quality.quality_digest(odd[0], labels.limit(0)).collect()} == {0.5} and quality.quality_digest(odd[1], labels).count() == 0
 
 
+def test_quality_on_held_out_rows_of_the_tables(spark):
+    """AUC and accuracy of documents that were never learnt from."""
+    at = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{at}/documents.parquet").where(F.col("doc_id").isin(list(labels)))
+    rows = [(r.score, r.predicted, labels[r.doc_id]) for r in quality.quality_digest(docs, spark.read.parquet(f"{at}/labels.parquet")).collect() if r.held_out and labels[r.doc_id] is not None]
+    good, bad = [s for s, _, y in rows if y == 1], [s for s, _, y in rows if y == 0]
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert len(rows) > 100 and auc > 0.99 and np.mean([p == y for _, p, y in rows]) > 0.97
+
+
+def test_quality_of_repeated_and_contradicting_labels(spark):
+    rows = [(i, f"good text number {i}." if i % 2 else "### $$$ " * i) for i in range(1, 60)] + [(7, "another text"), (7, "good text number 7."), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] + [(7, 0), (7, 1), (7, None), (None, 1)], "doc_id long, quality int")
+    models = [quality.fit(d, labels) for d in (df, df.repartition(7))]
+    assert np.allclose(models[0].weights, models[1].weights) and models[0].threshold == models[1].threshold
+
+
 def test_decontamination(spark, odd):
     rng = random.Random(3)
     text = lambda n: " ".join(rng.choice(["a", "B", "cé", "d1"]) for _ in range(n))
@@ -265,5 +320,16 @@ def test_decontamination(spark, odd):
         assert got == want
     kept = {r.doc_id for r in decontamination.remove_spans(df, bench).collect()}
     assert kept == {i for i, w in want.items() if not w[4]}
+    names = ("row", "n_words", "spans", "items", "_row")
+    more = df.select("doc_id", *[F.col("doc_id").alias(n) for n in names], "text")
+    decontamination.BLOCK_WORDS, before = 3, decontamination.BLOCK_WORDS  # several blocks, and other columns with their names
+    try:
+        cut = decontamination.remove_spans(more, bench, max_span=2)
+        assert cut.columns == more.columns
+        cut = {r.doc_id: r for r in cut.collect()}
+    finally:
+        decontamination.BLOCK_WORDS = before
+    assert set(cut) == kept and all(r[n] == i for i, r in cut.items() for n in names)
+    assert {i: r.text for i, r in cut.items()} == {r.doc_id: r.text for r in decontamination.remove_spans(df, bench, max_span=2).collect()}
     assert decontamination.contamination_digest(odd[0], bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontamination.contamination_digest(odd[1], bench).count() == 0
