@@ -9,6 +9,8 @@ from corpusmill.functions import text as T
 
 IMAGE_TOKENS = 768
 WARN_AT = 0.8
+#: Fixed value: what stands before a summary.
+SUMMARY_HEADING = "[Earlier conversation summary]\n"
 
 
 def _text(name: str):
@@ -53,11 +55,11 @@ def compact_cut(messages: DataFrame, keep: int) -> DataFrame:
 
 
 def compact(messages: DataFrame, keep: int, summaries: DataFrame) -> DataFrame:
-    """First message, a summary (conv_id, text) in the system's name, and what follows the cut; conversations without a cut stay."""
+    """First message, a summary (conv_id, text) in the user's name under a heading, and what follows the cut; conversations without a cut stay."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     m = messages.withColumn("idx", F.row_number().over(w) - 1).join(compact_cut(messages, keep), "conv_id")
     kept = m.where(~F.col("ok") | (F.col("idx") == 0) | (F.col("idx") >= F.col("cut"))).select("conv_id", F.col("idx").cast("double").alias("at"), "role", "text")
-    said = summaries.join(m.where("ok").select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", F.lit(0.5).alias("at"), F.lit("system").alias("role"), "text")
+    said = summaries.join(m.where("ok").select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", F.lit(0.5).alias("at"), F.lit("user").alias("role"), F.concat(F.lit(SUMMARY_HEADING), "text").alias("text"))
     return kept.unionByName(said).select("conv_id", (F.row_number().over(Window.partitionBy("conv_id").orderBy("at")) - 1).cast("long").alias("turn"), "role", "text")
 
 

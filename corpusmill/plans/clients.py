@@ -8,6 +8,7 @@ import socket
 import ssl
 import urllib.request
 from collections.abc import Callable, Iterable
+from pathlib import Path
 from urllib.parse import urljoin, urlparse, urlunparse
 
 import numpy as np
@@ -153,3 +154,30 @@ def fetch(url: str, https_only: bool = True, max_bytes: int = 2 << 20, send: Cal
     except (Refused, OSError, http.client.HTTPException) as e:
         return f"HTTP 0\nError: {e}"
     return "HTTP 0\nError: too many redirects"
+
+
+#: Files of a model, and those that it can do without.
+MODEL_FILES, OPTIONAL_FILES = ("tokenizer.json", "model.safetensors"), ("config.json",)
+
+
+def ensure_model(repo: str, revision: str, folder: str | Path, send: Callable[[str], tuple[int, bytes]], host: str = "https://huggingface.co") -> Path:
+    """The folder of a model at a pinned revision: files that aren't there yet are fetched, each put in place when it is whole. Optional ones may fail."""
+    at = Path(folder) / repo.replace("/", "_")
+    at.mkdir(parents=True, exist_ok=True, mode=0o700)
+    for name in (*MODEL_FILES, *OPTIONAL_FILES):
+        if (at / name).exists():
+            continue
+        url = f"{host}/{repo}/resolve/{revision}/{name}"
+        try:
+            status, body = send(url)
+            if status != 200:
+                raise OSError(f"status {status} for {url}")
+        except OSError:
+            if name in OPTIONAL_FILES:
+                continue
+            raise
+        partial = at / f"{name}.tmp"
+        partial.touch(0o600)
+        partial.write_bytes(body)
+        partial.replace(at / name)
+    return at

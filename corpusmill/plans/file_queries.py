@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import extract
+from corpusmill.functions import text as T
 from corpusmill.operators import conversations as C
 from corpusmill.operators import index as I
 from corpusmill.operators import listing, reading, search
@@ -225,6 +226,27 @@ def extract_html(spark, sf_dir):
     return _made_of(spark, sf_dir, ".html", lambda n, t: (head + "".join(f"<p>{html.escape(line)}</p>" if i % 2 else f"<span>{html.escape(line)}</span><br>" for i, line in enumerate(t.split("\n"))) + "<noscript>n</noscript><template>t</template></body></html>").encode())
 
 
+_ARTICLE = "'## Doc ' || doc_id || chr(10) || chr(10) || array_to_string(list_filter(list_transform(a, lambda x: case when x = '' then '' else '*x* ' || x || chr(10) || chr(10) end), lambda x: x <> ''), '') || '- one' || chr(10) || '- two' || chr(10) || chr(10) || '[t](/u' || doc_id || ')'"
+
+
+@query(f"select doc_id, case when doc_id % 5 = 0 then 'only a menu' else {_ARTICLE} end as text from ({_PLAIN})")
+def extract_article(spark, sf_dir):
+    """A page's article as Markdown, without navigation and footers; a page with nothing else gives its visible text."""
+    d = documents(spark, sf_dir).select("doc_id", F.regexp_replace("text", "[^ -~\\n]", "").alias("text"))
+
+    def page(n: int, text: str) -> str:
+        if n % 5 == 0:
+            return "<html><body><nav>only a menu</nav></body></html>"
+        lines = "".join(f"<p><em>x</em> {html.escape(line.strip(T.SPACE))}</p>" for line in text.split("\n") if line.strip(T.SPACE))
+        return f"<html><head><title>t</title></head><body><nav>menu</nav><article><header>h</header><h2>Doc {n}</h2>{lines}<ul><li>one</li><li>two</li></ul><a href='/u{n}'>t</a><aside>ad</aside></article><footer>f</footer></body></html>"
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "html": [page(n, t) for n, t in zip(pdf["doc_id"], pdf["text"], strict=True)]})
+
+    return extract.page_text(d.mapInPandas(run, "doc_id long, html string"), article=True).select("doc_id", "text")
+
+
 @query(_expected(".csv", "array_to_string(list_transform(lines, lambda x: x || chr(9) || doc_id), chr(10))"))
 def extract_csv(spark, sf_dir):
     """Quoted fields become tab-joined lines; blank lines between records are no records."""

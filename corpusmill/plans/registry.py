@@ -423,7 +423,7 @@ def compact_cut(spark, sf_dir):
 @query(f"""with m as (select *, row_number() over (partition by conv_id order by turn) - 1 as idx from ({_M})),
 u as (select conv_id, idx as cut, row_number() over (partition by conv_id order by idx desc) as back from m where role = 'user' and idx > 0),
 k as (select m.*, u.cut from m left join (select * from u where back = 1) u using (conv_id)),
-a as (select conv_id, idx::double as spot, role, text from k where cut is null or idx = 0 or idx >= cut union all select distinct conv_id, 0.5, 'system', 'summary of ' || conv_id from k where cut is not null)
+a as (select conv_id, idx::double as spot, role, text from k where cut is null or idx = 0 or idx >= cut union all select distinct conv_id, 0.5, 'user', '[Earlier conversation summary]' || chr(10) || 'summary of ' || conv_id from k where cut is not null)
 select conv_id, row_number() over (partition by conv_id order by spot) - 1 as turn, role, text from a""")
 def compact(spark, sf_dir):
     m = messages(spark, sf_dir).select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 
@@ -15,8 +16,8 @@ from corpusmill.functions import text as T
 from corpusmill.operators import conversations as C
 from corpusmill.operators import index as I
 from corpusmill.operators import search, sinks
-from corpusmill.plans import agent, clients, settings, templates
-from corpusmill.plans.registry import _DOCS, _K, _M, _NORMALIZE, _PATHS, _RECALL, _SP, _TOKENS, _VOCABULARY, _query_vector, _vector_chunks, _word_vocabulary, documents, messages, paths, query, table
+from corpusmill.plans import agent, clients, console, settings, templates
+from corpusmill.plans.registry import _DOCS, _K, _M, _NORMALIZE, _PATHS, _RECALL, _SP, _TOKENS, _VOCABULARY, _cut_sql, _query_vector, _vector_chunks, _word_vocabulary, documents, messages, paths, query, table
 from corpusmill.sources.shared import new_folder
 
 # --- scalar functions ---------------------------------------------------------------------------------------------------
@@ -415,6 +416,119 @@ def settings_loaded(spark, sf_dir):
     return spark.createDataFrame(rows, "key string, value string")
 
 
+# --- the console --------------------------------------------------------------------------------------------------------
+
+
+@query(f"""with p as (select conv_id, turn, role, text, lag(role) over (partition by conv_id order by turn) as before, row_number() over (partition by conv_id, role = 'assistant' order by turn) as nth, turn = min(turn) over (partition by conv_id) as first from ({_M}) where text <> '')
+select conv_id, string_agg(case when role = 'assistant' then case when before <> 'assistant' then chr(10) || '{console.DONE_THINKING}' || chr(10) || chr(10) else '' end || case when nth = 1 then case when first then chr(10) else '' end || '{console.RESPONSE}' || chr(10) else '' end || text
+ else case when first or before = 'assistant' then chr(10) || '{console.THINKING}' || chr(10) else '' end || text end, '' order by turn) as shown, string_agg(text, '' order by turn) filter (where role = 'assistant') as plain from p group by conv_id""")
+def stream_print(spark, sf_dir):
+    """Each conversation as the parts of an answer, as a console shows them: others' texts as thinking, the assistant's as content."""
+
+    def one(conv, rows):
+        parts = [{"message": {("content" if role == "assistant" else "thinking"): text}} for _, role, text in rows]
+        shown, plain = [], []
+        full, bare = console.StreamPrinter(shown.append), console.StreamPrinter(plain.append, False)
+        for part in parts:
+            full.part(part)
+            bare.part(part)
+        said = "".join(plain).removeprefix(f"\n{console.RESPONSE}\n")
+        return conv, "".join(shown) or None, said or None
+
+    return _by_conversation(spark, sf_dir, one, "conv_id long, shown string, plain string").where("shown is not null")
+
+
+@query(f"select conv_id, ['pbcopy', 'xclip', 'xsel', null][conv_id % 4 + 1] as program, case when conv_id % 4 < 3 then sha256(string_agg(text, chr(10) order by turn)) end as given from ({_M}) group by conv_id")
+def clipboard(spark, sf_dir):
+    """The first program there is gets the text; without any it is an error."""
+
+    def one(conv, rows):
+        there = [c[0] for c in console.CLIPBOARDS][conv % 4 :]
+        given: list[bytes] = []
+        text = "\n".join(text for _, _, text in rows)
+        try:
+            name = console.copy_text(text, lambda n: n if n in there else None, lambda command, input, check: given.append(input))
+        except OSError:
+            return conv, None, None
+        return conv, name, hashlib.sha256(given[0]).hexdigest()
+
+    return _by_conversation(spark, sf_dir, one, "conv_id long, program string, given string")
+
+
+_SLASHED = f"(select *, row_number() over (order by turn) - 1 as idx, count(*) over () as n from ({_M}) where conv_id = (select min(conv_id) from conversations))"
+
+
+@query(f"""with m as (select * from {_SLASHED}), u as (select idx from m where role = 'user' and idx > 0 order by idx desc limit 1 offset 0), s as (select sum(tokens) filter (where role = 'system') as a, sum(tokens) filter (where role <> 'system') as b from m),
+r as (select coalesce(a, 0) as a, coalesce(b, 0) as b, coalesce(a, 0) + coalesce(b, 0) as used from s)
+select '/context' as command, repeat('█', least(30, used * 30 // 5000)::int) || repeat('░', 30 - least(30, used * 30 // 5000)::int) || ' ' || case when used < 1000 then used::varchar else printf('%.1fk', used / 1000.0) end || ' of 5000' || chr(10) || 'system ' || a || ', tools 0, conversation ' || b || ', free ' || greatest(0, 5000 - used) as said from r
+union all select '/copy last', 'last answer copied to clipboard: ' || (select sha256(arg_max(text, idx)) from m where role = 'assistant' and text <> '')
+union all select '/compact 1', case when (select max(idx) from u) > 1 then 'compacted ' || max(n) || ' messages to ' || (2 + max(n) - (select max(idx) from u)) else 'nothing to compact' end from m
+union all select '/model m2', 'Switched to model m2 (saved as default).' union all select '/config history_limit 7', 'history_limit = 7' union all select '/tools', 'Available tools (0):' union all select '/clear', 'Conversation history cleared.' union all select '/nope', 'unknown command /nope'""")
+def slash_commands(spark, sf_dir):
+    """Commands of a session over the first conversation."""
+    import tempfile
+
+    m = messages(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
+    m = m.where(F.col("conv_id") == m.agg(F.min("conv_id")).first()[0])
+    copied: list[str] = []
+    rows = []
+    with tempfile.TemporaryDirectory() as folder:  # read and written on the driver only
+        session = console.Session(m, 5000, settings_path=f"{folder}/s.conf", models=lambda: ["m1", "m2"], model="m1", summarise=lambda _: "short", copy=lambda text: copied.append(text) or "x")
+        for line in ("/context", "/copy last", "/compact 1", "/model m2", "/config history_limit 7", "/tools", "/clear", "/nope"):
+            try:
+                said = session.run(line)
+            except ValueError as e:
+                said = str(e)
+            rows.append((line, said + (": " + hashlib.sha256(copied[-1].encode()).hexdigest() if line == "/copy last" else "")))
+        assert settings.load(f"{folder}/s.conf")["model"] == "m2"
+    return spark.createDataFrame(rows, "command string, said string")
+
+
+@query("with n as (select count(*) as n from documents) select name, bytes, n.n > 0 as ok from n, (values ('model.safetensors', 11), ('tokenizer.json', 8)) v(name, bytes)")
+def download_model(spark, sf_dir):
+    """Files of a pinned revision fetched once; an optional one that fails is left out, a partial one never stays."""
+    import tempfile
+
+    asked: list[str] = []
+
+    def send(url):
+        asked.append(url)
+        return (404, b"") if url.endswith("config.json") else (200, b"of " + url.rpartition("/")[2][:5].encode() + (b"..." if "safetensors" in url else b""))
+
+    with tempfile.TemporaryDirectory() as folder:  # on the driver only
+        at = clients.ensure_model("a/b", "rev1", folder, send)
+        clients.ensure_model("a/b", "rev1", folder, send)
+        rows = [(p.name, p.stat().st_size) for p in sorted(at.iterdir())]
+        assert at.name == "a_b" and all("/a/b/resolve/rev1/" in u for u in asked) and len(asked) == 4
+    n = documents(spark, sf_dir).count()
+    return spark.createDataFrame([(*r, n > 0) for r in rows], "name string, bytes int, ok boolean")
+
+
+_FETCHED = "select doc_id, coalesce(text, '') as text from documents"
+
+
+def _page(text: str) -> str:
+    return f"<html><body><nav>menu</nav><article><h2>Doc</h2>{text}</article><footer>f</footer></body></html>"
+
+
+@query(f"""with t as (select doc_id, doc_id % 6 as k, text from ({_FETCHED})), c as (select *, {_cut_sql('text', 32768, "chr(10) || chr(10) || '[content truncated]'")} as body from t)
+select doc_id, case k when 0 then 'HTTP 200' || chr(10) || chr(10) || body when 1 then 'HTTP 404' || chr(10) || 'Error: Not Found' || case when text = '' then '' else chr(10) || chr(10) || body end when 2 then 'HTTP 200' || chr(10) || chr(10) || 'moved'
+ when 3 then 'HTTP 0' || chr(10) || 'Error: http://h' || doc_id || '/: only https' when 4 then 'HTTP 0' || chr(10) || 'Error: https://private/: not a public host' else 'HTTP 200' || chr(10) || chr(10) || '## Doc' || chr(10) || chr(10) || '**' || doc_id || '**' end as said from c""")
+def fetch_url(spark, sf_dir):
+    """Fetches over a transport that plays a server: texts, errors, redirects, addresses that are refused, pages."""
+
+    def one(n: int, text: str) -> str:
+        pages = {f"https://h{n}/": [(200, {"content-type": "text/plain"}, text.encode()), (404, {}, text.encode()), (302, {"location": "/next"}, b""), None, (301, {"location": "https://private/"}, b""), (200, {"content-type": "text/html"}, _page(f"<p><b>{n}</b></p>").encode())][n % 6], f"https://h{n}/next": (200, {}, b"moved")}
+        resolve = lambda host: ["10.1.2.3"] if host == "private" else ["8.8.8.8"]
+        return clients.fetch(f"http://h{n}/" if n % 6 == 3 else f"https://h{n}/", send=lambda url, address, max_bytes: pages[url], resolve=resolve)
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "said": [one(n, t) for n, t in zip(pdf["doc_id"], pdf["text"], strict=True)]})
+
+    return documents(spark, sf_dir).mapInPandas(run, "doc_id long, said string")
+
+
 # --- the index ----------------------------------------------------------------------------------------------------------
 
 _BUDGET = 3_000_000
