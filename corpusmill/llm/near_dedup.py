@@ -15,7 +15,7 @@
    share at most rule them out; only links leave the task.
 5. Components of all links; the row of least id of each stays, of equal ids that of the least hash of its text.
 
-Hot lists and classes are only ever aggregated, joined (which Spark splits) or cut in blocks.
+Hot lists and classes are only ever aggregated, broadcast (a bounded number of them), dealt out by shares or cut in blocks.
 
 Defined cases: a null text or one without words has an empty set, is its own component and linked with nothing; with fewer
 words than a shingle the whole sequence is the one shingle; rows with equal ids and different texts are documents of their own, of which
@@ -44,8 +44,8 @@ SHORT_LIST, BLOCK = 24, 512
 #: Whole sets of members of long lists meet under so many least hashes; a pair at the threshold shares none with a chance of 0.25**12.
 LEAST = 12
 _NULL_ID = (1 << 63) - 1
-#: Pairs of one class that are verified in one place.
-SHARE = 64
+#: Pairs of one class that are verified in one place; a key with a greater share of the rows than one in so many is hot.
+SHARE, HOT = 64, 1000
 #: Ids that are broadcast at most (32 MB); more are joined by a shuffle of the texts.
 FEW_IDS = 4_000_000
 
@@ -55,6 +55,16 @@ def _shingles(hashes: np.ndarray, shingle: int) -> np.ndarray:
     return _kernel.grams(hashes, min(shingle, len(hashes))) if len(hashes) else hashes
 
 
+def _united(found: np.ndarray, more: list[np.ndarray]) -> np.ndarray:
+    """The union of sets in order, in little more room than they take."""
+    out = np.concatenate([found, *more])
+    more.clear()
+    out.sort(kind="stable")  # merges runs
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    return out[new]
+
+
 def shingle_sets(texts, shingle: int = SHINGLE):
     """For each text its distinct shingle hashes, in order; a long text is read in stretches."""
     whole, offsets = _kernel.pack(texts)
@@ -66,9 +76,9 @@ def shingle_sets(texts, shingle: int = SHINGLE):
                 if not number or len(start) >= shingle:
                     more.append(np.unique(_shingles(_kernel.word_hashes(_kernel.LOWER[raw[at:stop]], start, end), shingle)))
                     waiting += len(more[-1])
-                    if waiting > max(len(found), _kernel.PIECE):
-                        found, more, waiting = np.unique(np.concatenate([found, *more])), [], 0
-            yield np.unique(np.concatenate([found, *more]))
+                    if waiting > max(len(found) // 4, _kernel.PIECE):
+                        found, more, waiting = _united(found, more), [], 0
+            yield _united(found, more)
             continue
         buf = _kernel.LOWER[raw]
         start, end, first = _kernel.words(buf, offsets[a : b + 1] - offsets[a], _kernel.WHITE)
@@ -303,6 +313,15 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("ref", _ref(F.col("id"), F.col("text")))
 
 
+def _lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with what table (a row a key) says of their key. Keys that have over 1/HOT of the rows are fewer than HOT, and are broadcast."""
+    total = rows.count()
+    hot = rows.groupBy(key).agg(F.count("*").alias("m")).where(F.col("m") * HOT > total).select(key)
+    hot = staged(table.join(F.broadcast(hot), key), "hot-keys")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def _placed(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """id, ref, n, least and kept of every row: least is the least id that links reach (all as in _rows)."""
     rows = _rows(docs, id_col, text_col)
@@ -330,9 +349,10 @@ def _placed(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col:
     found = components(links)
     named = classes.select("key", F.col("id").alias("node"), F.struct("least", "ref").alias("own"))
     linked = staged(named.join(found, "node").drop("node"), "linked")
-    heads = staged(linked.groupBy("component").agg(F.min("own").alias("head")), "heads")  # a table of its own, so that Spark can split a large component
-    heads = linked.join(heads, "component").select("key", "head")
-    out = sets.select("id", "ref", "n", "key").join(named.select("key", "own"), "key", "left").join(heads, "key", "left").withColumn("head", F.coalesce("head", "own"))
+    heads = staged(linked.groupBy("component").agg(F.min("own").alias("head")), "heads")
+    heads = _lookup(linked, heads, "component").select("key", "head")
+    named = staged(named.join(heads, "key", "left").select("key", F.coalesce("head", "own").alias("head")), "named")
+    out = _lookup(sets.select("id", "ref", "n", "key"), named, "key")
     kept = (F.col("n") == 0) | (F.struct("id", "ref") == F.struct("head.least", "head.ref"))
     return out.select("id", "ref", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("head.least")).alias("least"), kept.alias("kept"))
 
