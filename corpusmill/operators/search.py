@@ -87,8 +87,10 @@ def search_document(chunks: DataFrame, path: str, query: list[float], top_k: int
     return one.select("chunk_index", "section", "tokens", "similarity", T.summary(F.col("text")).alias("summary")).orderBy(F.desc("similarity"), "chunk_index").limit(max(1, min(10, top_k)))
 
 
-#: Queries that go with a plan or in one block, and vectors of a block.
-QUERY_BLOCK, VECTOR_BLOCK = 4096, 1 << 18
+#: Queries that go with a plan, or are compared at a time; vectors that they are compared with at a time.
+QUERY_BLOCK, SLICE = 4096, 4096
+#: Queries and vectors of a block in an exchange: each vector is sent once for so many queries, each query once for so many vectors.
+QUERIES, VECTOR_BLOCK = 1 << 16, 1 << 18
 
 
 def _nearest(batches, names: list, queries: np.ndarray, k: int):
@@ -116,15 +118,17 @@ def _nearest(batches, names: list, queries: np.ndarray, k: int):
 
 
 def _meet(k: int):
-    """For a block of vectors and a block of queries: each query's k best."""
+    """For a block of vectors and a block of queries: each query's k best, a slice of vectors and some of the queries at a time."""
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        names = queries.column("name")
-        if not vectors.num_rows or not queries.num_rows:
-            return pa.table([names.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())], ["name", "id", "score"])
-        matrix = np.array(queries.column("q").to_pylist(), np.float64)
-        (best,) = _nearest([pa.RecordBatch.from_arrays([vectors.column(c).combine_chunks() for c in ("id", "embedding")], ["id", "embedding"])], names.to_pylist(), matrix, k)
-        return pa.table([names.take(best.column(0)), best.column(1), best.column(2)], ["name", "id", "score"])
+        names, found = queries.column("name"), []
+        rows = vectors.select(["id", "embedding"]).combine_chunks()
+        for at in range(0, queries.num_rows if rows.num_rows else 0, QUERY_BLOCK):
+            some = queries.slice(at, QUERY_BLOCK)
+            matrix = np.array(some.column("q").to_pylist(), np.float64)
+            (best,) = _nearest(rows.to_batches(max_chunksize=SLICE), some.column("name").to_pylist(), matrix, k)
+            found.append(pa.table([some.column("name").take(best.column(0)), best.column(1), best.column(2)], ["name", "id", "score"]))
+        return pa.concat_tables(found) if found else pa.table([names.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())], ["name", "id", "score"])
 
     return run
 
@@ -149,7 +153,7 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, query_col:
         key = vectors.sparkSession.createDataFrame(list(enumerate(names)), f"q int, `{query_col}` {kind}")
         return top.join(key, "q").select(query_col, F.col("id").alias(id_col), "score", "rank")
     counts = rows.agg(F.count("*")).first()[0], queries.agg(F.count("*")).first()[0]
-    vector_blocks, query_blocks = max(1, -(-counts[0] // VECTOR_BLOCK)), -(-counts[1] // QUERY_BLOCK)
+    vector_blocks, query_blocks = max(1, -(-counts[0] // VECTOR_BLOCK)), -(-counts[1] // QUERIES)
     left = rows.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(vector_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     right = queries.select(F.col(query_col).alias("name"), "q").withColumn("qb", F.pmod(F.xxhash64("name"), F.lit(query_blocks)).cast("int"))
     right = right.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(vector_blocks - 1).cast("long"))))

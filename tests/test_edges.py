@@ -100,7 +100,8 @@ def test_fetch_connects_to_the_checked_address():
 def test_batch_top_k_in_blocks(spark, monkeypatch):
     from corpusmill.operators import search
 
-    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    for name, n in (("QUERY_BLOCK", 2), ("QUERIES", 3), ("VECTOR_BLOCK", 5), ("SLICE", 2)):
+        monkeypatch.setattr(search, name, n)
     vectors = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(20)] + [(99, [1.0]), (98, None)], "id long, embedding array<float>")
     queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "qid long, q array<float>")
     got = search.batch_top_k(vectors, queries, "id", "qid", 3).collect()
