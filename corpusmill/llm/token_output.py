@@ -8,7 +8,7 @@ doc_id (int64), a flag byte (1: the id is null), the width of an id in bytes (2
 Encoding works on fragments: the tokenizer's pre-tokenizer always ends a piece before a single
 space that follows a non-space and precedes a byte that can't begin white space, between an ASCII letter
 and most punctuation or a line feed, and around a single line feed, so a text's ids are its fragments' ids in a row. Each distinct fragment is encoded by the tokenizers library once
-in a worker's table (`TABLE` fragments at most, then the later half is forgotten). A fragment is found by a hash and then
+in a worker's table (`TABLE` fragments and those of one more batch at most, then the later half is forgotten). A fragment is found by a hash and then
 compared: its bytes, where it has 16 at most, are two numbers; a longer one has a number of its own in a dictionary.
 A text of over `_kernel.PIECE` bytes is encoded a stretch at a time, cut where fragments end; a stretch without any such
 place (a run of megabytes without space) goes on until one comes.
@@ -159,6 +159,8 @@ class FragmentEncoder:
         """All ids of the texts, and each text's range in them (n + 1)."""
         if not len(buf):
             return self.pool[:0], np.zeros(len(offsets), np.int64)
+        if sum(len(x[0]) for x in self.levels) > TABLE or self.long_bytes > LONG_BYTES:
+            self._shrink()
         cut = _cuts(buf)
         cut[offsets] = True
         edges = np.flatnonzero(cut)
@@ -166,15 +168,6 @@ class FragmentEncoder:
         _, first, back = np.unique(names[0], return_index=True, return_inverse=True)
         unique = [x[first] for x in names]
         at, size, found = self._find(unique)
-        known = sum(len(x[0]) for x in self.levels)
-        if (known > TABLE // 2 and known + len(first) > TABLE) or self.long_bytes > LONG_BYTES:
-            fresh = not self.levels and len(self.long) <= len(first)
-            self._shrink()
-            if not fresh:
-                return self.encode(buf, offsets)
-            names = self._names(buf, edges)
-            unique = [x[first] for x in names]
-            at, size, found = self._find(unique)
         if not found.all():
             new = first[~found]
             self._learn([buf[a:b].tobytes() for a, b in zip(edges[new].tolist(), edges[new + 1].tolist(), strict=True)], [x[~found] for x in unique])

@@ -104,3 +104,12 @@ def test_long_texts_have_the_same_statistics(monkeypatch):
     assert np.allclose(got, want)
     count = len({*texts[8].split()})
     assert count <= 33 and want[8][3] == pytest.approx(sum(len(set(texts[8].split()[i : i + 16])) for i in (0, 16, 32)) / 33)
+
+
+def test_a_fragment_beyond_the_table(monkeypatch):
+    monkeypatch.setattr(token_output, "LONG_BYTES", 50)
+    whole, encoder = Tokenizer.from_file(PATH), token_output.FragmentEncoder(PATH)
+    for text in ("short words here", "x" * 400, "y" * 30 + " z", "x" * 400, "short words here"):
+        ids, ranges = encoder.encode(*_kernel.pack(pa.array([text, text])))
+        want = whole.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want + want and ranges.tolist() == [0, len(want), 2 * len(want)]
