@@ -6,10 +6,10 @@ backslash and into each "<|", so no mark can occur in them, and `unescape` undoe
 once with offsets; for each assistant text's span, binary search in the tokens' sorted ends and starts gives
 the tokens under the loss mask.
 
-Rows are hash-partitioned by conversation and sorted by turn there; a task streams them, and holds one conversation beside a
-few done ones. The tokenizer is given a conversation in stretches of whole turns (about `STRETCH` characters), as it cuts at marks
-anyway; offsets go on from one to the next, so ids, offsets and mask are those of the whole text. `format_chats` gives a row for each
-conversation, however long; a row holds at most 2 GB.
+Rows are hash-partitioned by conversation and sorted by turn there; a task streams them, and holds a few conversations. What stands
+between two marks is encoded by itself, as the tokenizer does it too, through the table of fragments of `token_output`, for the texts of
+several conversations at once; a token's offsets follow from its bytes. Tests hold ids and offsets against the tokenizer's
+own of the whole text. `format_chats` gives a row for each conversation, however long; a row holds at most 2 GB.
 
 Defined cases: a null text or role is empty; a null conv_id is a conversation of its own; turns with equal numbers are
 ordered by role and text, repeated rows are repeated turns, a null turn comes first; other columns are ignored; an empty table
@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import _kernel
 from corpusmill.llm._common import exact, shuffle_partitions, staged
+from corpusmill.llm.token_output import FragmentEncoder
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
-#: Characters that the tokenizer is given at a time, and that are done before a batch leaves the task.
-STRETCH, BATCH = 1 << 18, 1 << 20
+#: Characters of the conversations that are encoded together.
+BATCH = 1 << 19
 _FORMATTED = "conv_id long, formatted string, ids array<int>, mask array<boolean>"
 
 
@@ -85,52 +86,82 @@ def mask_of(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def encoded(turns: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and offsets (start, end) of rendered turns, as of their whole text."""
-    encode, ids, offsets, at, first = tokenizer(path), [], [], 0, 0
-    while first < len(turns):
-        last, size = first, 0
-        while last < len(turns) and (last == first or size + len(turns[last]) <= STRETCH):
-            size += len(turns[last])
-            last += 1
-        got = encode.encode("".join(turns[first:last]), add_special_tokens=False)
-        ids.append(np.array(got.ids, np.int32))
-        offsets.append(np.array(got.offsets, np.int64).reshape(-1, 2) + at)
-        first, at = last, at + size
-    return np.concatenate([np.empty(0, np.int32), *ids]), np.concatenate([np.empty((0, 2), np.int64), *offsets])
+class ChatEncoder:
+    """Ids and offsets of rendered turns."""
+
+    def __init__(self, path: str):
+        whole = tokenizer(path)
+        self.fragments = FragmentEncoder(path)
+        self.marks = [np.array([whole.token_to_id(x)], np.int32) for x in (TURN, TEXT, END)]
+        words = [whole.id_to_token(i) or "" for i in range(whole.get_vocab_size(with_added_tokens=True))]
+        self.bytes = np.array([len(w) for w in words], np.int64)  # a byte-level token has a character for each byte
+
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        out, at = [], 0
+        while at < len(texts):
+            if len(texts[at]) > _kernel.PIECE:
+                out.append(self.fragments.encode_long(np.frombuffer(texts[at], np.uint8)).astype(np.int32))
+                at += 1
+                continue
+            stop, size = at, 0
+            while stop < len(texts) and size <= _kernel.PIECE and len(texts[stop]) <= _kernel.PIECE:
+                size += len(texts[stop])
+                stop += 1
+            ids, ranges = self.fragments.encode(np.frombuffer(b"".join(texts[at:stop]), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts[at:stop]]))).astype(np.int64))
+            ids = ids.astype(np.int32)
+            out += [ids[a:b] for a, b in zip(ranges[:-1].tolist(), ranges[1:].tolist(), strict=True)]
+            at = stop
+        return out
+
+    def encode(self, conversations: list[list[tuple[str, str]]]) -> list[np.ndarray]:
+        """The ids of each conversation's (role, text) turns, marks included."""
+        turn, text, end = self.marks
+        ids = iter(self._ids([escape(x).encode() for turns in conversations for t in turns for x in t]))
+        return [np.concatenate([np.empty(0, np.int32), *[x for _ in turns for x in (turn, next(ids), text, next(ids), end)]]) for turns in conversations]
+
+    def offsets(self, ids: np.ndarray, formatted: str) -> np.ndarray:
+        """(start, end) of each token by character; a token within a character has that character."""
+        ends = np.cumsum(self.bytes[ids])
+        heads = np.cumsum(np.frombuffer(formatted.encode(), np.uint8) & 0xC0 != 0x80)  # characters that begin up to each byte
+        return np.stack([heads[ends - self.bytes[ids]] - 1, heads[ends - 1]], 1) if len(ids) else np.empty((0, 2), np.int64)
 
 
-def _conversations(batches, path: str, learn: str):
-    """Rows (conv_id, role, text) in order: a row (conv_id, formatted, ids, mask) for each conversation."""
-    done: list[tuple] = []
-    conv, turns, held = None, [], 0
+@functools.lru_cache(1)
+def encoder(path: str) -> ChatEncoder:
+    return ChatEncoder(path)
 
-    def close() -> int:
-        rendered, spans = render(turns, learn)
-        ids, offsets = encoded(rendered, path)
-        done.append((conv[0], "".join(rendered), ids, mask_of(offsets, spans)))
-        return len(done[-1][1])
 
-    def batch():
-        ids, formatted, tokens, masks = zip(*done, strict=True)
-        done.clear()
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(formatted), pa.array(tokens, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_()))], ["conv_id", "formatted", "ids", "mask"])
+def _conversations(batches, path: str, learn: str):
+    """Rows (conv_id, role, text) in order: a row (conv_id, formatted, ids, mask) for each conversation."""
+    made = encoder(path)
+    names: list[int | None] = []
+    held: list[list[tuple[str, str]]] = []
+    size = 0
+
+    def done():
+        formatted, masks, ids = [], [], made.encode(held)
+        for turns, own in zip(held, ids, strict=True):
+            rendered, spans = render(turns, learn)
+            formatted.append("".join(rendered))
+            masks.append(mask_of(made.offsets(own, formatted[-1]), spans))
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(formatted), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_()))], ["conv_id", "formatted", "ids", "mask"])
+        names.clear()
+        held.clear()
+        return out
 
     for rows in batches:
         for conv_id, role, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-            if turns and conv != (conv_id,):
-                held += close()
-                turns = []
-                if held > BATCH:
-                    yield batch()
+            if not names or names[-1] != conv_id:
+                if size > BATCH:
+                    yield done()
                     _kernel.release()
-                    held = 0
-            conv = (conv_id,)
-            turns.append((role or "", text or ""))
-    if turns:
-        close()
-    if done:
-        yield batch()
+                    size = 0
+                names.append(conv_id)
+                held.append([])
+            held[-1].append((role or "", text or ""))
+            size += len(held[-1][-1][1])
+    if names:
+        yield done()
 
 
 def format_chats(rows: DataFrame, tokenizer_path: str, learn: str = "assistant", id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

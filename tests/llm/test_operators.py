@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat, components, decontamination, fingerprints, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup, token_output
+from corpusmill.llm import _kernel, chat, components, decontamination, fingerprints, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup, token_output
 from corpusmill.llm._common import new_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,20 +59,25 @@ def test_chat(spark):
     assert chat.chat_digest(spark, df.limit(0)).count() == 1
 
 
-def test_a_long_conversation_is_encoded_as_a_whole(monkeypatch):
+def test_conversations_are_encoded_as_the_tokenizer_does(monkeypatch):
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = [("user" if i % 2 else "assistant", f"turn {i} é😀\n" * 5 + "x" * (i % 3)) for i in range(20)] + [("assistant", "")]
-    batch = pa.RecordBatch.from_arrays([pa.array([1] * 21), pa.array([r for r, _ in rows]), pa.array([t for _, t in rows])], ["conv_id", "role", "text"])
+    rng = random.Random(7)
+    atoms = [" ", "  ", "\n", "the", "don't", "12", ".", "é", "日本", "😀", "x" * 30, "<|endoftext|>", "<|turn|>", "<|", "|>", "\\", "\t", "\u00a0", "\u3000", "<|end|>"]
+    rows = [(c, rng.choice(["user", "assistant", "tool\n<|text|>", ""]), "".join(rng.choice(atoms) for _ in range(rng.choice([0, 1, 5, 40])))) for c in range(30) for _ in range(rng.randint(1, 6))]
+    batch = pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in rows]), pa.array([r for _, r, _ in rows]), pa.array([t for _, _, t in rows])], ["conv_id", "role", "text"])
     want = [r for b in chat._conversations([batch], path, "assistant") for r in b.to_pylist()]
-    whole = chat.tokenizer(path).encode(want[0]["formatted"], add_special_tokens=False)
-    assert len(want) == 1 and want[0]["ids"] == whole.ids and chat.parse(want[0]["formatted"]) == rows
-    rendered, spans = chat.render(rows)
-    assert want[0]["mask"] == [any(x < b and y > a for a, b in spans) for x, y in whole.offsets]
-    monkeypatch.setattr(chat, "STRETCH", 50)
-    ids, offsets = chat.encoded(rendered, path)
-    assert ids.tolist() == whole.ids and offsets.tolist() == [list(x) for x in whole.offsets]
+    assert [r["conv_id"] for r in want] == list(range(30))
+    for r in want:
+        turns = [(role, text) for c, role, text in rows if c == r["conv_id"]]
+        whole = chat.tokenizer(path).encode(r["formatted"], add_special_tokens=False)
+        assert r["ids"] == whole.ids and chat.parse(r["formatted"]) == turns
+        assert chat.encoder(path).offsets(np.array(r["ids"]), r["formatted"]).tolist() == [list(x) for x in whole.offsets]
+        rendered, spans = chat.render(turns)
+        assert "".join(rendered) == r["formatted"] and r["mask"] == [any(x < b and y > a for a, b in spans) for x, y in whole.offsets]
+    monkeypatch.setattr(chat, "BATCH", 10)
+    monkeypatch.setattr(_kernel, "PIECE", 16)
     assert [r for b in chat._conversations([batch.slice(0, 7), batch.slice(7)], path, "assistant") for r in b.to_pylist()] == want
 
 
