@@ -237,11 +237,13 @@ def _send_strings(kind: Kind, buckets: int, cells) -> Callable[[pa.Table, pa.Tab
             new = new[first]
             place.append(places[chosen[new]])
             windows.append(part.run_end[chosen[new]] - part.run_start[chosen[new]])
-            strings += [part.string(kind, x) for x in chosen[new].tolist()]
+            if kind.units == "words":
+                strings += [part.string(kind, x) for x in chosen[new].tolist()]
         which, low, place, windows = (np.concatenate(x) for x in (which, low, place, windows))
         least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(least, which, low)
         counts = np.bincount(which, minlength=len(number))
+        strings = strings or list(number)  # bytes stand in a string as in the text
         bucket, order = (place >> np.uint64(32)).astype(np.int64), np.argsort(place, kind="stable")
         rows = []
         for b, x, y in _by_value(bucket[order]):
@@ -275,9 +277,13 @@ class _Strings:
         self.least = np.full(n, np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.which, self.low)
 
-    def names(self) -> np.ndarray:
-        """Of each distinct string."""
-        return np.frombuffer(b"".join([_name(x) for x in self.strings]), f"V{_NAME}")
+    def names(self, wanted: np.ndarray) -> np.ndarray:
+        """By number the names of these distinct strings; of others, nothing that means anything."""
+        out = np.zeros(len(self.strings), f"V{_NAME}")
+        chosen = np.flatnonzero(np.bincount(wanted, minlength=len(self.strings)))
+        if len(chosen):
+            out[chosen] = np.frombuffer(b"".join([_name(self.strings[i]) for i in chosen.tolist()]), f"V{_NAME}")
+        return out
 
 
 def _combine(table: pa.Table) -> pa.Table:
@@ -293,7 +299,7 @@ def _pass_on(table: pa.Table, answers: pa.Table) -> pa.Table:
         return _table(_ANSWER, [])
     s = _Strings(table)
     known, n, length, value = _answers(answers)
-    names = s.names()
+    names = s.names(s.which)
     at = np.array([known.get(x.tobytes(), -1) for x in names], np.int64)[s.which]
     first = np.cumsum(n) - n
     order = np.argsort(s.senders, kind="stable")
@@ -324,14 +330,19 @@ def byte_groups(body: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.n
     digit = np.zeros(len(body), np.uint64)
     for i in range(8):
         digit = (digit << np.uint64(8)) | padded[i : len(body) + i]
-    live, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    live, group = np.arange(len(starts)), np.zeros(len(starts), np.uint64)
     for depth in [*range(0, window - 7, 8), *([window - 8] if window % 8 else [])]:
         d = digit[starts[live] + depth]
-        order = np.lexsort((d, group))
+        # one sort: of the digit in the first pass, then of the group and half of the digit's hash
+        key = (group << np.uint64(32)) | (_kernel.mix(d) >> np.uint64(32)) if depth else d
+        order = np.argsort(key)
+        key, other = key[order], d[order]
+        if depth and ((key[1:] == key[:-1]) & (other[1:] != other[:-1])).any():  # two digits with one half
+            order = np.lexsort((d, group))
         live, group, d = live[order], group[order], d[order]
         new = np.ones(len(live), bool)
         new[1:] = (d[1:] != d[:-1]) | (group[1:] != group[:-1])
-        group = np.cumsum(new)
+        group = np.cumsum(new).astype(np.uint64)
         shared = ~new
         shared[:-1] |= ~new[1:]
         live, group = live[shared], group[shared]
@@ -368,7 +379,7 @@ def _answer_windows(kind: Kind) -> Callable[[pa.Table], pa.Table]:
             live, group = byte_groups(np.frombuffer(b"".join(s.strings), np.uint8), at[item] + place, kind.window)
         value = (s.count if kind.counted else s.least)[item]
         if len(live):
-            heads = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+            heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
             of_group = (np.add if kind.counted else np.minimum).reduceat(value[live], heads)
             value[live] = np.repeat(of_group, np.diff(heads, append=len(live)))
         if kind.counted:
@@ -381,7 +392,7 @@ def _answer_windows(kind: Kind) -> Callable[[pa.Table], pa.Table]:
         first = np.searchsorted(owner, np.arange(len(s.strings) + 1))
         greatest = np.maximum.reduceat(values, first[:-1]) if kind.counted else np.minimum.reduceat(values, first[:-1])
         useful = greatest[s.which] > 0 if kind.counted else (greatest[s.which] < s.low) | (s.again > 0)
-        bucket, names, out = table.column("bucket")[0].as_py(), s.names(), []
+        bucket, names, out = table.column("bucket")[0].as_py(), s.names(s.which[useful]), []
         for b, x, y in _by_value(s.senders):
             chosen = np.flatnonzero(useful[x:y]) + x
             if len(chosen):
@@ -413,7 +424,7 @@ def _apply(kind: Kind, cells, finish, schema: str) -> Callable[[pa.Table, pa.Tab
             i = np.empty(len(chosen), np.int64)
             for j, (raw, run) in enumerate(zip(part.raw(kind, chosen), chosen.tolist(), strict=True)):
                 if raw not in seen:
-                    seen[raw] = names.get(_name(part.string(kind, run)), -1)
+                    seen[raw] = names.get(_name(part.string(kind, run) if kind.units == "words" else raw), -1)
                 i[j] = seen[raw]
             chosen, i = chosen[i >= 0], i[i >= 0]
             run_, p = _kernel.ragged(n[i])
