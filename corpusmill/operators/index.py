@@ -15,7 +15,7 @@ import uuid
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.sources.shared import in_order
@@ -44,9 +44,20 @@ def status(files: DataFrame) -> DataFrame:
 
 
 def evict(files: DataFrame, max_bytes: int) -> DataFrame:
-    """The files that stay: the most recently used (ties by path) while their blobs, and 4096 bytes each, fit."""
-    df = in_order(files.withColumn("_cost", F.col("blob_size") + ENTRY_BYTES), [F.desc("last_access"), F.col("path")], ("_cost",))
-    return df.where(F.col("before__cost") + F.col("_cost") <= max_bytes).select(*files.columns)
+    """The files that stay: the most recently used (ties by path) while their blobs, and 4096 bytes each, fit.
+
+    Totals go by second of access first, so only the files of the one second at the limit are put in order, by ranges of paths.
+    """
+    cost = F.col("blob_size") + ENTRY_BYTES
+    seconds = files.groupBy("last_access").agg(F.sum(cost).alias("cost"))  # a row for each second
+    seconds = seconds.withColumn("upto", F.sum("cost").over(Window.orderBy(F.desc("last_access"))))
+    over = seconds.where(F.col("upto") > max_bytes).orderBy(F.desc("last_access")).limit(1).collect()
+    if not over:
+        return files
+    at, before = over[0]["last_access"], over[0]["upto"] - over[0]["cost"]
+    partly = in_order(files.where(F.col("last_access") == at).withColumn("_cost", cost), [F.col("path")], ("_cost",))
+    partly = partly.where(F.col("before__cost") + F.col("_cost") <= max_bytes - before)
+    return files.where(F.col("last_access") > at).unionByName(partly.select(*files.columns))
 
 
 def seal(data: Column, key: Column | None = None, compress: bool = True) -> Column:

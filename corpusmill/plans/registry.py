@@ -19,6 +19,7 @@ from corpusmill.operators import conversations as C
 from corpusmill.operators import index as I
 from corpusmill.operators import listing, reading, search
 from corpusmill.plans import templates
+from corpusmill.sources.shared import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -382,7 +383,7 @@ def embed_mean_pool(spark, sf_dir):
     import numpy as np
 
     model = E.StaticModel(E.WordPiece(vocabulary, prefix="\x00"), np.array(vectors, np.float32), normalize=False)
-    e = documents(spark, sf_dir).select("doc_id", E.column_with_size(model, F.col("text")).alias("m")).where("m.n > 0").select("doc_id", "m.n", "m.e")
+    e = spread(documents(spark, sf_dir)).select("doc_id", E.column_with_size(model, F.col("text")).alias("m")).where("m.n > 0").select("doc_id", "m.n", "m.e")
     # means times words are whole sums, which no rounding can part
     return e.select("doc_id", *[F.round(F.col("e")[i].cast("double") * F.col("n")).cast("long").alias(f"s{i}") for i in range(4)])
 
@@ -536,12 +537,12 @@ def url_scheme_filter(spark, sf_dir):
 
 @query()
 def html_text(spark, sf_dir):
-    return extract.page_text(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+    return extract.page_text(spread(table(spark, sf_dir, "pages").select("page_id", "html"))).select("page_id", "text")
 
 
 @query()
 def article_text(spark, sf_dir):
-    return extract.page_text(table(spark, sf_dir, "pages").select("page_id", "html"), article=True).select("page_id", "text")
+    return extract.page_text(spread(table(spark, sf_dir, "pages").select("page_id", "html")), article=True).select("page_id", "text")
 
 
 @query("""select ip, a = 127 or a = 10 or (a = 172 and b between 16 and 31) or (a = 192 and b = 168) or (a = 169 and b = 254) or a between 224 and 239 or (a = 0 and b = 0 and c = 0 and d = 0) as blocked

@@ -50,6 +50,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to as many tasks as there are cores, where its input has fewer splits: before work that costs more than an exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df  # asks the plan only
+
+
 def exact(name: str) -> Column:
     """A column by its very name, dots and all."""
     return F.col(f"`{name.replace('`', '``')}`")
