@@ -32,7 +32,7 @@ def column(embedder: Embedder, text: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(list(embedder.embed(texts.fillna("").tolist()).astype(np.float32)))
 
-    return run(text)
+    return run.asNondeterministic()(text)  # so that a filter on it doesn't compute it twice
 
 
 def column_with_size(model: StaticModel, text: Column) -> Column:
@@ -43,7 +43,7 @@ def column_with_size(model: StaticModel, text: Column) -> Column:
         vectors, sizes = model.embed_with_sizes(texts.fillna("").tolist())
         return pd.DataFrame({"e": list(vectors), "n": sizes.astype(np.int32)})
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:

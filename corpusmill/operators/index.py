@@ -23,6 +23,8 @@ from corpusmill.sources.shared import in_order
 SCHEMA_VERSION = 2
 #: Fixed value: bytes that an entry costs beside its text.
 ENTRY_BYTES = 4096
+#: Files of one second that one task puts in order.
+FEW_FILES = 1_000_000
 FILES = "path string, mtime_ms long, size long, generation string, n_chunks long, blob_size long, last_access long"
 CHUNKS = "path string, chunk_index int, total int, section string, tokens long, text string, embedding array<float>"
 ACCESS = "path string, last_access long"
@@ -46,18 +48,22 @@ def status(files: DataFrame) -> DataFrame:
 def evict(files: DataFrame, max_bytes: int) -> DataFrame:
     """The files that stay: the most recently used (ties by path) while their blobs, and 4096 bytes each, fit.
 
-    Totals go by second of access first, so only the files of the one second at the limit are put in order, by ranges of paths.
+    Totals go by second of access first, so only the files of the one second at the limit are put in order: in one task if they are
+    few, else by ranges of paths.
     """
     cost = F.col("blob_size") + ENTRY_BYTES
-    seconds = files.groupBy("last_access").agg(F.sum(cost).alias("cost"))  # a row for each second
+    seconds = files.groupBy("last_access").agg(F.sum(cost).alias("cost"), F.count("*").alias("n"))  # a row for each second
     seconds = seconds.withColumn("upto", F.sum("cost").over(Window.orderBy(F.desc("last_access"))))
     over = seconds.where(F.col("upto") > max_bytes).orderBy(F.desc("last_access")).limit(1).collect()
     if not over:
         return files
-    at, before = over[0]["last_access"], over[0]["upto"] - over[0]["cost"]
-    partly = in_order(files.where(F.col("last_access") == at).withColumn("_cost", cost), [F.col("path")], ("_cost",))
-    partly = partly.where(F.col("before__cost") + F.col("_cost") <= max_bytes - before)
-    return files.where(F.col("last_access") > at).unionByName(partly.select(*files.columns))
+    at, room = over[0]["last_access"], max_bytes - over[0]["upto"] + over[0]["cost"]
+    partly = files.where(F.col("last_access") == at).withColumn("_cost", cost)
+    if over[0]["n"] <= FEW_FILES:
+        partly = partly.withColumn("_upto", F.sum("_cost").over(Window.orderBy("path")))
+    else:
+        partly = in_order(partly, [F.col("path")], ("_cost",)).withColumn("_upto", F.col("before__cost") + F.col("_cost"))
+    return files.where(F.col("last_access") > at).unionByName(partly.where(F.col("_upto") <= room).select(*files.columns))
 
 
 def seal(data: Column, key: Column | None = None, compress: bool = True) -> Column:

@@ -151,6 +151,21 @@ def test_index(spark, tmp_path):
     assert index.files().count() == 0
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_eviction_by_hand(spark, monkeypatch, few):
+    monkeypatch.setattr(I, "FEW_FILES", few)
+    rows = [(f"p{i:03}", 1, 1, "g", 1, 100 * (i % 7), 50 - i % 4) for i in range(120)]
+    files_ = spark.createDataFrame(rows, I.FILES)
+    for budget in (0, 5000, 100_000, 250_000, 1 << 40):
+        left, want = budget, set()
+        for r in sorted(rows, key=lambda r: (-r[6], r[0])):
+            left -= r[5] + 4096
+            if left < 0:
+                break
+            want.add(r[0])
+        assert {r.path for r in I.evict(files_, budget).collect()} == want
+
+
 def test_seal(spark):
     key = F.lit(b"0" * 16)
     df = spark.createDataFrame([(b"abc" * 50,), (b"",), (None,)], "x binary")
