@@ -97,7 +97,7 @@ where contains({hay}, '{needle}')) order by doc_id, line{' limit 200' if limit e
 
 
 def _exact(spark, sf_dir, needle, case_sensitive, limit=200):
-    return search.search_exact(documents(spark, sf_dir), needle, case_sensitive, limit, ("doc_id",), [F.col("doc_id")])
+    return search.search_exact(spread(documents(spark, sf_dir)), needle, case_sensitive, limit, ("doc_id",), [F.col("doc_id")])
 
 
 @query(_exact_sql("tion", True))
