@@ -45,7 +45,10 @@ RTF_SILENT = set(
     hlloc hlsrc hsv htmltag info keycode keywords latentstyles lchars levelnumbers leveltext lfolevel linkval list listlevel
     listname listoverride listoverridetable listpicture liststylename listtable listtext lsdlockedexcept""".split()
 )
+#: Bytes of an archive's entry, and what a reader says of files without text and of cut documents.
 MAX_ENTRY = 512 << 20
+NO_TEXT, EMPTY = "(no extractable text)", "(empty file)"
+CUT = ("\n[truncated to {} bytes — call read(path=\"", "\") alone for the full chunked manifest]\n")
 
 
 class Unsupported(ValueError):
@@ -517,11 +520,11 @@ def read_any(files: DataFrame, max_bytes: int = 131072) -> DataFrame:
     """files: path, content. path, text, error: documents extracted, cleaned and cut after max_bytes bytes (at a whole character) with a notice; other files as numbered lines, binary ones refused."""
     document = T.extension(T.file_name(F.col("path"))).isin(*DOCUMENTS)
     cleaned = T.clean(F.col("text"))
-    cut = F.concat(T.cut_bytes(cleaned, max_bytes), F.concat(F.lit(f"\n[truncated to {max_bytes} bytes — call read(path=\""), "path", F.lit("\") alone for the full chunked manifest]\n")))
-    shown = F.when(cleaned == "", "(no extractable text)").when(F.octet_length(cleaned) > max_bytes, cut).otherwise(cleaned)
+    cut = F.concat(T.cut_bytes(cleaned, max_bytes), F.concat(F.lit(CUT[0].format(max_bytes)), "path", F.lit(CUT[1])))
+    shown = F.when(cleaned == "", NO_TEXT).when(F.octet_length(cleaned) > max_bytes, cut).otherwise(cleaned)
     documents = extract(files.where(document)).select("path", F.when(F.col("error").isNull(), shown).alias("text"), "error")
     others = files.where(~document)
     lines = F.transform(T.lines(F.col("content").cast("string")), lambda x, i: F.concat(T.numbered(i + 1), F.lit("\t"), x, F.lit("\n")))
-    numbered = F.when(F.octet_length("content") == 0, "(empty file)").otherwise(F.array_join(lines, ""))
+    numbered = F.when(F.octet_length("content") == 0, EMPTY).otherwise(F.array_join(lines, ""))
     plain_ = others.select("path", F.when(T.is_text(F.col("content")), numbered).alias("text"), F.when(~T.is_text(F.col("content")), F.concat("path", F.lit(": binary"))).alias("error"))
     return documents.unionByName(plain_)

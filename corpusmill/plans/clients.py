@@ -18,7 +18,8 @@ from corpusmill.functions.extract import article_markdown
 from corpusmill.functions.text import SPACE
 from corpusmill.sources.paths import blocked_address
 
-MAX_TEXT, MAX_REDIRECTS = 32 << 10, 10
+#: Bytes of a page's text, what stands after a cut one, and redirects that are followed.
+MAX_TEXT, CUT, MAX_REDIRECTS = 32 << 10, "\n\n[content truncated]", 10
 
 
 def post(host: str, timeout: float = 300) -> Callable[[str, dict | None], Iterable[bytes]]:
@@ -135,7 +136,7 @@ def page_of(status: int, content_type: str, body: bytes) -> str:
         text = article_markdown(text)
     raw = text.encode()
     if len(raw) > MAX_TEXT:
-        text = raw[:MAX_TEXT].decode("utf-8", "ignore") + "\n\n[content truncated]"
+        text = raw[:MAX_TEXT].decode("utf-8", "ignore") + CUT
     if 200 <= status < 300:
         return f"HTTP {status}\n\n{text}"
     reason = f"HTTP {status}\nError: {http.client.responses.get(status, '')}"
