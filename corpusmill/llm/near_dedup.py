@@ -352,7 +352,9 @@ def _placed(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col:
     heads = staged(linked.groupBy("component").agg(F.min("own").alias("head")), "heads")
     heads = _lookup(linked, heads, "component").select("key", "head")
     named = staged(named.join(heads, "key", "left").select("key", F.coalesce("head", "own").alias("head")), "named")
-    out = _lookup(sets.select("id", "ref", "n", "key"), named, "key")
+    full = _lookup(some.select("id", "ref", "n", "key"), named, "key")
+    none = sets.where("n = 0").select("id", "ref", "n", "key", F.lit(None).cast(full.schema["head"].dataType).alias("head"))  # their one key may be most rows'
+    out = full.unionByName(none)
     kept = (F.col("n") == 0) | (F.struct("id", "ref") == F.struct("head.least", "head.ref"))
     return out.select("id", "ref", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("head.least")).alias("least"), kept.alias("kept"))
 
