@@ -1,6 +1,6 @@
 """Finding windows that repeat across a corpus, exactly, without moving every window.
 
-Documents are dealt once to groups of a few MB by a hash of the row. All passes read that one exchange.
+Documents are dealt once to groups of a few MB by a hash of the row and its input split (so that identical rows spread). All passes read that one exchange.
 
 1. A window's minimiser is the rarest of its k-mers: the order of k-mers is by how often a bounded sample has them, then by
    hash. Equal windows have equal minimisers, whatever the order; a rare one is seldom shared by other windows, and no phrase
@@ -488,7 +488,7 @@ def judge(docs: DataFrame, kind: Kind, finish, schema: str, id_col: str = "doc_i
     groups = max(shuffle_partitions(spark), -(-(whole["bytes"] or 0) // GROUP_BYTES))
     partitions = max(shuffle_partitions(spark), min(groups, MOST_PARTITIONS))
     cells = spark.sparkContext.broadcast(_cells(rows, kind, whole["n"]))  # CELLS bytes
-    dealt = rows.withColumn("groups", F.lit(groups).cast("int")).withColumn("pid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).repartition(partitions, "pid")
+    dealt = rows.withColumn("groups", F.lit(groups).cast("int")).withColumn("pid", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(groups)).cast("int")).repartition(partitions, "pid")
     by = lambda df, *keys: df.repartition(partitions, *keys).groupBy(*keys)
     requests = dealt.groupBy("pid").applyInArrow(_request(kind, groups, cells), _REQUEST)
     again = by(requests, "bucket").applyInArrow(_find_again, _ANSWER)
