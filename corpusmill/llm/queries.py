@@ -67,13 +67,37 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_chat_masks, op3_source_mix, op4_merkle_fingerprints, op5_suffix_dedup, op6_bottom_k_near_dedup, op7_superkmer_dedup, op8_histogram_shards, op9_preference_quality, op10_decontaminate)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.periodic_runs import runs_digest
+
+    return runs_digest(documents(spark, sf_dir))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.prefix_trie import trie_digest
+
+    return trie_digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm.simhash import simhash_digest
+
+    return simhash_digest(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_chat_masks, op3_source_mix, op4_merkle_fingerprints, op5_suffix_dedup, op6_bottom_k_near_dedup, op7_superkmer_dedup, op8_histogram_shards, op9_preference_quality, op10_decontaminate, op11_periodic_runs, op12_prefix_trie, op13_simhash_near_dedup)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
+
+def _crc32(text: str) -> str:
+    """SQL for the crc32 of a short ASCII text, bit by bit."""
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)), lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda a, i: xor(a >> 1, (a & 1) * 3988292384))), 4294967295)"
+
+
 #: SQL for DuckDB over whole tables. op1 (a tokenizer), op4 (fingerprints of our own), op8 (a hash of Spark's) and op9 (a learnt
-#: model) have none; tests hold them against brute force.
+#: model) and op13 (XXH64) have none; tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op2_chat_masks": r"""with m as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -137,4 +161,30 @@ c as (select id, count(distinct i + j) as n_hit from h, unnest(range(n)) u(j) gr
 m as (select dw.id, list_sort(list(distinct bw.id::varchar)) as items from dw join bw using (n, win) group by dw.id)
 select d.id as doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256,
 coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated from d left join c using (id) left join m using (id) where d.k = 'd'""",
+    "op11_periodic_runs": rf"""with d0 as (select doc_id, coalesce(regexp_extract_all(text, {_WORD}), []) as w, {_crc32("doc_id::varchar")} as h from documents),
+d1 as (select doc_id, w, len(w) as n, h, h // 10 as g from d0),
+d2 as (select *, case when n > 0 then g % n end as a, case when n > 0 then 1 + (n - g % n) // (3 + g % 8) end as p from d1),
+x as (select doc_id, i, w[1 + case when h % 10 = 0 and i >= a then a + (i - a) % p else i end] as word from d2, unnest(range(n)) u(i)),
+e as (select x.doc_id, y.i - x.i as p, x.i from x join x y on x.doc_id is not distinct from y.doc_id and x.word = y.word and x.i < y.i),
+f as (select *, i - row_number() over (partition by doc_id, p order by i) as stretch from e),
+m as (select doc_id, p, min(i) as start, count(*) + p as length from f group by doc_id, p, stretch having count(*) >= p and count(*) + p >= 12),
+r as (select doc_id, start, length, min(p) as period from m group by all),
+a as (select doc_id, count(*) as n_runs, max(row(length, -start, -period)) as top, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period)) as runs_sha256 from r group by doc_id),
+gone as (select distinct r.doc_id, i from r, unnest(range(start + period, start + length)) u(i)),
+k as (select x.doc_id, sha256(string_agg(word, ' ' order by i)) as kept from x anti join gone using (doc_id, i) group by x.doc_id)
+select d0.doc_id, coalesce(n_runs, 0)::bigint as n_runs, (-top[2])::bigint as start, top[1]::bigint as length, (-top[3])::bigint as period, (1000 * top[1] // -top[3])::bigint as exponent_milli,
+coalesce(runs_sha256, sha256('')) as runs_sha256, coalesce(kept, sha256('')) as collapsed_sha256 from d0 left join a using (doc_id) left join k using (doc_id)""",
+    "op12_prefix_trie": rf"""with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) as place, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+c as (select distinct conv_id, {_crc32("conv_id::varchar")} % 6 as h, conv_id - conv_id % 100 as base from conversations),
+b as (select c.conv_id, place, 0 as own, role, text from c join t on t.conv_id = c.base where place <= h union all select c.conv_id, place, 1, role, text from c join t using (conv_id) where place > h),
+s as (select conv_id, row_number() over (partition by conv_id order by own, place) as d, length(text) as chars, sha256(length(role) || ':' || role || text) as said from b),
+m as (select conv_id, d, chars, string_agg(said, '') over (partition by conv_id order by d) as prefix from s union all select conv_id, 0, 0, '' from c),
+n as (select d, prefix, min(conv_id) as conv_id, count(*) as n_convs, max(chars) as chars from m group by d, prefix),
+p as (select n.*, q.prefix as parent from n left join m q on q.conv_id = n.conv_id and q.d = n.d - 1),
+k as (select parent as prefix, count(*) as n_children from p where d > 0 group by parent),
+v as (select p.*, coalesce(n_children, 0) as n_children, u.conv_id as parent_conv_id from p left join k using (prefix) left join n u on u.prefix = p.parent and p.d > 0),
+z as (select a.prefix, count(*) filter (where v.n_children = 0) as n_leaves, sum((v.n_convs - 1) * v.chars)::bigint as saved_tokens from v join m a on a.conv_id = v.conv_id and a.d <= v.d group by a.prefix),
+l as (select conv_id, max(d) as d from m group by conv_id),
+e as (select prefix, sha256(string_agg(l.conv_id::varchar, ',' order by l.conv_id)) as ends from l join m using (conv_id, d) group by prefix)
+select v.conv_id, v.d::bigint as depth, v.parent_conv_id, v.n_convs, v.n_children, z.n_leaves, z.saved_tokens, coalesce(e.ends, sha256('')) as ends_sha256 from v join z using (prefix) left join e using (prefix)""",
 }
