@@ -16,6 +16,7 @@ from corpusmill.functions import extract
 from corpusmill.functions import text as T
 from corpusmill.functions.embedding import Embedder
 from corpusmill.operators import listing, reading, search
+from corpusmill.operators.text_index import TextIndex
 
 
 class ChatModel(Protocol):
@@ -57,8 +58,11 @@ MAX_ROWS = 10_000
 
 
 def rows_json(df: DataFrame, most: int = MAX_ROWS) -> str:
-    """The first rows of a result as compact JSON, with <, > and & escaped."""
-    return escaped("[" + ",".join(r[0] for r in df.select(F.to_json(F.struct(*df.columns))).limit(most).collect()) + "]")
+    """A result as compact JSON, with <, > and & escaped; one of more rows is refused, never cut."""
+    rows = df.select(F.to_json(F.struct(*df.columns))).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: ask for less")
+    return escaped("[" + ",".join(r[0] for r in rows) + "]")
 
 
 def escaped(text: str) -> str:
@@ -145,8 +149,8 @@ def as_number(value, default: float) -> float:
         return default
 
 
-def registry(spark: SparkSession, corpus: DataFrame, chunks: DataFrame | None = None, embedder: Embedder | None = None, entries: DataFrame | None = None, files: DataFrame | None = None, vision: bool = False, fetch: Callable[[str], str] | None = None) -> dict[str, Callable[[dict], str]]:
-    """Tools over a corpus (path, text), its chunks with embeddings, a listing, and contents (files: path, content); each takes arguments and gives text. A disabled tool is there but refuses."""
+def registry(spark: SparkSession, corpus: DataFrame, chunks: DataFrame | None = None, embedder: Embedder | None = None, entries: DataFrame | None = None, files: DataFrame | None = None, vision: bool = False, fetch: Callable[[str], str] | None = None, text_index: TextIndex | None = None) -> dict[str, Callable[[dict], str]]:
+    """Tools over a corpus (path, text), its chunks with embeddings, a listing, and contents (files: path, content), an index of these for exact search; each takes arguments and gives text. A disabled tool is there but refuses."""
 
     def need(a: dict, name: str) -> str:
         if not isinstance(a.get(name), str):
@@ -157,7 +161,9 @@ def registry(spark: SparkSession, corpus: DataFrame, chunks: DataFrame | None =
         query = need(a, "query")
         if not as_flag(a.get("semantic"), False):
             contents = files if files is not None else corpus.select("path", F.col("text").cast("binary").alias("content"))
-            r = search.search_report(contents, query, as_flag(a.get("case_sensitive"), False)).select(F.to_json("matches").alias("m"), "files_inspected", "truncated").first()
+            fold = as_flag(a.get("case_sensitive"), False)
+            report = search.search_report(contents, query, fold) if text_index is None else text_index.report(query, fold)
+            r = report.select(F.to_json("matches").alias("m"), "files_inspected", "truncated").first()
             return escaped(f'{{"matches":{r["m"] or "null"},"files_inspected":{r["files_inspected"]}{",\"truncated\":true" if r["truncated"] else ""}}}')
         if embedder is None or chunks is None:
             raise ValueError("semantic search needs an embedder and an index")

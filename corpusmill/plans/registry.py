@@ -18,8 +18,9 @@ from corpusmill.functions import vectors as V
 from corpusmill.operators import conversations as C
 from corpusmill.operators import index as I
 from corpusmill.operators import listing, reading, search
+from corpusmill.operators.text_index import TextIndex
 from corpusmill.plans import templates
-from corpusmill.sources.shared import spread
+from corpusmill.sources.shared import new_folder, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,6 +116,47 @@ def search_exact_all_percent(spark, sf_dir):
     return _exact(spark, sf_dir, "%", True, None)
 
 
+_indexes: dict[tuple, TextIndex] = {}
+
+
+def text_index(corpus: DataFrame, *name: str) -> TextIndex:
+    """An index of the corpus, built once a session under this name, in groups small enough to tell apart at the tables' size."""
+    key = (corpus.sparkSession.sparkContext.applicationId, *name)
+    if key not in _indexes:
+        _indexes[key] = TextIndex.build(corpus, new_folder(corpus.sparkSession, "text-index"), 1 << 18)
+    return _indexes[key]
+
+
+def _indexed(spark, sf_dir, needle, case_sensitive, limit=200):
+    """Documents at paths in the order of their ids."""
+    corpus = documents(spark, sf_dir).select(F.lpad(F.col("doc_id").cast("string"), 19, "0").alias("path"), "text")
+    found = text_index(corpus, sf_dir, "ids").search(needle, case_sensitive, limit)
+    return found.select(F.col("path").cast("long").alias("doc_id"), "line", "excerpt")
+
+
+@query(_exact_sql("tion", True))
+def search_exact_indexed(spark, sf_dir):
+    """A needle that most groups have: waves in order, ended by the limit."""
+    return _indexed(spark, sf_dir, "TION", False)
+
+
+@query(_exact_sql("Tion", False))
+def search_exact_case_indexed(spark, sf_dir):
+    return _indexed(spark, sf_dir, "Tion", True)
+
+
+@query(_exact_sql("é des", True, False))
+def search_exact_rare_indexed(spark, sf_dir):
+    """A needle of several bytes a character, without a limit: groups that lack one of its grams aren't read."""
+    return _indexed(spark, sf_dir, "É DES", False, None)
+
+
+@query(_exact_sql("%", False, False))
+def search_exact_short_indexed(spark, sf_dir):
+    """A needle without grams: every group is read."""
+    return _indexed(spark, sf_dir, "%", True, None)
+
+
 @query("select count(*) as files_inspected from documents where strlen(coalesce(text, '')) <= 2097152")
 def files_inspected(spark, sf_dir):
     return search.files_inspected(documents(spark, sf_dir))

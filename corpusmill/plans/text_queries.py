@@ -16,8 +16,9 @@ from corpusmill.functions import text as T
 from corpusmill.operators import conversations as C
 from corpusmill.operators import index as I
 from corpusmill.operators import search, sinks
+from corpusmill.operators.text_index import opened
 from corpusmill.plans import agent, clients, console, settings, templates
-from corpusmill.plans.registry import _DOCS, _K, _M, _NORMALIZE, _PATHS, _RECALL, _SP, _TOKENS, _VOCABULARY, _cut_sql, _query_vector, _vector_chunks, _word_vocabulary, documents, messages, paths, query, table
+from corpusmill.plans.registry import _DOCS, _K, _M, _NORMALIZE, _PATHS, _RECALL, _SP, _TOKENS, _VOCABULARY, _cut_sql, _query_vector, _vector_chunks, _word_vocabulary, documents, messages, paths, query, table, text_index
 from corpusmill.sources.shared import new_folder
 
 # --- scalar functions ---------------------------------------------------------------------------------------------------
@@ -167,14 +168,24 @@ def _contents(spark, sf_dir) -> DataFrame:
     return d.select("path", F.concat(F.when(F.col("doc_id") % 11 == 0, F.lit(b"\x00")).otherwise(F.lit(b"")), F.col("text").cast("binary")).alias("content"))
 
 
-@query(f"""with m as (select * from ({_SEARCHED}) order by string_split(path, '/'), line limit 200), o as (select max(string_split(path, '/')) as last, count(*) >= 200 as truncated from m)
-select m.path, m.line::bigint as line, m.excerpt, truncated, (select count(*) from ({_PATHS}) f, o where not truncated or string_split(f.path, '/') <= last) as files_inspected from m, o""")
+_REPORT = f"""with m as (select * from ({_SEARCHED}) order by string_split(path, '/'), line limit 200), o as (select max(string_split(path, '/')) as last, count(*) >= 200 as truncated from m)
+select m.path, m.line::bigint as line, m.excerpt, truncated, (select count(*) from ({_PATHS}) f, o where not truncated or string_split(f.path, '/') <= last) as files_inspected from m, o"""
+
+
+@query(_REPORT)
 def search_report(spark, sf_dir):
     """Matches, whether there may be more, and how many files were opened, binary ones too, up to the last match."""
     r = search.search_report(_contents(spark, sf_dir), "TION")
     return r.select(F.inline("matches"), "truncated", "files_inspected").select("path", "line", "excerpt", "truncated", "files_inspected")
 
 
+@query(_REPORT)
+def search_report_indexed(spark, sf_dir):
+    """The same from an index: groups in walk order until the limit, files counted from the zones."""
+    r = text_index(opened(_contents(spark, sf_dir)), sf_dir, "files").report("TION")
+    return r.select(F.inline("matches"), "truncated", "files_inspected").select("path", F.col("line").cast("long").alias("line"), "excerpt", "truncated", "files_inspected")
+
+
 @query(f"select path from ({_PATHS}) where doc_id % 11 <> 0")
 def sniff_text(spark, sf_dir):
     """Texts by their first 8192 bytes: what a search reads."""
