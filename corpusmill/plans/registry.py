@@ -19,6 +19,7 @@ from corpusmill.operators import conversations as C
 from corpusmill.operators import index as I
 from corpusmill.operators import listing, reading, search
 from corpusmill.operators.text_index import TextIndex
+from corpusmill.operators.vector_index import VectorIndex
 from corpusmill.plans import templates
 from corpusmill.sources.shared import new_folder, spread
 
@@ -354,7 +355,10 @@ def _vector_chunks(spark, sf_dir):
 _K = "select 'doc' || (vec_id // 10) || '.md' as path, (vec_id % 10 + 1)::int as chunk_index, 's' || label as section, 'text ' || vec_id as text, list_dot_product(embedding::double[], q) as score, q from embeddings, " + _Q
 
 
-@query(f"select path, chunk_index, section, round(score, 6) as score, text as excerpt from ({_K}) where score >= 0 order by score desc, path, chunk_index limit 10")
+_TOP = f"select path, chunk_index, section, round(score, 6) as score, text as excerpt from ({_K}) where score >= 0 order by score desc, path, chunk_index limit 10"
+
+
+@query(_TOP)
 def semantic_topk(spark, sf_dir):
     return search.search_semantic(_vector_chunks(spark, sf_dir), _query_vector(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
@@ -364,20 +368,49 @@ def semantic_threshold(spark, sf_dir):
     return search.search_semantic(_vector_chunks(spark, sf_dir), _query_vector(spark, sf_dir), 10, 0.35, [".MD"]).withColumn("score", F.round("score", 6))
 
 
+_vector_indexes: dict[tuple, VectorIndex] = {}
+
+
+def vector_index(spark, sf_dir) -> VectorIndex:
+    """An index of all chunks' vectors, built once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _vector_indexes:
+        chunks = _vector_chunks(spark, sf_dir).withColumn("vec_id", F.regexp_extract("text", r"(\d+)$", 1).cast("long"))
+        _vector_indexes[key] = VectorIndex.build(chunks, new_folder(spark, "vector-index"), ("path", "chunk_index"))
+    return _vector_indexes[key]
+
+
+@query(_TOP)
+def semantic_topk_indexed(spark, sf_dir):
+    """Cells from the best bound down, until none can reach the tenth score."""
+    return vector_index(spark, sf_dir).search(_query_vector(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
 @query(f"select chunk_index, section, 2::bigint as tokens, round(greatest(-1, least(1, score)), 5) as similarity, text as summary from ({_K}) where path = 'doc3.md' and score >= -0.05 order by score desc, chunk_index limit 5")
 def search_document(spark, sf_dir):
     found = search.search_document(_vector_chunks(spark, sf_dir), "doc3.md", _query_vector(spark, sf_dir), 5, -0.05)
     return found.withColumn("similarity", F.round(F.col("similarity").cast("double"), 5))
 
 
-@query("""select qid, vec_id, round(score, 6) as score, rank from (select *, row_number() over (partition by qid order by score desc, vec_id) as rank from
-(select q.vec_id as qid, e.vec_id, list_dot_product(e.embedding::double[], q.embedding::double[]) as score from embeddings e, embeddings q where q.vec_id % 50 = 0)) where rank <= 10""")
+_BATCH_TOP = """select qid, vec_id, round(score, 6) as score, rank from (select *, row_number() over (partition by qid order by score desc, vec_id) as rank from
+(select q.vec_id as qid, e.vec_id, list_dot_product(e.embedding::double[], q.embedding::double[]) as score from embeddings e, embeddings q where q.vec_id % 50 = 0)) where rank <= 10"""
+
+
+@query(_BATCH_TOP)
 def semantic_batch_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     return search.batch_top_k(e, queries, "vec_id", "qid").withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
 
 
+@query(_BATCH_TOP)
+def semantic_batch_topk_indexed(spark, sf_dir):
+    """Each query's best cell first, then those cells that its tenth score doesn't rule out."""
+    queries = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    found = vector_index(spark, sf_dir).batch_top_k(queries, "vec_id", "qid")
+    return found.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
+
+
 @query(f"""select path || '#' || chunk_index as key, path, chunk_index, section, round(score, 6) as score, text from (select * from ({_K}) where not (path = 'doc0.md' and chunk_index <= 3) order by score desc, path, chunk_index limit 5)""")
 def auto_context_pick(spark, sf_dir):
     seen = spark.createDataFrame([(f"doc0.md#{i}",) for i in (1, 2, 3)], "key string")
