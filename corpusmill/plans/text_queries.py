@@ -545,11 +545,11 @@ def fetch_url(spark, sf_dir):
 _BUDGET = 3_000_000
 
 
-@query(f"""with f as (select 'f' || doc_id as path, case when doc_id % 10 = 0 then 2 else 1 end as mtime_ms, case when doc_id % 10 = 0 then 'new ' || doc_id else coalesce(text, '') end as text, case when doc_id % 7 = 0 then 300 when doc_id % 10 = 0 then 200 else 100 end as last_access from documents),
+@query(f"""with f as (select 'f' || doc_id as path, case when doc_id % 20 = 0 then 3 when doc_id % 10 = 0 then 2 else 1 end as mtime_ms, case when doc_id % 20 = 0 then 'newer ' || doc_id when doc_id % 10 = 0 then 'new ' || doc_id else coalesce(text, '') end as text, case when doc_id % 7 = 0 then 300 when doc_id % 10 = 0 then 200 else 100 end as last_access from documents),
 c as (select *, strlen(text) + 1 as blob_size, sum(strlen(text) + 1 + 4096) over (order by last_access desc, path) as upto from f)
 select path, mtime_ms::bigint as mtime_ms, last_access::bigint as last_access, blob_size::bigint as blob_size, text from c where upto <= {_BUDGET}""")
 def index_lifecycle(spark, sf_dir):
-    """An index through a first write, a write that fails and is run again, changed files, uses, eviction, and another model and back: its files with their one chunk."""
+    """An index through a first write, a write that fails and is run again, changed files that two writers commit at once, uses, eviction, and another model and back: its files with their one chunk."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     files = lambda rows, mtime: rows.select("path", F.lit(mtime).cast("long").alias("mtime_ms"), F.lit(1).cast("long").alias("size"))
     chunks = lambda rows: rows.select("path", F.lit(1).alias("chunk_index"), F.lit(1).alias("total"), F.lit("").alias("section"), F.lit(1).cast("long").alias("tokens"), "text", F.array(F.lit(1.0).cast("float")).alias("embedding"))
@@ -560,7 +560,17 @@ def index_lifecycle(spark, sf_dir):
     index._write_chunks(chunks(d))  # fails here, before its commit
     index.upsert(files(d, 1), chunks(d), 100)
     changed = index.stale(files(d.where("doc_id % 10 = 0"), 2)).join(d, "path").withColumn("text", F.concat(F.lit("new "), F.col("doc_id").cast("string")))
-    index.upsert(files(changed, 2), chunks(changed), 200)
+    newer = d.where("doc_id % 20 = 0").withColumn("text", F.concat(F.lit("newer "), F.col("doc_id").cast("string")))
+    slow, put = I.Index(spark, at, "model"), I.Index._put
+
+    def late(name: str, said: dict) -> bool:
+        """Another writer takes the number just before."""
+        slow._put = lambda *args: put(slow, *args)
+        index.upsert(files(newer, 3), chunks(newer), 200)
+        return slow._put(name, said)
+
+    slow._put = late
+    slow.upsert(files(changed, 2), chunks(changed), 200)
     index.hits(files(d.where("doc_id % 7 = 0 and doc_id % 10 <> 0"), 1), 300)
     index.touch(d.where("doc_id % 70 = 0"), 300)
     index.evict(_BUDGET)
