@@ -314,6 +314,13 @@ class Index:
         if self.budget:
             self.evict(self.budget)
 
+    def remove(self, paths: DataFrame) -> None:
+        """Takes these files (path) out; their chunks go with the next vacuum."""
+        gone = lambda *_: self.files().join(paths.select("path").distinct(), "path", "left_semi").withColumn("gone", F.lit(True))
+        delta = gone()
+        if not delta.isEmpty():
+            self._commit(delta, {}, gone)
+
     def evict(self, max_bytes: int) -> None:
         """Keeps what fits (0: everything), then deletes what isn't used any more."""
         if max_bytes > 0:

@@ -23,7 +23,7 @@ from corpusmill.functions import text as T
 from corpusmill.operators import conversations as C
 from corpusmill.operators import index as I
 from corpusmill.operators import listing, reading, search
-from corpusmill.plans.registry import _CLEAN, _M, _PATHS, _SP, _cut_sql, documents, messages, paths, query, table
+from corpusmill.plans.registry import _CALLS, _CLEAN, _M, _PATHS, _SP, _calls, _cut_sql, documents, messages, paths, query, table
 from corpusmill.sources import files
 from corpusmill.sources.paths import Escape, lexical
 from corpusmill.sources.shared import new_folder, staged
@@ -35,12 +35,20 @@ _made: dict[tuple[str, str], str] = {}
 _EXTRA = {".env": b"K=1\n", "node_modules/skipped.txt": b"x", ".git/config": b"x", "lib/vendor/skipped.go": b"x", "lib/_kept.go": b"package lib\n"}
 
 
+def _local(uri: str) -> str:
+    """The path of a folder that all machines mount; other stores are refused, as tasks would write to their own disks."""
+    at = urlparse(uri)
+    if at.scheme not in ("", "file"):
+        raise ValueError(f"{uri}: listings need a folder that all machines mount")
+    return unquote(at.path)
+
+
 def corpus_folder(spark: SparkSession, sf_dir: str) -> str:
     """The folder, made once a session, by tasks."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _made:
         return _made[key]
-    root = unquote(urlparse(new_folder(spark, "files")).path)
+    root = _local(new_folder(spark, "files"))
     d = paths(spark, sf_dir).join(documents(spark, sf_dir), "doc_id").select("doc_id", "path", "text")
 
     def write(batches):
@@ -382,6 +390,57 @@ def incremental_index(spark, sf_dir):
     return index.files().select("path", "mtime_ms", "last_access", "n_chunks")
 
 
+@query(f"""select path, 'added' as change from (select concat_ws('/', coalesce(lang, 'none'), 'f' || doc_id) as path from documents) union all
+select concat_ws('/', coalesce(lang, 'none'), 'f' || doc_id), case when doc_id % 10 = 0 then 'changed' else 'removed' end from documents where doc_id % 10 = 0 or doc_id % 7 = 0 union all select 'new/g' || doc_id, 'added' from documents where doc_id % 5 = 0""")
+def folder_changes(spark, sf_dir):
+    """A stream over a folder: all its files; then, run again, what was added, changed and removed meanwhile."""
+    top = _local(new_folder(spark, "followed"))
+    root = f"{top}/root"
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.coalesce("lang", F.lit("none")), F.concat(F.lit("f"), F.col("doc_id").cast("string"))).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def put(path: str, text: str, time: int) -> None:
+        os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+        with open(f"{root}/{path}", "wb") as f:
+            f.write(text.encode())
+        os.utime(f"{root}/{path}", (time, time))
+
+    def first(batches):
+        for pdf in batches:
+            for path, text in zip(pdf["path"], pdf["text"], strict=True):
+                put(path, text, 1000)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    def second(batches):
+        for pdf in batches:
+            for n, path, text in zip(pdf["doc_id"], pdf["path"], pdf["text"], strict=True):
+                if n % 10 == 0:
+                    put(path, text, 2000)
+                elif n % 7 == 0 and os.path.exists(f"{root}/{path}"):
+                    os.remove(f"{root}/{path}")
+                if n % 5 == 0:
+                    put(f"new/g{n}", text, 2000)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    for work in (first, second):
+        d.mapInPandas(work, "n long").agg(F.sum("n")).collect()
+        found = files.changes(spark, root, f"{top}/snapshots").select("path", "change")
+        found.writeStream.format("parquet").option("path", f"file://{top}/out").option("checkpointLocation", f"file://{top}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"file://{top}/out")
+
+
+@query(f"""select conv_id, seq, min(case when not failed then seq end) over (partition by conv_id, name, path, coalesce(start_line, -1) order by seq rows between unbounded preceding and 1 preceding) as source from ({_CALLS})""")
+def tool_memo_stream(spark, sf_dir):
+    """Calls that come in three batches, the stream stopped and started between them: what each turn's memo says."""
+    at = new_folder(spark, "calls")
+    calls = _calls(spark, sf_dir).select("conv_id", "turn", "seq", "name", "arguments", "error")
+    for low, high in ((0, 2), (3, 4), (5, 1 << 40)):
+        calls.where(F.col("seq").between(low, high)).write.mode("append").parquet(f"{at}/in")
+        with streams.with_rocksdb(spark):
+            found = streams.turn_memo(spark.readStream.schema(calls.schema).parquet(f"{at}/in"), 3_600_000)
+            found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("conv_id", "seq", "source")
+
+
 @query("select conv_id, 'k' || (turn % 2) as key, round from (select distinct conv_id, turn % 2 as turn from conversations), (values (1), (2)) r(round)")
 def conv_state(spark, sf_dir):
     """Keys that weren't injected before: each once, and once more after the conversation is cleared."""
