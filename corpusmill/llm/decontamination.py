@@ -206,11 +206,26 @@ def find(automaton: Automaton, texts) -> Iterator[tuple[int, list[tuple[int, int
             yield counts[doc], runs, {automaton.names[i] for i in items}
 
 
+def _pieces(benchmark: DataFrame, window: int, most: int, id_col: str, text_col: str) -> DataFrame:
+    """name, words: items of at most so many words whole; longer ones in pieces that overlap by window - 1 words, so each window is in one."""
+
+    def run(batches):
+        for batch in batches:
+            for name, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                ws = normalised(text)
+                starts = range(0, max(1, len(ws) - window + 1), most - window + 1) if len(ws) > most else (0,)
+                for at in starts:
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], batch.schema.types[0]), pa.array([b" ".join(ws[at : at + most]).decode()])], ["name", "words"])
+
+    rows = benchmark.select(exact(id_col).alias("name"), exact(text_col).alias("text"))
+    return rows.mapInArrow(run, f"name {rows.schema['name'].dataType.simpleString()}, words string")
+
+
 def automata(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> Iterator[Automaton]:
-    """Automata of blocks of items, each block bounded in words; the driver holds one block at a time."""
+    """Automata of blocks of items or pieces of items, each block bounded in words; the driver holds one block at a time."""
     block, n = [], 0
-    for name, text in benchmark.select(exact(id_col), exact(text_col)).toLocalIterator():
-        ws = normalised(text)
+    for name, words in _pieces(benchmark, window, max(BLOCK_WORDS, 2 * window), id_col, text_col).toLocalIterator():
+        ws = words.encode().split()
         if block and n + len(ws) > BLOCK_WORDS:
             yield Automaton(block, window)
             block, n = [], 0

@@ -273,6 +273,32 @@ def test_shards_are_even_despite_a_giant_group(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 8
 
 
+@pytest.mark.parametrize("ranges", [None, 3])
+def test_shards_are_even_despite_rows_alike_in_id_and_text(spark, ranges):
+    df = spark.range(4000).select(F.when(F.col("id") >= 2000, F.col("id")).alias("doc_id"), F.when(F.col("id") < 2000, F.lit("the same.")).otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"), F.col("id").alias("other"))
+    rows = sharding.shard(df, 16, ranges_per_shard=ranges).collect()
+    assert sorted(r.other for r in rows) == list(range(4000))
+    sizes, slots = Counter(), defaultdict(list)
+    for r in rows:
+        sizes[r.shard] += len(r.text) + 1
+        slots[r.shard].append(r["slot"])
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 0.02 * sum(sizes.values()) / 16
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_long_items_are_cut_into_overlapping_pieces(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{rng.randint(0, 60)}" for _ in range(900)]
+    items = [("long", " ".join(words[:400])), ("short", "w1 w2"), ("twelve", " ".join(words[500:512])), (None, None), ("edge", " ".join(words[600:650]))]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(i, " ".join(words[i * 7 : i * 7 + rng.choice([12, 13, 40])])) for i in range(120)], "doc_id long, text string")
+    want = sorted(map(repr, decontamination.contamination_digest(docs, benchmark).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 50)
+    blocks = list(decontamination.automata(benchmark))
+    assert max(len(b.length) for b in blocks) <= 2 * 50 + 1 and len(blocks) > 8
+    assert sorted(map(repr, decontamination.contamination_digest(docs, benchmark).collect())) == want
+
+
 def test_quality(spark, odd):
     rng = random.Random(1)
     good = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", f"w{rng.randint(0, 999)}"]) for _ in range(60)) + "." for _ in range(150)]
