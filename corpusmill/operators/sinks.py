@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators import conversations
 from corpusmill.operators.index import seal
+from corpusmill.sources import committed
 
 
 def json_line(df: DataFrame, name: str = "value") -> DataFrame:
@@ -19,6 +20,11 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> N
     json_line(df).write.mode(mode).text(path)
 
 
+def commit_json_lines(df: DataFrame, folder: str, mode: str = "append") -> None:
+    """write_json_lines through the sink that commits in two phases: all rows or none, each once."""
+    committed.write_lines(json_line(df), folder, mode)
+
+
 def tool_json(value: Column) -> Column:
     """Compact JSON of a struct, map or array, safe to stand in HTML: <, > and & as escapes."""
     out = F.to_json(value)

@@ -24,7 +24,7 @@ from corpusmill.operators import conversations as C
 from corpusmill.operators import index as I
 from corpusmill.operators import listing, reading, search
 from corpusmill.plans.registry import _CALLS, _CLEAN, _M, _PATHS, _SP, _calls, _cut_sql, documents, messages, paths, query, table
-from corpusmill.sources import files
+from corpusmill.sources import files, lines
 from corpusmill.sources.paths import Escape, lexical
 from corpusmill.sources.shared import new_folder, staged
 from corpusmill.streaming import streams
@@ -143,6 +143,17 @@ def read_any(spark, sf_dir):
     return extract.read_any(_contents(spark, sf_dir))
 
 
+@query(f"""with f as (select path, text from ({_FOLDER_FILES}) where not bin union all values ('.env', 'K=1' || chr(10)), ('lib/_kept.go', 'package lib' || chr(10))),
+p as (select path, string_split(text, chr(10)) as parts from f where text <> '')
+select path, i as line, case when ends_with(l, chr(13)) then left(l, length(l) - 1) else l end as text from p, unnest(case when parts[-1] = '' then parts[:-2] else parts end) with ordinality u(l, i)""")
+def read_split_lines(spark, sf_dir):
+    """Lines of all text files, each file cut into ranges of 1000 bytes."""
+    root = corpus_folder(spark, sf_dir)
+    listed = files.entries(spark, root).where("type = 'file'")
+    small = files.contents(listed, root).where(T.is_text(F.col("content"))).select("path")
+    return lines.numbered_lines(listed.join(small, "path", "left_semi").select("path", "size"), root, range_bytes=1000)
+
+
 @query(f"select path, size::bigint as size, case when size <= {_SMALL} then replace(base64(case when bin then encode(chr(0) || text) else encode(text) end), chr(10), '') end as base64, case when size > {_SMALL} then path || ': larger than {_SMALL} bytes' end as error from ({_FOLDER_FILES}) where doc_id % 13 = 0")
 def read_image(spark, sf_dir):
     return reading.read_images(_contents(spark, sf_dir).where("path like '%.png'"), _SMALL)

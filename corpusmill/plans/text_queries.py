@@ -8,6 +8,8 @@ import json
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from corpusmill.operators import search, sinks
 from corpusmill.operators.text_index import opened
 from corpusmill.plans import agent, clients, console, settings, templates
 from corpusmill.plans.registry import _DOCS, _K, _M, _NORMALIZE, _PATHS, _RECALL, _SP, _TOKENS, _VOCABULARY, _cut_sql, _query_vector, _vector_chunks, _word_vocabulary, documents, messages, paths, query, table, text_index
+from corpusmill.sources import committed
 from corpusmill.sources.shared import new_folder
 
 # --- scalar functions ---------------------------------------------------------------------------------------------------
@@ -219,7 +222,10 @@ def find_all_files(spark, sf_dir):
 # --- sinks and attachments ----------------------------------------------------------------------------------------------
 
 
-@query("select doc_id, '{\"doc_id\":' || doc_id || case when lang is null then '' else ',\"lang\":\"' || lang || '\"' end || case when text is null then '' else ',\"text\":' || to_json(text) end || '}' as value from documents")
+_JSON_LINES = "select doc_id, '{\"doc_id\":' || doc_id || case when lang is null then '' else ',\"lang\":\"' || lang || '\"' end || case when text is null then '' else ',\"text\":' || to_json(text) end || '}' as value from documents"
+
+
+@query(_JSON_LINES)
 def sink_json_result(spark, sf_dir):
     """JSON lines as written and read back."""
     at = new_folder(spark, "json-lines")
@@ -227,6 +233,21 @@ def sink_json_result(spark, sf_dir):
     return spark.read.text(at).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), "value")
 
 
+@query(_JSON_LINES)
+def sink_json_committed(spark, sf_dir):
+    """Written in two commits over an older content, with a write between them that fails half-way."""
+    at = new_folder(spark, "committed-lines")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    sinks.commit_json_lines(d.withColumn("text", F.lit("old")), at)
+    sinks.commit_json_lines(d.where("doc_id % 2 = 0"), at, "overwrite")
+    broken = d.withColumn("lang", F.when(F.col("doc_id") % 5 == 4, F.raise_error(F.lit("half-way"))).otherwise(F.col("lang")))
+    try:
+        sinks.commit_json_lines(broken, at)
+    except (PySparkException, Py4JJavaError):
+        sinks.commit_json_lines(d.where("doc_id % 2 <> 0 or doc_id is null"), at)
+    return committed.read_lines(spark, at).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), "value")
+
+
 @query("select doc_id, replace(replace(replace('[{\"doc_id\":' || doc_id || ',\"text\":' || to_json('<' || coalesce(text, '') || '&>') || '}]', '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') as json from documents")
 def render_tool_json(spark, sf_dir):
     text = F.concat(F.lit("<"), F.coalesce("text", F.lit("")), F.lit("&>"))

@@ -18,6 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpusmill-"))
         at = spark.sparkContext.getCheckpointDir()
+    return qualified(spark, at)
+
+
+def qualified(spark: SparkSession, at: str) -> str:
+    """A path with its scheme."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
