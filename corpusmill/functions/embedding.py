@@ -10,12 +10,15 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _KNOWN_WORDS = 200_000
 #: Ids whose vectors are gathered at a time.
 _GATHER = 1 << 16
+#: Characters cut into ids at a time; a longer text stands alone.
+_CHARS = 1 << 19
 _TYPES = {"F32": "<f4", "F16": "<f2", "F64": "<f8"}
 
 
@@ -81,6 +84,7 @@ class WordPiece:
         self.unknown = vocabulary.get(unknown, 0)
         self.longest = max(map(len, vocabulary), default=0)
         self.known: dict[str, list[int]] = {}
+        self.trie: _Trie | None = None
 
     @classmethod
     def load(cls, path: str | Path) -> WordPiece:
@@ -113,6 +117,119 @@ class WordPiece:
         return list(itertools.chain.from_iterable(map(known.__getitem__, words)))
 
 
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has: `ids` for many texts at once.
+
+        Words are found in one byte buffer, and each distinct one goes through the trie of pieces, all of them a byte a step.
+        """
+        if self.trie is None:
+            self.trie = _Trie(self.vocabulary, self.prefix)
+        encoded = [(t.lower() if self.lowercase else t).encode() for t in texts]
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in encoded]))).astype(np.int64)
+        buf = np.frombuffer(b"".join(encoded), np.uint8)
+        start, end = _word_places(buf, offsets)
+        inside = np.zeros(len(buf) + 1, np.int8)
+        inside[start] += 1
+        inside[end] -= 1
+        edges = np.concatenate(([0], np.cumsum(end - start)))
+        words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(buf[np.cumsum(inside[:-1], dtype=np.int8) > 0])])
+        coded = words.dictionary_encode()
+        ids, counts = self.trie.pieces(coded.dictionary, self.max_chars, self.unknown)
+        first = np.cumsum(counts) - counts
+        word = coded.indices.to_numpy()
+        n = counts[word]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        before = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(start, offsets)]
+        return ids[np.repeat(first[word], n) + place], np.diff(before)
+
+
+_SPACE_BYTES = np.isin(np.arange(256), [0x09, 0x0A, 0x0D, 0x20])
+_MARK_BYTES = np.isin(np.arange(256), [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])
+
+
+def _word_places(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of split_words, within texts."""
+    mark, member = _MARK_BYTES[buf], ~(_SPACE_BYTES | _MARK_BYTES)[buf]
+    first, last = member.copy(), member.copy()
+    first[1:] &= ~member[:-1]
+    last[:-1] &= ~member[1:]
+    some = offsets[1:] > offsets[:-1]
+    first[offsets[:-1][some]] = member[offsets[:-1][some]]
+    last[offsets[1:][some] - 1] = member[offsets[1:][some] - 1]
+    return np.flatnonzero(first | mark), np.flatnonzero(last | mark) + 1
+
+
+class _Trie:
+    """Pieces by their bytes: node 0 begins a word, node 1 goes on. A move is (node, byte), and moves are kept in order."""
+
+    def __init__(self, vocabulary: dict[str, int], prefix: str):
+        whole = [(0, w.encode(), i) for w, i in vocabulary.items() if w]
+        inner = [(1, w[len(prefix) :].encode(), i) for w, i in vocabulary.items() if w.startswith(prefix) and len(w) > len(prefix)]
+        entries = whole + inner
+        sizes = np.array([len(b) for _, b, _ in entries], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        buf = np.frombuffer(b"".join(b for _, b, _ in entries), np.uint8)
+        node, ids = np.array([r for r, _, _ in entries], np.int64), np.array([i for _, _, i in entries], np.int64)
+        moves, to, value, depth = [], [], [np.full(2, -1, np.int64)], 0
+        nodes, active = 2, np.arange(len(entries))
+        while len(active):
+            found, own = np.unique(node[active] << 8 | buf[starts[active] + depth], return_inverse=True)
+            moves.append(found)
+            to.append(nodes + np.arange(len(found)))
+            node[active] = nodes + own
+            depth += 1
+            done = sizes[active] == depth
+            at = np.full(len(found), -1, np.int64)
+            at[own[done]] = ids[active[done]]
+            value.append(at)
+            nodes += len(found)
+            active = active[~done]
+        self.moves, self.to, self.value = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (moves, to, value))
+        order = np.argsort(self.moves)
+        self.moves, self.to = np.append(self.moves[order], np.iinfo(np.int64).max), np.append(self.to[order], 0)
+
+    def pieces(self, words: pa.LargeBinaryArray, max_chars: int, unknown: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and how many each has."""
+        edges = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        buf = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        chars = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
+        bad = chars[edges[1:]] - chars[edges[:-1]] > max_chars
+        left, pos, end = np.flatnonzero(~bad), edges[:-1][~bad].copy(), edges[1:][~bad]
+        node, best, stop = np.zeros(len(left), np.int64), np.full(len(left), -1, np.int64), np.zeros(len(left), np.int64)
+        owners, found = [np.flatnonzero(bad)], [np.full(int(bad.sum()), unknown, np.int64)]
+        while len(left):
+            inside = pos < end
+            key = node << 8 | buf[np.where(inside, pos, 0)]
+            j = np.searchsorted(self.moves, key)
+            hit = inside & (self.moves[j] == key)
+            node = np.where(hit, self.to[j], node)
+            pos = pos + hit
+            value = np.where(hit, self.value[node], -1)
+            best, stop = np.where(value >= 0, value, best), np.where(value >= 0, pos, stop)
+            dead = np.flatnonzero(~hit)
+            if len(dead):
+                some = dead[best[dead] >= 0]
+                owners.append(left[some])
+                found.append(best[some])
+                lost = dead[best[dead] < 0]
+                bad[left[lost]] = True
+                owners.append(left[lost])
+                found.append(np.full(len(lost), unknown, np.int64))
+                pos[some], node[some], best[some] = stop[some], 1, -1
+                over = np.zeros(len(left), bool)
+                over[lost] = True
+                over[some] = pos[some] >= end[some]
+                keep = ~over
+                left, pos, end, node, best, stop = (x[keep] for x in (left, pos, end, node, best, stop))
+        owner, ids = np.concatenate(owners), np.concatenate(found)
+        order = np.argsort(owner, kind="stable")
+        owner, ids = owner[order], ids[order]
+        last = np.append(owner[1:] != owner[:-1], True) if len(owner) else np.empty(0, bool)
+        keep = ~bad[owner] | last  # a word that fails is one unknown, whatever it had
+        owner, ids = owner[keep], ids[keep]
+        return ids, np.bincount(owner, minlength=len(words))
+
+
 def read_safetensors(path: str | Path) -> dict[str, np.ndarray]:
     """Tensors of a safetensors file."""
     return tensors(Path(path).read_bytes(), str(path))
@@ -150,23 +267,23 @@ class StaticModel:
         return cls(WordPiece.load(folder / "tokenizer.json"), vectors, bool(json.loads(config.read_text()).get("normalize", True)) if config.exists() else True)
 
     def embed_with_sizes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A vector for each text, and how many ids it has; ids outside the table are left out. Texts are gathered together, a few at a time."""
+        """A vector for each text, and how many ids it has; ids outside the table are left out. Some texts are cut into ids at a time, some ids' vectors gathered."""
         out, sizes = np.zeros((len(texts), self.vectors.shape[1]), np.float64), np.zeros(len(texts), np.int64)
-        ids, first, held = [], 0, 0
+        first, held = 0, 0
         for i, text in enumerate(texts):
-            ids.append(self.tokenizer.ids(text))
-            sizes[i] = len(ids[-1])
-            held += len(ids[-1])
-            if held > _GATHER or i == len(texts) - 1:
-                flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
-                owner = np.repeat(np.arange(first, i + 1), sizes[first : i + 1])
-                fits = (flat >= 0) & (flat < len(self.vectors))
-                flat, owner = flat[fits], owner[fits]
-                sizes[first : i + 1] = np.bincount(owner - first, minlength=i + 1 - first)
-                if len(flat):
-                    heads = np.flatnonzero(np.diff(owner, prepend=-1))
-                    out[owner[heads]] = np.add.reduceat(self.vectors[flat], heads, axis=0, dtype=np.float64)
-                ids, first, held = [], i + 1, 0
+            held += len(text)
+            if held < _CHARS and i < len(texts) - 1:
+                continue
+            ids, n = self.tokenizer.batch(texts[first : i + 1])
+            owner = np.repeat(np.arange(first, i + 1), n)
+            fits = (ids >= 0) & (ids < len(self.vectors))
+            ids, owner = ids[fits], owner[fits]
+            sizes[first : i + 1] = np.bincount(owner - first, minlength=i + 1 - first)
+            for a in range(0, len(ids), _GATHER):
+                some, own = ids[a : a + _GATHER], owner[a : a + _GATHER]
+                heads = np.flatnonzero(np.diff(own, prepend=-1))
+                out[own[heads]] += np.add.reduceat(self.vectors[some], heads, axis=0, dtype=np.float64)
+            first, held = i + 1, 0
         out = (out / np.maximum(sizes, 1)[:, None]).astype(np.float32)
         return (unit(out) if self.normalize else out), sizes
 

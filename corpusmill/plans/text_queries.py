@@ -116,7 +116,8 @@ def wordpiece(spark, sf_dir):
 
     def run(batches):
         for pdf in batches:
-            ids = [np.array(pieces.ids(t), np.int64) for t in pdf["text"]]
+            flat, sizes = pieces.batch(pdf["text"].tolist())
+            ids = np.split(flat, np.cumsum(sizes)[:-1])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(x) for x in ids], "total": [x.sum() for x in ids], "unknown": [(x == 0).sum() for x in ids]})
 
     return documents(spark, sf_dir).mapInPandas(run, "doc_id long, n long, total long, unknown long").where("n > 0")
