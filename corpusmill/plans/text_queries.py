@@ -17,7 +17,7 @@ from corpusmill.functions import embedding as E
 from corpusmill.functions import text as T
 from corpusmill.operators import conversations as C
 from corpusmill.operators import index as I
-from corpusmill.operators import search, sinks
+from corpusmill.operators import retrieval, search, sinks
 from corpusmill.operators.text_index import opened
 from corpusmill.plans import agent, clients, console, settings, templates
 from corpusmill.plans.registry import _DOCS, _K, _M, _NORMALIZE, _PATHS, _RECALL, _SP, _TOKENS, _VOCABULARY, _cut_sql, _query_vector, _vector_chunks, _word_vocabulary, documents, messages, paths, query, table, text_index
@@ -606,3 +606,45 @@ def cache_hits(spark, sf_dir):
     f = _index_files(spark, sf_dir)
     listed = f.select("path", (F.col("mtime_ms") + (F.col("last_access") == 3).cast("int")).alias("mtime_ms"), "size")
     return I.fresh(listed, f.where("last_access <> 5"))
+
+
+# --- searches that index, context of all turns --------------------------------------------------------------------------
+
+
+def _searched_files(spark, sf_dir, changed: bool):
+    """(files, read): ten vectors each; where a third of the files has changed, only these are as in the table, the others their opposites."""
+    chunks = _vector_chunks(spark, sf_dir).withColumn("total", F.lit(10))
+    third = F.regexp_extract("path", r"doc(\d+)", 1).cast("long") % 3 == 0
+    mtime = F.when(third, 2).otherwise(1) if changed else F.lit(1)
+    files = chunks.select("path").distinct().select("path", mtime.cast("long").alias("mtime_ms"), F.lit(100).cast("long").alias("size"))
+    vectors = chunks if changed else chunks.withColumn("embedding", F.transform("embedding", lambda x: -x))
+    return files, lambda stale: vectors.join(stale.select("path"), "path", "left_semi")
+
+
+_FIRST_FILES = "select path from (select distinct 'doc' || (vec_id // 10) || '.md' as path from embeddings) order by path limit 200"
+
+
+@query(f"""select path, chunk_index, section, round(case when vec_id // 10 % 3 = 0 then score else -score end, 6) as score, text as excerpt from (select *, substr(text, 6)::bigint as vec_id from ({_K})) k
+where path in ({_FIRST_FILES}) and (case when vec_id // 10 % 3 = 0 then score else -score end) >= 0 order by (case when vec_id // 10 % 3 = 0 then score else -score end) desc, path, chunk_index limit 10""")
+def search_files_indexing(spark, sf_dir):
+    """Two searches of a folder: the first indexes it, the second what changed since."""
+    index = I.Index(spark, new_folder(spark, "searched"), "model")
+    for now, changed in ((1, False), (2, True)):
+        files, read = _searched_files(spark, sf_dir, changed)
+        found = retrieval.search_files(files, index, read, _query_vector(spark, sf_dir), now)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("""with recursive n as (select count(*) as n from embeddings),
+t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as r, e.embedding::double[] as q from conversations, n join embeddings e on e.vec_id = (conv_id * 7 + turn) % n),
+s as (select conv_id, turn, r, list(struct_pack(id := vec_id, score := score) order by score desc, vec_id) as best from (select conv_id, turn, r, e.vec_id, list_dot_product(e.embedding::double[], q) as score from t, embeddings e) group by conv_id, turn, r),
+p as (select conv_id, turn, r, best[1:5] as picked, case when best[1].score >= 0.2 then list_transform(best[1:5], lambda x: x.id) else [] end as seen from s where r = 1
+ union all select conv_id, turn, r, picked, case when picked[1].score >= 0.2 then list_concat(seen, list_transform(picked, lambda x: x.id)) else seen end from (select s.conv_id, s.turn, s.r, p.seen, list_filter(s.best, lambda x: not list_contains(p.seen, x.id))[1:5] as picked from p join s on s.conv_id = p.conv_id and s.r = p.r + 1))
+select conv_id, turn, x.id as vec_id, round(x.score, 6) as score, i::bigint as rank from p, unnest(picked) with ordinality u(x, i) where picked[1].score >= 0.2""")
+def context_for_turns(spark, sf_dir):
+    """What each turn of every conversation is given, nothing twice in a conversation."""
+    e = table(spark, sf_dir, "embeddings")
+    n = e.count()
+    turns = messages(spark, sf_dir).select("conv_id", "turn", ((F.col("conv_id") * 7 + F.col("turn")) % n).alias("vec_id"))
+    turns = turns.join(e.select("vec_id", F.col("embedding").alias("q")), "vec_id").select("conv_id", "turn", "q")
+    return retrieval.context_for_turns(turns, e).withColumn("score", F.round("score", 6))
