@@ -7,7 +7,7 @@ doc_id (int64), a flag byte (1: the id is null), the width of an id in bytes (2
 
 Encoding works on fragments: the tokenizer's pre-tokenizer always ends a piece before a single
 space that follows a non-space and precedes a byte that can't begin white space, between an ASCII letter
-and most punctuation or a line feed, and around a single line feed, so a text's ids are its fragments' ids in a row. Each distinct fragment is encoded by the tokenizers library once
+and most punctuation or a line feed, around a single line feed, and between East Asian letters and marks, so a text's ids are its fragments' ids in a row. Each distinct fragment is encoded by the tokenizers library once
 in a worker's table (`TABLE` fragments and those of one more batch at most, then the later half is forgotten). A fragment is found by a hash and then
 compared: its bytes, where it has 16 at most, are two numbers; a longer one has a number of its own in a dictionary.
 A text of over `_kernel.PIECE` bytes is encoded a stretch at a time, cut where fragments end; a stretch without any such
@@ -52,9 +52,12 @@ _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[*b"\n.,;:!?\"()$#&%*"]] = True
 
+#: UTF-8 of runs of East Asian letters (kana, ideographs, Hangul), and of marks that no letter is joined to.
+_WIDE_LETTERS = [(0xE38181, 0xE38296), (0xE382A1, 0xE383BA), (0xE4B880, 0xE9BEA5), (0xEAB080, 0xED9EA3)]
+_WIDE_MARKS = [int.from_bytes(c.encode(), "big") for c in "、。「」『』！，：；？"]
 
 #: Fragments that may stand before a line feed: no white space but a first space, and no byte that may begin any.
-_joins = re.compile(rb" ?[^\x00-\x20\x7f\xc2\xe1\xe2\xe3]+").fullmatch
+_joins = re.compile(rb" ?(?:[^\x00-\x20\x7f\xc2\xe1\xe2\xe3]|\xe3(?!\x80\x80))+").fullmatch
 
 
 class FragmentEncoder:
@@ -186,10 +189,10 @@ class FragmentEncoder:
         while at < len(text):
             stop = min(len(text), at + piece)
             while stop < len(text):
-                # a cut depends on two bytes before it and two after; the last of the stretch that has all four
+                # a cut depends on at most five bytes before it and four after; the last of the stretch that has all of them
                 first = max(at, stop - piece)
-                cuts = np.flatnonzero(_cuts(text[first:stop])[:-2]) + first
-                cuts = cuts[cuts > first + 2]
+                cuts = np.flatnonzero(_cuts(text[first:stop])[:-4]) + first
+                cuts = cuts[cuts > first + 5]
                 if len(cuts):
                     stop = int(cuts[-1])
                     break
@@ -208,9 +211,31 @@ def _cuts(buf: np.ndarray) -> np.ndarray:
         cut[1 : len(buf)] |= _STOP[buf[1:]] & letter[:-1]
         cut[1 : len(buf)] |= feed[1:] & _STOP[buf[:-1]] & solid[:-1]
         cut[2 : len(buf)] |= feed[1:-1] & solid[:-2] & letter[2:]
+    if len(buf) > 6 and (buf >= 0x80).any():
+        _cut_wide(buf, cut)
     return cut
 
 
+def _cut_wide(buf: np.ndarray, cut: np.ndarray) -> None:
+    """Adds the cuts around a single line feed between characters of any script that are no white space, and between East Asian letters and marks."""
+    three = (buf[:-2].astype(np.uint32) << 16) | (buf[1:-1].astype(np.uint32) << 8) | buf[2:]
+    two, wide, four = (buf >= 0xC3) & (buf <= 0xDF), (buf >= 0xE4) & (buf <= 0xEF), (buf >= 0xF0) & (buf <= 0xF4)  # first bytes of characters that are no white space
+    wide[:-2] |= (buf[:-2] == 0xE3) & (three != 0xE38080)
+    plain = (buf > 0x20) & (buf < 0x7F)
+    ends = plain.copy()  # a character that is no white space ends here
+    ends[1:] |= two[:-1]
+    ends[2:] |= wide[:-2]
+    ends[3:] |= four[:-3]
+    begins = plain | two | wide | four
+    feed = np.flatnonzero((buf[1:-1] == 0x0A) & ends[:-2] & begins[2:]) + 1
+    cut[feed] = cut[feed + 1] = True
+    letter = np.zeros(len(three), bool)
+    for low, high in _WIDE_LETTERS:
+        letter |= (three >= low) & (three <= high)
+    mark = np.isin(three, _WIDE_MARKS)
+    cut[3 : len(three)] |= (letter[:-3] & mark[3:]) | (mark[:-3] & letter[3:])
+
+
 def _same(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     out = a[0] == b[0]
     for x, y in zip(a[1:], b[1:], strict=True):
