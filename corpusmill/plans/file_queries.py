@@ -1,7 +1,7 @@
 """Queries over files that are made from the documents: a folder of files, formats, streams; and their SQL.
 
 The folder has each document at source/lang/docN, every eleventh binary, every thirteenth an image, and entries that walks skip
-or that lead out. Formats hold a document's lines in printable ASCII, so that SQL can say what must come out.
+or that lead out. Formats hold a document's whole text but for control characters (PDF: printable ASCII).
 """
 
 from __future__ import annotations
@@ -188,14 +188,28 @@ def confined_paths(spark, sf_dir):
 
 # --- formats ------------------------------------------------------------------------------------------------------------
 
+_WHOLE = r"regexp_replace(coalesce(text, ''), '[\x00-\x09\x0B-\x1F\x7F]', '', 'g')"
 _ASCII = "regexp_replace(coalesce(text, ''), '[^ -~\\n]', '', 'g')"
-_PLAIN = f"select doc_id, {_ASCII} as text, string_split({_ASCII}, chr(10)) as lines, list_transform(string_split({_ASCII}, chr(10)), lambda x: trim(x, {_SP})) as a from documents"
+
+
+def _made_from(text: str) -> str:
+    return f"select doc_id, {text} as text, string_split({text}, chr(10)) as lines, list_transform(string_split({text}, chr(10)), lambda x: trim(x, {_SP})) as a from documents"
+
+
+#: Whole texts but for control characters, which some formats can't hold; printable ASCII for PDF, whose fonts' encodings aren't read.
+_PLAIN, _PLAIN_ASCII = _made_from(_WHOLE), _made_from(_ASCII)
+
+
+def _texts(spark, sf_dir) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[\x00-\x09\x0B-\x1F\x7F]", "").alias("text"))
+
+
 _NORMAL = f"trim(array_to_string(list_filter(a, lambda x, i: x <> '' or i = 1 or a[i - 1] <> ''), chr(10)), {_SP})"
 
 
 def _made_of(spark, sf_dir, ending: str, make) -> DataFrame:
-    """path, text, error of files that make(doc_id, ASCII text) gives as bytes."""
-    d = documents(spark, sf_dir).select("doc_id", F.regexp_replace("text", "[^ -~\\n]", "").alias("text"))
+    """path, text, error of files that make(doc_id, text without control characters) gives as bytes."""
+    d = _texts(spark, sf_dir)
 
     def run(batches):
         for pdf in batches:
@@ -230,7 +244,7 @@ def extract_maybe(spark, sf_dir):
 @query(_expected(".json", "case when doc_id % 4 = 3 then '{ \"a\" : ' else '{\"b\":[' || doc_id || ',2.50,\"x  y\"],\"a\":' || to_json(text)::varchar || '}' end"))
 def extract_json(spark, sf_dir):
     """White space outside strings goes; keys and numbers stay as they are; what is no JSON stays."""
-    return _made_of(spark, sf_dir, ".json", lambda n, t: b'{ "a" : ' if n % 4 == 3 else f'{{ "b" :\n [ {n} , 2.50,\t"x  y" ] ,  "a" : {json.dumps(t)} }}\n'.encode())
+    return _made_of(spark, sf_dir, ".json", lambda n, t: b'{ "a" : ' if n % 4 == 3 else f'{{ "b" :\n [ {n} , 2.50,\t"x  y" ] ,  "a" : {json.dumps(t, ensure_ascii=False)} }}\n'.encode())
 
 
 @query(_expected(".xml", "array_to_string(list_filter(a, lambda x: x <> ''), chr(10))"))
@@ -251,7 +265,7 @@ _ARTICLE = "'## Doc ' || doc_id || chr(10) || chr(10) || array_to_string(list_fi
 @query(f"select doc_id, case when doc_id % 5 = 0 then 'only a menu' else {_ARTICLE} end as text from ({_PLAIN})")
 def extract_article(spark, sf_dir):
     """A page's article as Markdown, without navigation and footers; a page with nothing else gives its visible text."""
-    d = documents(spark, sf_dir).select("doc_id", F.regexp_replace("text", "[^ -~\\n]", "").alias("text"))
+    d = _texts(spark, sf_dir)
 
     def page(n: int, text: str) -> str:
         if n % 5 == 0:
@@ -310,13 +324,14 @@ def extract_rtf(spark, sf_dir):
     """Groups without text are skipped; escapes and paragraph words become text."""
 
     def make(n, t):
-        body = "\\par\n".join(line.replace("\\", "\\\\").replace("{", "\\{").replace("}", "\\}") for line in t.split("\n"))
+        written = lambda c: "\\" + c if c in "\\{}" else c if c < "\x7f" else "".join(f"\\'{b:02x}" for b in c.encode())
+        body = "\\par\n".join("".join(map(written, line)) for line in t.split("\n"))
         return ("{\\rtf1\\ansi{\\fonttbl{\\f0 Times;}}{\\info{\\title none}}\\f0\\fs24 " + body + "\\par\n}").encode()
 
     return _made_of(spark, sf_dir, ".rtf", make)
 
 
-@query(f"select 'd' || doc_id || '.pdf' as path, array_to_string(list_filter(list_transform(lines, lambda x: rtrim(x)), lambda x: trim(x) <> ''), chr(10)) as text from ({_PLAIN})")
+@query(f"select 'd' || doc_id || '.pdf' as path, array_to_string(list_filter(list_transform(lines, lambda x: rtrim(x)), lambda x: trim(x) <> ''), chr(10)) as text from ({_PLAIN_ASCII})")
 def extract_pdf(spark, sf_dir):
     """Content streams, plain and deflated, by the reader that needs no other program."""
     d = documents(spark, sf_dir).select("doc_id", F.regexp_replace("text", "[^ -~\\n]", "").alias("text"))
@@ -339,7 +354,7 @@ def extract_pdf(spark, sf_dir):
 @query(f"select doc_id, strlen(text) > 700 as refused from ({_PLAIN})")
 def zip_guard(spark, sf_dir):
     """An archive's entry that inflates beyond a limit is refused, however small it is packed."""
-    d = documents(spark, sf_dir).select("doc_id", F.regexp_replace("text", "[^ -~\\n]", "").alias("text"))
+    d = _texts(spark, sf_dir)
 
     def refused(text: str) -> bool:
         with zipfile.ZipFile(io.BytesIO(_zip(a_xml=text))) as z:
@@ -360,7 +375,7 @@ def zip_guard(spark, sf_dir):
 select path, case when t = '' then '(no extractable text)' else {_cut_sql('t', 1000, "chr(10) || '[truncated to 1000 bytes — call read(path=\"' || path || '\") alone for the full chunked manifest]' || chr(10)")} end as text, null::varchar as error from c""")
 def read_any_documents(spark, sf_dir):
     """Documents among any files: extracted, cleaned, cut with a notice."""
-    d = documents(spark, sf_dir).select("doc_id", F.regexp_replace("text", "[^ -~\\n]", "").alias("text"))
+    d = _texts(spark, sf_dir)
     escaped = lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     page = F.concat(F.lit("<html><body>"), F.array_join(F.transform(F.split("text", "\n", -1), lambda x: F.concat(escaped(x), F.lit("<br>"))), ""), F.lit("</body></html>"))
     return extract.read_any(d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".html")).alias("path"), page.cast("binary").alias("content")), 1000)

@@ -148,10 +148,10 @@ def hash_embedder(spark, sf_dir):
 # --- search and context -------------------------------------------------------------------------------------------------
 
 
-@query("select 'doc' || (vec_id // 10) || '.md#' || (vec_id % 10 + 1) as key from embeddings where vec_id < 75")
+@query("select 'doc' || (vec_id // 10) || '.md#' || (vec_id % 10 + 1) as key from embeddings where vec_id % 2 = 0 or vec_id % 3 = 0")
 def injected_keys(spark, sf_dir):
     k = table(spark, sf_dir, "embeddings").select("vec_id", T.chunk_key(F.concat(F.lit("doc"), F.floor(F.col("vec_id") / 10).cast("string"), F.lit(".md")), F.col("vec_id") % 10 + 1).alias("key"))
-    return search.injected_keys(k.where("vec_id < 50"), k.where("vec_id between 25 and 74"))
+    return search.injected_keys(k.where("vec_id % 2 = 0"), k.where("vec_id % 3 = 0"))
 
 
 @query(f"""with p as (select * from (select * from ({_K}) order by score desc, path, chunk_index limit 5))
@@ -206,11 +206,11 @@ def size_exact(spark, sf_dir):
     return search.searchable(_contents(spark, sf_dir), 2000).select("path")
 
 
-@query(f"select path from ({_PATHS}) order by (doc_id % 7) desc, string_split(path, '/') limit 50")
+@query(f"select path, (doc_id % 7 * 1000)::bigint as modified from ({_PATHS}) order by doc_id % 7 desc, string_split(path, '/')")
 def list_dir_newest(spark, sf_dir):
     from corpusmill.operators import listing
 
-    return listing.list_dir(paths(spark, sf_dir), 3, sort_by="modified_time").limit(50).select("path")
+    return listing.list_dir(paths(spark, sf_dir), 3, sort_by="modified_time").select("path", F.unix_seconds("modified_at").alias("modified"))
 
 
 @query(f"select regexp_extract(path, '^(.*)/', 1) as p, count(*) as c, string_agg(path, ' ' order by path) as f from ({_PATHS}) group by 1")
