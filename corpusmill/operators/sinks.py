@@ -33,11 +33,17 @@ def tool_json(value: Column) -> Column:
     return out
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value. The parser stops behind a value, whatever follows: so it must stand within an array and within an object, and what ends one of them early or goes on in it is an error in the other."""
+    parsed = lambda before, after: F.try_parse_json(F.concat(F.lit(before), text, F.lit(after))).isNotNull()
+    return F.try_parse_json(text).isNotNull() & parsed("[", "]") & parsed('{"a":', "}")
+
+
 def result_json(text: Column) -> Column:
     """Valid JSON as it is, other text as a JSON string, null as an empty one."""
     t = F.coalesce(text, F.lit(""))
     quoted = F.regexp_extract(F.to_json(F.struct(t.alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
-    return F.when(F.try_parse_json(t).isNotNull() & (t != ""), t).otherwise(quoted)
+    return F.when(is_json(t), t).otherwise(quoted)
 
 
 def attach(prompts: DataFrame, corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:

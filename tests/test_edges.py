@@ -18,6 +18,14 @@ def test_json_sinks(spark, tmp_path):
     assert got[0] == '{"a": 1}' and json.loads(got[1]) == 'plain "x"\n' and got[2:] == ['""', '""']
 
 
+def test_json_with_more_behind_is_text(spark):
+    texts = ["1 a", "{} x", "null x", '"a" "b"', '{"a":1}}', "1],[2", '1} ,{"b":2', '1,"c":2', "1,2", "  "]
+    kept = [" [1] ", '{"a":[1,{"b":null}]}', "true", "-1.5e3"]
+    df = spark.createDataFrame([(t,) for t in texts + kept], "t string")
+    got = [r.j for r in df.select(sinks.result_json(F.col("t")).alias("j")).collect()]
+    assert [json.loads(j) for j in got[: len(texts)]] == texts and got[len(texts) :] == kept
+
+
 def test_attach(spark):
     corpus = spark.createDataFrame([("a b.txt", "AB"), ("c", "C")], "path string, text string")
     prompts = spark.createDataFrame([(1, "see @a\\ b.txt and @c"), (2, "see @gone"), (3, "none")], "id int, text string")
