@@ -1,6 +1,6 @@
 """A persistent index for exact search: groups of files in walk order, their zones, and posting lists of their trigrams.
 
-`texts/grp=<n>` holds the files of one group, about `group_bytes` of text, numbered in walk order; `zones` has a row for each group
+`texts/grp=<n>` holds the files of one group, about `group_bytes` of text or more, numbered in walk order; `zones` has a row for each group
 (its files and first and last path); `postings` has (gram, grp) for each three bytes in a row that a group's texts or
 lower-cased texts have, sorted by gram, so Parquet statistics find a gram's rows. A search reads only groups that have all
 grams of the needle: a text that holds the needle has them, so no match is lost. A needle under three bytes skips nothing.
@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import search
-from corpusmill.sources.shared import shuffle_partitions, staged
+from corpusmill.sources.shared import PIECE_BYTES, pieces, shuffle_partitions, staged
 
 GROUP_BYTES = 64 << 20
+#: Groups smaller than GROUP_BYTES are as many as this, about: each is a folder of its own, and costs more than its bytes do.
+SMALL_GROUPS = 256
 #: Groups that one task writes at most, and grams of a needle that are looked up (more would leave Parquet's pushed filters).
 GROUPS_A_TASK, MOST_GRAMS = 16, 10
 #: Groups in the first wave, and in the largest.
@@ -55,23 +57,42 @@ def _grouped(batches, group_bytes: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base + before // group_bytes)], ["path", "text", "grp"])
 
 
-def _posted(batches):
-    """(grp, grams) of rows grp, text, folded; a group may come in several rows."""
-    have: dict[int, np.ndarray] = {}
+def _mark(have: np.ndarray, texts: pa.Array) -> None:
+    """Sets the places of all grams within these texts, none across two of them."""
+    texts = texts.drop_null().cast(pa.large_binary())
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    inner = edges[1:-1] - edges[0]
+    for at in range(0, max(0, len(data) - 2), PIECE_BYTES):
+        b = data[at : at + PIECE_BYTES + 2].astype(np.int32)
+        grams = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
+        own = np.ones(len(grams), bool)
+        for back in (1, 2):
+            crossing = inner - at - back
+            own[crossing[(crossing >= 0) & (crossing < len(own))]] = False
+        have[grams[own]] = True
 
-    def rows():
-        return pa.RecordBatch.from_arrays([pa.array(list(have), pa.int64()), pa.array([x.tolist() for x in have.values()], pa.list_(pa.int32()))], ["grp", "grams"])
 
-    for batch in batches:
-        for grp, text, folded in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if text is not None:
-                new = _grams(text.encode() + b"\xff\xff\xff" + folded.encode())
-                have[grp] = np.union1d(have[grp], new) if grp in have else new
-        while len(have) > 1:  # groups come one after the other
-            grp = next(iter(have))
-            yield pa.RecordBatch.from_arrays([pa.array([grp], pa.int64()), pa.array([have.pop(grp).tolist()], pa.list_(pa.int32()))], ["grp", "grams"])
-    if have:
-        yield rows()
+def _posted(batches):
+    """(grp, grams) of rows grp, text, folded; a group may come in several rows."""
+    have, current = np.zeros(1 << 24, bool), None
+
+    def row(grp: int):
+        grams = np.flatnonzero(have).astype(np.int32)
+        have[grams] = False
+        return pa.RecordBatch.from_arrays([pa.array([grp], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(grams)], pa.int32()), pa.array(grams))], ["grp", "grams"])
+
+    for piece in pieces(batches):
+        groups = piece.column(0).to_numpy()
+        starts = [*np.flatnonzero(np.diff(groups, prepend=groups[:1] - 1)).tolist(), len(groups)]
+        for at, to in zip(starts, starts[1:], strict=False):
+            if current is not None and current != int(groups[at]):  # groups come one after the other
+                yield row(current)
+            current = int(groups[at])
+            for column in (1, 2):
+                _mark(have, piece.column(column).slice(at, to - at))
+    if current is not None:
+        yield row(current)
 
 
 class TextIndex:
@@ -81,9 +102,10 @@ class TextIndex:
 
     @classmethod
     def build(cls, corpus: DataFrame, folder: str, group_bytes: int = GROUP_BYTES) -> TextIndex:
-        """corpus: path, text (null: opened, not searched). Texts move once, to their place in walk order."""
+        """corpus: path, text (null: opened, not searched). group_bytes: the size of groups, which grows up to GROUP_BYTES where they would be more than SMALL_GROUPS. Texts move once, to their place in walk order."""
         spark, folder = corpus.sparkSession, folder.rstrip("/")
         size = corpus.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        group_bytes = max(group_bytes, min(GROUP_BYTES, size // SMALL_GROUPS))
         tasks = max(shuffle_partitions(spark) if size > group_bytes else 1, -(-size // (group_bytes * GROUPS_A_TASK)))
         order = [T.walk_key(F.col("path")), F.col("path")]
         dealt = corpus.select("path", "text").repartitionByRange(tasks, *order).sortWithinPartitions(*order)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of a batch that Python works on at a time; a larger row stands alone.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(batches: Iterable[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches of a task in slices of at most so many bytes or one row: a batch has up to 10,000 rows or 64 MB, and what Python makes of it is several times as large."""
+    for batch in batches:
+        todo = [batch]
+        while todo:
+            piece = todo.pop()
+            if piece.num_rows > 1 and piece.nbytes > most:
+                half = piece.num_rows // 2
+                todo += [piece.slice(half), piece.slice(0, half)]
+            else:
+                yield piece
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt to as many tasks as there are cores, where its input has fewer splits: before work that costs more than an exchange."""
     cores = df.sparkSession.sparkContext.defaultParallelism

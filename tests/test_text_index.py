@@ -3,6 +3,8 @@
 import json
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,23 @@ def test_waves(corpus, index, monkeypatch):
     assert index.report("needle", limit=1).first().groups_read == 1
 
 
+def test_groups_grow_with_the_corpus(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "SMALL_GROUPS", 3)
+    index = TextIndex.build(corpus, f"file://{tmp_path}/i", 2000)
+    assert index.zones.count() <= 3 + 2 * 4  # each of four tasks begins one and ends one
+    searched = corpus.where("text is not null")
+    assert index.search("needle", limit=None).collect() == search.search_exact(searched, "needle", limit=None).collect()
+
+
+def test_grams_of_many_texts(monkeypatch):
+    monkeypatch.setattr(text_index, "PIECE_BYTES", 5)
+    texts = ["abcdefghijklm", None, "", "é", "ab", "xyz", "q", "w", "e", "longer than a piece"]
+    have = np.zeros(1 << 24, bool)
+    text_index._mark(have, pa.array(["left out", *texts, "left out"]).slice(1, len(texts)))
+    want = {g for t in texts if t for g in text_index._grams(t.encode()).tolist()}
+    assert set(np.flatnonzero(have).tolist()) == want
+
+
 def test_pushed_down(index):
     plan = index.spark.read.schema("gram int, grp long").parquet(f"{index.folder}/postings").where(F.col("gram").isin(text_index.grams_of("a needle of many grams", True)))
     assert "In(gram, " in plan._jdf.queryExecution().toString()
