@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import SPACE
+from corpusmill.sources.shared import pieces
 
 MAX_TOKENS = 2000
 CHUNKS = "chunk_index int, total int, section string, tokens long, text string"
@@ -92,7 +93,7 @@ def chunk_rows(df: DataFrame, text_col: str = "text", max_tokens: int = MAX_TOKE
     kind = pa.list_(pa.struct([("chunk_index", pa.int32()), ("total", pa.int32()), ("section", pa.string()), ("tokens", pa.int64()), ("text", pa.string())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             made = [chunks(t, max_tokens) for t in batch.column(len(others)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(made, kind)], [*others, "_chunks"])
 

@@ -15,6 +15,7 @@ import zlib
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from corpusmill.operators import listing, reading, search
 from corpusmill.plans.registry import _CALLS, _CLEAN, _M, _PATHS, _SP, _calls, _cut_sql, documents, messages, paths, query, table
 from corpusmill.sources import files, lines
 from corpusmill.sources.paths import Escape, lexical
-from corpusmill.sources.shared import new_folder, staged
+from corpusmill.sources.shared import new_folder, pieces, staged
 from corpusmill.streaming import streams
 
 # --- a folder of files --------------------------------------------------------------------------------------------------
@@ -52,8 +53,8 @@ def corpus_folder(spark: SparkSession, sf_dir: str) -> str:
     d = paths(spark, sf_dir).join(documents(spark, sf_dir), "doc_id").select("doc_id", "path", "text")
 
     def write(batches):
-        for pdf in batches:
-            for n, path, text in zip(pdf["doc_id"], pdf["path"], pdf["text"], strict=True):
+        for piece in pieces(batches):
+            for n, path, text in zip(*(c.to_pylist() for c in piece.columns), strict=True):
                 path = f"{path}.png" if n % 13 == 0 else path
                 at = os.path.join(root, path)
                 os.makedirs(os.path.dirname(at), exist_ok=True)
@@ -61,9 +62,9 @@ def corpus_folder(spark: SparkSession, sf_dir: str) -> str:
                     f.write((b"\x00" if n % 11 == 0 else b"") + text.encode())
                 os.chmod(at, 0o644)
                 os.utime(at, (1000 * (n % 7), 1000 * (n % 7)))
-            yield pd.DataFrame({"n": [len(pdf)]})
+            yield pa.RecordBatch.from_arrays([pa.array([piece.num_rows], pa.int64())], ["n"])
 
-    d.mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    d.mapInArrow(write, "n long").agg(F.sum("n")).collect()
     for path, content in _EXTRA.items():
         os.makedirs(os.path.dirname(os.path.join(root, path)), exist_ok=True)
         with open(os.path.join(root, path), "wb") as f:
@@ -212,10 +213,11 @@ def _made_of(spark, sf_dir, ending: str, make) -> DataFrame:
     d = _texts(spark, sf_dir)
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"path": [f"d{n}{ending}" for n in pdf["doc_id"]], "content": [make(n, t) for n, t in zip(pdf["doc_id"], pdf["text"], strict=True)]})
+        for piece in pieces(batches):
+            ids, texts = (c.to_pylist() for c in piece.columns)
+            yield pa.RecordBatch.from_arrays([pa.array([f"d{n}{ending}" for n in ids], pa.string()), pa.array([make(n, t) for n, t in zip(ids, texts, strict=True)], pa.binary())], ["path", "content"])
 
-    return extract.extract(d.mapInPandas(run, "path string, content binary"))
+    return extract.extract(d.mapInArrow(run, "path string, content binary"))
 
 
 def _zip(**entries: str) -> bytes:
@@ -274,10 +276,10 @@ def extract_article(spark, sf_dir):
         return f"<html><head><title>t</title></head><body><nav>menu</nav><article><header>h</header><h2>Doc {n}</h2>{lines}<ul><li>one</li><li>two</li></ul><a href='/u{n}'>t</a><aside>ad</aside></article><footer>f</footer></body></html>"
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "html": [page(n, t) for n, t in zip(pdf["doc_id"], pdf["text"], strict=True)]})
+        for piece in pieces(batches):
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([page(n, t) for n, t in zip(*(c.to_pylist() for c in piece.columns), strict=True)], pa.string())], ["doc_id", "html"])
 
-    return extract.page_text(d.mapInPandas(run, "doc_id long, html string"), article=True).select("doc_id", "text")
+    return extract.page_text(d.mapInArrow(run, "doc_id long, html string"), article=True).select("doc_id", "text")
 
 
 @query(_expected(".csv", "array_to_string(list_transform(lines, lambda x: x || chr(9) || doc_id), chr(10))"))
@@ -345,10 +347,11 @@ def extract_pdf(spark, sf_dir):
         return b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog >>\nendobj\n4 0 obj\n<< " + head + b" >>\nstream\n" + body + b"\nendstream\nendobj\n"
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"path": [f"d{n}.pdf" for n in pdf["doc_id"]], "text": [extract.pdf_plain(make(n, t)) for n, t in zip(pdf["doc_id"], pdf["text"], strict=True)]})
+        for piece in pieces(batches):
+            ids, texts = (c.to_pylist() for c in piece.columns)
+            yield pa.RecordBatch.from_arrays([pa.array([f"d{n}.pdf" for n in ids], pa.string()), pa.array([extract.pdf_plain(make(n, t)) for n, t in zip(ids, texts, strict=True)], pa.string())], ["path", "text"])
 
-    return d.mapInPandas(run, "path string, text string")
+    return d.mapInArrow(run, "path string, text string")
 
 
 @query(f"select doc_id, strlen(text) > 700 as refused from ({_PLAIN})")
@@ -365,10 +368,10 @@ def zip_guard(spark, sf_dir):
         return False
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "refused": [refused(t) for t in pdf["text"]]})
+        for piece in pieces(batches):
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([refused(t) for t in piece.column(1).to_pylist()], pa.bool_())], ["doc_id", "refused"])
 
-    return d.mapInPandas(run, "doc_id long, refused boolean")
+    return d.mapInArrow(run, "doc_id long, refused boolean")
 
 
 @query(f"""with p as (select 'd' || doc_id || '.html' as path, {_NORMAL} as text from ({_PLAIN})), c as (select p.path, coalesce(k.text, '') as t from p left join ({_CLEAN.format(source=f"select 'd' || doc_id || '.html' as path, {_NORMAL} as text from ({_PLAIN})")}) k using (path))
@@ -431,24 +434,24 @@ def folder_changes(spark, sf_dir):
         os.utime(f"{root}/{path}", (time, time))
 
     def first(batches):
-        for pdf in batches:
-            for path, text in zip(pdf["path"], pdf["text"], strict=True):
+        for piece in pieces(batches):
+            for _, path, text in zip(*(c.to_pylist() for c in piece.columns), strict=True):
                 put(path, text, 1000)
-            yield pd.DataFrame({"n": [len(pdf)]})
+            yield pa.RecordBatch.from_arrays([pa.array([piece.num_rows], pa.int64())], ["n"])
 
     def second(batches):
-        for pdf in batches:
-            for n, path, text in zip(pdf["doc_id"], pdf["path"], pdf["text"], strict=True):
+        for piece in pieces(batches):
+            for n, path, text in zip(*(c.to_pylist() for c in piece.columns), strict=True):
                 if n % 10 == 0:
                     put(path, text, 2000)
                 elif n % 7 == 0 and os.path.exists(f"{root}/{path}"):
                     os.remove(f"{root}/{path}")
                 if n % 5 == 0:
                     put(f"new/g{n}", text, 2000)
-            yield pd.DataFrame({"n": [len(pdf)]})
+            yield pa.RecordBatch.from_arrays([pa.array([piece.num_rows], pa.int64())], ["n"])
 
     for work in (first, second):
-        d.mapInPandas(work, "n long").agg(F.sum("n")).collect()
+        d.mapInArrow(work, "n long").agg(F.sum("n")).collect()
         found = files.changes(spark, root, f"{top}/snapshots").select("path", "change")
         found.writeStream.format("parquet").option("path", f"file://{top}/out").option("checkpointLocation", f"file://{top}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"file://{top}/out")

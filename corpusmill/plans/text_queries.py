@@ -8,6 +8,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ from corpusmill.operators.text_index import opened
 from corpusmill.plans import agent, clients, console, settings, templates
 from corpusmill.plans.registry import _DOCS, _K, _M, _NORMALIZE, _PATHS, _RECALL, _SP, _TOKENS, _VOCABULARY, _cut_sql, _query_vector, _vector_chunks, _word_vocabulary, documents, messages, paths, query, table, text_index
 from corpusmill.sources import committed
-from corpusmill.sources.shared import new_folder
+from corpusmill.sources.shared import new_folder, pieces
 
 # --- scalar functions ---------------------------------------------------------------------------------------------------
 
@@ -112,15 +113,16 @@ f as (select word, case when bad then [0] else ids end as ids from r where bad o
 select doc_id, sum(len(ids))::bigint as n, sum(list_sum(ids))::bigint as total, sum(len(list_filter(ids, lambda x: x = 0)))::bigint as unknown from w join f using (word) group by doc_id""")
 def wordpiece(spark, sf_dir):
     """Greedy pieces with continuations over every text: how many, the sum of their ids, how many unknown words."""
-    pieces = E.WordPiece(_pieces())
+    model = E.WordPiece(_pieces())
 
     def run(batches):
-        for pdf in batches:
-            flat, sizes = pieces.batch(pdf["text"].tolist())
-            ids = np.split(flat, np.cumsum(sizes)[:-1])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(x) for x in ids], "total": [x.sum() for x in ids], "unknown": [(x == 0).sum() for x in ids]})
+        for some in pieces(batches):
+            flat, sizes = model.batch(some.column(1).to_pylist())
+            ids = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
+            counts = [[len(x) for x in ids], [int(x.sum()) for x in ids], [int((x == 0).sum()) for x in ids]]
+            yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, pa.int64()) for c in counts)], ["doc_id", "n", "total", "unknown"])
 
-    return documents(spark, sf_dir).mapInPandas(run, "doc_id long, n long, total long, unknown long").where("n > 0")
+    return documents(spark, sf_dir).mapInArrow(run, "doc_id long, n long, total long, unknown long").where("n > 0")
 
 
 @query(f"""with v(token, id) as (values {_VOCABULARY}),
@@ -416,16 +418,17 @@ def templates_parsed(spark, sf_dir):
     text = F.trim(F.regexp_replace(F.concat_ws(" ", "source", "lang", "text"), "[^a-zA-Z ]", ""))
 
     def run(batches):
-        for pdf in batches:
+        for some in pieces(batches):
             out = []
-            for n, t in zip(pdf["doc_id"], pdf["t"], strict=True):
+            for n, t in zip(*(c.to_pylist() for c in some.columns), strict=True):
                 args = (f"args: [x, {n}]", f"args: x {n}", f"args:\n  - x\n  - {n}")[n % 3]
                 made = templates.parse("p", f"---\ndescription: d {t}\n{args}\n---\nsay $1 of {t}", "global")
                 out.append((n, made.description, "|".join(made.args), made.body, templates.expand(made.body, [str(n)] if n % 3 == 0 else [])))
-            yield pd.DataFrame(out, columns=["doc_id", "description", "args", "body", "expanded"])
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, pa.string()) for c in columns[1:])], ["doc_id", "description", "args", "body", "expanded"])
 
     rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
-    return rows.mapInPandas(run, "doc_id long, description string, args string, body string, expanded string")
+    return rows.mapInArrow(run, "doc_id long, description string, args string, body string, expanded string")
 
 
 def _settings_sql() -> str:
