@@ -30,7 +30,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.sources.shared import in_order
+from corpusmill.sources.shared import in_order, shuffle_partitions
 
 SCHEMA_VERSION = 3
 #: Fixed value: bytes that an entry costs beside its text.
@@ -39,6 +39,8 @@ ENTRY_BYTES = 4096
 FEW_FILES = 1_000_000
 #: Commits after which the table of files is written whole; text and vectors of a bucket; rows of one path that one task writes.
 CHECKPOINT_EVERY, BUCKET_BYTES, BUCKET_ROWS = 8, 256 << 20, 50_000
+#: Shares of paths for each task that writes chunks.
+SHARES = 8
 #: Age at which data of no commit are taken for a failed write's, and how often a commit is tried.
 GRACE_MS, TRIES = 3_600_000, 1000
 FILES = "path string, mtime_ms long, size long, generation string, n_chunks long, blob_size long, last_access long"
@@ -294,11 +296,13 @@ class Index:
     # --- writing ---
 
     def _write_chunks(self, chunks: DataFrame, size: int = 0) -> str:
-        """Writes a generation of as many buckets as its size asks for; a path's many chunks are several tasks' work."""
+        """Writes a generation of as many buckets as its size asks for. Few buckets, which size may say where texts are larger than their files, are shares of paths for several tasks each; a path's many chunks are several tasks' work."""
         buckets = max(1, -(-size // BUCKET_BYTES))
+        shares = max(1, SHARES * shuffle_partitions(self.spark) // buckets)  # some for each task, so that tasks have about the same
         generation = f"{uuid.uuid4().hex}-{buckets}"
         rows = chunks.select(*_columns(CHUNKS), F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int").alias("bucket"))
-        rows = rows.repartition("bucket", F.floor(F.col("chunk_index") / BUCKET_ROWS)).sortWithinPartitions("bucket", "path", "chunk_index")
+        share = F.pmod(F.xxhash64(F.lit("share"), "path"), F.lit(shares))  # by another hash than the bucket's
+        rows = rows.repartition("bucket", share, F.floor(F.col("chunk_index") / BUCKET_ROWS)).sortWithinPartitions("bucket", "path", "chunk_index")
         rows.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#path", "true").parquet(f"{self.folder}/chunks/generation={generation}")
         return generation
 

@@ -32,6 +32,15 @@ def interrupt(index, step, times=1):
 
     index._put = late
 
+def test_one_bucket_is_several_tasks_work(spark, index):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index.upsert(listed(spark, *"abcdefgh", size=1), chunks(spark, "one", *"abcdefgh"), 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert index._all_chunks().select(F.input_file_name()).distinct().count() > 1
+    assert texts(index) == [f"one {c} 1" for c in "abcdefgh"] and index.chunk("c", 1).count() == 1
+
 def test_two_writers(spark, index):
     other = I.Index(spark, index.top, "m")
     index.upsert(listed(spark, "a", "b"), chunks(spark, "one", "a", "b"), 1)
