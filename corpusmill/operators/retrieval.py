@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import search
 from corpusmill.operators.index import Index
-from corpusmill.sources.shared import shuffle_partitions
+from corpusmill.sources.shared import shuffle_partitions, staged
 
 Read = Callable[[DataFrame], DataFrame]
 
@@ -45,16 +45,16 @@ def search_one(files: DataFrame, index: Index, read: Read, path: str, query: lis
 def context_for_turns(turns: DataFrame, chunks: DataFrame, top_k: int = 5, min_score: float = 0.2, id_col: str = "vec_id") -> DataFrame:
     """turns: conv_id, turn, q (its query vector); chunks: id_col, embedding. conv_id, turn, id_col, score, rank: what search.auto_context picks for each turn, no chunk twice in a conversation.
 
-    A turn's picks are among its top_k * n best where n turns came up to it, so one batch of nearest neighbours gives all candidates; what was
+    A turn's picks are among its top_k * n best where n turns came up to it, so one batch of nearest neighbours of the distinct query vectors gives all candidates; what was
     picked before is then left out turn by turn, in tasks that read conversations in order and hold one one's picks.
     """
     placed = turns.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
     most = placed.agg(F.max("n")).first()[0] or 0
-    named = placed.select(F.struct("conv_id", "turn", "n").alias("at"), "q").select(F.to_json("at").alias("name"), "q")
-    found = search.batch_top_k(chunks, named, id_col, "name", top_k * most or 1)
-    at = F.from_json("name", "conv_id long, turn long, n int")
-    found = found.withColumn("at", at).select("at.conv_id", "at.turn", "at.n", F.col(id_col).alias("id"), "score", F.col("rank").cast("long").alias("rank"))
-    found = found.where(F.col("rank") <= top_k * F.col("n"))
+    asked = placed.groupBy("q").agg((F.max("n") * top_k).cast("long").alias("need"))  # a vector that many turns have is searched once
+    asked = staged(asked.withColumn("name", F.monotonically_increasing_id()), "asked")
+    found = search.batch_top_k(chunks, asked, id_col, "name", top_k * most or 1, "need").select("name", F.col(id_col).alias("id"), "score", F.col("rank").cast("long").alias("rank"))
+    named = placed.join(asked.select("q", "name"), "q").select("name", "conv_id", "turn", "n")
+    found = named.join(found, "name").where(F.col("rank") <= top_k * F.col("n")).select("conv_id", "turn", "id", "score", "rank")
     found = found.repartition(shuffle_partitions(chunks.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "rank")
 
     def pick(batches):

@@ -89,73 +89,104 @@ def search_document(chunks: DataFrame, path: str, query: list[float], top_k: int
 
 #: Queries that go with a plan, or are compared at a time; vectors that they are compared with at a time.
 QUERY_BLOCK, SLICE = 4096, 4096
+#: Scores that one product gives at most, and best ones that are held for queries compared at a time.
+SCORES, HELD = 1 << 20, 1 << 19
 #: Queries and vectors of a block in an exchange: each vector is sent once for so many queries, each query once for so many vectors.
-QUERIES, VECTOR_BLOCK = 1 << 16, 1 << 18
-
-
-def _nearest(batches, names: list, queries: np.ndarray, k: int):
-    """For batches of (id, embedding): each query's k best of the whole partition, ties by id."""
-    best = [(np.empty(0), np.empty(0, np.int64)) for _ in names]
+QUERIES, VECTOR_BLOCK = 1 << 14, 1 << 17
+
+
+def _nearest(batches, names: list, queries: np.ndarray, k: int, need: np.ndarray | None = None):
+    """For batches of (id, embedding): each query's k (or need) best of the whole partition, ties by id, NaN above all as Spark has it. Scores are made for some rows at a time, and what can't be among the best any more is dropped at once."""
+    need = np.full(len(names), k) if need is None else np.minimum(need, k)
+    top = int(need.max(initial=0))
+    least = np.full(len(names), -np.inf)  # what each query's next must reach
+    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]  # query, id, score
+    waiting, n_waiting = [], 0
+
+    def merged():
+        q, ids, scores = (np.concatenate([h, *w]) for h, w in zip(held, zip(*waiting, strict=True), strict=True)) if waiting else held
+        odd = np.isnan(scores)
+        order = np.lexsort((ids, -scores, ~odd, q))
+        q, ids, scores = q[order], ids[order], scores[order]
+        n = np.bincount(q, minlength=len(names))
+        rank = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
+        last = rank == need[q] - 1
+        least[q[last]] = np.where(np.isnan(scores[last]), np.inf, scores[last])
+        keep = rank < need[q]
+        waiting.clear()
+        return [q[keep], ids[keep], scores[keep]]
+
+    rows = max(1, SCORES // max(1, len(names)))
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        sizes = pc.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
-        fits = sizes == queries.shape[1]  # other lengths have score 0
-        scores = np.zeros((len(names), len(ids)))
-        if fits.any():
-            vectors = batch.column(1).filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, queries.shape[1])
-            scores[:, fits] = queries @ vectors.T
-        for q, row in enumerate(scores):
-            if len(row) > k:
-                keep = np.flatnonzero(row >= np.partition(row, -k)[-k])
-                row, own = row[keep], ids[keep]
-            else:
-                own = ids
-            row, own = np.concatenate([best[q][0], row]), np.concatenate([best[q][1], own])
-            order = np.lexsort((own, -row))[:k]
-            best[q] = row[order], own[order]
-    n = [len(s) for s, _ in best]
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(names)), n).astype(np.int32)), pa.array(np.concatenate([i for _, i in best]).astype(np.int64)), pa.array(np.concatenate([s for s, _ in best]))], ["q", "id", "score"])
+        for at in range(0, batch.num_rows if names else 0, rows):
+            some = batch.slice(at, rows)
+            ids = some.column(0).to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(some.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+            fits = sizes == queries.shape[1]  # other lengths have score 0
+            scores = np.zeros((len(names), len(ids)))
+            if fits.any():
+                vectors = some.column(1).filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, queries.shape[1])
+                scores[:, fits] = queries @ vectors.T
+            bound = least
+            if len(ids) > top > 0 and np.isneginf(least).any():  # the first rows
+                own = np.partition(scores, -top, 1)[:, -top]
+                bound = np.maximum(least, np.where(np.isnan(own), np.inf, own))
+            q, c = np.nonzero(~(scores < bound[:, None]))
+            waiting.append((q, ids[c], scores[q, c]))
+            n_waiting += len(q)
+            if np.isneginf(least).any() or n_waiting > need.sum() + SCORES // 4:
+                held, n_waiting = merged(), 0
+    q, ids, scores = merged()
+    yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(scores)], ["q", "id", "score"])
 
 
 def _meet(k: int):
-    """For a block of vectors and a block of queries: each query's k best, a slice of vectors and some of the queries at a time."""
+    """For a block of vectors and a block of queries: each query's k best (or as many as its column need says), a slice of vectors and some of the queries at a time."""
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         names, found = queries.column("name"), []
         rows = vectors.select(["id", "embedding"]).combine_chunks()
-        for at in range(0, queries.num_rows if rows.num_rows else 0, QUERY_BLOCK):
-            some = queries.slice(at, QUERY_BLOCK)
+        need = np.minimum(queries.column("need").to_numpy(), k) if "need" in queries.column_names else np.full(queries.num_rows, k)
+        before = np.cumsum(need) - need
+        at = 0
+        while at < queries.num_rows and rows.num_rows:
+            to = min(at + QUERY_BLOCK, max(at + 1, int(np.searchsorted(before, before[at] + HELD))))
+            some = queries.slice(at, to - at)
             matrix = np.array(some.column("q").to_pylist(), np.float64)
-            (best,) = _nearest(rows.to_batches(max_chunksize=SLICE), some.column("name").to_pylist(), matrix, k)
+            (best,) = _nearest(rows.to_batches(max_chunksize=SLICE), some.column("name").to_pylist(), matrix, k, need[at:to])
             found.append(pa.table([some.column("name").take(best.column(0)), best.column(1), best.column(2)], ["name", "id", "score"]))
+            at = to
         return pa.concat_tables(found) if found else pa.table([names.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())], ["name", "id", "score"])
 
     return run
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: int = 10) -> DataFrame:
+def batch_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: int = 10, need: str | None = None) -> DataFrame:
     """For each query (query_col, q: its vector) the k nearest of vectors (id_col, embedding): query_col, id_col, score, rank.
 
     The queries are a stated set. Up to QUERY_BLOCK of them go with the plan: each partition scores its vectors against them with one
     matrix product a batch and keeps k rows a query, so that only those are shuffled. More are a table: blocks of queries
-    meet blocks of vectors by one exchange, and each meeting keeps k rows a query.
+    meet blocks of vectors by one exchange, and each meeting keeps k rows a query. need: a column of queries with how many of the k each
+    has to get, where they differ; it may get more.
     """
     kind = queries.schema[query_col].dataType.simpleString()
-    block = queries.select(query_col, "q").limit(QUERY_BLOCK + 1).collect()
+    asked = queries.select(F.col(query_col).alias("name"), "q", *([F.col(need).cast("long").alias("need")] if need else []))
+    block = asked.limit(QUERY_BLOCK + 1).collect()
     rank = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "id"))
     if not block:
         return vectors.limit(0).select(F.lit(None).cast(kind).alias(query_col), F.col(id_col).cast("long"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), "embedding")
     if len(block) <= QUERY_BLOCK:
         names, matrix = [r[0] for r in block], np.array([r[1] for r in block], np.float64)
-        found = rows.mapInArrow(lambda b: _nearest(b, names, matrix, k), "q int, id long, score double")
+        wanted = np.array([r["need"] for r in block]) if need else None
+        found = rows.mapInArrow(lambda b: _nearest(b, names, matrix, k, wanted), "q int, id long, score double")
         top = found.withColumn("rank", rank("q")).where(F.col("rank") <= k)
         key = vectors.sparkSession.createDataFrame(list(enumerate(names)), f"q int, `{query_col}` {kind}")
         return top.join(key, "q").select(query_col, F.col("id").alias(id_col), "score", "rank")
     counts = rows.agg(F.count("*")).first()[0], queries.agg(F.count("*")).first()[0]
     vector_blocks, query_blocks = max(1, -(-counts[0] // VECTOR_BLOCK)), -(-counts[1] // QUERIES)
     left = rows.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(vector_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = queries.select(F.col(query_col).alias("name"), "q").withColumn("qb", F.pmod(F.xxhash64("name"), F.lit(query_blocks)).cast("int"))
+    right = asked.withColumn("qb", F.pmod(F.xxhash64("name"), F.lit(query_blocks)).cast("int"))
     right = right.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(vector_blocks - 1).cast("long"))))
     met = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(_meet(k), f"name {kind}, id long, score double")
     top = met.withColumn("rank", rank("name")).where(F.col("rank") <= k)

@@ -1,5 +1,7 @@
 """Searches that index as they go, and context for all turns of conversations."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusmill.operators import index as I
@@ -54,3 +56,33 @@ def test_context_is_that_of_turns_one_after_the_other(spark):
             seen += picked
     assert len(got[(None, 0)]) == 3
     assert retrieval.context_for_turns(turns.limit(0), e).count() == 0
+
+
+def test_nearest_holds_few_scores(monkeypatch):
+    """Many queries against a batch of many vectors: no matrix of all their scores, and the same best ones, ties by id, NaN first."""
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (3000, 4)).astype(np.float32)
+    vectors[17, 0] = np.nan
+    queries = rng.integers(-2, 3, (50, 4)).astype(np.float64)
+    queries[:, 0] = np.where(queries[:, 0] == 0, 1, queries[:, 0])
+    batch = pa.record_batch([pa.array(np.arange(3000)), pa.array(list(vectors), pa.list_(pa.float32()))], ["id", "embedding"])
+    monkeypatch.setattr(search, "SCORES", 1000)
+    largest, zeros = [0], np.zeros
+    monkeypatch.setattr(search.np, "zeros", lambda shape, *a, **b: largest.append(int(np.prod(shape))) or zeros(shape, *a, **b))
+    need = np.arange(50) % 7 + 1
+    (got,) = search._nearest([batch], list(range(50)), queries, 7, need)
+    assert max(largest) <= 1000
+    found = list(zip(*(c.to_pylist() for c in got.columns), strict=True))
+    scores = queries @ vectors.astype(np.float64).T
+    for q in range(50):
+        want = sorted(range(3000), key=lambda i: (not np.isnan(scores[q, i]), -np.nan_to_num(scores[q, i]), i))[: need[q]]
+        assert [i for own, i, _ in found if own == q] == want
+
+
+def test_equal_turns_are_searched_once(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "vec_id long, embedding array<float>")
+    turns = spark.createDataFrame([(c, t, [1.0, 0.0]) for c in range(5) for t in range(3)], "conv_id long, turn long, q array<float>")
+    asked, was = [], search.batch_top_k
+    monkeypatch.setattr(search, "batch_top_k", lambda v, q, *a: asked.append(q.count()) or was(v, q, *a))
+    got = {(r.conv_id, r.turn, r.rank): r.vec_id for r in retrieval.context_for_turns(turns, chunks, 2).collect()}
+    assert asked == [1] and got == {(c, t, r): 20 - 2 * t - r for c in range(5) for t in range(3) for r in (1, 2)}
